@@ -1,0 +1,13 @@
+"""The registered queries over the library's operators and their SQL."""
+
+from __future__ import annotations
+
+FLAGSHIP = "source_match"
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
