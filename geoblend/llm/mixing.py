@@ -32,7 +32,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     """source, source_size, target from sizes(source, source_size), one row per source.
 
     Weights go round over the sources in code-point order, null last. The target is min(most * size, level * weight)
-    with the level that makes the total share * all sizes: capping and resharing until none is above ends there.
+    with the greatest level that fits, which makes the total share * all sizes: capping and resharing until none is above ends there.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     everything = Window.partitionBy()
@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     below = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / F.sum("w").over(by_cap.rowsBetween(0, Window.unboundedFollowing)))
     fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
-    rows = rows.withColumn("level", F.min(fits).over(everything))
+    rows = rows.withColumn("level", F.max(fits).over(everything))
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 

@@ -70,7 +70,7 @@ ORACLES = {
             SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                       / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
         t AS (
-            SELECT *, least(cap, coalesce(min(CASE WHEN level * w <= cap THEN level END) OVER () * w, cap)) AS target FROM l),
+            SELECT *, least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER () * w, cap)) AS target FROM l),
         p AS (
             SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS sure FROM t),
         r AS (
