@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, packing, quality, simhash
+from . import chat, exact, langid, mixing, packing, quality, rules, simhash
 
 #: Planted conversation of the chat query.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -22,6 +22,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(planted)))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_best_fit_packing, op5_source_mix, op7_simhash, op8_quality, op9_chat)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_crf, op3_exact_dedup, op4_best_fit_packing, op5_source_mix, op7_simhash, op8_quality, op9_chat, op10_quality_rules)}
 
 ORACLES = {
     "op3_exact_dedup": """
