@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, mixing, packing, quality, rules, simhash
+from . import chat, exact, langid, licenses, linededup, mixing, packing, quality, rules, simhash
 
 #: Planted conversation of the chat query.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -22,6 +22,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document, as a digest."""
+    left = linededup.drop_common_blocks(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_deleted", "partners", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,16 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def document_path() -> Column:
+    """Directories of the documents: source, language, thousand."""
+    shard = F.floor(F.col("doc_id") / 1000).cast("string")
+    return F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), shard, F.col("doc_id").cast("string"))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_scan(table(spark, sf_dir, "documents"), document_path())
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
@@ -56,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_crf, op3_exact_dedup, op4_best_fit_packing, op5_source_mix, op7_simhash, op8_quality, op9_chat, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_crf, op3_exact_dedup, op4_best_fit_packing, op5_source_mix, op6_licence_scan, op7_simhash, op8_quality, op9_chat, op10_quality_rules)}
 
 ORACLES = {
     "op3_exact_dedup": """
