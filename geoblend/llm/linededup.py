@@ -100,16 +100,13 @@ def deleted_ranges(docs: DataFrame, rare: int = 64, min_block_words: int = 20) -
     spots = materialize(lines.groupBy("h", "doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.max("words").alias("words")), "line-spots")
     shared = spots.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = materialize(shared, "line-shared")
-    n_shared = shared.count()
-    small = lambda df: broadcast_if_small(df, n_shared, 500_000)
-    held = spots.join(small(shared.withColumnRenamed("first", "doc_id").select("h", "doc_id", "df")), ["h", "doc_id"])
-    held = materialize(held.select("h", F.col("doc_id").alias("first"), "df", F.col("at").alias("earlier")), "line-held")
-    later = spots.join(small(held), "h").filter("doc_id > first")
-    own = F.struct("h", "words", "earlier", F.col("at").alias("later"))
-    pairs = later.groupBy("doc_id", "first").agg(
-        F.collect_list(own).alias("lines"), F.min("df").alias("rarest"), F.sum(F.col("words") * F.size("at")).alias("words")
-    )
-    pairs = pairs.filter((F.col("rarest") <= rare) | (F.col("words") >= min_block_words))
+    common = materialize(spots.join(broadcast_if_small(shared, shared.count(), 500_000), "h"), "line-common")
+    pairs = common.filter("doc_id > first").groupBy("doc_id", "first").agg(F.min("df").alias("rarest"), F.sum(F.col("words") * F.size("at")).alias("words"))
+    pairs = materialize(pairs.filter((F.col("rarest") <= rare) | (F.col("words") >= min_block_words)).select("doc_id", "first"), "line-pairs")
+    # All lines that the two have in common, also those that a third document held first.
+    later = pairs.join(common.select("doc_id", "h", "words", F.col("at").alias("later")), "doc_id")
+    both = later.join(common.select(F.col("doc_id").alias("first"), "h", F.col("at").alias("earlier")), ["first", "h"])
+    pairs = both.groupBy("doc_id", "first").agg(F.collect_list(F.struct("h", "words", "earlier", "later")).alias("lines"))
 
     def run(batches):
         for batch in batches:
