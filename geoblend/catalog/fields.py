@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibrate, field, metrics, state
 from ..sources import roles as R
-from ..sources.tables import Source
+from ..sources.tables import Source, written
 from .etl import daily_sparse
 from .registry import query, roles, rounded
 
@@ -60,16 +60,17 @@ def day_transitions(spark, sf_dir: str) -> DataFrame:
 
 
 def scaled_long(spark, sf_dir: str) -> DataFrame:
-    """grid_id, day, x, y, t, source, value, prior, slope, intercept, noise: training rows of the field, about unit scale."""
+    """grid_id, day, x, y, t, source, value, prior, slope, intercept, noise: training rows of the field, about unit scale.
+    Written once, as the field's steps read them several times."""
     cells = R.cells(spark, sf_dir)
     s = cells.agg(F.min("latitude").alias("a"), F.max("latitude").alias("b"), F.min("longitude").alias("c"), F.max("longitude").alias("d")).first()
     size = max(s["b"] - s["a"], s["d"] - s["c"]) or 1.0
     day = F.datediff("date", F.lit("2024-01-01").cast("date"))
     df = daily_sparse(spark, sf_dir).join(cells, "grid_id").join(R.priors(spark, sf_dir), "grid_id")
-    df = df.select("grid_id", day.alias("day"), ((F.col("latitude") - s["a"]) / size).alias("x"), ((F.col("longitude") - s["c"]) / size).alias("y"), (day / 30.0).alias("t"),
+    df = df.withColumn("day", day).select("grid_id", "day", ((F.col("latitude") - s["a"]) / size).alias("x"), ((F.col("longitude") - s["c"]) / size).alias("y"), (F.col("day") / 30.0).alias("t"),
                    ((F.col("lur") - 45.0) / 100.0).alias("prior"), ((F.col("station") - 50.0) / 100.0).alias("station"), ((F.col("satellite") - 50.0) / 100.0).alias("satellite"))
-    long = df.unpivot(["grid_id", "day", "x", "y", "t", "prior"], ["station", "satellite"], "source", "value").filter("value is not null")
-    return field.with_source(long, SOURCES)
+    long = written(df, "field-wide").unpivot(["grid_id", "day", "x", "y", "t", "prior"], ["station", "satellite"], "source", "value").filter("value is not null")
+    return written(field.with_source(long, SOURCES), "field-rows")
 
 
 def inducing(rows: DataFrame) -> field.Field:

@@ -18,7 +18,8 @@ def point_metrics(y: Column, p: Column) -> list[Column]:
     r2 = F.when(ss_tot > 0, 1 - ss_res / ss_tot).when(ss_res == 0, 1.0).otherwise(0.0)
     return [
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"),
-        (100.0 * F.avg(F.when(y != 0, F.abs(e / y)))).alias("mape"), r2.alias("r2"), F.corr(y, p).alias("corr"),
+        (100.0 * F.avg(F.when(y != 0, F.abs(e / y)))).alias("mape"), r2.alias("r2"),
+        F.try_divide(F.covar_pop(y, p), F.stddev_pop(y) * F.stddev_pop(p)).alias("corr"),
     ]
 
 

@@ -185,7 +185,7 @@ def bilinear_sample(points: DataFrame, raster: DataFrame, key: str, x: Column, y
     outside the raster or at a corner without value."""
     corners = F.array(*[F.struct((F.floor(y) + dy).cast("int").alias("row"), (F.floor(x) + dx).cast("int").alias("col"),
                                  ((1 - F.abs(x - F.floor(x) - dx)) * (1 - F.abs(y - F.floor(y) - dy))).alias("w")) for dy in (0, 1) for dx in (0, 1)])
-    asked = points.select(key, F.explode(corners).alias("k")).select(key, "k.*")
+    asked = points.select(key, F.explode(corners).alias("_k")).select(key, "_k.*")
     hits = asked.join(raster.filter("value is not null"), ["row", "col"], "left")
     return hits.groupBy(key).agg(F.when(F.count("value") == 4, F.sum(F.col("w") * F.col("value"))).alias("value"))
 

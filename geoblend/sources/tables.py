@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,6 +113,16 @@ def with_centroid(cells: DataFrame, ring: str = "ring") -> DataFrame:
 # --- sinks -----------------------------------------------------------------------------------------------------------
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that all executors share (spark.checkpoint.dir; an own one only where that is unset) and
+    read back: for tables used several times, and to cut lineage."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/geoblend-shared"
+    path = f"{base.rstrip('/')}/geoblend/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
