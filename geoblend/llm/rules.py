@@ -2,9 +2,9 @@
 
 DataFrame functions only. An n-gram is a pair of adjacent words' endings (two characters each): whole words of an
 open vocabulary hardly repeat, endings do. Pairs are hashed into a fixed number of buckets, counted over all
-documents (raw) and over those labelled good (trusted), and the add-one smoothed multinomials give each bucket a log
-ratio. A document's verdict compares the mean of its pairs' log ratios with a fixed threshold; every document is
-decided by itself, no sample is drawn.
+documents (raw) and over those labelled good (trusted), and the two multinomials, the trusted one smoothed towards
+the raw one, give each bucket a log ratio. A document's verdict compares the mean of its pairs' log ratios with a
+fixed threshold; every document is decided by itself, no sample is drawn.
 
 The bucket counts are bounded (BUCKETS rows) and reach the plan as one literal array. Repeats within a text are
 found by sorting its window hashes (64 bits) in the row; windows of one text are compared by hash.
@@ -47,15 +47,18 @@ def pair_buckets(words: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def log_ratios(pairs: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """Per bucket, log of trusted over raw share with add-one smoothing, from pairs(pairs, trusted)."""
+    """Per bucket, log of its trusted over its raw share, from pairs(pairs, trusted).
+
+    The trusted multinomial is smoothed by one pseudo-count per bucket, spread as the raw shares: without evidence the
+    ratio is 0, whatever the corpus size.
+    """
     counts = pairs.select("trusted", F.explode("pairs").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("trusted"), 1)).alias("good"))
-    raw, good = [0] * buckets, [0] * buckets
-    for r in counts.collect():  # at most `buckets` rows
-        raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
-    if not sum(good):
-        return [0.0] * buckets
-    n_raw, n_good = sum(raw) + buckets, sum(good) + buckets
-    return [round(math.log((g + 1) / n_good) - math.log((r + 1) / n_raw), 4) for g, r in zip(good, raw)]
+    found = counts.collect()  # at most `buckets` rows
+    n_raw, n_good = sum(r["raw"] for r in found), sum(r["good"] for r in found)
+    ratios = [0.0] * buckets
+    for r in found:
+        ratios[r["bucket"]] = round(math.log((r["good"] * n_raw / r["raw"] + buckets) / (n_good + buckets)), 4)
+    return ratios
 
 
 def base_counts(words: DataFrame) -> DataFrame:
