@@ -1,6 +1 @@
 """Spark jobs that fuse geo-located measurement sources into a cell-by-day table and a field with uncertainty."""
-
-import os
-
-# The solves are small; threads of the linear-algebra library would only contend with Spark's tasks on the cores.
-os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")

@@ -83,7 +83,7 @@ def filled_prior(spark, sf_dir: str) -> DataFrame:
     return rounded(mean.join(const, "grid_id").join(near, "grid_id", "left"), gap=9)
 
 
-@query(roles("raster") + """, q AS (SELECT row + 0.25e0 AS y, col + 0.5e0 AS x, row * 50 + col AS k FROM raster), a AS (SELECT k, x, y, floor(x)::INT + dx AS col, floor(y)::INT + dy AS row, (1 - abs(x - floor(x) - dx)) * (1 - abs(y - floor(y) - dy)) AS w FROM q, (VALUES (0), (1)) u(dx), (VALUES (0), (1)) v(dy))
+@query(roles("raster") + """, q AS (SELECT row + 0.25e0 AS y, col + 0.5e0 AS x, (row * 50 + col)::BIGINT AS k FROM raster), a AS (SELECT k, x, y, floor(x)::INT + dx AS col, floor(y)::INT + dy AS row, (1 - abs(x - floor(x) - dx)) * (1 - abs(y - floor(y) - dy)) AS w FROM q, (VALUES (0), (1)) u(dx), (VALUES (0), (1)) v(dy))
     SELECT k, round(CASE WHEN count(value) = 4 THEN sum(w * value) END, 6) AS value FROM a LEFT JOIN raster USING (row, col) GROUP BY k""")
 def bilinear(spark, sf_dir: str) -> DataFrame:
     r = R.raster(spark, sf_dir)

@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numerics import hash_unit
+from ..functions.threads import use_one_thread
 from ..sources.tables import Source
 
+use_one_thread()
+
 CORRELATION = {
     "matern12": lambda d: np.exp(-d),
     "matern32": lambda d: (1 + np.sqrt(3) * d) * np.exp(-np.sqrt(3) * d),
