@@ -304,3 +304,36 @@ def wind_weighted(spark, sf_dir: str) -> DataFrame:
     traffic = df.groupBy("grid_id").agg(F.avg("traffic").alias("traffic"))
     up = covariates.upwind_sums(R.cells(spark, sf_dir), traffic, km=0.5)
     return rounded(covariates.wind_weighted(R.wind(df), up), 4)
+
+
+@query(roles("cells") + " SELECT grid_id, r, c FROM cells WHERE latitude BETWEEN 53.2515e0 AND 53.2555e0 AND longitude BETWEEN -6.41e0 AND -6.35e0")
+def study_area(spark, sf_dir: str) -> DataFrame:
+    return clean.in_box(R.cells(spark, sf_dir), (53.2515, 53.2555), (-6.41, -6.35)).select("grid_id", "r", "c")
+
+
+@query(roles("cells", "daily") + " SELECT (r * 1000 + c)::INT AS cell, date, round(station, 6) AS station FROM daily JOIN cells USING (grid_id) WHERE c < 60 AND station IS NOT NULL", date="date")
+def mapped_ids(spark, sf_dir: str) -> DataFrame:
+    """Daily stations under integer cell ids; cells outside the map dropped."""
+    ids = R.cells(spark, sf_dir).filter("c < 60").select("grid_id", (F.col("r") * 1000 + F.col("c")).cast("int").alias("cell"))
+    return rounded(daily.map_ids(daily_sparse(spark, sf_dir).filter("station is not null"), ids).select("cell", "date", "station"))
+
+
+@query(roles("daily") + f""", h AS (SELECT grid_id, date, station, {hash_sql(42, "grid_id", "date")} AS h FROM daily WHERE station IS NOT NULL), t AS (SELECT grid_id, date, station, NULL::DOUBLE AS z FROM h WHERE h < 0.7e0 UNION ALL SELECT grid_id, date, station, station / 2e0 FROM h WHERE h >= 0.7e0 AND h < 0.85e0)
+    SELECT grid_id, count(*) AS n, count(z) AS n_val, round(sum(station), 6) AS total FROM t GROUP BY grid_id""")
+def concatenated(spark, sf_dir: str) -> DataFrame:
+    """Training and validation rows put below each other, with a column only one of them has."""
+    from ..operators.splits import random_split
+
+    df = random_split(daily_sparse(spark, sf_dir).filter("station is not null").select("grid_id", "date", "station"), ["grid_id", "date"])
+    train, val = df.filter("split = 'train'"), df.filter("split = 'val'").withColumn("z", F.col("station") / 2)
+    return rounded(daily.concat([train, val]).groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"), F.count("z").alias("n_val"), F.sum("station").alias("total")))
+
+
+@query(roles("daily") + """, d AS (SELECT DISTINCT date FROM daily WHERE station IS NOT NULL), j AS (SELECT q.grid_id, q.date, arg_min(p.date, (abs(date_diff('day', q.date, p.date)), p.date)) AS near FROM daily q, d p WHERE q.satellite IS NOT NULL AND q.date <> p.date GROUP BY ALL)
+    SELECT grid_id, date, near::VARCHAR AS nearest_day FROM j""", date="date")
+def nearest_day(spark, sf_dir: str) -> DataFrame:
+    """For every satellite row the nearest other day with stations."""
+    df = daily_sparse(spark, sf_dir)
+    days = daily.nearest_days(df.filter("satellite is not null"), df.filter("station is not null"))
+    out = df.filter("satellite is not null").join(F.broadcast(days) if days.count() <= 100_000 else days, "date")
+    return out.select("grid_id", "date", F.col("nearest_day").cast("string"))

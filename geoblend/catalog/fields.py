@@ -53,10 +53,10 @@ def cell_smoother(spark, sf_dir: str) -> DataFrame:
 
 
 @query(roles("daily") + """, d AS (SELECT DISTINCT date_diff('day', DATE '2024-01-01', date) AS day FROM daily), t AS (SELECT day, day - lag(day) OVER (ORDER BY day) AS dt FROM d)
-    SELECT day::INT AS day, dt::INT AS dt, round(coalesce(exp(-dt / 5e0), 0), 6) AS a, round(1 - coalesce(exp(-dt / 5e0), 0) ** 2, 6) AS q FROM t""")
+    SELECT day::INT AS day, dt::DOUBLE AS dt, round(coalesce(exp(-dt / 5e0), 0), 6) AS a, round(1 - coalesce(exp(-dt / 5e0), 0) ** 2, 6) AS q FROM t""")
 def day_transitions(spark, sf_dir: str) -> DataFrame:
     df = daily_sparse(spark, sf_dir).withColumn("day", F.datediff("date", F.lit("2024-01-01").cast("date")))
-    return rounded(state.transitions(df))
+    return rounded(state.transitions(df).withColumn("dt", F.col("dt").cast("double")))
 
 
 def scaled_long(spark, sf_dir: str) -> DataFrame:

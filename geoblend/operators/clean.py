@@ -104,3 +104,8 @@ def plausibility(df: DataFrame, mean: str = "mean", std: str = "std", limits: tu
     q = df.agg(F.percentile(mean, [0.02, 0.5, 0.98]).alias("m"), F.percentile(std, [0.5, 0.98]).alias("s"))
     good = (F.col("m")[0] >= low) & F.col("m")[1].between(mid_low, mid_high) & (F.col("m")[2] <= high) & (F.col("s")[1] <= most)
     return q.select(F.col("m")[0].alias("mean_p2"), F.col("m")[1].alias("mean_p50"), F.col("m")[2].alias("mean_p98"), F.col("s")[0].alias("std_p50"), F.col("s")[1].alias("std_p98"), good.alias("plausible"))
+
+
+def in_box(df: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
+    """Rows of a study area."""
+    return df.filter(F.col("latitude").between(*lat) & F.col("longitude").between(*lon))

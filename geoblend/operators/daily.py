@@ -81,3 +81,22 @@ def long_export(df: DataFrame, sources: list[str], keys: list[str], prior: str,
         return out
     own = df.filter(F.col(prior).isNotNull()).select(*keys, prior, F.lit(prior).alias("source"), F.col(prior).alias("value"))
     return out.unionByName(own)
+
+
+def map_ids(df: DataFrame, ids: DataFrame, key: str = "grid_id", name: str = "cell") -> DataFrame:
+    """Rows with their integer id from ids(key, name); unmapped rows go."""
+    return df.join(ids.select(key, name), key)
+
+
+def concat(frames: list[DataFrame]) -> DataFrame:
+    """Datasets below each other; columns that one lacks are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def nearest_days(asked: DataFrame, known: DataFrame, date: str = "date", limit: int = 20_000) -> DataFrame:
+    """date, nearest_day: the nearest other known day of each asked day (ties to the earlier), on the two tables of distinct days."""
+    days = known.select(F.col(date).alias("_near")).distinct()
+    if days.count() > limit:
+        raise ValueError("too many days for a comparison with each")
+    pairs = asked.select(date).distinct().join(F.broadcast(days), F.col(date) != F.col("_near"))
+    return pairs.groupBy(date).agg(F.min_by("_near", F.struct(F.abs(F.datediff("_near", date)), F.col("_near"))).alias("nearest_day"))
