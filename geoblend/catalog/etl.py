@@ -35,7 +35,7 @@ def daily_sparse(spark, sf_dir: str) -> DataFrame:
     c AS (SELECT count(*) AS n, regr_slope(station, satellite) AS a, regr_intercept(station, satellite) AS b FROM j WHERE satellite IS NOT NULL),
     l AS (SELECT station AS y, prior AS p, 'prior' AS model FROM j UNION ALL
           SELECT station, CASE WHEN n < 10 OR a IS NULL THEN satellite ELSE a * satellite + b END, 'satellite' FROM j, c)
-    SELECT model, count(*) AS n, round(sqrt(avg((p - y) ** 2)), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae, round(avg(p - y), 6) AS bias
+    SELECT model, count(*) AS n, round(sqrt(avg((p - y) ** 2)), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae, round(avg(p - y), 6) + 0e0 AS bias
     FROM l WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY model""")
 def source_match(spark, sf_dir: str) -> DataFrame:
     """How well the static prior and the calibrated satellite match the stations."""

@@ -58,7 +58,7 @@ def query(sql: str | None = None, date: str | None = None):
 
 
 def rounded(df, digits: int = 6, **own: int):
-    """Doubles rounded, as sums differ in the last digits between engines."""
+    """Doubles rounded, as sums differ in the last digits between engines; no negative zeros."""
     from pyspark.sql import functions as F
 
-    return df.select(*[F.round(c, own.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, own.get(c, digits)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
