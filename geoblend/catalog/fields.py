@@ -112,13 +112,8 @@ def field_loso(spark, sf_dir: str) -> DataFrame:
     """Leave-one-station-out of the field: every fold's sums are the total less the station's."""
     rows = scaled_long(spark, sf_dir)
     f = inducing(rows)
-    stations = rows.filter("source = 'station'")
-    own = field.information_sums(stations, f, key="grid_id")
-    rest = field.information_sums(rows.filter("source <> 'station'"), f).get("")
-    total = sum(list(own.values())[1:], next(iter(own.values())))
-    total = total + rest if rest else total
-    posts = {k: field.fit(total - s, f) for k, s in own.items()}
-    scored = field.predict(stations, posts, key="grid_id", noise=0.3)
+    total = field.information_sums(rows, f)[""]
+    scored = field.leave_key_out(rows.filter("source = 'station'"), total, f, "grid_id", noise=0.3)
     return rounded(metrics.evaluate(scored, "value", by=["grid_id"]).select("grid_id", "n", "rmse", "mae", "bias", "crps"), 4)
 
 

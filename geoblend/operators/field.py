@@ -193,6 +193,23 @@ def predict(rows: DataFrame, posterior: Posterior | dict[str, Posterior], key: s
     return rows.mapInPandas(run, schema)
 
 
+def leave_key_out(rows: DataFrame, total: Sums, f: Field, key: str, noise: float | None = None) -> DataFrame:
+    """Adds mean and std at rows(key, x, y, t, value, prior, slope, intercept, noise) from a field fitted without the rows
+    of the same key: a task subtracts the key's own sums from the total. Keys (stations) have few rows each."""
+    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema) + ", mean double, std double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[list(COORDS)].to_numpy(dtype=float)
+        a, s2 = pdf["slope"].to_numpy(), pdf["noise"].to_numpy() ** 2
+        r = pdf["value"].to_numpy() - pdf["intercept"].to_numpy() - a * pdf["prior"].to_numpy()
+        kx = f.cov(x, f.points)
+        own = Sums(kx.T @ (kx * (a * a / s2)[:, None]), kx.T @ (a * r / s2))
+        mean, var = fit(total - own, f).at(x)
+        return pdf.assign(mean=mean + pdf["prior"].to_numpy(dtype=float), std=np.sqrt(var + (noise or 0.0) ** 2))
+
+    return rows.groupBy(key).applyInPandas(run, schema)
+
+
 def samples(df: DataFrame, keys: list[str], n: int = 64, seed: int = 1, name: str = "samples") -> DataFrame:
     """Marginal posterior draws per row, an array of n normals from hashes (reproducible)."""
     u = lambda i, tag: (hash_unit(seed, *keys, F.concat(F.lit(tag), i.cast("string"))) + F.lit(2.0**-33))

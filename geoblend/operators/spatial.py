@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,28 +142,30 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> D
 
 def idw(grid: DataFrame, points: DataFrame, key: str, power: float = 2.0, exact: float = 1e-10, limit: int = 5_000, km: bool = False, default: float | None = None) -> DataFrame:
     """key, value: inverse-distance weights of all points(ord, latitude, longitude, value); a point at the cell gives its
-    value (the least ord). The points are broadcast as one array behind a count, so cells x points rows never exist."""
+    value (the least ord). The points, checked by count, go with the tasks; cells x points rows never exist."""
     if points.count() > limit:
         raise ValueError("too many points for idw over all; use nearest_join or a radius")
-    anchors = points.agg(F.sort_array(F.collect_list(F.struct("ord", "latitude", "longitude", "value"))).alias("_p"))
-    lat, lon = F.col("latitude"), F.col("longitude")
-
-    def distance(p: Column) -> Column:
-        if not km:
-            return F.hypot(p["latitude"] - lat, p["longitude"] - lon)
-        return F.hypot((p["longitude"] - lon) * metres_per_degree_lon(lat) / 1000.0, (p["latitude"] - lat) * METRES_PER_DEGREE / 1000.0)
-
-    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("wv"), F.lit(None).cast("double").alias("hit"))
-
-    def add(s: Column, p: Column) -> Column:
-        d = distance(p)
-        w = F.when(d < exact, 0.0).otherwise(F.pow(d, F.lit(-power)))
-        hit = F.coalesce(s["hit"], F.when(d < exact, p["value"]))
-        return F.struct((s["w"] + w).alias("w"), (s["wv"] + w * p["value"]).alias("wv"), hit.alias("hit"))
-
-    value = F.aggregate("_p", zero, add, lambda s: F.coalesce(s["hit"], F.try_divide(s["wv"], s["w"])))
-    out = grid.crossJoin(F.broadcast(anchors)).select(*grid.columns, value.alias("value"))
-    return out.withColumn("value", F.coalesce("value", F.lit(default))) if default is not None else out
+    rows = points.select("ord", "latitude", "longitude", "value").orderBy("ord", "latitude", "longitude", "value").collect()
+    pts = np.array([(r["latitude"], r["longitude"], r["value"]) for r in rows], dtype=float).reshape(-1, 3)
+    empty = np.nan if default is None else default
+
+    def run(batches):
+        for pdf in batches:
+            out = np.full(len(pdf), empty)
+            for at in range(0, len(pdf) if len(pts) else 0, 1024):
+                lat, lon = (pdf[c].to_numpy(dtype=float)[at : at + 1024, None] for c in ("latitude", "longitude"))
+                north, east = pts[None, :, 0] - lat, pts[None, :, 1] - lon
+                if km:
+                    north, east = north * METRES_PER_DEGREE / 1000.0, east * METRES_PER_DEGREE * np.cos(np.radians(lat)) / 1000.0
+                d = np.hypot(north, east)
+                near = d < exact
+                w = np.where(near, 1.0, d + near) ** -power
+                hit = near.any(axis=1)
+                out[at : at + 1024] = np.where(hit, pts[near.argmax(axis=1), 2], (w * pts[:, 2]).sum(axis=1) / w.sum(axis=1))
+            yield pdf.assign(value=pd.Series(out, index=pdf.index).astype("Float64").mask(np.isnan(out)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grid.schema) + ", value double"
+    return grid.mapInPandas(run, schema)
 
 
 def fill_missing(df: DataFrame, value: str, method: str = "mean", constant: float = 0.0, size: tuple[float, float] = (0.01, 0.01), key: str = "grid_id") -> DataFrame:

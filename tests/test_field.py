@@ -89,3 +89,13 @@ def test_samples_are_reproducible(spark):
     df = spark.createDataFrame([(1, 2.0, 0.5)], "id int, mean double, std double")
     s = [field.samples(df.repartition(n), ["id"], 400).first()["samples"] for n in (1, 3)]
     assert s[0] == s[1] and abs(np.mean(s[0]) - 2.0) < 0.1 and abs(np.std(s[0]) - 0.5) < 0.08
+
+
+def test_leave_key_out_equals_refit(spark):
+    df = rows_of(spark)
+    f = field.Field(field.regular_points(3, 2))
+    got = {(r["x"], r["y"]): (r["mean"], r["std"]) for r in field.leave_key_out(df, field.information_sums(df, f)[""], f, "day").collect()}
+    for d in range(4):
+        rest = field.fit(field.information_sums(df.filter(F.col("day") != d), f)[""], f)
+        for r in field.predict(df.filter(F.col("day") == d), rest).collect():
+            assert got[(r["x"], r["y"])] == pytest.approx((r["mean"], r["std"]), abs=1e-6)
