@@ -8,7 +8,8 @@ that are common. Only hashes and positions of shared lines travel; texts are rea
 
 The two sequences of a pair are aligned by patience diff: lines unique on both sides, longest increasing run of
 them, extension over adjacent equal lines, the same between the anchors. Blocks contiguous on both sides with at
-least `min_block_words` words are deleted from the later document.
+least `min_block_words` words are deleted from the later document. Lines without words are not aligned and do not
+part a block: lines with words are numbered among themselves, and a deleted block takes the blank lines inside it.
 
 Cases: null text counts as empty; lines without words never match; rows with a null id stay whole; rows repeated
 with the same id are read as one document, and lose the same lines; an empty table gives an empty result.
@@ -72,32 +73,35 @@ def _once(x: list[int], start: int, stop: int) -> dict[int, int]:
 
 
 def common_blocks(lines: list[dict], min_words: int) -> list[tuple[int, int]]:
-    """(first, last) line numbers of the later document's deleted blocks; lines: {h, words, earlier, later (line numbers)}."""
+    """(first, last) line numbers of the later document's deleted blocks; lines: {h, words, earlier, later ({n, pos}: number among lines with words, and among all)}."""
     words = {x["h"]: x["words"] for x in lines}
-    a = sorted((i, x["h"]) for x in lines for i in x["earlier"])
-    b = sorted((i, x["h"]) for x in lines for i in x["later"])
+    a = sorted({(i["n"], x["h"]) for x in lines for i in x["earlier"]})
+    b = sorted({(i["n"], x["h"]) for x in lines for i in x["later"]})
+    raw = {(i["n"], x["h"]): i["pos"] for x in lines for i in x["later"]}
     blocks, run = [], None
     for i, j in patience([h for _, h in a], [h for _, h in b]):
-        p, q, n = a[i][0], b[j][0], words[b[j][1]]
+        p, q, at, n = a[i][0], b[j][0], raw[b[j]], words[b[j][1]]
         if run and (p, q) == (run[0] + 1, run[1] + 1):
-            run = (p, q, run[2], run[3] + n)
+            run = (p, q, run[2], at, run[4] + n)
         else:
             blocks.append(run)
-            run = (p, q, q, n)
-    return [(first, last) for _, last, first, n in filter(None, [*blocks, run]) if n >= min_words]
+            run = (p, q, at, at, n)
+    return [(first, last) for _, _, first, last, n in filter(None, [*blocks, run]) if n >= min_words]
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, h, words of the lines with a word; docs(doc_id, t)."""
-    lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    return lines.filter(F.rlike("line", F.lit(WORD))).select("doc_id", "pos", F.xxhash64("line").alias("h"), F.size(F.split(F.trim("line"), GAP)).alias("words"))
+    """doc_id, at {n, pos: number among the lines with a word, and among all}, h, words of the lines with a word; docs(doc_id, t)."""
+    numbered = F.transform(F.split("t", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("pos")))
+    written = F.filter(numbered, lambda z: F.rlike(z["line"], F.lit(WORD)))
+    lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(written).alias("n", "z"))
+    return lines.select("doc_id", F.struct("n", "z.pos").alias("at"), F.xxhash64("z.line").alias("h"), F.size(F.split(F.trim("z.line"), GAP)).alias("words"))
 
 
 def deleted_ranges(docs: DataFrame, rare: int = 64, min_block_words: int = 20) -> DataFrame:
     """doc_id, cuts array<struct<first,last>>, partners: one row per document that loses lines; docs(doc_id, t)."""
     lines = materialize(line_rows(docs), "lines")
     # By (line, document) first: it is what later steps need, and a line repeated in a document counts once.
-    spots = materialize(lines.groupBy("h", "doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.max("words").alias("words")), "line-spots")
+    spots = materialize(lines.groupBy("h", "doc_id").agg(F.sort_array(F.collect_set("at")).alias("at"), F.max("words").alias("words")), "line-spots")
     shared = spots.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = materialize(shared, "line-shared")
     common = materialize(spots.join(broadcast_if_small(shared, shared.count(), 500_000), "h"), "line-common")

@@ -496,6 +496,16 @@ def test_line_dedup_edge_cases(spark, empty, docs):
     assert all(r["n_deleted"] == 0 for r in linededup.drop_common_blocks(same).collect())
 
 
+def test_line_dedup_over_blank_lines(spark):
+    rng = random.Random(7)
+    block, own = [prose(rng, 12) for _ in range(5)], [prose(rng, 10) for _ in range(2)]
+    texts = {1: "\n".join(block), 2: "\n\n".join(block), 3: "\n \n\n".join([own[0], *block, own[1]])}
+    got = {r["doc_id"]: r for r in linededup.drop_common_blocks(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1]["n_deleted"] == 0
+    assert (got[2]["text"], got[2]["n_deleted"]) == ("", 9)
+    assert (got[3]["text"], got[3]["n_deleted"]) == ("\n".join([own[0], " ", "", " ", "", own[1]]), 13)
+
+
 # --- licences --------------------------------------------------------------------------------------------------------
 
 
