@@ -4,7 +4,10 @@ A shared line names one pair for each document that has it: that document and th
 So a line in k documents gives k - 1 pairs, not k squared, whatever k is, and every line that an earlier document has
 is compared with an earlier document that has it. A pair is a candidate if its rarest shared line is in at most
 `rare` documents, or if the lines it shares reach `min_block_words` words anyway, which is the exact way for lines
-that are common. Only hashes and positions of shared lines travel; texts are read again at the end.
+that are common. A first holder may have a block's lines scattered, or only some of them, so runs of shared lines
+that just reach `min_block_words` name pairs too: a run ending or starting at each line, again with its first holder.
+Each line of each block that two documents share is in such a run within the block, so it meets an earlier document
+that has the run in one piece. Only hashes and positions of shared lines travel; texts are read again at the end.
 
 The two sequences of a pair are aligned by patience diff: lines unique on both sides, longest increasing run of
 them, extension over adjacent equal lines, the same between the anchors. Blocks contiguous on both sides with at
@@ -17,8 +20,11 @@ with the same id are read as one document, and lose the same lines; an empty tab
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from hashlib import blake2b
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +95,20 @@ def common_blocks(lines: list[dict], min_words: int) -> list[tuple[int, int]]:
     return [(first, last) for _, _, first, last, n in filter(None, [*blocks, run]) if n >= min_words]
 
 
+def run_hashes(lines: list[dict], min_words: int) -> set[int]:
+    """Hashes of a document's runs of adjacent shared lines that just reach min_words; lines: {h, words, at (list of {n, pos})}."""
+    found: set[int] = set()
+    rows = sorted({(i["n"], x["h"], x["words"]) for x in lines for i in x["at"]})
+    starts = [k for k, x in enumerate(rows) if not k or x[0] != rows[k - 1][0] + 1]
+    for a, b in zip(starts, [*starts[1:], len(rows)]):
+        h = np.array([x[1] for x in rows[a:b]], dtype="<i8")
+        upto = list(accumulate((x[2] for x in rows[a:b]), initial=0))
+        spans = {(i, bisect_left(upto, upto[i] + min_words)) for i in range(b - a)}
+        spans |= {(bisect_right(upto, upto[j] - min_words) - 1, j) for j in range(1, b - a + 1)}
+        found |= {int.from_bytes(blake2b(h[i:j].tobytes(), digest_size=8).digest(), "little", signed=True) for i, j in spans if i >= 0 and j <= b - a}
+    return found
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
     """doc_id, at {n, pos: number among the lines with a word, and among all}, h, words of the lines with a word; docs(doc_id, t)."""
     numbered = F.transform(F.split("t", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("pos")))
@@ -97,6 +117,22 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.struct("n", "z.pos").alias("at"), F.xxhash64("z.line").alias("h"), F.size(F.split(F.trim("z.line"), GAP)).alias("words"))
 
 
+def run_pairs(common: DataFrame, min_block_words: int) -> DataFrame:
+    """doc_id, first: each document with the first holder of each of its runs; common(h, doc_id, at, words)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [run_hashes(x.as_py(), min_block_words) for x in batch.column(1)]
+            row = [k for k, x in enumerate(found) for _ in x]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array([h for x in found for h in x], pa.int64())], names=["doc_id", "run"])
+
+    kind = common.schema["doc_id"].dataType.simpleString()
+    own = common.groupBy("doc_id").agg(F.collect_list(F.struct("h", "words", "at")).alias("lines"))
+    runs = materialize(own.mapInArrow(run, f"doc_id {kind}, run long"), "line-runs")
+    shared = materialize(runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1").select("run", "first"), "line-run-holders")
+    return runs.join(broadcast_if_small(shared, shared.count(), 500_000), "run").filter("doc_id > first").select("doc_id", "first")
+
+
 def deleted_ranges(docs: DataFrame, rare: int = 64, min_block_words: int = 20) -> DataFrame:
     """doc_id, cuts array<struct<first,last>>, partners: one row per document that loses lines; docs(doc_id, t)."""
     lines = materialize(line_rows(docs), "lines")
@@ -106,7 +142,8 @@ def deleted_ranges(docs: DataFrame, rare: int = 64, min_block_words: int = 20) -
     shared = materialize(shared, "line-shared")
     common = materialize(spots.join(broadcast_if_small(shared, shared.count(), 500_000), "h"), "line-common")
     pairs = common.filter("doc_id > first").groupBy("doc_id", "first").agg(F.min("df").alias("rarest"), F.sum(F.col("words") * F.size("at")).alias("words"))
-    pairs = materialize(pairs.filter((F.col("rarest") <= rare) | (F.col("words") >= min_block_words)).select("doc_id", "first"), "line-pairs")
+    pairs = pairs.filter((F.col("rarest") <= rare) | (F.col("words") >= min_block_words)).select("doc_id", "first")
+    pairs = materialize(pairs.union(run_pairs(common, min_block_words)).distinct(), "line-pairs")
     # All lines that the two have in common, also those that a third document held first.
     later = pairs.join(common.select("doc_id", "h", "words", F.col("at").alias("later")), "doc_id")
     both = later.join(common.select(F.col("doc_id").alias("first"), "h", F.col("at").alias("earlier")), ["first", "h"])

@@ -506,6 +506,35 @@ def test_line_dedup_over_blank_lines(spark):
     assert (got[3]["text"], got[3]["n_deleted"]) == ("\n".join([own[0], " ", "", " ", "", own[1]]), 13)
 
 
+def plain_deletions(texts, min_words=20):
+    """Line numbers that each document loses when every pair is aligned."""
+    gone = {i: set() for i in texts}
+    for i, later in texts.items():
+        for j, earlier in texts.items():
+            if j < i:
+                spots = lambda t, x: [{"n": k, "pos": k} for k, y in enumerate(t) if y == x]
+                lines = [{"h": x, "words": len(x.split()), "earlier": spots(earlier, x), "later": spots(later, x)} for x in {*later} & {*earlier}]
+                gone[i] |= {k for a, b in linededup.common_blocks(lines, min_words) for k in range(a, b + 1)}
+    return gone
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rng = random.Random(9)
+    lines = [prose(rng, rng.randint(4, 14)) + f" {k}" for k in range(12)]
+    a, b, *piece = (prose(rng, 12) for _ in range(7))
+    own = lambda: prose(rng, 9)
+    texts = {1: [a], 2: [b], 3: [a, b], 4: [a, b], 5: [a, own(), b, own()]}  # compiled from two first holders
+    texts |= {6: [piece[3], own(), piece[1], own(), piece[0], own(), piece[2]], 7: piece[:4], 8: piece[:4], 9: [own(), *piece]}  # scattered in the first
+    for i in range(10, 60):  # shared lines in one order, so that each pair has one alignment
+        texts[i] = [y for k in sorted(rng.sample(range(12), rng.randint(1, 8))) for y in ([lines[k]] if rng.random() < 0.8 else [own(), lines[k]])]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    for rare in (64, 1):
+        got = {r["doc_id"]: r for r in linededup.drop_common_blocks(df, rare=rare).collect()}
+        for i, gone in plain_deletions(texts).items():
+            assert got[i]["text"] == "\n".join(x for k, x in enumerate(texts[i]) if k not in gone), i
+        assert got[4]["n_deleted"] == 2 and got[4]["partners"] == 1 and got[8]["n_deleted"] == 4 and got[7]["n_deleted"] == got[5]["n_deleted"] == 0
+
+
 # --- licences --------------------------------------------------------------------------------------------------------
 
 
