@@ -2,8 +2,7 @@
 
 DataFrame functions only. Terms that only glue sentences (STOP) are left out of templates; a line without any other
 template term has cosine 0 to every template and is dropped before its terms are exploded, exactly. Document
-frequencies of template terms are counted over all documents; a term outside all templates weighs as one that a
-single document has. A line whose best cosine reaches `threshold` states that licence; a document has the licence
+frequencies are counted over all terms of all documents, as partial aggregates. A line whose best cosine reaches `threshold` states that licence; a document has the licence
 of its best line. A document of which lines that state a licence are at least `file_share` of all words is a
 licence file: its directory's documents, and those of directories below without a nearer licence file, inherit.
 
@@ -32,7 +31,8 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved.", "Confidential and proprietary. All rights reserved."],
 }
 STOP = "a an and any are as by for form free from in is of or out source subject terms the this to use with without work".split()
-TERM = r"[\p{L}\p{N}.+-]*[\p{L}\p{N}]"
+#: A term never starts after one of .+- ; saying so keeps long runs of these linear.
+TERM = r"(?<![.+-])[\p{L}\p{N}.+-]*[\p{L}\p{N}]"
 
 
 def terms(c: Column) -> Column:
@@ -56,15 +56,17 @@ def licence_lines(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     lines = docs.select("row_id", F.explode(likely).alias("z")).select("row_id", "z.line", F.size(F.regexp_extract_all("z.x", F.lit(WORD), F.lit(0))).alias("words"), terms(F.col("z.x")).alias("terms"))
     own = materialize(lines.select("row_id", "line", "words", F.explode("terms").alias("term")).groupBy("row_id", "line", "words", "term").agg(F.count(F.lit(1)).alias("tf")), "licence-terms")
     n = docs.count()
-    df = own.join(F.broadcast(templates.select("term").distinct()), "term").groupBy("term").agg(F.countDistinct("row_id").alias("df"))
+    # Each document's distinct terms, also those of lines that are no candidates; kept are the terms that candidates have.
+    df = docs.select(F.explode(F.array_distinct(terms(F.col("t")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = materialize(df.join(own.select("term").distinct(), "term", "left_semi"), "licence-frequencies")
     idf = lambda c: F.log((F.lit(1.0 + n)) / (1.0 + c)) + 1.0
     known = materialize(templates.join(df, "term", "left").select("licence", "template", "term", "tf", idf(F.coalesce("df", F.lit(0))).alias("idf")), "licence-weights")
     square = F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)))
     weights = known.join(known.groupBy("licence", "template").agg(square.alias("norm")), ["licence", "template"])
     weights = weights.select("licence", "template", "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w"))
-    weighed = own.join(F.broadcast(known.select("term", "idf").distinct()), "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", idf(F.lit(1))))
+    weighed = own.join(broadcast_if_small(df, df.count(), 500_000), "term").withColumn("v", F.col("tf") * idf(F.col("df")))
     # One row per line: its norm, and its terms of the templates (at most the vocabulary's size).
-    per_line = weighed.groupBy("row_id", "line", "words").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "v"))).alias("hits"))
+    per_line = weighed.groupBy("row_id", "line", "words").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.collect_list(F.when(F.col("term").isin(vocabulary), F.struct("term", "v"))).alias("hits"))
     hits = per_line.select("row_id", "line", "words", "norm", F.explode("hits").alias("h")).select("row_id", "line", "words", "norm", "h.term", "h.v")
     scored = hits.join(F.broadcast(weights), "term").groupBy("row_id", "line", "words", "norm", "licence", "template").agg((F.sum(F.col("v") * F.col("w")) / F.col("norm")).alias("score"))
     best = scored.filter(F.col("score") >= threshold).groupBy("row_id", "line", "words").agg(F.max("score").alias("score"), F.min_by("licence", F.struct(-F.round("score", 9), F.col("licence"))).alias("licence"))

@@ -569,3 +569,17 @@ def test_licence_cosine_against_plain(spark):
         norm = math.sqrt(sum((n * idf(w)) ** 2 for w, n in own.items()))
         best = max((sum(own[w] * t[w] * idf(w) ** 2 for w in own) / norm / math.sqrt(sum((n * idf(w)) ** 2 for w, n in t.items())) for _, t in templates), default=0) if norm else 0
         assert (i in got) == (best > 0) and (best == 0 or got[i][1] == pytest.approx(best))
+
+
+def test_licence_frequencies_cover_all_terms(spark):
+    import math
+
+    line = "Copyright 2020 Acme Corp. Licensed under the Apache License, Version 2.0 License"
+    lines = [line] + ["copyright 2020 acme corp"] * 60 + ["plain words only here"] * 139
+    df = spark.createDataFrame(list(enumerate(lines)), "row_id long, t string")
+    got = {r["row_id"]: (r["licence"], r["score"]) for r in licenses.licence_lines(df).collect()}
+    idf = lambda n: math.log(201 / (1 + n)) + 1
+    rare, common = idf(1), idf(61)
+    # licensed, under, apache, version, 2.0 once and license twice, against each once; copyright, 2020, acme, corp are common.
+    cosine = 7 * rare**2 / math.sqrt(9 * rare**2 + 4 * common**2) / math.sqrt(6 * rare**2)
+    assert set(got) == {0} and got[0] == ("Apache-2.0", pytest.approx(cosine)) and cosine > 0.7
