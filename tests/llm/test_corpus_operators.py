@@ -193,6 +193,17 @@ def test_tokenizers_agree():
         assert a.ids(t) == b.ids(t)
 
 
+def test_added_token_as_in_the_json():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    for t in ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n  b", "<|endoftext| >", "<|ENDOFTEXT|>", "x" * 300 + "<|endoftext|>\u3000é "]:
+        want = np.asarray(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert packing.PieceTokenizer(vocabulary()).ids(t) == want == packing.PieceTokenizer(path).ids(t), t
+
+
 def test_packing_materializes_sequences(spark, docs):
     placed = packing.pack(docs, vocabulary(), capacity=64)
     rows = packing.sequences(docs, placed, vocabulary(), capacity=64).collect()
