@@ -154,7 +154,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns of docs. Rows repeated with the same id stay."""
-    dropped = materialize(exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id").distinct(), "exact-dropped")
+    """docs without the rows that exact_groups drops; all columns of docs. Rows repeated with the same id and text stay."""
+    dropped = exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id", F.col("text_sha256").alias("dropped_sha256")).distinct()
+    dropped = materialize(dropped, "exact-dropped")
     dropped = broadcast_if_small(dropped, dropped.count(), SUSPECT_LIMIT)
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["doc_id"]), "left_anti")
+    # By id and text: an id, or the null id, may also stand at another text, which stays.
+    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["doc_id"]) & (digest == dropped["dropped_sha256"]), "left_anti")

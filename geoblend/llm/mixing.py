@@ -10,7 +10,7 @@ The cut is found without sorting a source in one task: ranks fall into buckets b
 sizes give the bucket where the cut lies, and only that bucket's documents are summed in order.
 
 Cases: null text has size 0; a null source is a source of its own, last in order; documents of size 0 take 0;
-repeated rows (same id and source) draw the same u and are taken in an order fixed by id; a null id draws as empty
+repeated rows (same id and source) draw the same u and are taken in an order fixed by id and size; a null id draws as empty
 text; a table without words has targets 0 and takes nothing; an empty table gives an empty result.
 """
 
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("cs")), "left").drop("cs")
     # Only the documents of each source's cut bucket are put in order.
     edge = rows.filter("rank is not null and bucket = cut")
-    inside = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("run", F.col("before") + F.sum("size").over(inside))
     near = (F.col("run") <= F.col("want")) | (F.col("run") - F.col("want") < F.col("want") - (F.col("run") - F.col("size")))
     extra = F.when(F.col("rank").isNull(), 0).when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), 1).otherwise(0)
@@ -87,9 +87,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
-    """docs repeated as often as mix() takes them; all columns of docs. Ids should be unique; rows with a null id go."""
-    taken = materialize(mix(docs, id_col=id_col, **parameters).filter("copies > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("times")), "mix-taken")
-    n = taken.count()
-    joined = docs.join(F.broadcast(taken) if n <= 1_000_000 else taken, docs[id_col] == taken["taken_id"])
+    """docs repeated as often as mix() takes them; all columns of docs.
+
+    Rows meet their copies by (id, source, size). Where several rows are equal in these, as with null ids, they
+    share one draw u, so mix() may cut between them: their lists of copies are dealt to them one to one.
+    """
+    text_col, source_col = parameters.get("text_col", "text"), parameters.get("source_col", "source")
+    mixed = mix(docs, id_col=id_col, **parameters).select("doc_id", "source", "size", "copies")
+    # Equal rows are counted by their number of copies; the rows of a key with one number need no order.
+    counts = mixed.groupBy("doc_id", "source", "size", "copies").agg(F.count(F.lit(1)).alias("rows"))
+    keys = counts.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("copies", "rows")), asc=False).alias("dealt"))
+    keys = materialize(keys.filter(F.col("dealt")[0]["copies"] > 0), "mix-taken").withColumnsRenamed({"doc_id": "taken_id", "source": "taken_source", "size": "taken_size"})
+    n = keys.count()
+    size = F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long")
+    met = docs[id_col].eqNullSafe(keys["taken_id"]) & docs[source_col].eqNullSafe(keys["taken_source"]) & (size == keys["taken_size"])
+    joined = docs.join(F.broadcast(keys) if n <= 1_000_000 else keys, met)
     again = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return joined.withColumn("nth", again).select([docs[c] for c in docs.columns])
+    whole = joined.filter(F.size("dealt") == 1).withColumn("times", F.col("dealt")[0]["copies"])
+    # Keys that the cut goes through, at most one a source: their rows in order.
+    nth = F.row_number().over(Window.partitionBy("taken_id", "taken_source", "taken_size").orderBy(docs[text_col]))
+    cut = joined.filter(F.size("dealt") > 1).withColumn("nth", nth)
+    cut = cut.withColumn("times", F.when(F.col("nth") <= F.col("dealt")[0]["rows"], F.col("dealt")[0]["copies"]).otherwise(F.col("dealt")[1]["copies"])).filter("times > 0")
+    return whole.select(docs["*"], again.alias("again")).drop("again").union(cut.select(docs["*"], again.alias("again")).drop("again"))

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from geoblend.llm import exact, mixing
 from geoblend.llm.common import materialize
 
 
@@ -25,3 +26,21 @@ def test_stages_and_run(spark, tmp_path):
     assert seen["simhash_near_dedup"] <= seen["exact_dedup"] and len(seen["simhash_near_dedup"]) > 100
     assert seen["packing"] == seen["source_mix"] <= seen["simhash_near_dedup"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_null_and_repeated_ids_keep_their_rows(spark):
+    rows = [(None, "copy of one", "a"), (1, "copy of one", "a"), (None, "alone and clean", "a"), (2, "other text here", "b"), (2, "copy of one", "b"), (3, "last words", None), (None, None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in exact.drop_exact_copies(df).collect()]
+    assert sorted(kept, key=str) == sorted(rows[2:], key=str)
+
+
+def test_mixed_rows_hold_what_mix_takes(spark):
+    rows = [(None if i % 3 == 0 else i // 4, " ".join(["w"] * (1 + i % 7)), [None, "a", "b"][i % 5 % 3]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    count = lambda t: {(r[0], r[1], r[2]): r[3] for r in t.collect()}
+    want = count(mixing.mix(df).filter("taken > 0").groupBy("doc_id", "source", "size").agg({"copies": "sum"}))
+    out = mixing.mixed_rows(df)
+    assert out.columns == df.columns
+    got = count(out.selectExpr("doc_id", "source", "size(split(text, ' ')) AS size").groupBy("doc_id", "source", "size").count())
+    assert got == want and any(k[0] is None for k in want)
