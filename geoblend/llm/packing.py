@@ -3,7 +3,8 @@
 The pieces' lengths form a histogram of at most `capacity` entries, whatever the corpus size. Over it the
 configuration program (minimise sequences, cover every length's count) is solved by multiplicative weights: each
 length has a weight that falls as it gets covered, and a knapsack dynamic program prices the best configurations.
-The fractional multiplicities are rounded down, and best-fit decreasing, run on counts, places what is left.
+The fractional multiplicities are rounded to whole ones, the program is solved again over what that leaves, and
+best-fit decreasing, run on counts, places the last pieces; the plan never takes more sequences than best fit alone.
 Pieces then find their place by their rank within the length, against a slot table whose size depends on the
 number of lengths and solver rounds only.
 
@@ -15,6 +16,7 @@ pieces; a null doc_id is carried; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -34,28 +36,37 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 ADDED = {"<|endoftext|>": 50256}
 
 
+#: Texts with a longer run of white space, or of anything else, go to the .json: the ranks' splitter recurses on runs.
+LONG_RUN = 10_000
+_RUN = re.compile(rf"[^\S\x1c-\x1f]{{{LONG_RUN}}}|[\S\x1c-\x1f]{{{LONG_RUN}}}")
+
+
 class PieceTokenizer:
-    """Ids of texts by a byte-level vocabulary: a tokenizers .json file, or its .tiktoken ranks (the same ids, four times as fast)."""
+    """Ids of texts by a byte-level vocabulary in a tokenizers .json file.
+
+    With its .tiktoken ranks beside it, texts without very long runs are split by those: the same ids, four times as fast.
+    """
+
+    def __init__(self, path: str, ranks: str | None = None):
+        from tokenizers import Tokenizer
 
-    def __init__(self, path: str):
-        if path.endswith(".tiktoken"):
+        tokenizer = Tokenizer.from_file(path)
+        self._whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self._one = self._whole
+        if ranks:
             import base64
 
             import tiktoken
 
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-            encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=ADDED)
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=table, special_tokens=ADDED)
             self._one = lambda text: encoding.encode(text, allowed_special="all")
-        else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            self._one = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return np.asarray(self._one(text), dtype="<u4").tobytes()
+        encode = self._whole if len(text) >= LONG_RUN and _RUN.search(text) else self._one
+        return np.asarray(encode(text), dtype="<u4").tobytes()
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -64,12 +75,12 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 64) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 64) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked, ids (binary, little-endian unsigned 32-bit) per piece."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder = PieceTokenizer(tokenizer)
+        encoder = PieceTokenizer(tokenizer, ranks)
         for batch in batches:
             for a in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(a, slice_rows)
@@ -94,65 +105,80 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_i
 # --- the configuration program -------------------------------------------------------------------------------
 
 
-def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value within each room 0..capacity, repeats allowed, and the item taken last there (-1: none)."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        n = upto[room]
-        best[room], last[room] = best[room - 1], -2
-        if n:
-            worth = best[room - lengths[:n]] + price[:n]
-            k = int(worth.argmax())
-            if worth[k] > best[room] + 1e-15:
-                best[room], last[room] = worth[k], k
-    return best, last
-
-
-def _filled(room: int, last: np.ndarray, lengths: np.ndarray) -> Counter:
+def knapsack(lengths: np.ndarray, counts: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Best value within each room 0..capacity with at most `counts` of each length; the items (length index, how many
+    at once: counts are split in powers of two); and per item and room the last item taken up to there (-1: none)."""
+    items = []
+    for i, (w, n) in enumerate(zip(lengths.tolist(), counts.tolist())):
+        n, part = min(n, capacity // w), 1
+        while n > 0:
+            part = min(part, n)
+            items.append((i, part))
+            n, part = n - part, 2 * part
+    best, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), dtype=bool)
+    for k, (i, n) in enumerate(items):
+        w = int(lengths[i]) * n
+        worth = best[: capacity + 1 - w] + price[i] * n
+        took[k, w:] = worth > best[w:] + 1e-12
+        best[w:] = np.maximum(best[w:], worth)
+    last = np.where(took, np.arange(len(items), dtype=np.int32)[:, None], np.int32(-1))
+    return best, items, np.maximum.accumulate(last, axis=0)
+
+
+def _filled(room: int, items: list[tuple[int, int]], last: np.ndarray, lengths: np.ndarray) -> Counter:
     got: Counter = Counter()
-    while room > 0:
-        if last[room] == -2:
-            room -= 1
-            continue
-        if last[room] < 0:
-            break
-        got[int(last[room])] += 1
-        room -= int(lengths[last[room]])
+    k = len(items) - 1
+    while k >= 0 and room > 0 and last[k, room] >= 0:
+        k = int(last[k, room])
+        i, n = items[k]
+        got[i] += n
+        room, k = room - int(lengths[i]) * n, k - 1
     return got
 
 
-def solve_configurations(histogram: dict[int, int], capacity: int, step: float = 0.02, sharpness: float = 12.0, tilt: float = 1.0, slack: float = 0.002, reach: float = 0.5) -> list[tuple[Counter, float]]:
+def solve_configurations(histogram: dict[int, int], capacity: int, step: float = 0.2, sharpness: float = 12.0, tilt: float = 1.0, slack: float = 0.005) -> list[tuple[Counter, float]]:
     """Fractional configuration program by multiplicative weights: [(configuration by length, multiplicity)].
 
     A length's weight is its size, raised by the share `tilt` of a factor exp(-sharpness * share of its count that
     is covered so far, relative to the least covered): sizes are the program's prices where sequences can be filled,
-    and the factor keeps cover even. Each round one knapsack table prices the best configuration through every
-    length; those within `slack` of the best are taken, each to cover at most `step` of its scarcest length. Rounds end when `reach` of every
-    count is covered: the rest, for which lengths that go together are getting rare, is left to rounding.
+    and the factor keeps cover even. Each round one bounded knapsack table prices the best configuration through
+    every length; those within `slack` of the best are taken, each to cover at most `step` of its scarcest length.
+    Rounds end when every count is covered.
     """
     lengths = np.array(sorted(histogram))
-    demand = np.array([histogram[x] for x in lengths], dtype=float)
+    demand = np.array([histogram[x] for x in lengths])
     covered, taken = np.zeros(len(lengths)), defaultdict(float)
-    for _ in range(int(40 / step)):
-        open_ = covered < reach
-        if not open_.any():
-            break
-        fall = np.exp(-sharpness * (covered - covered[open_].min()))
-        weight = np.where(open_, lengths * (1 + tilt * fall), 0.0)
-        best, last = knapsack(lengths, weight, capacity)
-        through = np.where(open_, weight + best[capacity - lengths], -1.0)
+    while (covered < 1 - 1e-9).any():
+        left = np.flatnonzero(covered < 1 - 1e-9)
+        sizes = lengths[left]
+        weight = sizes * (1 + tilt * np.exp(-sharpness * (covered[left] - covered[left].min())))
+        best, items, last = knapsack(sizes, demand[left], weight, capacity)
+        through = weight + best[capacity - sizes]
         order = np.argsort(-through, kind="stable")
         for k in order[: max(1, int((through >= (1 - slack) * through[order[0]]).sum()))]:
-            got = _filled(capacity - int(lengths[k]), last, lengths)
-            got[int(k)] += 1
-            at = np.array(list(got))
-            much = np.array([got[i] for i in at], dtype=float)
-            more = min((demand[at] / much).min() * step, ((reach - covered[at]).clip(0) * demand[at] / much).min())
+            got = _filled(capacity - int(sizes[k]), items, last, sizes)
+            got[int(k)] = min(got[int(k)] + 1, int(demand[left[k]]))
+            at, much = left[list(got)], np.array(list(got.values()), dtype=float)
+            more = min((demand[at] / much).min() * step, ((1 - covered[at]).clip(0) * demand[at] / much).min())
             if more > 0:
                 covered[at] += more * much / demand[at]
-                taken[frozenset(got.items())] += more
-    return [(Counter({int(lengths[i]): n for i, n in c}), x) for c, x in taken.items()]
+                taken[frozenset(zip(lengths[at].tolist(), much.astype(int).tolist()))] += more
+    return [(Counter(dict(c)), x) for c, x in taken.items()]
+
+
+def round_configurations(found: list[tuple[Counter, float]], left: dict[int, int], capacity: int, fill: float) -> list[tuple[Counter, int]]:
+    """Whole multiplicities within what is left, of configurations filled to the share `fill`: multiplicities rounded
+    down, then one more of those that still fit; configurations with long pieces, which are hard to place, first."""
+    size = lambda c: sum(k * n for k, n in c.items())
+    full = sorted((x for x in found if size(x[0]) >= fill * capacity), key=lambda x: (-max(x[0]), -size(x[0]), -x[1], sorted(x[0].items())))
+    rest, out = Counter(left), []
+    for extra in (0, 1):
+        for config, much in full:
+            many = min([1 if extra else int(much), *(rest[k] // n for k, n in config.items())])
+            if many > 0:
+                out.append((config, many))
+                rest.subtract({k: n * many for k, n in config.items()})
+    return out
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
@@ -180,20 +206,37 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
     return [(c, m) for b in bins.values() for c, m in b]
 
 
+def packing_parts(histogram: dict[int, int], capacity: int, rounds: int = 3, fill: float = 0.998) -> tuple[list[tuple[Counter, int]], list[tuple[Counter, int]]]:
+    """Whole configurations that hold the histogram exactly: those of the program, and those of best fit.
+
+    The program is solved and rounded, and again over what rounding left, up to `rounds` times; best fit places the
+    rest. Rounded configurations are kept up to where the whole takes fewest sequences, and as far as possible among
+    equals: in the worst case that is best fit alone, so the plan never takes more sequences than that.
+    """
+    whole = [(Counter({capacity: 1}), histogram[capacity])] if histogram.get(capacity) else []
+    short = {k: n for k, n in histogram.items() if 0 < k < capacity and n > 0}
+    taken, ends, left = [], [0], dict(short)
+    for _ in range(rounds):
+        got = round_configurations(solve_configurations(left, capacity), left, capacity, fill) if left else []
+        taken += got
+        ends += [len(taken)] if got else []
+        left = _less(short, taken)
+    ends = sorted({*ends, *(ends[1] * k // 8 for k in range(1, 8))} if len(ends) > 1 else {0})
+    plans = [(taken[:n], best_fit(_less(short, taken[:n]), capacity)) for n in ends]
+    program, rest = min(plans[::-1], key=lambda p: sum(m for part in p for _, m in part))
+    return whole + program, rest
+
+
 def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
-    """Whole configurations that hold the histogram exactly."""
-    left, plan = dict(histogram), []
-    if capacity in left:
-        plan.append((Counter({capacity: 1}), left.pop(capacity)))
-    if left:
-        for config, much in sorted(solve_configurations(left, capacity), key=lambda x: -x[1]):
-            many = min([int(much), *(left[k] // n for k, n in config.items())])
-            if many > 0:
-                plan.append((config, many))
-                for k, n in config.items():
-                    left[k] -= many * n
-        plan += best_fit({k: n for k, n in left.items() if n > 0}, capacity)
-    return plan
+    program, rest = packing_parts(histogram, capacity)
+    return program + rest
+
+
+def _less(histogram: dict[int, int], plan: list[tuple[Counter, int]]) -> dict[int, int]:
+    left = Counter(histogram)
+    for config, many in plan:
+        left.subtract({k: n * many for k, n in config.items()})
+    return {k: n for k, n in left.items() if n > 0}
 
 
 def slot_table(plan: list[tuple[Counter, int]]) -> pd.DataFrame:
@@ -239,15 +282,15 @@ def place_pieces(pieces: DataFrame, capacity: int = 1024, group_rows: int = 20_0
     return ranked.select(*names, "rank").mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless in its sequence)."""
-    pieces = materialize(tokenize_pieces(docs, tokenizer, capacity, end_id, id_col=id_col, text_col=text_col), "pack-pieces")
+    pieces = materialize(tokenize_pieces(docs, tokenizer, ranks, capacity, end_id, id_col=id_col, text_col=text_col), "pack-pieces")
     return place_pieces(pieces, capacity)
 
 
-def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """The packed sequences: sequence_id, input_ids array<int>, spans (doc_id, piece, offset, length), for a table placed from pack()."""
-    ids = tokenize_pieces(docs, tokenizer, capacity, end_id, with_ids=True).select("doc_id", "piece", "ids").dropDuplicates(["doc_id", "piece"])
+    ids = tokenize_pieces(docs, tokenizer, ranks, capacity, end_id, with_ids=True).select("doc_id", "piece", "ids").dropDuplicates(["doc_id", "piece"])
     joined = ids.join(placed, ["doc_id", "piece"]).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "ids"))).alias("parts"))
 
     def run(batches):

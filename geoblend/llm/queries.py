@@ -15,11 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
-    """Ranks of the byte-level vocabulary of byte_bpe_50k.json (same ids)."""
+def vocabulary() -> tuple[str, str]:
+    """The byte-level vocabulary: its tokenizers file, and its ranks (same ids)."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

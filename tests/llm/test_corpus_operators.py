@@ -164,7 +164,7 @@ def test_packing(docs, texts):
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
-    rows = [r.asDict() for r in packing.pack(docs, vocabulary(), capacity=64).collect()]
+    rows = [r.asDict() for r in packing.pack(docs, *vocabulary(), capacity=64).collect()]
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
     for i, own in ids.items():
         mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
@@ -188,7 +188,7 @@ def test_packing(docs, texts):
 def test_tokenizers_agree():
     import public_tokenizers
 
-    a, b = packing.PieceTokenizer(vocabulary()), packing.PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    a, b = packing.PieceTokenizer(*vocabulary()), packing.PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     for t in ["", " ", "a\x1cb \x85c  d\n\n f\t\tg 's don't  \r\n x", "日本語 テスト １２３ <|endoftext|> é́", "x" * 5000, "🙂 ok", "  two  spaces  "]:
         assert a.ids(t) == b.ids(t)
 
@@ -201,20 +201,20 @@ def test_added_token_as_in_the_json():
     plain = Tokenizer.from_file(path)
     for t in ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n  b", "<|endoftext| >", "<|ENDOFTEXT|>", "x" * 300 + "<|endoftext|>\u3000é "]:
         want = np.asarray(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        assert packing.PieceTokenizer(vocabulary()).ids(t) == want == packing.PieceTokenizer(path).ids(t), t
+        assert packing.PieceTokenizer(*vocabulary()).ids(t) == want == packing.PieceTokenizer(path).ids(t), t
 
 
 def test_packing_materializes_sequences(spark, docs):
-    placed = packing.pack(docs, vocabulary(), capacity=64)
-    rows = packing.sequences(docs, placed, vocabulary(), capacity=64).collect()
+    placed = packing.pack(docs, *vocabulary(), capacity=64)
+    rows = packing.sequences(docs, placed, *vocabulary(), capacity=64).collect()
     assert sum(len(r["input_ids"]) for r in rows) == placed.agg(F.sum("length")).first()[0]
     assert all(len(r["input_ids"]) <= 64 and sum(s["length"] for s in r["spans"]) == len(r["input_ids"]) for r in rows)
 
 
 def test_packing_edge_cases(spark, empty):
-    assert packing.pack(empty, vocabulary()).collect() == []
+    assert packing.pack(empty, *vocabulary()).collect() == []
     df = spark.createDataFrame([(None, None), (1, "same"), (1, "same")], "doc_id long, text string")
-    rows = packing.pack(df, vocabulary(), capacity=8).collect()
+    rows = packing.pack(df, *vocabulary(), capacity=8).collect()
     assert sorted(((r["doc_id"] or -1), r["length"]) for r in rows) == [(-1, 1), (1, 2), (1, 2)] and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3
 
 
