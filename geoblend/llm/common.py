@@ -47,6 +47,22 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Rows that a drop stage removes, up to which they are broadcast (some 80 bytes each); beyond, the join shuffles.
+DROP_LIMIT = 500_000
+
+
+def text_digest(text: Column) -> Column:
+    """128 bits of the text's SHA-256 (null: empty), which tell the texts of one id apart."""
+    return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """docs without the rows whose id (null equals null) and text stand in dropped(doc_id, digest); all columns of docs."""
+    gone = materialize(dropped.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), name)
+    gone = broadcast_if_small(gone, gone.count(), DROP_LIMIT)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (text_digest(docs[text_col]) == gone["gone_digest"]), "left_anti")
+
+
 def id_bucket(key: str | Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo: the folds of the labelled operators. Null counts as empty text."""
     key = F.col(key) if isinstance(key, str) else key

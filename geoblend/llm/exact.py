@@ -1,13 +1,16 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
 Stages: (1) one scan gives each row a 64-bit fingerprint and a SHA-256; (2) rows are dealt to blocks by a hash of
-the fingerprint's row, each block sorts its distinct fingerprints and sends every owner (a range of fingerprint
+id and fingerprint, each block sorts its distinct fingerprints and sends every owner (a range of fingerprint
 values) one Golomb-Rice coded gap list; (3) an owner decodes its lists and answers each with a bitmap of the
 fingerprints that another block holds too; (4) blocks turn bitmaps, and what was repeated within the block, into
 suspect fingerprints; (5) only rows with a suspect fingerprint have their text grouped byte by byte.
 
-A block sends a fingerprint once however many copies it has, so a group of copies costs an owner at most one
-entry per block; the byte check is a grouping with partial aggregation, so no task gathers a group.
+Rows of a block and fingerprint are counted before they meet, so a group of copies costs an owner at most one entry
+per block; the byte check is a grouping with partial aggregation, so no task gathers a group. Where there are many
+blocks, they come in families of FAMILY over a coarse range of fingerprints, with as many owners of their own: the
+lists then grow with the rows, not with the square of the blocks. Verdicts of groups over HOT_GROUP rows reach their
+rows by a broadcast (there are at most rows / HOT_GROUP of them), the others by a shuffle.
 
 Cases: null text counts as empty; rows with a null doc_id take part like others and are never the kept row unless
 all of the group's ids are null; repeated rows count once each in group_size and share one verdict; an empty table
@@ -23,12 +26,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, shuffle_width
+from .common import broadcast_if_small, drop_rows, materialize, shuffle_width
 
 #: Fingerprints that one block or owner holds at most, on average.
 BLOCK_ROWS = 1_000_000
+#: Blocks that exchange lists with each other.
+FAMILY = 64
 #: Distinct suspect fingerprints up to which they are broadcast (8 bytes each); beyond, the join shuffles.
 SUSPECT_LIMIT = 1_000_000
+#: Groups of copies up to which all are broadcast (some 150 bytes each); beyond, only those over HOT_GROUP rows.
+GROUP_LIMIT = 200_000
+HOT_GROUP = 1_000_000
 
 
 def golomb_encode(gaps: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -70,8 +78,10 @@ def _values(owner: int, owners: int, n: int, k: int, unary: bytes, rest: bytes)
 
 
 def _block_encoder(owners: int):
-    def encode(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        values, counts = np.unique(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), return_counts=True)
+    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(values)
+        values, counts = values[order], pdf["rows"].to_numpy(dtype=np.int64)[order]
         owner = _owner_of(values, owners).astype(np.int64)
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
         out = []
@@ -86,7 +96,7 @@ def _block_encoder(owners: int):
 
 
 def _owner_answer(owners: int):
-    def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         owner = int(key[0])
         lists = [_values(owner, owners, r.n, r.k, r.unary, r.rest) for r in pdf.itertuples()]
         values, counts = np.unique(np.concatenate(lists), return_counts=True)
@@ -113,26 +123,30 @@ def _suspects(owners: int):
 
 def suspect_fingerprints(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (column fp) held by two or more rows of fps(fp, salt)."""
-    spark = fps.sparkSession
-    width = max(shuffle_width(spark), math.ceil(fps.count() / BLOCK_ROWS))
+    width = max(shuffle_width(fps.sparkSession), math.ceil(fps.count() / BLOCK_ROWS))
+    own = min(width, FAMILY)
+    families = math.ceil(width / own)
+    owners = families * own
+    family = F.shiftright(F.shiftrightunsigned("fp", 32) * F.lit(families).cast("long"), 32)
+    block = (family * own + F.pmod("salt", F.lit(own))).cast("int")
     lists = materialize(
-        fps.select(F.pmod("salt", F.lit(width)).cast("int").alias("block"), "fp")
+        fps.select(block.alias("block"), "fp").groupBy("block", "fp").agg(F.count(F.lit(1)).alias("rows"))
         .groupBy("block")
-        .applyInPandas(_block_encoder(width), "block int, owner int, n int, k int, unary binary, rest binary, twice binary"),
+        .applyInPandas(_block_encoder(owners), "block int, owner int, n int, k int, unary binary, rest binary, twice binary"),
         "exact-lists",
     )
     bitmaps = (
         lists.select("block", "owner", "n", "k", "unary", "rest")
         .groupBy("owner")
-        .applyInPandas(_owner_answer(width), "block int, owner int, bitmap binary")
+        .applyInPandas(_owner_answer(owners), "block int, owner int, bitmap binary")
     )
-    return lists.join(bitmaps, ["block", "owner"]).mapInPandas(_suspects(width), "fp long").distinct()
+    return lists.join(bitmaps, ["block", "owner"]).mapInPandas(_suspects(owners), "fp long").distinct()
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id (largest id of the equal texts), group_size, kept, text_sha256."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = materialize(base.select("doc_id", F.xxhash64("t").alias("fp"), F.sha2("t", 256).alias("text_sha256"), F.xxhash64("doc_id").alias("salt")), "exact-rows")
+    rows = materialize(base.select("doc_id", F.xxhash64("t").alias("fp"), F.sha2("t", 256).alias("text_sha256"), F.xxhash64("doc_id", "t").alias("salt")), "exact-rows")
     suspects = materialize(suspect_fingerprints(rows.select("fp", "salt")), "exact-suspects")
     suspects = broadcast_if_small(suspects, suspects.count(), SUSPECT_LIMIT)
     verified = (
@@ -144,7 +158,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select(F.sha2("t", 256).alias("text_sha256"), "keep_id", "group_size")
     )
     verified = materialize(verified, "exact-groups")
-    return rows.join(verified, "text_sha256", "left").select(
+    n = verified.count()
+    hot = verified if n <= GROUP_LIMIT else materialize(verified.filter(F.col("group_size") > HOT_GROUP), "exact-hot")
+    met = rows.join(F.broadcast(hot), "text_sha256", "left")
+    if n > GROUP_LIMIT:
+        rest = rows.join(F.broadcast(hot), "text_sha256", "left_anti")
+        met = met.filter("group_size is not null").union(rest.join(verified, "text_sha256", "left").select(*met.columns))
+    return met.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -154,10 +174,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns of docs. Rows repeated with the same id and text stay."""
-    dropped = exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id", F.col("text_sha256").alias("dropped_sha256")).distinct()
-    dropped = materialize(dropped, "exact-dropped")
-    dropped = broadcast_if_small(dropped, dropped.count(), SUSPECT_LIMIT)
-    # By id and text: an id, or the null id, may also stand at another text, which stays.
-    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["doc_id"]) & (digest == dropped["dropped_sha256"]), "left_anti")
+    """docs without the rows that exact_groups drops; all columns of docs. Rows go by id and text: an id, or the null
+    id, may also stand at another text, which stays. Rows repeated with the same id and text stay together."""
+    dropped = exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id", F.substring("text_sha256", 1, 32).alias("digest"))
+    return drop_rows(docs, dropped, id_col, text_col, "exact-dropped")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, materialize
+from .common import drop_rows, id_bucket, materialize, text_digest
 
 #: Characters counted as symbols, and as marks of layout.
 SYMBOLS = "#*$%&<>@^~=+{}[]\\_"
@@ -51,15 +51,15 @@ def statistics(text: str | None) -> list[float]:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, x array<double>."""
+    """doc_id, digest (hash of the text), x array<double>."""
 
     def run(batches):
         for batch in batches:
-            rows = [statistics(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            rows = [statistics(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "digest", "x"])
 
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    return base.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, x array<double>")
+    base = docs.select(F.col(id_col).alias("doc_id"), text_digest(docs[text_col]).alias("digest"), F.col(text_col).alias("t"))
+    return base.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, digest string, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -106,8 +106,8 @@ def fit_discriminant(labelled: DataFrame, pooling: float = 0.3, diagonal: float
     return Discriminant(n[1] / sum(n.values()), tuple(parts))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out: tuple[int, int] = (5, 0), threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **shrinkage) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score (0 to 1), predicted. Fitted on labels outside the held-out fold."""
+def _scored(docs: DataFrame, labels: DataFrame, label_col: str, held_out: tuple[int, int], id_col: str, text_col: str, **shrinkage) -> DataFrame:
+    """doc_id, digest, score of every row."""
     modulus, fold = held_out
     table = materialize(document_statistics(docs, id_col, text_col), "quality-statistics")
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
@@ -115,16 +115,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+            x = np.array(batch.column(2).to_pylist(), dtype=float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], names=["doc_id", "digest", "score"])
+
+    return table.mapInArrow(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, digest string, score double")
+
 
-    scored = table.mapInArrow(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, score double")
+def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out: tuple[int, int] = (5, 0), threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **shrinkage) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score (0 to 1), predicted. Fitted on labels outside the held-out fold."""
+    modulus, fold = held_out
+    scored = _scored(docs, labels, label_col, held_out, id_col, text_col, **shrinkage)
     return scored.select("doc_id", (id_bucket("doc_id", modulus) == fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
-    """docs without those predicted 0; all columns of docs. Rows with a null id are kept."""
-    rejected = materialize(quality_scores(docs, labels, id_col=id_col, **parameters).filter("predicted = 0").select("doc_id").distinct(), "quality-rejected")
-    n = rejected.count()
-    rejected = F.broadcast(rejected) if n <= 1_000_000 else rejected
-    return docs.join(rejected, docs[id_col] == rejected["doc_id"], "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out: tuple[int, int] = (5, 0), threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **shrinkage) -> DataFrame:
+    """docs without those predicted 0; all columns of docs.
+
+    A score hangs on the text alone, so rows go by id and text: an id, or the null id, may also stand at a good text.
+    """
+    scored = _scored(docs, labels, label_col, held_out, id_col, text_col, **shrinkage)
+    return drop_rows(docs, scored.filter(F.col("score") < threshold), id_col, text_col, "quality-rejected")

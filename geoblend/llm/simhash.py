@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, drop_rows, materialize, text_digest
 
 BITS = 64
 #: Fingerprints of one table entry that one block of a cell holds.
@@ -51,15 +51,15 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed 64-bit) for every row."""
+    """doc_id, digest (hash of the text), fp (signed 64-bit) for every row."""
 
     def run(batches):
         for batch in batches:
-            out = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "fp"])
+            out = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["doc_id", "digest", "fp"])
 
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    return base.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    base = docs.select(F.col(id_col).alias("doc_id"), text_digest(docs[text_col]).alias("digest"), F.col(text_col).alias("t"))
+    return base.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, digest string, fp long")
 
 
 def segment_balls(radius: int, segments: int) -> list[tuple[int, int, list[int]]]:
@@ -216,23 +216,30 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (hex), component_id (least id that links reach)."""
+def _member_rows(docs: DataFrame, radius: int, shingle: int, segments: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest, fp of every row, and its component's first row: first struct<none,doc_id,digest> by id (null last), then digest."""
     rows = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash-rows")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes")
-    links = near_links(classes.select("fp"), radius, segments)
-    roots = components(links)
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    classes = materialize(rows.groupBy("fp").agg(F.min(order).alias("own_first")), "simhash-classes")
+    roots = components(near_links(classes.select("fp"), radius, segments))
+    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "own_first")
     # Classes without links name themselves; only linked ones meet their root.
     linked = named.join(roots.select("root").distinct(), "root", "left_semi")
-    ids = materialize(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-ids")
-    classes = materialize(named.join(ids, "root", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")), "simhash-named")
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    firsts = materialize(linked.groupBy("root").agg(F.min("own_first").alias("root_first")), "simhash-ids")
+    classes = materialize(named.join(firsts, "root", "left").select("fp", F.coalesce("root_first", "own_first").alias("first")), "simhash-named")
+    return rows.join(classes, "fp")
+
+
+def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (hex), component_id (least id that links reach)."""
+    rows = _member_rows(docs, radius, shingle, segments, id_col, text_col)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """docs with one row id of each component (the least); all columns of docs. Rows with a null id are kept."""
-    found = near_components(docs, id_col=id_col, text_col=text_col, **parameters)
-    dropped = materialize(found.filter("doc_id > component_id").select("doc_id").distinct(), "simhash-dropped")
-    dropped = broadcast_if_small(dropped, dropped.count(), 1_000_000)
-    return docs.join(dropped, docs[id_col] == dropped["doc_id"], "left_anti")
+def drop_near_copies(docs: DataFrame, radius: int = 4, shingle: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document (id and text) of each component, the first by id (null last), then digest; all columns of
+    docs. Rows go by id and text, so a row is never dropped for a namesake with another text; rows repeated with the
+    same id and text share a verdict."""
+    rows = _member_rows(docs, radius, shingle, segments, id_col, text_col)
+    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("digest") != F.col("first.digest"))
+    return drop_rows(docs, rows.filter(other), id_col, text_col, "simhash-dropped")
