@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece with its sequence and offset; a row repeated by the mix is packed each time."""
-    return packing.pack(docs, vocabulary())
+    return packing.pack(docs, *vocabulary())
 
 
 STAGES = [
