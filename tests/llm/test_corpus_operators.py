@@ -75,6 +75,14 @@ def test_exact_groups(spark, docs, texts):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(max(g) for g in groups.values())
 
 
+@pytest.mark.parametrize("limits", [{"FAMILY": 2}, {"GROUP_LIMIT": 0, "HOT_GROUP": 1, "FAMILY": 3}, {"GROUP_LIMIT": 0, "SUSPECT_LIMIT": 0}])
+def test_exact_groups_beyond_the_limits(spark, docs, monkeypatch, limits):
+    want = sorted(map(str, exact.exact_groups(docs).collect()))
+    for name, v in limits.items():
+        monkeypatch.setattr(exact, name, v)
+    assert sorted(map(str, exact.exact_groups(docs).collect())) == want
+
+
 def test_exact_edge_cases(spark, empty):
     assert exact.exact_groups(empty).collect() == []
     same = spark.createDataFrame([(None, "q"), (None, "q"), (7, "q"), (7, "q"), (3, "z")], "doc_id long, text string")
@@ -185,6 +193,46 @@ def test_packing(docs, texts):
     assert len(sequences) <= least + 3
 
 
+def test_very_long_runs_as_in_the_json():
+    a, b = packing.PieceTokenizer(*vocabulary()), packing.PieceTokenizer(vocabulary()[0])
+    for t in [" " * 1_000_000, "a" * 1_000_000, "b " * 300_000, "\n \t" * 300_000, "\x1c!" * 200_000, "x " + "\u3000" * 50_000, " " * 9_999 + "z"]:
+        assert a.ids(t) == b.ids(t), t[:4]
+
+
+def test_packing_of_very_long_texts(spark):
+    df = spark.createDataFrame([(1, " " * 1_000_000), (2, "a" * 1_000_000), (3, "short text"), (4, "word " * 60_000)], "doc_id long, text string")
+    rows = packing.pack(df, *vocabulary()).collect()
+    for i, t in [(1, " " * 1_000_000), (2, "a" * 1_000_000)]:
+        assert sum(r["length"] for r in rows if r["doc_id"] == i) == len(packing.PieceTokenizer(vocabulary()[0]).ids(t)) // 4 + 1
+
+
+@pytest.mark.parametrize("n,share", [(300, 0.5), (1500, 0.8), (12000, 0.8)])
+def test_program_places_most_and_beats_best_fit(n, share):
+    rng = np.random.default_rng(n)
+    histogram = Counter(np.clip(rng.lognormal(5.3, 0.9, n), 1, 1024).astype(int).tolist())
+    program, rest = packing.packing_parts(histogram, 1024)
+    placed = sum(c.total() * m for c, m in program)
+    assert placed + sum(c.total() * m for c, m in rest) == n and placed >= share * n
+    alone = packing.best_fit({k: v for k, v in histogram.items()}, 1024)
+    assert sum(m for _, m in program + rest) <= sum(m for _, m in alone)
+
+
+def test_knapsack_against_all_subsets():
+    import itertools
+
+    rng = random.Random(3)
+    for _ in range(20):
+        sizes, counts = np.array(sorted(rng.sample(range(1, 12), 3))), np.array([rng.randint(1, 4) for _ in range(3)])
+        price = np.array([rng.random() for _ in range(3)])
+        best, items, last = packing.knapsack(sizes, counts, price, 20)
+        for room in (5, 13, 20):
+            ways = [n for n in itertools.product(*(range(c + 1) for c in counts)) if np.dot(n, sizes) <= room]
+            assert best[room] == pytest.approx(max(np.dot(n, price) for n in ways))
+            got = packing._filled(room, items, last, sizes)
+            assert all(got[i] <= counts[i] for i in got) and sum(got[i] * sizes[i] for i in got) <= room
+            assert sum(got[i] * price[i] for i in got) == pytest.approx(best[room])
+
+
 def test_tokenizers_agree():
     import public_tokenizers
 
@@ -374,7 +422,7 @@ def test_rules_base_counts(spark, docs, texts):
         n = want[r["doc_id"]]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == n
         assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
-        assert r["kept"] == (not r["base_failed"] and r["log_ratio"] >= -0.2)
+        assert r["kept"] == (not r["base_failed"] and r["log_ratio"] >= -0.12)
 
 
 def test_rules_ratio_against_plain(spark):
@@ -382,25 +430,26 @@ def test_rules_ratio_against_plain(spark):
     clean = [prose(rng, 80) for _ in range(200)]
     junk = [" ".join(f"{w}%%%" for w in prose(rng, 80).split()) for _ in range(8)]
     df = spark.createDataFrame(list(enumerate(clean + junk)), "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in rules.quality_rules(df, labels_of(spark, [(i, 1, 0) for i in range(150)])).collect()}
+    n_buckets = 512
+    rows = {r["doc_id"]: r for r in rules.quality_rules(df, labels_of(spark, [(i, 1, 0) for i in range(150)]), buckets=n_buckets).collect()}
     assert all(rows[i]["kept"] for i in range(200) if not rows[i]["base_failed"]) and not any(rows[200 + i]["kept"] for i in range(8))
 
     def buckets(text):
         signed = lambda v: v - (1 << 64) if v >> 63 else v
-        ends = [xxhash.xxh64_intdigest(w[-2:].encode(), 42) for w in SPACE.findall(text)]
+        own = [xxhash.xxh64_intdigest(w.encode(), 42) for w in SPACE.findall(text)]
         # A long hashed with another's hash as seed: XXH64 of its 8 bytes.
-        return [signed(xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))) % rules.BUCKETS for a, b in zip(ends, ends[1:])]
+        pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(own, own[1:])]
+        return [signed(x) % n_buckets for x in own + pairs]
 
     raw, good = Counter(), Counter()
     for i, t in enumerate(clean + junk):
         raw.update(buckets(t))
-        if i < 150:
+        if i < 150 and zlib.crc32(str(i).encode()) % 5:  # the held-out fold's labels are not read
             good.update(buckets(t))
     n_raw, n_good = raw.total(), good.total()
-    ratio = {x: np.log((good[x] / n_good * n_good + rules.BUCKETS * raw[x] / n_raw) / (n_good + rules.BUCKETS) / (raw[x] / n_raw)) for x in raw}
+    ratio = {x: np.log((good[x] / n_good * n_good + n_buckets * raw[x] / n_raw) / (n_good + n_buckets) / (raw[x] / n_raw)) for x in raw}
     for i, t in enumerate(clean + junk):
-        b = buckets(t)
-        assert rows[i]["log_ratio"] == pytest.approx(np.mean([ratio[x] for x in b]), abs=2e-4)
+        assert rows[i]["log_ratio"] == pytest.approx(np.mean([ratio[x] for x in buckets(t)]), abs=2e-4)
 
 
 def test_rules_edge_cases(spark, docs, empty):
