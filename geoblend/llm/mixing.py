@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Targets come from one row per source. A source whose target is f times its size gives every document floor(f)
-certain whole copies; the fraction left is drawn without replacement: a document's rank is its random odds
-u / (1 - u) divided by its inclusion odds, and documents are taken in rank order up to the size still wanted,
-ending where the total comes nearest. Inclusion odds are the source's, times an optional importance of the document
-(odds multiplier), so the draw is one of fixed size with unequal probabilities.
+Targets come from one row per source. Within a source a document's expected number of copies is level * importance,
+at most `most`, with the level at which expected words make the target: importance is a small whole number (by
+default the binary digits of the document's size, so that fragments are drawn less often than whole texts), and the
+level is found exactly from one row per source and importance. Whole copies of the expectation are certain. The
+fraction left is the document's inclusion probability p: its rank is the random odds u / (1 - u) divided by the
+inclusion odds p / (1 - p), and documents are taken in rank order up to the words still wanted, ending where the
+total comes nearest. So the draw is one of fixed size with unequal probabilities.
 
 The cut is found without sorting a source in one task: ranks fall into buckets by a monotone map to [0, 1), bucket
-sizes give the bucket where the cut lies, and only that bucket's documents are summed in order.
+sizes give the bucket where the cut lies, and only that bucket's documents are summed in order. Buckets grow with
+the rows.
 
 Cases: null text has size 0; a null source is a source of its own, last in order; documents of size 0 take 0;
 repeated rows (same id and source) draw the same u and are taken in an order fixed by id and size; a null id draws as empty
@@ -47,24 +50,49 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
+def _expected_copies(groups: DataFrame, most: float) -> DataFrame:
+    """Adds copies (expected, for each document) to groups(source, importance, words, target): min(most, level * importance).
+
+    Groups reach `most` in order of importance; the level is the greatest that leaves those after within it.
+    """
+    down = Window.partitionBy("source").orderBy(F.col("importance").desc())
+    full = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * most
+    open_ = F.sum(F.col("words") * F.col("importance")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    level = F.when(open_ > 0, (F.col("target") - full) / open_)
+    rows = groups.withColumn("level", level)
+    fits = F.when(F.col("level") * F.col("importance") <= most * (1 + 1e-12), F.col("level"))
+    rows = rows.withColumn("level", F.max(fits).over(Window.partitionBy("source")))
+    return rows.withColumn("copies", F.least(F.lit(float(most)), F.coalesce(F.col("level") * F.col("importance"), F.lit(float(most))))).drop("level")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, importance: Column | None = None, seed: int = 5, buckets: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, size, source, source_size, target, copies, taken (= copies * size)."""
+    """One row per row of docs: doc_id, size, source, source_size, target, copies, taken (= copies * size).
+
+    importance: whole numbers from 1, few different ones; by default the number of binary digits of the size.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    digits = F.length(F.bin(size))
     sized = materialize(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            (F.lit(1.0) if importance is None else importance).cast("double").alias("importance"), uniform(F.col(id_col), seed).alias("u"),
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
+            F.greatest((digits if importance is None else importance).cast("long"), F.lit(1)).alias("importance"), uniform(F.col(id_col), seed).alias("u"),
         ),
         "mix-sizes",
     )
-    sources = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-sources")
-    # One row per source; a join, so that any number of sources works. Null sources meet by null-safe equality.
-    plan = sources.select(F.col("source").alias("s"), "source_size", "target").withColumn("sure", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
-    plan = plan.withColumn("want", F.col("target") - F.col("sure") * F.col("source_size"))
-    plan = plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("want") / F.col("source_size")).otherwise(0.0))
-    rows = sized.join(F.broadcast(plan) if sources.count() <= 100_000 else plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    odds = F.col("p") / (1 - F.col("p")) * F.col("importance")
-    rank = F.when((F.col("p") > 0) & (F.col("size") > 0), F.col("u") / (1 - F.col("u")) / odds)
+    buckets = max(buckets, sized.count() // 10_000)
+    groups = materialize(sized.groupBy("source", "importance").agg(F.sum("size").alias("words")), "mix-groups")
+    sources = materialize(source_targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), "mix-sources")
+    # One row per source and importance; joins, so that any number of sources works. Null sources meet by null-safe equality.
+    named = sources.withColumnRenamed("source", "s")
+    plan = groups.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    plan = _expected_copies(plan, most).withColumn("sure", F.floor("copies")).withColumn("p", F.col("copies") - F.col("sure"))
+    want = F.col("target") - F.sum(F.col("sure") * F.col("words")).over(Window.partitionBy("source"))
+    plan = plan.select(F.col("source").alias("s"), F.col("importance").alias("i"), "source_size", "target", "sure", "p", want.alias("want"))
+    plan = materialize(plan, "mix-plan")
+    met = F.col("source").eqNullSafe(F.col("s")) & (F.col("importance") == F.col("i"))
+    rows = sized.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, met).drop("s", "i")
+    rank = F.when((F.col("p") > 0) & (F.col("size") > 0), F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p"))))
     rows = rows.withColumn("rank", rank).withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * buckets))
     totals = rows.filter("rank is not null").groupBy("source", "want", "bucket").agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)

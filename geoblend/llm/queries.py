@@ -95,14 +95,23 @@ ORACLES = {
                       / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
         t AS (
             SELECT *, least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER () * w, cap)) AS target FROM l),
+        m AS (
+            SELECT source, len(bin(size)) AS i, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+        n AS (
+            SELECT m.*, t.source_size, t.target, CASE WHEN sum(words * i) OVER after > 0 THEN (t.target - coalesce(sum(words) OVER before, 0) * 2.0::DOUBLE) / sum(words * i) OVER after END AS lv
+            FROM m JOIN t ON m.source IS NOT DISTINCT FROM t.source
+            WINDOW before AS (PARTITION BY m.source ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                   after AS (PARTITION BY m.source ORDER BY i DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+        e AS (
+            SELECT *, least(2.0::DOUBLE, coalesce(max(CASE WHEN lv * i <= 2.0::DOUBLE * (1 + 1e-12::DOUBLE) THEN lv END) OVER (PARTITION BY source) * i, 2.0::DOUBLE)) AS copies FROM n),
         p AS (
-            SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS sure FROM t),
+            SELECT source, i, source_size, target, floor(copies) AS sure, copies - floor(copies) AS p, target - sum(floor(copies) * words) OVER (PARTITION BY source) AS want FROM e),
         r AS (
-            SELECT d.doc_id, d.size, p.source_size, p.target, p.sure, p.target - p.sure * p.source_size AS want, d.source,
-                   CASE WHEN p.target - p.sure * p.source_size > 0 AND d.size > 0 THEN d.u / (1 - d.u) END AS rnk
-            FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+            SELECT d.doc_id, d.size, p.source_size, p.target, p.sure, p.want, d.source,
+                   CASE WHEN p.p > 0 AND d.size > 0 THEN d.u / (1 - d.u) / (p.p / (1 - p.p)) END AS rnk
+            FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND len(bin(d.size)) = p.i),
         o AS (
-            SELECT *, sum(size) OVER (PARTITION BY source, rnk IS NULL ORDER BY rnk, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM r)
+            SELECT *, sum(size) OVER (PARTITION BY source, rnk IS NULL ORDER BY rnk, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM r)
         SELECT doc_id, size, source_size, target,
                (CASE WHEN size = 0 THEN 0
                      ELSE size * (sure + CASE WHEN rnk IS NOT NULL AND (run <= want OR run - want < want - (run - size)) THEN 1 ELSE 0 END) END)::BIGINT AS taken

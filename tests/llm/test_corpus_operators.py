@@ -314,10 +314,24 @@ def test_mix_targets_and_taken(docs, texts):
 
 def test_mix_importance_changes_the_draw(spark):
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("w w w w").alias("text"), F.when(F.col("id") < 300, "a").otherwise("b").alias("source"))
-    favoured = mixing.mix(df, weights=(1,), share=0.5, importance=F.when(F.col("doc_id") % 2 == 0, 20.0).otherwise(1.0)).filter("copies > 0")
+    favoured = mixing.mix(df, weights=(1,), share=0.5, importance=F.when(F.col("doc_id") % 2 == 0, 20).otherwise(1)).filter("copies > 0")
     assert favoured.filter("doc_id % 2 = 0").count() > 1.5 * favoured.filter("doc_id % 2 = 1").count()
 
 
+def test_mix_inclusion_follows_importance(spark):
+    """Over many seeds a document's mean number of copies is its expectation: in proportion to its importance, at most 2."""
+    rows = [(i, " ".join(["w"] * (3 if i % 2 else 200)), "a" if i < 60 else "b") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    mean = {}
+    for seed in range(6):
+        for r in mixing.mix(df, weights=(1, 2), share=0.8, seed=seed).groupBy("source", "size", "target", "source_size").agg(F.avg("copies").alias("c")).collect():
+            mean.setdefault((r["source"], r["size"], r["target"]), []).append(r["c"])
+    for (source, size, target), c in mean.items():
+        digits = {3: 2, 200: 8}
+        level = target / sum(30 * s * digits[s] for s in digits)
+        assert np.mean(c) == pytest.approx(level * digits[size], abs=0.12), (source, size)
+
+
 def test_mix_edge_cases(spark, empty):
     assert mixing.mix(empty).collect() == []
     df = spark.createDataFrame([(1, None, None), (2, "", "a"), (None, "x y", "a"), (3, "x", "a"), (3, "x", "a")], "doc_id long, text string, source string")
