@@ -394,6 +394,7 @@ NASTY = ["", "plain", CONTROL_TEXT, "\\", "<\\s>", "<s>\\</s>\\\\[INST]", "[\\/I
 def test_chat_round_trip(spark):
     rng = random.Random(1)
     rows = [(c, t, rng.choice(["user", "assistant", "system", "<s>odd"]), rng.choice(NASTY)) for c in range(40) for t in range(rng.randint(1, 7))]
+    rows += [(98, t, ["user", "assistant", "assistant"][t % 3], f"turn {t} <s>") for t in range(700)]  # over many chunks of spans
     rows += [(99, 0, None, None), (None, 1, "user", "x"), (50, 2, "assistant", "b"), (50, 2, "assistant", "a"), (50, None, "user", "first"), (50, 2, "assistant", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
     formatted = chat.format_chats(df)
