@@ -45,9 +45,11 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_path() -> Column:
-    """Directories of the documents: source, language, thousand."""
+    """Paths of the documents, at three depths: under source, under source/language, or under source/language/thousand."""
+    source, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    name, depth = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce(F.col("doc_id") % 3, F.lit(0))
     shard = F.floor(F.col("doc_id") / 1000).cast("string")
-    return F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), shard, F.col("doc_id").cast("string"))
+    return F.when(depth == 0, F.concat_ws("/", source, name)).when(depth == 1, F.concat_ws("/", source, lang, name)).otherwise(F.concat_ws("/", source, lang, shard, name))
 
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

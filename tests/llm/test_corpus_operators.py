@@ -613,14 +613,26 @@ def test_line_dedup_against_all_pairs(spark):
 # --- licences --------------------------------------------------------------------------------------------------------
 
 
+BODY = "nothing to see here but words about rivers and stones " * 5
+APACHE_HEADER = """/*
+ * Copyright 2020 Acme Corp.
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+int main() { return 0; }"""
+
+
 def test_licences_and_inheritance(spark, empty):
-    body = "nothing to see here but words about rivers and stones " * 5
     rows = [
         (1, "a/LICENSE", "Released under the MIT License.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-        (2, "a/x.txt", body), (3, "a/b/c/y.txt", body), (4, "a/b/c/z.txt", f"Licensed under the Apache License, Version 2.0.\n{body}"), (5, "d/q.txt", body),
-        (6, "a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), (7, None, None), (8, "e/f.txt", f"{body}\nAll rights reserved.\n{body}"), (8, "e/f.txt", f"{body}\nAll rights reserved.\n{body}"),
+        (2, "a/x.txt", BODY), (3, "a/b/c/y.txt", BODY), (4, "a/b/c/z.txt", f"Licensed under the Apache License, Version 2.0.\n{BODY}"), (5, "d/q.txt", BODY),
+        (6, "a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), (7, None, None), (8, "e/f.txt", f"{BODY}\nAll rights reserved.\n{BODY}"), (8, "e/f.txt", f"{BODY}\nAll rights reserved.\n{BODY}"),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, p string, text string")
+    df = spark.createDataFrame([(*r, 1, "clash", 0.5) for r in rows], "doc_id long, p string, text string, line int, term string, score double")
     got = {r["doc_id"]: r for r in licenses.licence_scan(df, F.col("p")).collect()}
     assert licenses.licence_scan(df, F.col("p")).count() == 9
     assert {i: r["licence"] for i, r in got.items()} == {1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: "Apache-2.0", 5: None, 6: "GPL-3.0", 7: None, 8: "Proprietary"}
@@ -628,22 +640,67 @@ def test_licences_and_inheritance(spark, empty):
     assert licenses.licence_scan(empty, F.col("source")).collect() == []
 
 
+def test_licence_files_and_wrapped_headers(spark):
+    """Whole licence texts with names and years filled in, set in other widths; headers wrapped in comments."""
+    import textwrap
+
+    whole = {name: t.replace("<year>", "2021").replace("<copyright holders>", "Jane Doe") for name, t in licenses.licence_texts().items()}
+    narrow = lambda t: "\n\n".join(textwrap.fill(p, 50) for p in t.split("\n\n"))
+    rows = [(i, f"{name}/LICENSE", narrow(t)) for i, (name, t) in enumerate(whole.items())]
+    rows += [(100 + i, f"{name}/src/deep/x.c", BODY) for i, name in enumerate(whole)]
+    lgpl = licenses.STATEMENTS["LGPL-2.1"][1]
+    rows += [
+        (200, "p/main.c", APACHE_HEADER), (201, "p/other.c", BODY), (202, "q/lib.py", "\n".join("# " + x for x in textwrap.wrap(lgpl, 60)) + f"\n\n{BODY}\n"),
+        (203, "r/mit.js", "\n".join("// " + x for x in whole["MIT"].split("\n")) + "\n" + "let words = 1;\n" * 40), (204, "r/plain.js", "let words = 1;\n" * 40),
+    ]
+    got = {r["doc_id"]: r for r in licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, p string, text string"), F.col("p")).collect()}
+    for i, name in enumerate(whole):
+        assert (got[i]["licence"], got[i]["licence_file"]) == (name, True) and (got[100 + i]["licence"], got[100 + i]["inherited_from"]) == (name, name)
+    assert [(got[i]["own_licence"], got[i]["licence_file"]) for i in (200, 202, 203)] == [("Apache-2.0", False), ("LGPL-2.1", False), ("MIT", False)]
+    assert got[201]["licence"] is None and got[204]["licence"] is None
+
+
+def plain_units(text):
+    """(kind, first line, terms) of a text's units."""
+    lines = text.split("\n")
+    words = [[w for w in re.findall(licenses.TERM.replace(r"\p{L}\p{N}", r"\w"), x.lower()) if w not in licenses.STOP] for x in lines]
+    out = [("line", i, t) for i, t in enumerate(words) if t]
+    runs, code = [], None
+    for i, t in enumerate(words):
+        if t and (not i or not words[i - 1]):
+            runs.append([i, i])
+        if t:
+            runs[-1][1] = i
+            code = i if code is None and not re.match(licenses.COMMENT, lines[i]) else code
+    join = lambda a, z: [w for t in words[a:z] for w in t]
+    out += [("paragraph", a, join(a, z + 1)) for a, z in runs if z > a and len(runs) > 1]
+    return out + [("header", 0, join(0, code))] * bool(code) + [("document", 0, join(0, len(words)))]
+
+
 def test_licence_cosine_against_plain(spark):
     import math
 
-    lines = ["Licensed under the Apache License, Version 2.0.", "Licensed under some Apache License or other thing", "the license of apes", "plain words only here"]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "row_id long, t string")
-    got = {r["row_id"]: (r["licence"], r["score"]) for r in licenses.licence_lines(df, threshold=0.0).collect()}
-    words = lambda s: [w for w in re.findall(licenses.TERM.replace(r"\p{L}\p{N}", r"\w"), s.lower()) if w not in licenses.STOP]
-    templates = [(n, Counter(words(t))) for n, ts in licenses.TEMPLATES.items() for t in ts]
-    vocabulary = {w for _, t in templates for w in t}
-    df_of = Counter(w for x in lines for w in set(words(x)) if w in vocabulary)
-    idf = lambda w: math.log((1 + len(lines)) / (1 + (df_of[w] if w in vocabulary else 1))) + 1
-    for i, x in enumerate(lines):
-        own = Counter(words(x))
-        norm = math.sqrt(sum((n * idf(w)) ** 2 for w, n in own.items()))
-        best = max((sum(own[w] * t[w] * idf(w) ** 2 for w in own) / norm / math.sqrt(sum((n * idf(w)) ** 2 for w, n in t.items())) for _, t in templates), default=0) if norm else 0
-        assert (i in got) == (best > 0) and (best == 0 or got[i][1] == pytest.approx(best))
+    texts = [
+        "Licensed under the Apache License, Version 2.0.", "Licensed under some Apache License or other thing", "the license of apes", "plain words only here", APACHE_HEADER, "",
+        "copyright 2020 acme corp\n\nLicensed under the\nMIT License\n\nthe end", licenses.licence_texts()["ISC"], "# a\n\n# License\nx = 1\nLicensed under the BSD License",
+    ]
+    whole = {k: v for k, v in licenses.licence_texts().items() if k in ("MIT", "ISC")}
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, t string")
+    words = lambda t: plain_units(t.replace("\n", " "))[-1][2]
+    templates = [(n, Counter(words(t)), False) for n, ts in licenses.STATEMENTS.items() for t in ts] + [(n, Counter(words(t)), True) for n, t in whole.items()]
+    df_of = Counter(w for t in texts for w in set(words(t)))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df_of[w])) + 1
+    for threshold in (0.2, 0.7):
+        got = {(r["row_id"], r["kind"], r["at"]): r["score"] for r in licenses.licence_units(df, threshold, whole).collect()}
+        want = {}
+        for i, t in enumerate(texts):
+            for kind, at, own in plain_units(t):
+                v = Counter(own)
+                norm = math.sqrt(sum((n * idf(w)) ** 2 for w, n in v.items())) or 1.0
+                best = max(sum(v[w] * x[w] * idf(w) ** 2 for w in v) / norm / math.sqrt(sum((n * idf(w)) ** 2 for w, n in x.items())) for _, x, big in templates if not big or kind in ("header", "document"))
+                if best >= threshold:
+                    want[i, kind, at] = best
+        assert got == pytest.approx(want) and len(want) > 8
 
 
 def test_licence_frequencies_cover_all_terms(spark):
@@ -652,9 +709,9 @@ def test_licence_frequencies_cover_all_terms(spark):
     line = "Copyright 2020 Acme Corp. Licensed under the Apache License, Version 2.0 License"
     lines = [line] + ["copyright 2020 acme corp"] * 60 + ["plain words only here"] * 139
     df = spark.createDataFrame(list(enumerate(lines)), "row_id long, t string")
-    got = {r["row_id"]: (r["licence"], r["score"]) for r in licenses.licence_lines(df).collect()}
+    got = [(r["row_id"], r["licence"], r["score"]) for r in licenses.licence_units(df, texts={}).filter("kind = 'line'").collect()]
     idf = lambda n: math.log(201 / (1 + n)) + 1
     rare, common = idf(1), idf(61)
     # licensed, under, apache, version, 2.0 once and license twice, against each once; copyright, 2020, acme, corp are common.
     cosine = 7 * rare**2 / math.sqrt(9 * rare**2 + 4 * common**2) / math.sqrt(6 * rare**2)
-    assert set(got) == {0} and got[0] == ("Apache-2.0", pytest.approx(cosine)) and cosine > 0.7
+    assert got == [(0, "Apache-2.0", pytest.approx(cosine))] and cosine > 0.7
