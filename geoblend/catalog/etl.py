@@ -287,22 +287,22 @@ def _upwind_sql() -> str:
     sums = ", ".join(f"coalesce(sum(CASE WHEN {off(k)} THEN t / (km * km) END), 0) AS upwind_{k}" for k in range(8))
     return f"""t AS (SELECT grid_id, avg(traffic) AS traffic FROM daily GROUP BY grid_id),
     src AS (SELECT c.grid_id, latitude, longitude, CASE WHEN coalesce(traffic, 0) = 0 THEN 1e0 ELSE traffic END AS t FROM cells c LEFT JOIN t USING (grid_id)),
-    pr AS (SELECT a.grid_id, (b.longitude - a.longitude) * 111320e0 * cos(radians(a.latitude)) / 1000e0 AS e, (b.latitude - a.latitude) * 111320e0 / 1000e0 AS nn, b.t FROM cells a, src b),
+    pr AS (SELECT a.grid_id, (b.longitude - a.longitude) * 111e0 * cos(radians(lm)) AS e, (b.latitude - a.latitude) * 111e0 AS nn, b.t FROM cells a, src b, (SELECT avg(latitude) AS lm FROM (SELECT DISTINCT latitude, longitude FROM cells))),
     pk AS (SELECT *, sqrt(e * e + nn * nn) AS km, (degrees(atan2(e, nn)) + 360e0) % 360e0 AS ang FROM pr),
-    up AS (SELECT grid_id, {sums} FROM pk WHERE km > 0 AND km <= 0.5e0 GROUP BY grid_id)"""
+    up AS (SELECT grid_id, {sums} FROM pk WHERE km > 0 AND km <= 3e0 GROUP BY grid_id)"""
 
 
 @query(roles("cells", "daily") + f", {_upwind_sql()} SELECT grid_id, " + ", ".join(f"round(upwind_{k}, 4) AS upwind_{k}" for k in range(8)) + " FROM up")
 def upwind_sums(spark, sf_dir: str) -> DataFrame:
     traffic = daily_sparse(spark, sf_dir).groupBy("grid_id").agg(F.avg("traffic").alias("traffic"))
-    return rounded(covariates.upwind_sums(R.cells(spark, sf_dir), traffic, km=0.5), 4)
+    return rounded(covariates.upwind_sums(R.cells(spark, sf_dir), traffic), 4)
 
 
 @query(roles("cells", "daily") + f", {_upwind_sql()}, {_wind_sql()} SELECT grid_id, date, " + ", ".join(f"round(coalesce(upwind_{k}, 0) * freq_{k}, 4) AS traffic_wind_{k}, round(speed_{k} * freq_{k}, 4) AS speed_freq_{k}" for k in range(8)) + " FROM wind LEFT JOIN up USING (grid_id)", date="date")
 def wind_weighted(spark, sf_dir: str) -> DataFrame:
     df = daily_sparse(spark, sf_dir)
     traffic = df.groupBy("grid_id").agg(F.avg("traffic").alias("traffic"))
-    up = covariates.upwind_sums(R.cells(spark, sf_dir), traffic, km=0.5)
+    up = covariates.upwind_sums(R.cells(spark, sf_dir), traffic)
     return rounded(covariates.wind_weighted(R.wind(df), up), 4)
 
 
@@ -329,11 +329,78 @@ def concatenated(spark, sf_dir: str) -> DataFrame:
     return rounded(daily.concat([train, val]).groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"), F.count("z").alias("n_val"), F.sum("station").alias("total")))
 
 
-@query(roles("daily") + """, d AS (SELECT DISTINCT date FROM daily WHERE station IS NOT NULL), j AS (SELECT q.grid_id, q.date, arg_min(p.date, (abs(date_diff('day', q.date, p.date)), p.date)) AS near FROM daily q, d p WHERE q.satellite IS NOT NULL AND q.date <> p.date GROUP BY ALL)
+@query(roles("daily") + """, d AS (SELECT DISTINCT date FROM daily WHERE station IS NOT NULL), j AS (SELECT q.grid_id, q.date, arg_min(p.date, (abs(date_diff('day', q.date, p.date)), p.date)) AS near FROM daily q, d p WHERE q.satellite IS NOT NULL GROUP BY ALL)
     SELECT grid_id, date, near::VARCHAR AS nearest_day FROM j""", date="date")
 def nearest_day(spark, sf_dir: str) -> DataFrame:
-    """For every satellite row the nearest other day with stations."""
+    """For every satellite row the nearest day with stations, the same day if it has some."""
     df = daily_sparse(spark, sf_dir)
     days = daily.nearest_days(df.filter("satellite is not null"), df.filter("station is not null"))
     out = df.filter("satellite is not null").join(F.broadcast(days) if days.count() <= 100_000 else days, "date")
     return out.select("grid_id", "date", F.col("nearest_day").cast("string"))
+
+
+@query(roles("cells", "daily", "priors") + """, d AS (SELECT DISTINCT date FROM daily) SELECT c.grid_id, d.date, round(lur, 6) AS mean, round(station, 6) AS station, round(satellite, 6) AS satellite
+    FROM cells c CROSS JOIN d JOIN priors p ON p.grid_id = c.grid_id LEFT JOIN daily y ON y.grid_id = c.grid_id AND y.date = d.date""", date="date")
+def attached_observations(spark, sf_dir: str) -> DataFrame:
+    """Values exported for every cell and day, with the observations of that cell and day beside them."""
+    df = daily_sparse(spark, sf_dir)
+    grid = daily.cell_frame(R.cells(spark, sf_dir).select("grid_id"), daily.date_union([df])).join(R.priors(spark, sf_dir), "grid_id")
+    return rounded(daily.attach_observations(grid.select("grid_id", "date", F.col("lur").alias("mean")), df, ["station", "satellite"]))
+
+
+@query(roles("cells", "priors") + """, p AS (SELECT c.grid_id, CASE WHEN r % 5 <> 0 THEN lur END AS lur, atmo FROM cells c JOIN priors USING (grid_id)), q AS (SELECT coalesce(atmo, lur) AS prior, CASE WHEN atmo IS NOT NULL THEN 'atmo' WHEN lur IS NOT NULL THEN 'lur' END AS src FROM p)
+    SELECT src AS prior_source, count(*) AS n, count(*) FILTER (prior IS NULL) AS n_missing, round(avg(prior), 6) AS mean FROM q GROUP BY src""")
+def prior_choice(spark, sf_dir: str) -> DataFrame:
+    """The prior's first choice or its fallback, with the cells that have neither."""
+    cells = R.cells(spark, sf_dir)
+    priors = cells.join(R.priors(spark, sf_dir), "grid_id").select("grid_id", F.when(F.col("r") % 5 != 0, F.col("lur")).alias("lur"), "atmo")
+    chosen = daily.choose_prior(cells.select("grid_id"), priors)
+    return rounded(chosen.groupBy("prior_source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prior").isNull()).alias("n_missing"), F.avg("prior").alias("mean")))
+
+
+@query(roles("cells", "priors") + " SELECT count(*) AS n, count(*) FILTER (coalesce(atmo, CASE WHEN r % 5 <> 0 THEN lur END) IS NULL) AS n_missing FROM cells JOIN priors USING (grid_id)")
+def prior_gaps(spark, sf_dir: str) -> DataFrame:
+    cells = R.cells(spark, sf_dir)
+    priors = cells.join(R.priors(spark, sf_dir), "grid_id").select("grid_id", F.when(F.col("r") % 5 != 0, F.col("lur")).alias("lur"), "atmo")
+    return daily.missing_count(daily.choose_prior(cells.select("grid_id"), priors))
+
+
+@query(roles("daily") + ", t AS (SELECT grid_id FROM daily WHERE station IS NOT NULL GROUP BY grid_id ORDER BY count(*) DESC, grid_id LIMIT 5) SELECT grid_id, date, round(station, 6) AS station FROM daily SEMI JOIN t USING (grid_id) WHERE station IS NOT NULL", date="date")
+def top_site_rows(spark, sf_dir: str) -> DataFrame:
+    """Readings of the sites with most days."""
+    df = daily_sparse(spark, sf_dir)
+    rows = df.filter("station is not null").select("grid_id", "date", "station")
+    return rounded(rows.join(report.top_sites(df, "station").select("grid_id"), "grid_id", "left_semi"))
+
+
+@query(roles("daily") + " SELECT date, count(*) AS n, round(avg(station - satellite), 4) AS difference FROM daily WHERE station IS NOT NULL AND satellite IS NOT NULL GROUP BY date", date="date")
+def colocated_days(spark, sf_dir: str) -> DataFrame:
+    """Mean difference of the sources where both are present."""
+    both = daily.colocated(daily_sparse(spark, sf_dir), "station", "satellite")
+    return rounded(both.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("station") - F.col("satellite")).alias("difference")), 4)
+
+
+@query(roles("hourly", "priors") + """, h AS (SELECT h.grid_id, ts, value, lur, atmo FROM hourly h JOIN priors USING (grid_id) WHERE kind = 'station'), s AS (SELECT min(ts) AS t0 FROM h)
+    SELECT grid_id, count(*) AS n, round(max(epoch_us(ts) - epoch_us(t0)) / 86400e6, 6) AS last_day, 0::BIGINT AS n_value, round(any_value(coalesce(atmo, lur)), 6) AS background FROM h, s GROUP BY grid_id""")
+def blanked_source(spark, sf_dir: str) -> DataFrame:
+    """Readings with their source blanked, days since the first reading, and the first background value there is."""
+    from ..functions.scalars import days_since, first_available
+
+    df = R.hourly(spark, sf_dir, "station").join(R.priors(spark, sf_dir), "grid_id")
+    start = df.agg(F.min("ts").alias("t0"))
+    out = clean.blank_source(df, "value").crossJoin(F.broadcast(start)).withColumn("day", days_since(F.col("ts"), F.col("t0")))
+    best = first_available(out.columns, ("model", "atmo", "lur"))
+    return rounded(out.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"), F.max("day").alias("last_day"), F.count("value").alias("n_value"), F.first(best).alias("background")))
+
+
+@query(roles("hourly", "cells") + """, h AS (SELECT CASE WHEN hour(ts) = 3 THEN 'NaN'::DOUBLE ELSE latitude END AS latitude, CASE WHEN hour(ts) = 4 THEN 'inf'::DOUBLE ELSE longitude END AS longitude, hour(ts) <> 5 AS timed FROM hourly JOIN cells USING (grid_id) WHERE kind = 'station')
+    SELECT count(*) AS n, count(*) FILTER (NOT isfinite(latitude) OR NOT isfinite(longitude)) AS n_no_place, count(*) FILTER (NOT timed) AS n_no_time, count(*) FILTER (NOT isfinite(latitude) OR NOT isfinite(longitude) OR NOT timed) AS n_dropped FROM h""")
+def dropped_rows(spark, sf_dir: str) -> DataFrame:
+    """How many readings go for lack of a finite place or a readable time."""
+    df = R.hourly(spark, sf_dir, "station").join(R.cells(spark, sf_dir), "grid_id")
+    hour = F.hour("ts")
+    spoilt = df.select(
+        F.when(hour == 3, F.lit("NaN")).otherwise(F.col("latitude").cast("string")).alias("latitude"), F.when(hour == 4, F.lit("inf")).otherwise(F.col("longitude").cast("string")).alias("longitude"),
+        F.when(hour == 5, F.lit("no date")).otherwise(F.col("ts").cast("string")).alias("ts"),
+    )
+    return tables.dropped_counts(spoilt)

@@ -29,18 +29,18 @@ def nearest_cell(spark, sf_dir: str) -> DataFrame:
     return rounded(out.select("station", "near_id", "distance"), 9)
 
 
-@query(roles("cells", "hourly") + f", {STATIONS}, k AS (SELECT * FROM cells WHERE c % 9 = 0), p AS (SELECT station, k.grid_id, sqrt((k.latitude - s.latitude) ** 2 + (k.longitude - s.longitude) ** 2) AS d FROM stations s, k) SELECT station, arg_min(grid_id, d) AS near_id FROM p GROUP BY station HAVING min(d) <= 0.004e0")
+@query(roles("cells", "hourly") + f", {STATIONS}, f AS (SELECT station, latitude + 0.0002e0 * (split_part(station, '_', 2)::INT % 9) AS latitude, longitude FROM stations), p AS (SELECT station, k.grid_id, sqrt((k.latitude - s.latitude) ** 2 + (k.longitude - s.longitude) ** 2) AS d FROM f s, cells k) SELECT station, arg_min(grid_id, d) AS near_id FROM p GROUP BY station HAVING min(d) <= 0.0006e0")
 def snapped_stations(spark, sf_dir: str) -> DataFrame:
-    """Stations snapped to a coarse set of cells, far ones dropped."""
-    coarse = R.cells(spark, sf_dir).filter("c % 9 = 0")
-    return spatial.snap_stations(station_points(spark, sf_dir), coarse, "station", (0.003, 0.003), 0.004).select("station", "near_id")
+    """Stations moved off their cells and snapped to all cells, those too far from any dropped."""
+    moved = station_points(spark, sf_dir).withColumn("latitude", F.col("latitude") + 0.0002 * (F.split("station", "_")[1].cast("int") % 9))
+    return spatial.snap_stations(moved, R.cells(spark, sf_dir), "station", (0.001, 0.0015), 0.0006).select("station", "near_id")
 
 
 @query(roles("cells") + """, p AS (SELECT a.grid_id, b.grid_id AS o, sqrt(((b.longitude - a.longitude) * 111320e0 * cos(radians(a.latitude)) / 1000e0) ** 2 + ((b.latitude - a.latitude) * 111320e0 / 1000e0) ** 2) AS km FROM cells a, cells b)
-    SELECT grid_id, count(*) AS n, round(sum(km), 6) AS total_km FROM p WHERE km > 0 AND km <= 0.3e0 GROUP BY grid_id""")
+    SELECT grid_id, count(*) AS n, round(sum(km), 6) AS total_km FROM p WHERE km > 0 AND km <= 3e0 GROUP BY grid_id""")
 def radius_pairs(spark, sf_dir: str) -> DataFrame:
     cells = R.cells(spark, sf_dir).select("grid_id", "latitude", "longitude")
-    pairs = spatial.radius_join(cells, cells, 0.3, 53.3)
+    pairs = spatial.radius_join(cells, cells, 3.0)
     return rounded(pairs.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"), F.sum("km").alias("total_km")))
 
 
@@ -62,25 +62,26 @@ def idw(spark, sf_dir: str) -> DataFrame:
 
 
 @query(roles("cells", "hourly") + f""", {STATIONS}, b AS (SELECT station, latitude, longitude, value - (SELECT avg(value) FROM stations) AS shift FROM stations),
-    w AS (SELECT c.grid_id, b.shift, ((b.longitude - c.longitude) * 111320e0 * cos(radians(c.latitude)) / 1000e0) ** 2 + ((b.latitude - c.latitude) * 111320e0 / 1000e0) ** 2 AS d2 FROM cells c, b) SELECT grid_id, round(sum(shift / d2) / sum(1 / d2), 6) AS shift FROM w GROUP BY grid_id""")
+    w AS (SELECT c.grid_id, b.shift, ((b.longitude - c.longitude) * 111e0 * cos(radians(lm))) ** 2 + ((b.latitude - c.latitude) * 111e0) ** 2 AS d2 FROM cells c, b, (SELECT avg(latitude) AS lm FROM b)) SELECT grid_id, round(sum(shift / d2) / sum(1 / d2), 6) AS shift FROM w GROUP BY grid_id""")
 def idw_bias(spark, sf_dir: str) -> DataFrame:
     """Bias shifts of station anchors spread over the cells by distance in km; without anchors 0."""
     points = station_points(spark, sf_dir)
     points = points.crossJoin(F.broadcast(points.agg(F.avg("value").alias("m")))).select(F.col("station").alias("ord"), "latitude", "longitude", (F.col("value") - F.col("m")).alias("value"))
-    return rounded(spatial.idw(R.cells(spark, sf_dir), points, "grid_id", exact=1e-6, km=True, default=0.0).select("grid_id", F.col("value").alias("shift")))
+    return rounded(spatial.idw(R.cells(spark, sf_dir), points, "grid_id", exact=1e-6, km=111.0, default=0.0).select("grid_id", F.col("value").alias("shift")))
 
 
 @query(roles("cells", "priors") + """, k AS (SELECT grid_id, latitude, longitude, atmo FROM cells JOIN priors USING (grid_id)), m AS (SELECT avg(atmo) AS m FROM k),
     p AS (SELECT a.grid_id, b.atmo AS v, sqrt((a.latitude - b.latitude) ** 2 + (a.longitude - b.longitude) ** 2) AS d, b.grid_id AS o FROM k a, k b WHERE a.atmo IS NULL AND b.atmo IS NOT NULL AND abs(a.latitude - b.latitude) < 0.01 AND abs(a.longitude - b.longitude) < 0.01),
-    q AS (SELECT grid_id, round(min(d), 9) AS d FROM p GROUP BY grid_id)
-    SELECT k.grid_id, round(coalesce(atmo, m), 6) AS by_mean, round(coalesce(atmo, -1), 6) AS by_constant, q.d AS gap FROM k LEFT JOIN q USING (grid_id), m""")
+    q AS (SELECT grid_id, round(min(d), 9) AS d, arg_min(v, (d, o)) AS v FROM p GROUP BY grid_id)
+    SELECT k.grid_id, round(coalesce(atmo, m), 6) AS by_mean, round(coalesce(atmo, -1), 6) AS by_constant, round(coalesce(atmo, q.v), 6) AS by_nearest, q.d AS gap FROM k LEFT JOIN q USING (grid_id), m""")
 def filled_prior(spark, sf_dir: str) -> DataFrame:
-    """Gaps of the second prior filled by mean and by constant, and the distance of the nearest known cell."""
+    """Gaps of the second prior filled by mean, by constant and by the nearest known cell, and the distance of that."""
     df = R.cells(spark, sf_dir).join(R.priors(spark, sf_dir), "grid_id").select("grid_id", "latitude", "longitude", "atmo")
     mean = spatial.fill_missing(df, "atmo", "mean").select("grid_id", F.col("atmo").alias("by_mean"))
     const = spatial.fill_missing(df, "atmo", "constant", -1.0).select("grid_id", F.col("atmo").alias("by_constant"))
+    filled = spatial.fill_missing(df, "atmo", "nearest", size=(0.002, 0.002)).select("grid_id", F.col("atmo").alias("by_nearest"))
     near = spatial.nearest_join(df.filter("atmo is null").drop("atmo"), df.filter("atmo is not null"), "grid_id", (0.002, 0.002), [], id_col="grid_id").select("grid_id", F.round("distance", 9).alias("gap"))
-    return rounded(mean.join(const, "grid_id").join(near, "grid_id", "left"), gap=9)
+    return rounded(mean.join(const, "grid_id").join(filled, "grid_id").join(near, "grid_id", "left"), gap=9)
 
 
 @query(roles("raster") + """, q AS (SELECT row + 0.25e0 AS y, col + 0.5e0 AS x, (row * 50 + col)::BIGINT AS k FROM raster), a AS (SELECT k, x, y, floor(x)::INT + dx AS col, floor(y)::INT + dy AS row, (1 - abs(x - floor(x) - dx)) * (1 - abs(y - floor(y) - dy)) AS w FROM q, (VALUES (0), (1)) u(dx), (VALUES (0), (1)) v(dy))
@@ -118,6 +119,47 @@ def smoothed(spark, sf_dir: str) -> DataFrame:
     return rounded(spatial.gaussian_smooth(R.raster(spark, sf_dir)))
 
 
+def _daily_smooth_sql() -> str:
+    import math
+
+    w = {d: math.exp(-0.5 * (d / 0.6) ** 2) for d in range(-2, 3)}
+    offs = ", ".join(f"({a}, {b}, {w[a] * w[b]:.17e})" for a in w for b in w)
+    ref = lambda v, top: f"CASE WHEN {v} < 0 THEN -({v}) - 1 WHEN {v} > {top} THEN 2 * {top} + 1 - ({v}) ELSE {v} END"
+    return f""", o(dr, dc, w) AS (VALUES {offs}), e AS (SELECT max(row) AS mr, max(col) AS mc FROM raster),
+    d AS (SELECT day, row, col, (row + col + day) % 7 <> 0 AS inside, CASE WHEN (row + col + day) % 7 <> 0 AND (row * 3 + col + day) % 5 <> 0 THEN value * (1 + day) END AS value FROM raster, range(3) t(day)),
+    m AS (SELECT day, median(value) AS m FROM d GROUP BY day), f AS (SELECT day, row, col, coalesce(value, m) AS value FROM d JOIN m USING (day)),
+    a AS (SELECT day, row AS r0, col AS c0, inside, {ref('row + dr', 'mr')} AS row, {ref('col + dc', 'mc')} AS col, w FROM d, o, e)
+    SELECT day::INT AS day, r0 AS row, c0 AS col, round(CASE WHEN any_value(inside) THEN sum(w * value) / sum(w) END, 6) AS value FROM a JOIN f USING (day, row, col) GROUP BY day, r0, c0"""
+
+
+@query(roles("raster") + _daily_smooth_sql())
+def smoothed_days(spark, sf_dir: str) -> DataFrame:
+    """Smoothing by day with gaps, within a support mask."""
+    days = R.raster(spark, sf_dir).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    place = lambda k: F.col("row") * k + F.col("col") + F.col("day")
+    days = days.withColumn("inside", place(1) % 7 != 0).withColumn("value", F.when((place(1) % 7 != 0) & (place(3) % 5 != 0), F.col("value") * (1 + F.col("day"))))
+    return rounded(spatial.gaussian_smooth(days, ["day"], support="inside").select("day", "row", "col", "value"))
+
+
+@query(roles("raster") + """, q AS (SELECT row * 50 + col AS k, row + 0.3e0 AS y, col + 0.6e0 AS x FROM raster)
+    SELECT k::BIGINT AS k, round(coalesce(value, -1e0), 6) AS value FROM q LEFT JOIN raster ON raster.row = round(y)::INT AND raster.col = round(x)::INT""")
+def nearest_pixels(spark, sf_dir: str) -> DataFrame:
+    """The pixel nearest to shifted positions, a default outside the raster."""
+    r = R.raster(spark, sf_dir)
+    points = r.select((F.col("row") * 50 + F.col("col")).cast("long").alias("k"), (F.col("row") + 0.3).alias("y"), (F.col("col") + 0.6).alias("x"))
+    return rounded(spatial.nearest_sample(points, r, "k", F.col("x"), F.col("y"), -1.0).select("k", "value"))
+
+
+@query(roles("cells", "hourly") + f""", {STATIONS}, m AS (SELECT station, latitude + 0.05e0 * (split_part(station, '_', 2)::INT % 3) AS latitude, longitude FROM stations),
+    p AS (SELECT station, c.grid_id, c.r, sqrt((c.latitude - m.latitude) ** 2 + (c.longitude - m.longitude) ** 2) AS d FROM m, cells c)
+    SELECT station, round(CASE WHEN min(d) <= 0.02e0 THEN arg_min(r, (d, grid_id)) ELSE -1 END::DOUBLE, 6) AS value FROM p GROUP BY station""")
+def nearest_or_default(spark, sf_dir: str) -> DataFrame:
+    """A value of the nearest cell, or a default for places far from every cell."""
+    moved = station_points(spark, sf_dir).select("station", (F.col("latitude") + 0.05 * (F.split("station", "_")[1].cast("int") % 3)).alias("latitude"), "longitude")
+    cells = R.cells(spark, sf_dir).withColumn("value", F.col("r").cast("double"))
+    return rounded(spatial.nearest_join(moved, cells, "station", (0.001, 0.0015), ["value"], most=0.02, default=-1.0).select("station", "value"))
+
+
 @query(roles("cells") + """, q AS (SELECT DISTINCT r // 4 AS a, c // 15 AS b FROM cells), poly AS (SELECT a || '-' || b AS polygon_id, -6.45e0 + 0.0015e0 * (b * 15 - 0.5e0) AS x0, 53.25e0 + 0.001e0 * (a * 4 - 0.5e0) AS y0 FROM q)
     SELECT grid_id, polygon_id FROM cells LEFT JOIN poly ON longitude > x0 AND longitude < x0 + 0.0225e0 AND latitude > y0 AND latitude < y0 + 0.004e0""")
 def polygon_of_cell(spark, sf_dir: str) -> DataFrame:
@@ -130,15 +172,18 @@ def polygon_of_cell(spark, sf_dir: str) -> DataFrame:
     return spatial.points_in_polygons(cells.withColumn("point_id", F.col("grid_id")), polygons, 0.01).select("grid_id", "polygon_id")
 
 
-@query(roles("cells") + " SELECT grid_id, round(longitude + 0.0007e0, 9) AS longitude, round(latitude + 0.0005e0, 9) AS latitude FROM cells")
+@query(roles("cells") + """, k AS (SELECT *, 0.0004e0 * (1 + r % 3) AS a, 0.0003e0 * (1 + c % 2) AS b FROM cells)
+    SELECT grid_id, round(CASE c % 4 WHEN 0 THEN longitude + a / 3 WHEN 1 THEN longitude + a / 2 WHEN 2 THEN longitude + a ELSE longitude + 5 * a / 6 END, 8) AS longitude,
+           round(CASE c % 4 WHEN 0 THEN latitude + b / 3 WHEN 1 THEN latitude + b / 2 WHEN 2 THEN latitude ELSE latitude + 5 * b / 6 END, 8) AS latitude FROM k""")
 def centroids(spark, sf_dir: str) -> DataFrame:
-    """Centroids of the cells' outlines."""
-    x, y = F.col("longitude"), F.col("latitude")
-    ring = F.array(F.array(x, y), F.array(x + 0.0014, y), F.array(x + 0.0014, y + 0.001), F.array(x, y + 0.001))
-    outlines = R.cells(spark, sf_dir).select("grid_id", "longitude", "latitude", (x * 0).alias("_z"))
-    local = outlines.withColumn("ring", F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(0.0014), F.lit(0.0)), F.array(F.lit(0.0014), F.lit(0.001)), F.array(F.lit(0.0), F.lit(0.001))))
-    found = tables.with_centroid(local.select("grid_id", "ring")).select("grid_id", F.col("longitude").alias("dx"), F.col("latitude").alias("dy"))
-    return rounded(outlines.join(found, "grid_id").select("grid_id", (F.col("longitude") + F.col("dx")).alias("longitude"), (F.col("latitude") + F.col("dy")).alias("latitude")), 9)
+    """Centroids of cell outlines of several shapes and sizes: triangles, boxes, flat lines (vertices' mean), angles."""
+    x, y, c = F.col("longitude"), F.col("latitude"), F.col("c") % 4
+    a, b = 0.0004 * (1 + F.col("r") % 3), 0.0003 * (1 + F.col("c") % 2)
+    p = lambda i, j: F.array(x + i * a, y + j * b)
+    ring = F.when(c == 0, F.array(p(0, 0), p(1, 0), p(0, 1))).when(c == 1, F.array(p(0, 0), p(1, 0), p(1, 1), p(0, 1)))
+    ring = ring.when(c == 2, F.array(p(0, 0), p(1, 0), p(2, 0))).otherwise(F.array(p(0, 0), p(2, 0), p(2, 1), p(1, 1), p(1, 2), p(0, 2)))
+    outlines = R.cells(spark, sf_dir).select("grid_id", ring.alias("ring"))
+    return rounded(tables.with_centroid(outlines).select("grid_id", "longitude", "latitude"), 8)
 
 
 @query(roles("cells") + ", a AS (SELECT DISTINCT latitude FROM cells), b AS (SELECT DISTINCT longitude FROM cells) SELECT round(latitude, 9) AS latitude, round(longitude, 9) AS longitude, 0.001e0 AS d_latitude, 0.0015e0 AS d_longitude FROM a, b")

@@ -6,30 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.numerics import norm_cdf_sql, z_of
 from ..operators import calibrate, metrics, report
 from ..sources import roles as R
 from ..sources.tables import Source
 from .registry import query, roles, rounded
 
-Z = {x: z_of(x) for x in metrics.LEVELS}
+# The SQL is written out by itself: quantiles as numbers, the normal distribution by its series instead of rational approximations.
+Z = {0.5: 0.6744897501960817, 0.8: 1.2815515655446004, 0.9: 1.6448536269514722, 0.95: 1.959963984540054}
 POINT = """count(*) AS n, round(sqrt(avg((p - y) ** 2)), 6) AS rmse, round(avg((p - y) ** 2), 6) AS mse, round(avg(abs(p - y)), 6) AS mae, round(avg(p - y), 6) AS bias,
     round(100e0 * avg(CASE WHEN y <> 0 THEN abs((p - y) / y) END), 6) AS mape, round(CASE WHEN var_pop(y) > 0 THEN 1 - sum((p - y) ** 2) / (var_pop(y) * count(*)) WHEN sum((p - y) ** 2) = 0 THEN 1 ELSE 0 END, 6) AS r2, round(corr(y, p), 6) AS corr"""
-_E = metrics.score_expressions("y", "p", "std")
+
+
+def _series(k: int = 120) -> str:
+    """0.5 + density * z * (1 + z^2/3 (1 + z^2/5 (1 + ...))) of a column z, up to the k-th factor."""
+    text = "1e0"
+    for i in range(k, 0, -1):
+        text = f"(1e0 + z * z / {2 * i + 1}e0 * {text})"
+    return f"(0.5e0 + exp(-0.5e0 * z * z) / sqrt(2e0 * pi()) * z * {text})"
+
+
+PIT = f"z AS (SELECT *, mean AS p, (y - mean) / std AS z FROM predictions), pit AS (SELECT *, {_series()} AS f FROM z)"
+CRPS = "std * (z * (2e0 * f - 1e0) + 2e0 * exp(-0.5e0 * z * z) / sqrt(2e0 * pi()) - 1e0 / sqrt(pi()))"
 _COVER = {x: f"avg((abs(y - p) <= {z!r}e0 * std)::INT)" for x, z in Z.items()}
 PROB = ", ".join([
-    *[f"round(avg({_E[n]}), 6) AS {n}" for n in ("nll", "crps", "dss")], f"round(avg({metrics.interval_score_sql('y', 'p', 'std')}), 6) AS interval_score", "round(avg(std), 6) AS sharpness",
+    "round(avg(0.5e0 * ln(2e0 * pi()) + ln(std) + 0.5e0 * z * z), 6) AS nll", f"round(avg({CRPS}), 6) AS crps", "round(avg(z * z + 2e0 * ln(std)), 6) AS dss",
+    "round(avg(2e0 * 1.6448536269514722e0 * std + CASE WHEN y < p - 1.6448536269514722e0 * std THEN 20e0 * (p - 1.6448536269514722e0 * std - y) WHEN y > p + 1.6448536269514722e0 * std THEN 20e0 * (y - p - 1.6448536269514722e0 * std) ELSE 0e0 END), 6) AS interval_score",
+    "round(avg(std), 6) AS sharpness",
     *[f"round({c}, 6) AS coverage_{x * 100:g}" for x, c in _COVER.items()], "round((" + " + ".join(f"abs({c} - {x}e0)" for x, c in _COVER.items()) + f") / {len(_COVER)}e0, 6) AS calibration_error",
 ])
 MODEL_ROWS = "m AS (SELECT station, source, day, y, std, mean AS p, 'fused' AS model FROM predictions UNION ALL SELECT station, source, day, y, std, baseline, 'baseline' FROM predictions)"
 
 
-@query(roles("predictions") + f", r AS (SELECT *, mean AS p FROM predictions) SELECT source, {POINT}, {PROB} FROM r GROUP BY source")
+@query(roles("predictions") + f", {PIT} SELECT source, {POINT}, {PROB} FROM pit GROUP BY source")
 def metrics_by_source(spark, sf_dir: str) -> DataFrame:
     return rounded(metrics.evaluate(R.predictions(spark, sf_dir), by=["source"]))
 
 
-@query(roles("predictions") + f", r AS (SELECT *, mean AS p FROM predictions) SELECT {POINT}, {PROB} FROM r")
+@query(roles("predictions") + f", {PIT} SELECT {POINT}, {PROB} FROM pit")
 def metrics_overall(spark, sf_dir: str) -> DataFrame:
     return rounded(metrics.evaluate(R.predictions(spark, sf_dir)))
 
@@ -40,8 +53,9 @@ def model_comparison(spark, sf_dir: str) -> DataFrame:
     return rounded(metrics.compare_models(df, ["fused", "baseline"]))
 
 
-@query(roles("predictions") + f""", r AS (SELECT 'station_base' AS "case", y, baseline AS p, NULL::DOUBLE AS std FROM predictions UNION ALL SELECT 'station_fused', y, mean, std FROM predictions UNION ALL SELECT 'base_fused', baseline, mean, std FROM predictions)
-    SELECT "case", {POINT}, round(avg({_E["crps"]}), 6) AS crps, round({_COVER[0.9]}, 6) AS coverage_90 FROM r GROUP BY "case" """)
+@query(roles("predictions") + f""", r AS (SELECT 'station_base' AS "case", y, baseline AS p, NULL::DOUBLE AS std FROM predictions UNION ALL SELECT 'station_fused', y, mean, std FROM predictions UNION ALL SELECT 'base_fused', baseline, mean, std FROM predictions),
+    z AS (SELECT *, (y - p) / std AS z FROM r), f AS (SELECT *, {_series()} AS f FROM z)
+    SELECT "case", {POINT}, round(avg({CRPS}), 6) AS crps, round({_COVER[0.9]}, 6) AS coverage_90 FROM f GROUP BY "case" """)
 def three_cases(spark, sf_dir: str) -> DataFrame:
     cases = {"station_base": ("y", "baseline", None), "station_fused": ("y", "mean", "std"), "base_fused": ("baseline", "mean", "std")}
     out = metrics.compare_cases(R.predictions(spark, sf_dir), cases)
@@ -63,13 +77,13 @@ def against_mean(spark, sf_dir: str) -> DataFrame:
     return rounded(metrics.against_mean(R.predictions(spark, sf_dir)))
 
 
-@query(roles("predictions") + f""", p AS (SELECT {norm_cdf_sql('((y-mean)/std)')} AS f FROM predictions), r AS (SELECT f, row_number() OVER (ORDER BY f) AS i, count(*) OVER () AS n FROM p)
+@query(roles("predictions") + f""", {PIT}, r AS (SELECT f, row_number() OVER (ORDER BY f) AS i, count(*) OVER () AS n FROM pit)
     SELECT round(max(greatest(i / n::DOUBLE - f, f - (i - 1) / n::DOUBLE)), 6) AS ks FROM r""")
 def pit_deviation(spark, sf_dir: str) -> DataFrame:
     return rounded(metrics.ks_uniform(metrics.scored(R.predictions(spark, sf_dir))))
 
 
-@query(roles("predictions") + f""", p AS (SELECT {norm_cdf_sql('((y-mean)/std)')} AS f FROM predictions), c AS (SELECT least(floor(f * 10)::INT, 9) AS bin, count(*) AS n FROM p GROUP BY 1),
+@query(roles("predictions") + f""", {PIT}, c AS (SELECT least(floor(f * 10)::INT, 9) AS bin, count(*) AS n FROM pit GROUP BY 1),
     g AS (SELECT i::INT AS bin, coalesce(n, 0) AS n FROM range(10) t(i) LEFT JOIN c ON c.bin = i), s AS (SELECT *, sum(n) OVER () AS tot FROM g)
     SELECT bin, n, round(n / tot::DOUBLE, 6) AS share, round(0.1e0 - 1.96e0 * sqrt(0.09e0 / tot), 6) AS band_low, round(0.1e0 + 1.96e0 * sqrt(0.09e0 / tot), 6) AS band_high FROM s""")
 def pit_histogram(spark, sf_dir: str) -> DataFrame:
@@ -83,10 +97,13 @@ def error_histogram(spark, sf_dir: str) -> DataFrame:
     return metrics.histogram(df, "z", 16, -4.0, 4.0).select("bin", "n")
 
 
-_LEVELS = [*(round(0.1 * i, 1) for i in range(1, 10)), 0.95]
+_QUANTILES = {
+    0.1: 0.12566134685507402, 0.2: 0.2533471031357997, 0.3: 0.3853204664075676, 0.4: 0.5244005127080407, 0.5: 0.6744897501960817,
+    0.6: 0.8416212335729143, 0.7: 1.0364333894937898, 0.8: 1.2815515655446004, 0.9: 1.6448536269514722, 0.95: 1.959963984540054,
+}
 
 
-@query(roles("predictions") + " " + " UNION ALL ".join(f"SELECT {x}e0 AS level, round(avg((abs(y - mean) <= {z_of(x)!r}e0 * std)::INT), 6) AS observed, count(*) AS n, round(sqrt({x}e0 * (1 - {x}e0) / count(*)), 6) AS se FROM predictions" for x in _LEVELS))
+@query(roles("predictions") + " " + " UNION ALL ".join(f"SELECT {x}e0 AS level, round(avg((abs(y - mean) <= {z!r}e0 * std)::INT), 6) AS observed, count(*) AS n, round(sqrt({x}e0 * (1 - {x}e0) / count(*)), 6) AS se FROM predictions" for x, z in _QUANTILES.items()))
 def reliability(spark, sf_dir: str) -> DataFrame:
     return rounded(metrics.reliability(R.predictions(spark, sf_dir)))
 
@@ -184,8 +201,8 @@ def sweep_knee(spark, sf_dir: str) -> DataFrame:
 
 
 @query(roles("predictions") + """, x AS (SELECT id, mean, std, CASE WHEN abs(mean) > 1e-9 THEN least(greatest(std / abs(mean), 0e0), 2e0) END AS cv, greatest(mean - 15e0, 0e0) AS clipped, """
-       + "CASE " + " ".join(f"WHEN y <= {b} THEN {i}" for i, b in enumerate(scalars.NO2_BOUNDS)) + f" ELSE {len(scalars.NO2_BOUNDS)} END AS cls FROM predictions)"
-       + f" SELECT id, round(mean - {z_of(0.95)!r}e0 * std, 6) AS lower_95, round(mean + {z_of(0.95)!r}e0 * std, 6) AS upper_95, round(mean - {z_of(0.5)!r}e0 * std, 6) AS lower_50, round(mean + {z_of(0.5)!r}e0 * std, 6) AS upper_50, round(cv, 6) AS cv, round(clipped, 6) AS clipped, cls AS no2_class FROM x")
+       "CASE WHEN y < 0 THEN -1 WHEN y < 5 THEN 0 WHEN y < 8 THEN 1 WHEN y < 10 THEN 2 WHEN y < 12 THEN 3 WHEN y < 15 THEN 4 WHEN y < 18 THEN 5 WHEN y < 22 THEN 6 WHEN y < 28 THEN 7 WHEN y < 40 THEN 8 ELSE 9 END AS cls FROM predictions)"
+       + f" SELECT id, round(mean - {Z[0.95]!r}e0 * std, 6) AS lower_95, round(mean + {Z[0.95]!r}e0 * std, 6) AS upper_95, round(mean - {Z[0.5]!r}e0 * std, 6) AS lower_50, round(mean + {Z[0.5]!r}e0 * std, 6) AS upper_50, round(cv, 6) AS cv, round(clipped, 6) AS clipped, cls AS no2_class FROM x")
 def intervals(spark, sf_dir: str) -> DataFrame:
     """Confidence bounds, coefficient of variation, clipped map value and fixed class of every prediction."""
     m, s = F.col("mean"), F.col("std")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import splits
 from ..sources import roles as R
 from .etl import daily_sparse
-from .registry import hash_sql, query, roles
+from .registry import hash_sql, query, roles, rounded
 
 ROWS = "st AS (SELECT grid_id, date, station FROM daily WHERE station IS NOT NULL)"
 
@@ -58,7 +58,7 @@ def temporal_split(spark, sf_dir: str) -> DataFrame:
     return splits.temporal_split(R.predictions(spark, sf_dir).select("id", "day"), ts="day").select("id", "split")
 
 
-@query(roles("predictions") + f" SELECT id, floor({_H} * 5)::INT AS fold FROM predictions")
+@query(roles("predictions") + f", h AS (SELECT id, row_number() OVER (ORDER BY {_H}, id) - 1 AS p, count(*) OVER () AS n FROM predictions) SELECT id, CASE WHEN p < (n % 5) * (n // 5 + 1) THEN p // (n // 5 + 1) ELSE n % 5 + (p - (n % 5) * (n // 5 + 1)) // (n // 5) END::INT AS fold FROM h")
 def random_folds(spark, sf_dir: str) -> DataFrame:
     return splits.random_folds(R.predictions(spark, sf_dir).select("id"), ["id"])
 
@@ -88,9 +88,7 @@ def station_date_folds(spark, sf_dir: str) -> DataFrame:
 
 @query(roles("daily") + f""", {ROWS}, f AS (SELECT DISTINCT grid_id AS fold FROM st) SELECT fold, count(*) AS n, count(*) FILTER (grid_id = fold) AS n_test, round(avg(CASE WHEN grid_id <> fold THEN station END), 6) AS train_mean FROM st, f GROUP BY fold""")
 def leave_one_station_out(spark, sf_dir: str) -> DataFrame:
-    out = splits.leave_one_station_out(station_rows(spark, sf_dir), "station").groupBy("fold")
-    test = F.col("role") == "test"
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(test).alias("n_test"), F.round(F.avg(F.when(~test, F.col("station"))), 6).alias("train_mean"))
+    return rounded(splits.left_out_means(station_rows(spark, sf_dir), "station"))
 
 
 @query(date="date")

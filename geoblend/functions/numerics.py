@@ -59,16 +59,16 @@ def hash_unit(seed: int | str, *keys: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def global_rank(df: DataFrame, order: list[str], name: str = "rank", buckets: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order: list[str], name: str = "rank", buckets: int | None = None, written_rows: bool = False) -> DataFrame:
     """Adds a 1-based rank over the whole table without sorting it in one partition.
 
     Rows go to ranges of the first order column by its own quantiles; range counts give offsets, and a window ranks
     within a range. The ranges follow from the values, not from partition ids, so a lost executor changes nothing. The
-    rows are written first, as three passes read them.
+    rows are written first, as three passes read them, unless they are a written table.
     """
     from ..sources.tables import written
 
-    df = written(df, "rank")
+    df = df if written_rows else written(df, "rank")
     n = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     first = order[0]
     cuts = df.agg(F.percentile_approx(F.col(first).cast("double"), [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []

@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from .numerics import z_of
 
 METRES_PER_DEGREE = 111_320.0
-#: Upper bounds of the fixed NO2 classes.
-NO2_BOUNDS = (5, 10, 15, 20, 25, 30, 40, 50, 75, 100)
+# Bounds of the NO2 classes of the published maps.
+NO2_BOUNDS = (0, 5, 8, 10, 12, 15, 18, 22, 28, 40)
 
 
 def metres_per_degree_lon(lat: Column) -> Column:
     return F.lit(METRES_PER_DEGREE) * F.cos(F.radians(lat))
 
 
-def planar_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column]:
-    """(east, north) of point 2 from point 1 in km, with the longitude scale of point 1."""
-    return (lon2 - lon1) * metres_per_degree_lon(lat1) / 1000.0, (lat2 - lat1) * METRES_PER_DEGREE / 1000.0
+def planar_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, scale_lat: Column | None = None, per_degree: float = METRES_PER_DEGREE / 1000.0) -> tuple[Column, Column]:
+    """(east, north) of point 2 from point 1 in km, with the longitude scale of point 1 or of scale_lat."""
+    scale = per_degree * F.cos(F.radians(lat1 if scale_lat is None else scale_lat))
+    return (lon2 - lon1) * scale, (lat2 - lat1) * per_degree
 
 
 def bearing(east: Column, north: Column) -> Column:
@@ -78,11 +79,11 @@ def gaussian_log_density(y: Column, mean: Column, variance: Column) -> Column:
 
 
 def no2_class(value: Column) -> Column:
-    """0 for up to the first bound, then one more for each bound exceeded."""
+    """Place of the class whose lower bound is the last not above the value: -1 below all, 9 from the last bound on."""
     out = F.when(value.isNull(), F.lit(None).cast("int"))
     for i, bound in enumerate(NO2_BOUNDS):
-        out = out.when(value <= bound, i)
-    return out.otherwise(len(NO2_BOUNDS))
+        out = out.when(value < bound, i - 1)
+    return out.otherwise(len(NO2_BOUNDS) - 1)
 
 
 def grid_id(row: Column, col: Column) -> Column:

@@ -11,16 +11,19 @@ from .spatial import radius_join
 SECTORS = 8
 
 
-def upwind_sums(cells: DataFrame, traffic: DataFrame, km: float = 3.0, mean_lat: float = 53.3) -> DataFrame:
-    """grid_id, upwind_0..7: per sector, the sum of traffic / d^2 over cells within km whose bearing is within 22.5
-    degrees of the sector's centre (both edges counted). Traffic of 0 or none counts as 1.
+#: Kilometres per degree of the upwind distances (fixed value).
+KM_PER_DEGREE = 111.0
+
 
-    The counter-free part (1 / d^2 over all cells) is the same for any traffic, and added to what counters exceed 1 by,
-    so only pairs with one side at a counter carry a value.
+def upwind_sums(cells: DataFrame, traffic: DataFrame, km: float = 3.0) -> DataFrame:
+    """grid_id, upwind_0..7: per sector, the sum of traffic / d^2 over cells within km whose bearing is within 22.5
+    degrees of the sector's centre (both edges counted). Traffic of 0 or none counts as 1. Longitudes are scaled at the
+    mean latitude of the distinct places.
     """
+    mean_lat = cells.select("latitude", "longitude").distinct().agg(F.avg("latitude")).first()[0] or 0.0
     weight = F.when(F.coalesce(F.col("traffic"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("traffic"))
     sources = cells.join(traffic.select("grid_id", "traffic"), "grid_id", "left").select("grid_id", "latitude", "longitude", weight.alias("t"))
-    pairs = radius_join(cells.select("grid_id", "latitude", "longitude"), sources, km, mean_lat)
+    pairs = radius_join(cells.select("grid_id", "latitude", "longitude"), sources, km, mean_lat, KM_PER_DEGREE)
     angle = bearing(F.col("east"), F.col("north"))
     centre = 360.0 / SECTORS
     off = lambda k: F.abs(F.pmod(angle - k * centre + 180.0, F.lit(360.0)) - 180.0)

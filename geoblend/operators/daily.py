@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,7 @@ def date_union(frames: list[DataFrame]) -> DataFrame:
 
 def cell_frame(cells: DataFrame, dates: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """Every cell on every date. The dates are broadcast behind a count (days, not rows)."""
-    if dates.count() > limit:
-        raise ValueError("too many dates for a dense frame; join the sparse sources instead")
-    return cells.crossJoin(F.broadcast(dates))
+    return cells.crossJoin(F.broadcast(dates) if dates.count() <= limit else dates)
 
 
 def merge_daily(frame: DataFrame, sources: dict[str, DataFrame], zero: tuple[str, ...] = ("traffic",)) -> DataFrame:
@@ -45,6 +43,18 @@ def sparse_merge(sources: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, ["grid_id", "date"], "full"), frames)
 
 
+def missing_count(df: DataFrame, column: str = "prior") -> DataFrame:
+    """One row n, n_missing: rows, and rows without the column."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(column).isNull()).alias("n_missing"))
+
+
+def attach_observations(predicted: DataFrame, observed: DataFrame, names: list[str], keys: tuple[str, ...] = ("grid_id", "date")) -> DataFrame:
+    """Exported grid predictions with the observations of the same cell and day; names that observed lacks are null."""
+    have = [n for n in names if n in observed.columns]
+    out = predicted.join(observed.select(*keys, *have), list(keys), "left")
+    return out.select(*predicted.columns, *[F.col(n) if n in have else F.lit(None).cast("double").alias(n) for n in names])
+
+
 def choose_prior(cells: DataFrame, priors: DataFrame, first: str = "atmo", second: str = "lur") -> DataFrame:
     """Adds prior: the first choice where present, else the second; and which was taken."""
     out = cells.join(priors, "grid_id", "left").withColumn("prior", F.coalesce(first, second))
@@ -93,10 +103,14 @@ def concat(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def nearest_days(asked: DataFrame, known: DataFrame, date: str = "date", limit: int = 20_000) -> DataFrame:
-    """date, nearest_day: the nearest other known day of each asked day (ties to the earlier), on the two tables of distinct days."""
-    days = known.select(F.col(date).alias("_near")).distinct()
-    if days.count() > limit:
-        raise ValueError("too many days for a comparison with each")
-    pairs = asked.select(date).distinct().join(F.broadcast(days), F.col(date) != F.col("_near"))
-    return pairs.groupBy(date).agg(F.min_by("_near", F.struct(F.abs(F.datediff("_near", date)), F.col("_near"))).alias("nearest_day"))
+def nearest_days(asked: DataFrame, known: DataFrame, date: str = "date") -> DataFrame:
+    """date, nearest_day: the known day nearest to each asked day, itself if known; ties go to the earlier.
+
+    Works on the two tables of distinct days: the last known day up to, and the first from, each asked one.
+    """
+    days = known.select(F.col(date).alias("_day")).distinct().withColumn("_known", F.col("_day"))
+    both = days.unionByName(asked.select(F.col(date).alias("_day")).distinct(), allowMissingColumns=True).groupBy("_day").agg(F.max("_known").alias("_known"))
+    up_to, on = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("_day").rowsBetween(0, Window.unboundedFollowing)
+    near = both.withColumns({"_before": F.last("_known", True).over(up_to), "_after": F.first("_known", True).over(on)})
+    pick = F.when(F.col("_after").isNull() | (F.datediff("_day", "_before") <= F.datediff("_after", "_day")), F.col("_before")).otherwise(F.col("_after"))
+    return asked.select(date).distinct().join(near.select(F.col("_day").alias(date), pick.alias("nearest_day")), date).filter("nearest_day is not null")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numerics import global_rank, norm_cdf_sql, norm_pdf_sql, z_of
+from ..sources.tables import written
 
 LEVELS = (0.5, 0.8, 0.9, 0.95)
-LOG_2PI = "1.8378770664093453e0"
+LOG_2PI = math.log(2 * math.pi)
 
 
 def point_metrics(y: Column, p: Column) -> list[Column]:
@@ -23,28 +26,21 @@ def point_metrics(y: Column, p: Column) -> list[Column]:
     ]
 
 
-def score_expressions(y: str, mean: str, std: str) -> dict[str, str]:
-    """Per-row SQL of the Gaussian scores (std > 0 expected)."""
-    z = f"(({y}-{mean})/{std})"
-    return {
-        "nll": f"(0.5e0*{LOG_2PI}+ln({std})+0.5e0*{z}*{z})",
-        "crps": f"({std}*({z}*(2e0*{norm_cdf_sql(z)}-1e0)+2e0*{norm_pdf_sql(z)}-5.6418958354775628695e-1))",
-        "dss": f"({z}*{z}+2e0*ln({std}))",
-        "pit": norm_cdf_sql(z),
-    }
-
-
-def interval_score_sql(y: str, mean: str, std: str, level: float = 0.9) -> str:
-    z, alpha = z_of(level), 1 - level
-    low, high = f"({mean}-{z!r}e0*{std})", f"({mean}+{z!r}e0*{std})"
-    return f"({high}-{low}+{2 / alpha!r}e0*greatest({low}-{y},0e0)+{2 / alpha!r}e0*greatest({y}-{high},0e0))"
-
+def scored(df: DataFrame, y: str = "y", mean: str = "mean", std: str = "std", level: float = 0.9) -> DataFrame:
+    """Adds the per-row scores nll, crps, dss, pit, interval_score; null where std is missing or not positive.
 
-def scored(df: DataFrame, y: str = "y", mean: str = "mean", std: str = "std") -> DataFrame:
-    """Adds the per-row scores; null where std is missing or not positive."""
-    out = df
-    exprs = score_expressions(f"`{y}`", f"`{mean}`", f"`{std}`") | {"interval_score": interval_score_sql(f"`{y}`", f"`{mean}`", f"`{std}`")}
-    return out.withColumns({n: F.when(F.col(std) > 0, F.expr(e)) for n, e in exprs.items()})
+    The standardised residual and its distribution value are columns of their own, so the scores are short expressions.
+    """
+    s, q = F.col(std), z_of(level) * F.col(std)
+    out = df.withColumn("_z", F.when(s > 0, (F.col(y) - F.col(mean)) / s)).withColumn("pit", F.expr(norm_cdf_sql("_z")))
+    z, gap = F.col("_z"), F.col(y) - F.col(mean)
+    new = {
+        "nll": 0.5 * LOG_2PI + F.log(s) + 0.5 * z * z,
+        "crps": s * (z * (2 * F.col("pit") - 1) + 2 * F.expr(norm_pdf_sql("_z")) - 1 / math.sqrt(math.pi)),
+        "dss": z * z + 2 * F.log(s),
+        "interval_score": 2 * q + 2 / (1 - level) * F.greatest(F.abs(gap) - q, F.lit(0.0)),
+    }
+    return out.withColumns({n: F.when(s > 0, e) for n, e in new.items()}).drop("_z")
 
 
 def coverage(y: Column, mean: Column, std: Column, level: float) -> Column:
@@ -70,9 +66,9 @@ def evaluate(df: DataFrame, y: str = "y", mean: str = "mean", std: str = "std",
 
 def ks_uniform(df: DataFrame, pit: str = "pit") -> DataFrame:
     """One row ks: largest gap between the empirical distribution of the PIT values and the uniform one."""
-    rows = df.filter(F.col(pit).isNotNull()).select(pit)
+    rows = written(df.filter(F.col(pit).isNotNull()).select(pit), "pit")
     n = rows.count()
-    ranked = global_rank(rows, [pit])
+    ranked = global_rank(rows, [pit], written_rows=True)
     gap = F.greatest(F.col("rank") / n - F.col(pit), F.col(pit) - (F.col("rank") - 1) / n)
     return ranked.agg(F.max(gap).alias("ks"))
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import METRES_PER_DEGREE, metres_per_degree_lon, planar_km
+from ..functions.scalars import METRES_PER_DEGREE, planar_km
+from ..sources.tables import written
 
 # --- grids -----------------------------------------------------------------------------------------------------------
 
@@ -41,9 +42,7 @@ def grid_from_values(df: DataFrame) -> DataFrame:
 
 def space_time_frame(grid: DataFrame, times: DataFrame, limit: int = 100_000) -> DataFrame:
     """Every cell at every time; the times are broadcast behind a count."""
-    if times.count() > limit:
-        raise ValueError("too many times")
-    return grid.crossJoin(F.broadcast(times))
+    return grid.crossJoin(F.broadcast(times) if times.count() <= limit else times)
 
 
 # --- bins ------------------------------------------------------------------------------------------------------------
@@ -57,52 +56,78 @@ def _ring(name: str, reach: int) -> Column:
     return F.explode(F.sequence(F.col(name) - reach, F.col(name) + reach))
 
 
-def bin_degrees(km: float, mean_lat: float) -> tuple[float, float]:
-    """Bin size in degrees that covers km at this latitude (with a margin for lower cosines nearby)."""
-    return km * 1000.0 / METRES_PER_DEGREE, km * 1000.0 / (METRES_PER_DEGREE * math.cos(math.radians(min(abs(mean_lat) + 1.0, 89.0))))
+def radius_join(points: DataFrame, others: DataFrame, km: float, scale_lat: float | None = None, per_degree: float = METRES_PER_DEGREE / 1000.0) -> DataFrame:
+    """Pairs with 0 < distance <= km of points(grid_id, latitude, longitude) and others: adds other columns prefixed,
+    east, north, km. Longitudes are scaled at the point's latitude, or at scale_lat for all.
 
-
-def radius_join(points: DataFrame, others: DataFrame, km: float, mean_lat: float) -> DataFrame:
-    """Pairs with 0 < distance <= km of points(grid_id, latitude, longitude) and others: adds other_id, other columns
-    prefixed, east, north, km. Others are dealt to bins of the radius and a point looks into its bin and the eight around,
-    so the join is on the bin."""
-    s_lat, s_lon = bin_degrees(km, mean_lat)
-    a, b = _bins(F.col("latitude"), F.col("longitude"), s_lat, s_lon)
-    left = points.withColumns({"_bi": a, "_bj": b}).withColumn("_bi", _ring("_bi", 1)).withColumn("_bj", _ring("_bj", 1))
-    named = others.withColumnsRenamed({c: f"other_{c}" for c in others.columns})
-    a, b = _bins(F.col("other_latitude"), F.col("other_longitude"), s_lat, s_lon)
-    right = named.withColumns({"_bi": a, "_bj": b})
-    east, north = planar_km(F.col("latitude"), F.col("longitude"), F.col("other_latitude"), F.col("other_longitude"))
+    Others are dealt to latitude bands of the radius, and within a band to longitude bins as wide as the radius at its
+    end nearer to the pole. A point looks into its band and the two beside it, there into the bins its radius
+    reaches, so no pair is lost at any latitude and the join is on the bin.
+    """
+    band = km / per_degree * (1 + 1e-9)
+    name = {c: f"other_{c}" for c in others.columns}
+    outer = lambda b: F.least(F.greatest(F.abs(b), F.abs(b + 1)) * band, F.lit(89.4)) if scale_lat is None else F.lit(scale_lat)
+    width = lambda b: band / F.cos(F.radians(outer(b)))
+    bin_of = lambda lon, b: F.floor(lon / width(b)).cast("int")
+    reach = band / F.greatest(F.cos(F.radians(F.col("latitude") if scale_lat is None else F.lit(scale_lat))), F.lit(band / 360.0)) * (1 + 1e-9)
+    left = points.withColumn("_bi", F.floor(F.col("latitude") / band).cast("int")).withColumn("_bi", _ring("_bi", 1))
+    bins = F.sequence(bin_of(F.col("longitude") - reach, F.col("_bi")), bin_of(F.col("longitude") + reach, F.col("_bi")))
+    left = left.withColumn("_bj", F.explode(bins))
+    right = others.withColumnsRenamed(name).withColumn("_bi", F.floor(F.col("other_latitude") / band).cast("int"))
+    right = right.withColumn("_bj", bin_of(F.col("other_longitude"), F.col("_bi")))
+    scale = None if scale_lat is None else F.lit(scale_lat)
+    east, north = planar_km(F.col("latitude"), F.col("longitude"), F.col("other_latitude"), F.col("other_longitude"), scale, per_degree)
     joined = left.join(right, ["_bi", "_bj"]).withColumns({"east": east, "north": north}).withColumn("km", F.hypot("east", "north"))
     return joined.filter((F.col("km") > 0) & (F.col("km") <= km)).drop("_bi", "_bj")
 
 
-def nearest_join(queries: DataFrame, points: DataFrame, key: str, size: tuple[float, float], values: list[str], id_col: str = "grid_id", rings: int = 1, most: int = 4096) -> DataFrame:
-    """Each query's nearest point in degrees (ties by id): adds near_id, distance and the values.
+def nearest_join(queries: DataFrame, points: DataFrame, key: str, size: tuple[float, float], values: list[str], id_col: str = "grid_id", most: float | None = None, default: float | None = None) -> DataFrame:
+    """Each query's nearest point in degrees (ties by id): adds near_id, distance and the values; exact, one row per query.
 
-    Bins around the query are searched in growing rings; a match counts once it is no farther than the searched reach,
-    so the result is exact. Queries still open at the last ring look at all bins' representative edge by a full
-    comparison with the points' broadcast only if the points are few; else the rings go on growing.
+    First a query looks into its bin and the eight around; a match no farther than a bin counts. Queries left over
+    descend a tree of bins, each sixteen of the level below with the box of its points: of the children reached,
+    those no farther than the least upper bound of any stay. So far queries and empty surroundings cost a few rows a
+    level. Queries without a finite place, or with no points at all, have nulls; values beyond `most` degrees or
+    missing become `default` if one is given.
     """
     s_lat, s_lon = size
     a, b = _bins(F.col("latitude"), F.col("longitude"), s_lat, s_lon)
-    pts = points.select(F.col(id_col).alias("near_id"), F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon"), *values)
+    pts = points.select(F.col(id_col).alias("near_id"), F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon"), *values).filter("_plat is not null and _plon is not null")
     pa_, pb_ = _bins(F.col("_plat"), F.col("_plon"), s_lat, s_lon)
-    pts = pts.withColumns({"_bi": pa_, "_bj": pb_})
-    todo, done, reach = queries.withColumns({"_qi": a, "_qj": b}), None, rings
-    columns = queries.columns
-    while True:
-        look = todo.withColumn("_bi", _ring("_qi", reach)).withColumn("_bj", _ring("_qj", reach))
-        d = F.hypot(F.col("_plat") - F.col("latitude"), F.col("_plon") - F.col("longitude"))
-        hits = look.join(pts, ["_bi", "_bj"]).withColumn("distance", d)
-        best = hits.groupBy(key).agg(F.min_by(F.struct("near_id", "distance", *values), F.struct("distance", "near_id")).alias("_b"))
-        sure = best.filter(F.col("_b.distance") <= reach * min(s_lat, s_lon))
-        found = todo.join(sure, key).select(*columns, "_b.*")
-        done = found if done is None else done.unionByName(found)
-        todo = todo.join(sure.select(key), key, "left_anti")
-        if reach >= most or not todo.take(1):
-            return done
-        reach *= 4
+    pts = written(pts.withColumns({"_bi": pa_, "_bj": pb_}), "nearest-points")
+    asked = written(queries.withColumns({"_bi": a, "_bj": b}), "nearest-queries")
+    d = F.hypot(F.col("_plat") - F.col("latitude"), F.col("_plon") - F.col("longitude"))
+    pick = F.min_by(F.struct("near_id", "distance", *values), F.struct("distance", "near_id")).alias("_b")
+
+    def met(look: DataFrame) -> DataFrame:
+        return look.join(pts, ["_bi", "_bj"]).withColumn("distance", d).groupBy(key).agg(pick)
+
+    place = asked.select(key, "latitude", "longitude", "_bi", "_bj")
+    sure = written(met(place.withColumn("_bi", _ring("_bi", 1)).withColumn("_bj", _ring("_bj", 1))).filter(F.col("_b.distance") <= min(s_lat, s_lon)), "nearest-sure")
+    todo = written(place.filter("latitude is not null and longitude is not null").join(sure.select(key), key, "left_anti").drop("_bi", "_bj"), "nearest-left")
+    found = sure
+    if todo.take(1):
+        boxes = [written(pts.groupBy("_bi", "_bj").agg(F.min("_plat").alias("_s"), F.max("_plat").alias("_n"), F.min("_plon").alias("_w"), F.max("_plon").alias("_e")), "nearest-boxes")]
+        while boxes[-1].count() > 16:
+            up = boxes[-1].groupBy(F.floor(F.col("_bi") / 4).cast("int").alias("_bi"), F.floor(F.col("_bj") / 4).cast("int").alias("_bj"))
+            boxes.append(written(up.agg(F.min("_s").alias("_s"), F.max("_n").alias("_n"), F.min("_w").alias("_w"), F.max("_e").alias("_e")), "nearest-boxes"))
+        tops = boxes[-1].select(F.collect_list(F.struct("_bi", "_bj", "_s", "_n", "_w", "_e")).alias("_t"))  # one row of at most 16
+        look = todo.crossJoin(F.broadcast(tops)).withColumn("_t", F.explode("_t")).select(key, "latitude", "longitude", "_t.*")
+        for below in [*boxes[-2::-1], None]:
+            gap = lambda lo, hi, x: F.greatest(F.col(lo) - F.col(x), F.col(x) - F.col(hi), F.lit(0.0))
+            far = lambda lo, hi, x: F.greatest(F.abs(F.col(lo) - F.col(x)), F.abs(F.col(x) - F.col(hi)))
+            look = look.withColumn("_low", F.hypot(gap("_s", "_n", "latitude"), gap("_w", "_e", "longitude")))
+            look = look.withColumn("_up", F.min(F.hypot(far("_s", "_n", "latitude"), far("_w", "_e", "longitude"))).over(Window.partitionBy(key)))
+            look = look.filter(F.col("_low") <= F.col("_up") * (1 + 1e-9)).select(key, "latitude", "longitude", "_bi", "_bj")
+            if below is not None:
+                parent = below.withColumns({"_pi": F.floor(F.col("_bi") / 4).cast("int"), "_pj": F.floor(F.col("_bj") / 4).cast("int")})
+                look = look.withColumnsRenamed({"_bi": "_pi", "_bj": "_pj"}).join(parent, ["_pi", "_pj"]).drop("_pi", "_pj")
+        found = sure.unionByName(met(look))
+    out = asked.drop("_bi", "_bj").join(found, key, "left").select(*queries.columns, "_b.*")
+    if default is None:
+        return out
+    known = F.lit(True) if most is None else F.col("distance") <= most
+    return out.withColumns({v: F.coalesce(F.when(known, F.col(v)), F.lit(default)) for v in values})
 
 
 def nearest_on_grid(queries: DataFrame, grid: DataFrame, origin: tuple[float, float], step: tuple[float, float], shape: tuple[int, int]) -> DataFrame:
@@ -123,7 +148,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> D
     xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
     span = lambda v: F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size))
     boxes = polygons.select("polygon_id", "ring", F.explode(span(xs)).alias("_bx"), ys.alias("_ys")).select("polygon_id", "ring", "_bx", F.explode(span(F.col("_ys"))).alias("_by"))
-    pts = points.withColumn("_pid", F.monotonically_increasing_id()) if "point_id" not in points.columns else points.withColumn("_pid", F.col("point_id"))
+    # A running id must be written before it is read twice: a recomputed task might number its rows otherwise.
+    pts = written(points.withColumn("_pid", F.monotonically_increasing_id()), "polygon-points") if "point_id" not in points.columns else points.withColumn("_pid", F.col("point_id"))
     binned = pts.withColumns({"_bx": F.floor(F.col("longitude") / size), "_by": F.floor(F.col("latitude") / size)})
     nxt = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
     x, y = F.col("longitude"), F.col("latitude")
@@ -140,34 +166,69 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> D
 # --- interpolation ---------------------------------------------------------------------------------------------------
 
 
-def idw(grid: DataFrame, points: DataFrame, key: str, power: float = 2.0, exact: float = 1e-10, limit: int = 5_000, km: bool = False, default: float | None = None) -> DataFrame:
-    """key, value: inverse-distance weights of all points(ord, latitude, longitude, value); a point at the cell gives its
-    value (the least ord). The points, checked by count, go with the tasks; cells x points rows never exist."""
-    if points.count() > limit:
-        raise ValueError("too many points for idw over all; use nearest_join or a radius")
-    rows = points.select("ord", "latitude", "longitude", "value").orderBy("ord", "latitude", "longitude", "value").collect()
-    pts = np.array([(r["latitude"], r["longitude"], r["value"]) for r in rows], dtype=float).reshape(-1, 3)
+def _idw_sums(lat: np.ndarray, lon: np.ndarray, pts: np.ndarray, power: float, exact: float, scale: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of cells against points (latitude, longitude, value): sums of weights, of weighted values, and the first point at the cell (-1: none)."""
+    w_sum, wv_sum, hit = np.zeros(len(lat)), np.zeros(len(lat)), np.full(len(lat), -1)
+    for at in range(0, len(lat) if len(pts) else 0, 1024):
+        own = slice(at, at + 1024)
+        d = np.hypot((pts[None, :, 0] - lat[own, None]) * scale[0], (pts[None, :, 1] - lon[own, None]) * scale[1])
+        near = d < exact
+        w = np.where(near, 1.0, d + near) ** -power
+        w_sum[own], wv_sum[own] = w.sum(axis=1), (w * pts[:, 2]).sum(axis=1)
+        hit[own] = np.where(near.any(axis=1), near.argmax(axis=1), -1)
+    return w_sum, wv_sum, hit
+
+
+def idw(grid: DataFrame, points: DataFrame, key: str, power: float = 2.0, exact: float = 1e-10, limit: int = 5_000, km: float | None = None, default: float | None = None) -> DataFrame:
+    """Adds value: inverse-distance weights of all points(ord, latitude, longitude, value); a point at the cell gives its
+    value (the least ord). Distances are in degrees, or in km with `km` a degree, longitudes scaled at the points' mean
+    latitude. Up to `limit` points go with the tasks; more are dealt to blocks, as are the cells, and every pair of
+    blocks gives one partial sum per cell, so cells x points rows never exist. key tells the cells apart."""
+    points = points.select("ord", "latitude", "longitude", "value").filter("latitude is not null and longitude is not null and value is not null")
+    n, mean_lat = points.agg(F.count(F.lit(1)), F.avg("latitude")).first()
+    scale = (km, km * math.cos(math.radians(mean_lat or 0.0))) if km else (1.0, 1.0)
     empty = np.nan if default is None else default
+    if n > limit:
+        return _idw_blocks(grid, points, key, power, exact, scale, default, n, limit)
+    rows = points.orderBy("ord", "latitude", "longitude", "value").collect()
+    pts = np.array([(r["latitude"], r["longitude"], r["value"]) for r in rows], dtype=float).reshape(-1, 3)
 
     def run(batches):
         for pdf in batches:
+            lat, lon = (pdf[c].to_numpy(dtype=float) for c in ("latitude", "longitude"))
+            w, wv, hit = _idw_sums(lat, lon, pts, power, exact, scale)
             out = np.full(len(pdf), empty)
-            for at in range(0, len(pdf) if len(pts) else 0, 1024):
-                lat, lon = (pdf[c].to_numpy(dtype=float)[at : at + 1024, None] for c in ("latitude", "longitude"))
-                north, east = pts[None, :, 0] - lat, pts[None, :, 1] - lon
-                if km:
-                    north, east = north * METRES_PER_DEGREE / 1000.0, east * METRES_PER_DEGREE * np.cos(np.radians(lat)) / 1000.0
-                d = np.hypot(north, east)
-                near = d < exact
-                w = np.where(near, 1.0, d + near) ** -power
-                hit = near.any(axis=1)
-                out[at : at + 1024] = np.where(hit, pts[near.argmax(axis=1), 2], (w * pts[:, 2]).sum(axis=1) / w.sum(axis=1))
+            np.divide(wv, w, out=out, where=w > 0)
+            out = np.where(hit >= 0, pts[hit, 2], out) if len(pts) else out
             yield pdf.assign(value=pd.Series(out, index=pdf.index).astype("Float64").mask(np.isnan(out)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grid.schema) + ", value double"
     return grid.mapInPandas(run, schema)
 
 
+def _idw_blocks(grid: DataFrame, points: DataFrame, key: str, power: float, exact: float, scale: tuple[float, float], default: float | None, n: int, limit: int) -> DataFrame:
+    """idw() over blocks of points and cells that meet by a join on (cell block, point block)."""
+    cell_blocks, point_blocks = -(-grid.count() // limit), -(-n // limit)
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    deal = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
+    kind, ord_kind = grid.schema[key].dataType.simpleString(), points.schema["ord"].dataType.simpleString()
+    cells = grid.select(key, "latitude", "longitude").withColumn("_c", deal(cell_blocks, key)).withColumn("_p", every(point_blocks))
+    pts = points.withColumn("_p", deal(point_blocks, "ord", "latitude", "longitude")).withColumn("_c", every(cell_blocks))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["ord", "latitude", "longitude", "value"])
+        p = right[["latitude", "longitude", "value"]].to_numpy(dtype=float)
+        w, wv, hit = _idw_sums(left["latitude"].to_numpy(dtype=float), left["longitude"].to_numpy(dtype=float), p, power, exact, scale)
+        at = right.iloc[np.maximum(hit, 0)] if len(right) else right.reindex([0] * len(left))
+        return pd.DataFrame({key: left[key].to_numpy(), "_w": w, "_wv": wv, "_hit": hit >= 0, "_ord": at["ord"].to_numpy(), "_at": at["value"].to_numpy()})
+
+    parts = cells.groupBy("_c", "_p").cogroup(pts.groupBy("_c", "_p")).applyInPandas(run, f"`{key}` {kind}, _w double, _wv double, _hit boolean, _ord {ord_kind}, _at double")
+    hits = F.min_by(F.when(F.col("_hit"), F.col("_at")), F.when(F.col("_hit"), F.col("_ord")))
+    sums = parts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.coalesce(hits, F.try_divide(F.sum("_wv"), F.sum("_w"))).alias("value"))
+    out = grid.join(sums, key, "left")
+    return out.select(*grid.columns, F.col("value") if default is None else F.coalesce("value", F.lit(default)).alias("value"))
+
+
 def fill_missing(df: DataFrame, value: str, method: str = "mean", constant: float = 0.0, size: tuple[float, float] = (0.01, 0.01), key: str = "grid_id") -> DataFrame:
     """Missing values filled by the overall mean, a constant, or the nearest known cell's value."""
     if method == "constant":
@@ -178,25 +239,27 @@ def fill_missing(df: DataFrame, value: str, method: str = "mean", constant: floa
         raise ValueError(method)
     known, gaps = df.filter(F.col(value).isNotNull()), df.filter(F.col(value).isNull())
     near = nearest_join(gaps.drop(value), known, key, size, [value], id_col=key).select(*df.columns)
-    return known.unionByName(near)
+    return known.unionByName(near)  # with nothing known, gaps stay
 
 
 # --- rasters ---------------------------------------------------------------------------------------------------------
 
 
-def bilinear_sample(points: DataFrame, raster: DataFrame, key: str, x: Column, y: Column) -> DataFrame:
-    """key, value: bilinear of the four raster(row, col, value) corners around (x = column, y = row) positions; null
-    outside the raster or at a corner without value."""
+def bilinear_sample(points: DataFrame, raster: DataFrame, key: str, x: Column, y: Column, default: float | None = None) -> DataFrame:
+    """key, value: bilinear of the four raster(row, col, value) corners around (x = column, y = row) positions; null, or
+    the default, outside the raster or at a corner without value."""
     corners = F.array(*[F.struct((F.floor(y) + dy).cast("int").alias("row"), (F.floor(x) + dx).cast("int").alias("col"),
                                  ((1 - F.abs(x - F.floor(x) - dx)) * (1 - F.abs(y - F.floor(y) - dy))).alias("w")) for dy in (0, 1) for dx in (0, 1)])
     asked = points.select(key, F.explode(corners).alias("_k")).select(key, "_k.*")
     hits = asked.join(raster.filter("value is not null"), ["row", "col"], "left")
-    return hits.groupBy(key).agg(F.when(F.count("value") == 4, F.sum(F.col("w") * F.col("value"))).alias("value"))
+    value = F.when(F.count("value") == 4, F.sum(F.col("w") * F.col("value")))
+    return hits.groupBy(key).agg((value if default is None else F.coalesce(value, F.lit(default))).alias("value"))
 
 
-def nearest_sample(points: DataFrame, raster: DataFrame, x: Column, y: Column) -> DataFrame:
-    at = {"row": F.round(y).cast("int"), "col": F.round(x).cast("int")}
-    return points.withColumns(at).join(raster, ["row", "col"], "left")
+def nearest_sample(points: DataFrame, raster: DataFrame, key: str, x: Column, y: Column, default: float | None = None) -> DataFrame:
+    """key, value: the pixel nearest to (x = column, y = row) positions; outside the raster or without value null, or the default."""
+    asked = points.select(key, F.round(y).cast("int").alias("row"), F.round(x).cast("int").alias("col"))
+    return asked.join(raster, ["row", "col"], "left").select(key, F.col("value") if default is None else F.coalesce("value", F.lit(default)).alias("value"))
 
 
 def resample(raster: DataFrame, factor: int, method: str = "average") -> DataFrame:
@@ -215,11 +278,16 @@ def resample(raster: DataFrame, factor: int, method: str = "average") -> DataFra
     return out.withColumnsRenamed({"_r": "row", "_c": "col"})
 
 
-def gaussian_smooth(raster: DataFrame, by: list[str] = [], sigma: float = 0.6, radius: int = 2) -> DataFrame:  # noqa: B006
+def gaussian_smooth(raster: DataFrame, by: list[str] = [], sigma: float = 0.6, radius: int = 2, support: str | None = None) -> DataFrame:  # noqa: B006
     """Gaussian-weighted mean of each pixel's neighbourhood, gaps first filled with the median, edges reflected.
 
-    by: further keys (such as the day); the raster's extent is taken over the whole table.
+    by: further keys (such as the day); the raster's extent is taken over the whole table. support: a boolean column;
+    pixels outside count as gaps and stay null.
     """
+    outside = None
+    if support:
+        outside = raster.filter(~F.coalesce(F.col(support), F.lit(False))).select(*by, "row", "col")
+        raster = raster.withColumn("value", F.when(F.col(support), F.col("value"))).drop(support)
     extent = raster.agg(F.max("row").alias("_mr"), F.max("col").alias("_mc"))
     medians = raster.groupBy(*by).agg(F.percentile("value", 0.5).alias("_med"))
     filled = (raster.join(F.broadcast(medians), by) if by else raster.crossJoin(F.broadcast(medians))).withColumn("value", F.coalesce("value", "_med")).drop("_med")
@@ -231,4 +299,8 @@ def gaussian_smooth(raster: DataFrame, by: list[str] = [], sigma: float = 0.6, r
     asked = asked.select(*by, F.col("row").alias("_row"), F.col("col").alias("_col"), reflect(F.col("row") + F.col("o.dr"), F.col("_mr")).alias("row"), reflect(F.col("col") + F.col("o.dc"), F.col("_mc")).alias("col"), F.col("o.w").alias("w"))
     hits = asked.join(filled.select(*by, "row", "col", "value"), [*by, "row", "col"])
     out = hits.groupBy(*by, "_row", "_col").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
-    return out.withColumnsRenamed({"_row": "row", "_col": "col"})
+    out = out.withColumnsRenamed({"_row": "row", "_col": "col"})
+    if outside is None:
+        return out
+    out = out.join(outside.withColumn("_out", F.lit(True)), [*by, "row", "col"], "left")
+    return out.withColumn("value", F.when(F.col("_out").isNull(), F.col("value"))).drop("_out")

@@ -81,8 +81,9 @@ def temporal_split(df: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.1
 
 
 def random_folds(df: DataFrame, keys: list[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """Adds fold 0..k-1 by the hash of the row's key."""
-    return df.withColumn("fold", F.floor(hash_unit(seed, *keys) * k).cast("int"))
+    """Adds fold 0..k-1: contiguous parts of the hash order, the first n mod k of them one row larger."""
+    ranked = global_rank(df.withColumn("_h", hash_unit(seed, *keys)), ["_h", *keys], "_rank")
+    return ranked.withColumn("fold", even_part(F.col("_rank") - 1, F.lit(df.count()), k)).drop("_h", "_rank")
 
 
 def spatial_folds(df: DataFrame, k: int = 5, seed: int = 42, cell: str = "grid_id") -> DataFrame:
@@ -134,16 +135,17 @@ def station_date_folds(df: DataFrame, source: str, k_station: int = 3, k_date: i
 
 
 def leave_one_station_out(df: DataFrame, source: str, cell: str = "grid_id", limit: int = 10_000) -> DataFrame:
-    """One fold per station, in long form: fold (station), role. The station list is broadcast behind a count."""
+    """One fold per station, in long form: fold (station), role; each row once per fold, so it grows with rows x stations.
+    For sums by fold use left_out_means, which does not. The station list is broadcast behind a count."""
     stations = df.filter(F.col(source).isNotNull()).select(F.col(cell).alias("fold")).distinct()
-    if stations.count() > limit:
-        raise ValueError("too many stations for the long form; use field sums by station instead")
-    return df.crossJoin(F.broadcast(stations)).withColumn("role", F.when(F.col(cell) == F.col("fold"), "test").otherwise("train"))
+    stations = F.broadcast(stations) if stations.count() <= limit else stations
+    return df.crossJoin(stations).withColumn("role", F.when(F.col(cell) == F.col("fold"), "test").otherwise("train"))
 
 
-def fold_roles(df: DataFrame, folds: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Long form of a table with a fold column: each row once per fold, as test in its own."""
-    if folds.count() > limit:
-        raise ValueError("too many folds")
-    out = df.withColumnRenamed("fold", "_own").crossJoin(F.broadcast(folds.select("fold").distinct()))
-    return out.withColumn("role", F.when(F.col("_own") == F.col("fold"), "test").otherwise("train")).drop("_own")
+def left_out_means(df: DataFrame, source: str, cell: str = "grid_id") -> DataFrame:
+    """fold (station), n, n_test, train_mean of the source: each station's own count and sum taken from the total."""
+    rows = df.filter(F.col(source).isNotNull())
+    own = rows.groupBy(F.col(cell).alias("fold")).agg(F.count(F.lit(1)).alias("n_test"), F.sum(source).alias("_s"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(source).alias("_t"))
+    out = own.crossJoin(F.broadcast(total))
+    return out.select("fold", "n", "n_test", F.try_divide(F.col("_t") - F.col("_s"), F.col("n") - F.col("n_test")).alias("train_mean"))

@@ -65,6 +65,13 @@ def drop_invalid_keys(df: DataFrame, lat: str = "latitude", lon: str = "longitud
     return out.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(ts).isNotNull())
 
 
+def dropped_counts(df: DataFrame, lat: str = "latitude", lon: str = "longitude", ts: str = "ts") -> DataFrame:
+    """One row: rows, rows without a finite place, rows without a readable time, rows that drop_invalid_keys() drops."""
+    place = finite(lat).isNull() | finite(lon).isNull()
+    time = F.try_to_timestamp(F.col(ts).cast("string")).isNull()
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(place).alias("n_no_place"), F.count_if(time).alias("n_no_time"), F.count_if(place | time).alias("n_dropped"))
+
+
 def validation_report(df: DataFrame, sources: list[str]) -> DataFrame:
     """One row: coordinate bounds, valid counts and whether the table may be used."""
     valid = sum((F.col(s).isNotNull().cast("int") for s in sources), F.lit(0))
@@ -98,16 +105,21 @@ def read_geojson_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_centroid(cells: DataFrame, ring: str = "ring") -> DataFrame:
-    """Adds longitude, latitude: the area-weighted centroid, or the vertices' mean for flat or short rings."""
-    nxt = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    edges = F.zip_with(ring, nxt, lambda p, q: F.struct(p[0].alias("x"), p[1].alias("y"), q[0].alias("u"), q[1].alias("v"), (p[0] * q[1] - q[0] * p[1]).alias("c")))
-    total = lambda f: F.aggregate("_edges", F.lit(0.0), lambda s, e: s + f(e))
+    """Adds longitude, latitude: the area-weighted centroid, or the vertices' mean for flat or short rings.
+
+    Areas are taken from the ring's first vertex: far from the origin, small rings would lose all digits.
+    """
     mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[k]) / F.size(ring)
-    out = cells.withColumn("_edges", edges).withColumn("_area", total(lambda e: e["c"]) / 2)
+    local = F.transform(ring, lambda p: F.struct((p[0] - F.col(ring)[0][0]).alias("x"), (p[1] - F.col(ring)[0][1]).alias("y")))
+    out = cells.withColumn("_local", local)
+    nxt = F.concat(F.slice("_local", F.lit(2), F.size("_local") - 1), F.slice("_local", F.lit(1), F.lit(1)))
+    edges = F.zip_with("_local", nxt, lambda p, q: F.struct((p["x"] + q["x"]).alias("x"), (p["y"] + q["y"]).alias("y"), (p["x"] * q["y"] - q["x"] * p["y"]).alias("c")))
+    out = out.withColumn("_edges", F.when(F.size("_local") > 0, edges))
+    total = lambda f: F.aggregate("_edges", F.lit(0.0), lambda s, e: s + f(e))
+    out = out.withColumn("_area", total(lambda e: e["c"]) / 2)
     flat = (F.size(ring) < 3) | (F.abs("_area") < 1e-12)
-    lon = F.when(flat, mean(0)).otherwise(total(lambda e: (e["x"] + e["u"]) * e["c"]) / (6 * F.col("_area")))
-    lat = F.when(flat, mean(1)).otherwise(total(lambda e: (e["y"] + e["v"]) * e["c"]) / (6 * F.col("_area")))
-    return out.withColumn("longitude", lon).withColumn("latitude", lat).drop("_edges", "_area")
+    centre = lambda k, axis: F.when(flat, mean(k)).otherwise(F.col(ring)[0][k] + total(lambda e: e[axis] * e["c"]) / (6 * F.col("_area")))
+    return out.withColumn("longitude", centre(0, "x")).withColumn("latitude", centre(1, "y")).drop("_local", "_edges", "_area")
 
 
 # --- sinks -----------------------------------------------------------------------------------------------------------

@@ -102,22 +102,67 @@ def test_splits_cover_and_hold_stations(spark):
     assert all(r["a"] < r["b"] for r in late.collect())
 
 
-def test_nearest_and_radius_against_all_pairs(spark):
+@pytest.mark.parametrize("base", [0.0, 53.0, 70.0, 88.0])
+def test_radius_against_all_pairs(spark, base):
+    """Points over several bands of latitude, also across the equator."""
     import random
 
-    random.seed(2)
-    pts = [(f"p{i}", 53 + random.random() * 0.05, -6 + random.random() * 0.05, float(i)) for i in range(120)]
-    df = spark.createDataFrame(pts, "grid_id string, latitude double, longitude double, v double")
-    q = spark.createDataFrame([(f"q{i}", 53 + random.random() * 0.08, -6 + random.random() * 0.08) for i in range(40)], "q string, latitude double, longitude double")
-    got = {r["q"]: r["near_id"] for r in spatial.nearest_join(q, df, "q", (0.004, 0.004), ["v"]).collect()}
-    want = {r["q"]: min(pts, key=lambda p: (math.hypot(p[1] - r["latitude"], p[2] - r["longitude"]), p[0]))[0] for r in q.collect()}
-    assert got == want
-    pairs = spatial.radius_join(df, df, 1.0, 53.0).select("grid_id", "other_grid_id").collect()
+    rng = random.Random(base)
+    pts = [(f"p{i}", base - 1.5 + rng.random() * 3, -6 + rng.random() * 3) for i in range(250)]
+    df = spark.createDataFrame(pts, "grid_id string, latitude double, longitude double")
+
+    def km(a, b, lat):
+        return math.hypot((b[2] - a[2]) * 111.320 * math.cos(math.radians(lat)), (b[1] - a[1]) * 111.320)
+
+    for radius, scale_lat in ((30.0, None), (2.7, None), (25.0, 53.0)):
+        pairs = spatial.radius_join(df, df, radius, scale_lat).select("grid_id", "other_grid_id").collect()
+        want = {(a[0], b[0]) for a in pts for b in pts if 0 < km(a, b, a[1] if scale_lat is None else scale_lat) <= radius}
+        assert len(pairs) == len(want) and {tuple(r) for r in pairs} == want
+
 
-    def km(a, b):
-        return math.hypot((b[2] - a[2]) * 111.320 * math.cos(math.radians(a[1])), (b[1] - a[1]) * 111.320)
+def test_nearest_against_all_pairs(spark):
+    """Near and far queries, clusters of points, ties, a missing place, no points at all."""
+    import random
+
+    rng = random.Random(2)
+    pts = [(f"p{i}", 53 + rng.random() * 0.05, -6 + rng.random() * 0.05, float(i)) for i in range(120)] + [(f"r{i}", -40 + rng.random() * 80, rng.random() * 170, 1.0) for i in range(60)]
+    pts += [("t2", 10.0, 11.0, 0.0), ("t1", 10.0, 9.0, 0.0), ("z", None, 1.0, 0.0)]
+    df = spark.createDataFrame(pts, "grid_id string, latitude double, longitude double, v double")
+    asked = [(f"q{i}", 53 + rng.random() * 0.08, -6 + rng.random() * 0.08) for i in range(40)] + [(f"f{i}", -80 + rng.random() * 160, -170 + rng.random() * 340) for i in range(60)] + [("tie", 10.0, 10.0), ("none", None, 3.0)]
+    q = spark.createDataFrame(asked, "q string, latitude double, longitude double")
+    got = {r["q"]: (r["near_id"], r["v"]) for r in spatial.nearest_join(q, df, "q", (0.004, 0.004), ["v"]).collect()}
+    known = [p for p in pts if p[1] is not None]
+    best = {n: min(known, key=lambda p: (math.hypot(p[1] - la, p[2] - lo), p[0])) for n, la, lo in asked if la is not None}
+    assert got == {n: (p[0], p[3]) for n, p in best.items()} | {"none": (None, None)} and got["tie"][0] == "t1"
+    empty = spatial.nearest_join(q, df.limit(0), "q", (0.004, 0.004), ["v"]).collect()
+    assert len(empty) == len(asked) and all(r["near_id"] is None for r in empty)
+    near = {r["q"]: r["v"] for r in spatial.nearest_join(q, df, "q", (0.004, 0.004), ["v"], most=0.05, default=-1.0).collect()}
+    gap = lambda n, la, lo: math.hypot(best[n][1] - la, best[n][2] - lo)
+    assert all(near[n] == (best[n][3] if la is not None and gap(n, la, lo) <= 0.05 else -1.0) for n, la, lo in asked)
+
+
+def test_idw_in_blocks(spark):
+    import random
 
-    assert len(pairs) == len({tuple(r) for r in pairs}) and {tuple(r) for r in pairs} == {(a[0], b[0]) for a in pts for b in pts if 0 < km(a, b) <= 1.0}
+    rng = random.Random(5)
+    grid = spark.createDataFrame([(f"g{i}", rng.random(), rng.random()) for i in range(30)] + [("hit", 0.25, 0.25)], "grid_id string, latitude double, longitude double")
+    points = spark.createDataFrame([(i, rng.random(), rng.random(), rng.random()) for i in range(50)] + [(99, 0.25, 0.25, 9.0), (60, 0.25, 0.25, 7.0), (61, None, 0.2, 1.0)], "ord int, latitude double, longitude double, value double")
+    for options in ({}, {"km": 111.0, "exact": 1e-6, "default": 0.0}):
+        whole = {r["grid_id"]: r["value"] for r in spatial.idw(grid, points, "grid_id", **options).collect()}
+        parts = {r["grid_id"]: r["value"] for r in spatial.idw(grid, points, "grid_id", limit=7, **options).collect()}
+        assert parts == pytest.approx(whole) and whole["hit"] == 7.0
+
+
+def test_nearest_days_and_classes(spark):
+    from geoblend.functions.scalars import no2_class
+
+    days = lambda *x: spark.createDataFrame([(d,) for d in x], "date string").select(F.to_date("date").alias("date"))
+    asked = days("2024-01-01", "2024-01-04", "2024-01-05", "2024-01-09")
+    got = {str(r["date"])[8:]: str(r["nearest_day"])[8:] for r in daily.nearest_days(asked, days("2024-01-03", "2024-01-05", "2024-01-05", "2024-01-06")).collect()}
+    assert got == {"01": "03", "04": "03", "05": "05", "09": "06"}
+    assert daily.nearest_days(asked, days().limit(0)).collect() == []
+    values = spark.createDataFrame([(-1.0,), (0.0,), (4.99,), (5.0,), (39.9,), (40.0,), (None,)], "v double")
+    assert [r[0] for r in values.select(no2_class(F.col("v"))).collect()] == [-1, 0, 0, 1, 8, 9, None]
 
 
 def test_idw_exact_and_within_range(spark):
