@@ -373,11 +373,11 @@ def top_site_rows(spark, sf_dir: str) -> DataFrame:
     return rounded(rows.join(report.top_sites(df, "station").select("grid_id"), "grid_id", "left_semi"))
 
 
-@query(roles("daily") + " SELECT date, count(*) AS n, round(avg(station - satellite), 4) AS difference FROM daily WHERE station IS NOT NULL AND satellite IS NOT NULL GROUP BY date", date="date")
+@query(roles("daily") + " SELECT date, count(*) AS n, round(avg(station - satellite), 9) AS difference FROM daily WHERE station IS NOT NULL AND satellite IS NOT NULL GROUP BY date", date="date")
 def colocated_days(spark, sf_dir: str) -> DataFrame:
     """Mean difference of the sources where both are present."""
     both = daily.colocated(daily_sparse(spark, sf_dir), "station", "satellite")
-    return rounded(both.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("station") - F.col("satellite")).alias("difference")), 4)
+    return rounded(both.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("station") - F.col("satellite")).alias("difference")), 9)
 
 
 @query(roles("hourly", "priors") + """, h AS (SELECT h.grid_id, ts, value, lur, atmo FROM hourly h JOIN priors USING (grid_id) WHERE kind = 'station'), s AS (SELECT min(ts) AS t0 FROM h)

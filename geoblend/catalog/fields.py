@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibrate, field, metrics, state
+from ..operators import calibrate, daily, field, metrics, spatial, state
 from ..sources import roles as R
 from ..sources.tables import Source, written
 from .etl import daily_sparse
-from .registry import query, roles, rounded
+from .geometry import STATIONS, station_points
+from .registry import ORACLES, query, roles, rounded
 
 SOURCES = [Source("station", "station", 0.3), Source("satellite", "satellite", 0.8, 0.9, 0.1)]
 
@@ -119,27 +120,80 @@ def field_loso(spark, sf_dir: str) -> DataFrame:
 
 @query()
 def field_cases(spark, sf_dir: str) -> DataFrame:
-    """Experiment cases (stations, satellite, both) scored at the stations."""
+    """Experiment cases (stations, prior alone, prior with satellite, both) scored at the stations."""
     rows = scaled_long(spark, sf_dir)
     f = inducing(rows)
     own = field.information_sums(rows, f, key="source")
-    sums = {"station": own["station"], "satellite": own["satellite"], "both": own["station"] + own["satellite"]}
+    none = field.Sums(0 * own["station"].a, 0 * own["station"].b)
+    sums = {"station": own["station"], "prior": none, "prior_satellite": own["satellite"], "both": own["station"] + own["satellite"]}
     stations = rows.filter("source = 'station'").withColumn("case", F.explode(F.array(*[F.lit(c) for c in sums])))
     out = field.predict(stations, {c: field.fit(s, f) for c, s in sums.items()}, key="case", noise=0.3)
     return rounded(metrics.evaluate(out, "value", by=["case"]).select("case", "n", "rmse", "mae", "crps", "coverage_90"), 4)
 
 
+@query()
+def field_export(spark, sf_dir: str) -> DataFrame:
+    """The fitted field on every cell and day in the target's units, with bounds and the observations there."""
+    rows = scaled_long(spark, sf_dir)
+    f = inducing(rows)
+    post = field.fit(field.information_sums(rows, f)[""], f)
+    days = rows.select("day", "t").distinct()
+    grid = spatial.space_time_frame(rows.select("grid_id", "x", "y", "prior").distinct(), days)
+    out = field.exported(field.predict(grid, post), 50.0, 100.0).select("grid_id", "day", "mean", "std", "lower_95", "upper_95")
+    seen = rows.groupBy("grid_id", "day").agg(*[F.first(F.when(F.col("source") == k, 50.0 + 100.0 * F.col("value")), True).alias(k) for k in ("station", "satellite")])
+    return rounded(daily.attach_observations(out, seen, ["station", "satellite"], ("grid_id", "day")), 4)
+
+
+def _day_states(rows: DataFrame) -> field.DayStates:
+    f = field.Field(field.even_points(rows, 24, 1))
+    return field.sequential_filter(rows, f, sorted(r[0] for r in rows.select("day").distinct().collect()))
+
+
+def _day_grid(long: DataFrame, days: DataFrame) -> DataFrame:
+    return long.select("grid_id", "x", "y", "prior").distinct().crossJoin(F.broadcast(days))
+
+
 @query()
 def day_maps(spark, sf_dir: str) -> DataFrame:
     """Day-by-day fusion: filtered and smoothed mean and std of every cell on every day with data."""
-    rows = scaled_long(spark, sf_dir).filter("source = 'station'")
-    f = field.Field(field.even_points(rows, 24, 1))
-    days = sorted(r[0] for r in rows.select("day").distinct().collect())
-    states = field.sequential_filter(rows, f, days)
-    grid = scaled_long(spark, sf_dir).select("grid_id", "x", "y", "prior").distinct().crossJoin(F.broadcast(rows.select("day").distinct()))
-    filtered = field.predict_states(grid, states).select("grid_id", "day", "mean", "std", "n_obs")
-    smooth = field.predict_states(grid, field.smooth_states(states)).select("grid_id", "day", F.col("mean").alias("smooth_mean"), F.col("std").alias("smooth_std"))
-    return rounded(filtered.join(smooth, ["grid_id", "day"]), 4)
+    long = scaled_long(spark, sf_dir)
+    rows = long.filter("source = 'station'")
+    states = _day_states(rows)
+    out = field.predict_states(_day_grid(long, rows.select("day").distinct()), states, smoothed=field.smooth_states(states))
+    return rounded(out.select("grid_id", "day", "mean", "std", "n_obs", "smooth_mean", "smooth_std"), 4)
+
+
+@query()
+def shifted_day_maps(spark, sf_dir: str) -> DataFrame:
+    """Maps of the first ten days, moved by the stations' residual biases spread over the cells, bounds included."""
+    long = scaled_long(spark, sf_dir)
+    rows = long.filter("source = 'station'")
+    states = _day_states(rows)
+    anchors = calibrate.residual_bias(field.predict_states(rows, states), "value", by=["grid_id", "x", "y"])
+    anchors = anchors.select(F.col("grid_id").alias("ord"), F.col("x").alias("latitude"), F.col("y").alias("longitude"), F.col("bias").alias("value"))
+    cells = long.select("grid_id", F.col("x").alias("latitude"), F.col("y").alias("longitude")).distinct()
+    shift = spatial.idw(cells, anchors, "grid_id", default=0.0).select("grid_id", F.col("value").alias("bias"))
+    days = rows.select("day").distinct().orderBy("day").limit(10)
+    maps = field.exported(field.predict_states(_day_grid(long, days), states), 0.0, 1.0)
+    out = calibrate.shifted(maps.join(shift, "grid_id"), "bias")
+    return rounded(field.exported(out, 50.0, 100.0, ()).select("grid_id", "day", "mean", "std", (50.0 + 100.0 * F.col("lower_95")).alias("lower_95"), (50.0 + 100.0 * F.col("upper_95")).alias("upper_95")), 4)
+
+
+@query(roles("predictions") + """, b AS (SELECT station, avg(y - mean) AS bias FROM predictions GROUP BY station)
+    SELECT id, round(mean + bias, 6) AS mean, round(mean - 1.959963984540054e0 * std + bias, 6) AS lower_95, round(mean + 1.959963984540054e0 * std + bias, 6) AS upper_95 FROM predictions JOIN b USING (station)""")
+def shifted_bounds(spark, sf_dir: str) -> DataFrame:
+    """Predictions and bounds moved by their station's mean residual."""
+    df = R.predictions(spark, sf_dir)
+    bias = calibrate.residual_bias(df, by=["station"]).select("station", "bias")
+    out = calibrate.shifted(field.exported(df.select("id", "station", "mean", "std")).join(bias, "station"), "bias")
+    return rounded(out.select("id", "mean", "lower_95", "upper_95"))
+
+
+@query(roles("daily", "priors") + """, d AS (SELECT grid_id, date, station, lur FROM daily JOIN priors USING (grid_id)), f AS (SELECT regr_slope(station, lur) AS a, regr_intercept(station, lur) AS b FROM d)
+    SELECT grid_id, date, round(a * lur + b, 4) AS prior_scaled FROM d, f""", date="date")
+def scaled_prior(spark, sf_dir: str) -> DataFrame:
+    df = daily_sparse(spark, sf_dir).join(R.priors(spark, sf_dir), "grid_id")
+    return rounded(calibrate.scaled_prior(df, "station", "lur").select("grid_id", "date", "prior_scaled"), 4)
 
 
 @query()
@@ -152,14 +206,36 @@ def kriged_day(spark, sf_dir: str) -> DataFrame:
     return rounded(field.regression_kriging(rows.filter(F.col("day") == day), grid, f, noise=0.3), 4)
 
 
-@query()
+def _unit(tag: str) -> str:
+    """The draws' uniform numbers: md5 of id, tagged index and seed."""
+    return f"(('0x' || substr(md5(id || '|{tag}' || i || '|1'), 1, 8))::UBIGINT / 4294967296e0 + 1.1641532182693481e-10)"
+
+
+@query(roles("predictions") + f""", d AS (SELECT id, source, y, i, mean + std * sqrt(-2 * ln({_unit('a')})) * cos(2 * pi() * {_unit('b')}) AS x FROM predictions, range(1, 17) t(i)),
+    a AS (SELECT id, source, avg(abs(x - y)) AS near FROM d GROUP BY id, source), h AS (SELECT p.id, avg(abs(p.x - q.x)) AS apart FROM d p JOIN d q ON p.id = q.id AND q.i = p.i + 8 WHERE p.i <= 8 GROUP BY p.id)
+    SELECT source, round(avg(near - 0.5e0 * apart), 4) AS energy FROM a JOIN h USING (id) GROUP BY source""")
 def sampled_energy(spark, sf_dir: str) -> DataFrame:
     """Energy score of marginal draws of every prediction, by source."""
     df = field.samples(R.predictions(spark, sf_dir), ["id"], 16)
     return rounded(df.groupBy("source").agg(F.avg(metrics.energy_score("samples", F.col("y"))).alias("energy")), 4)
 
 
-@query(date="date")
+def _solve2(p: str, q: str, r: str, u: str, v: str) -> tuple[str, str]:
+    """The solution of the symmetric system p x + q y = u, q x + r y = v as SQL."""
+    det = f"({p} * {r} - {q} * {q})"
+    return f"(({u} * {r} - {v} * {q}) / {det})", f"(({v} * {p} - {u} * {q}) / {det})"
+
+
+# The ridge's three equations, the intercept eliminated first: its row is (n + 1, s1, s2 | t).
+_RIDGE = """, j AS (SELECT *, station - lur AS res FROM daily JOIN priors USING (grid_id)),
+    m AS (SELECT avg(satellite) AS m1, stddev_pop(satellite) AS d1, avg(traffic) AS m2, stddev_pop(traffic) AS d2 FROM j),
+    z AS (SELECT grid_id, date, lur, res, coalesce((satellite - m1) / d1, 0) AS z1, coalesce((traffic - m2) / d2, 0) AS z2 FROM j, m),
+    s AS (SELECT count(*) + 1e0 AS n, sum(z1) AS s1, sum(z2) AS s2, sum(z1 * z1) + 1 AS q11, sum(z1 * z2) AS q12, sum(z2 * z2) + 1 AS q22, sum(res) AS t, sum(res * z1) AS t1, sum(res * z2) AS t2 FROM z WHERE res IS NOT NULL),
+    e AS (SELECT *, q11 - s1 * s1 / n AS p, q12 - s1 * s2 / n AS q, q22 - s2 * s2 / n AS r, t1 - s1 * t / n AS u, t2 - s2 * t / n AS v FROM s),
+    w AS (SELECT n, t, s1, s2, {} AS w1, {} AS w2 FROM e), c AS (SELECT w1, w2, (t - s1 * w1 - s2 * w2) / n AS w0 FROM w)""".format(*_solve2("p", "q", "r", "u", "v"))
+
+
+@query(roles("daily", "priors") + _RIDGE + " SELECT grid_id, date, round(lur + w0 + w1 * least(greatest(z1, -5e0), 5e0) + w2 * least(greatest(z2, -5e0), 5e0), 4) AS corrected FROM z, c", date="date")
 def daily_correction(spark, sf_dir: str) -> DataFrame:
     """Prior corrected by a ridge of residuals on standardised covariates."""
     df = daily_sparse(spark, sf_dir).join(R.priors(spark, sf_dir), "grid_id").withColumn("residual", F.col("station") - F.col("lur"))
@@ -167,6 +243,36 @@ def daily_correction(spark, sf_dir: str) -> DataFrame:
     return rounded(df.select("grid_id", "date", (F.col("lur") + calibrate.apply_ridge(coef, scale)).alias("corrected")), 4)
 
 
+@query(roles("cells", "hourly", "daily", "priors") + _RIDGE + f""", {STATIONS}, g AS (SELECT DISTINCT grid_id, latitude, longitude FROM z JOIN cells USING (grid_id)),
+    k AS (SELECT s.station, arg_min(g.grid_id, (sqrt((g.latitude - s.latitude) ** 2 + (g.longitude - s.longitude) ** 2), g.grid_id)) AS near_id FROM stations s, g GROUP BY s.station),
+    days AS (SELECT DISTINCT date FROM z), f AS (SELECT station, near_id, DATE '2023-12-25' + 7 * (i::INT) AS date FROM k, range(6) t(i)),
+    nd AS (SELECT f.date, arg_min(days.date, (abs(date_diff('day', f.date, days.date)), days.date)) AS nearest_day FROM (SELECT DISTINCT date FROM f) f, days GROUP BY f.date)
+    SELECT station, f.date, near_id, nearest_day::VARCHAR AS nearest_day, round(CASE WHEN z1 IS NULL THEN 0 ELSE w0 + w1 * least(greatest(z1, -5e0), 5e0) + w2 * least(greatest(z2, -5e0), 5e0) END, 4) AS correction
+    FROM f JOIN nd USING (date) CROSS JOIN c LEFT JOIN z ON z.grid_id = near_id AND z.date = nearest_day""", date="date")
+def correction_at_stations(spark, sf_dir: str) -> DataFrame:
+    """The correction at places off the grid on weekly days, some outside the data: nearest cell, nearest day."""
+    df = daily_sparse(spark, sf_dir).join(R.priors(spark, sf_dir), "grid_id").join(R.cells(spark, sf_dir), "grid_id").withColumn("residual", F.col("station") - F.col("lur"))
+    df = written(df, "correction-days")
+    coef, scale = calibrate.standardized_ridge(df, df, ["satellite", "traffic"], "residual")
+    weeks = F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.date_add(F.lit("2023-12-25").cast("date"), 7 * i)))
+    places = station_points(spark, sf_dir).select("station", "latitude", "longitude", weeks.alias("date"))
+    out = calibrate.correction_at(places, df, coef, scale, "station", (0.001, 0.0015))
+    return rounded(out.select("station", "date", "near_id", F.col("nearest_day").cast("string").alias("nearest_day"), "correction"), 4)
+
+
+@query(roles("daily", "priors") + """, d AS (SELECT grid_id, date, station, lur, satellite FROM daily JOIN priors USING (grid_id)), m AS (SELECT avg(satellite) AS m FROM d WHERE station IS NOT NULL),
+    x AS (SELECT d.*, coalesce(satellite, m) AS s FROM d, m), f AS (SELECT covar_pop(lur, lur) AS p, covar_pop(lur, s) AS q, covar_pop(s, s) AS r, covar_pop(lur, station) AS u, covar_pop(s, station) AS v, avg(lur) AS ml, avg(s) AS ms, avg(station) AS my FROM x WHERE station IS NOT NULL),
+    w AS (SELECT """ + "{} AS w1, {} AS w2".format(*_solve2("p", "q", "r", "u", "v")) + """, ml, ms, my FROM f)
+    SELECT grid_id, date, round(my + w1 * (lur - ml) + w2 * (s - ms), 4) AS predicted FROM x, w""", date="date")
+def regression_on_sources(spark, sf_dir: str) -> DataFrame:
+    """Least-squares prediction of the stations by prior and satellite."""
+    df = daily_sparse(spark, sf_dir).join(R.priors(spark, sf_dir), "grid_id")
+    means = df.filter("station is not null").agg(F.avg("satellite").alias("m"))
+    w = calibrate.fit_linear(df, ["lur", "satellite"], "station")
+    pred = float(w[0]) + float(w[1]) * F.col("lur") + float(w[2]) * F.coalesce("satellite", "m")
+    return rounded(df.crossJoin(F.broadcast(means)).select("grid_id", "date", pred.alias("predicted")), 4)
+
+
 @query(date="date")
 def regression_features(spark, sf_dir: str) -> DataFrame:
     """Least-squares prediction of the stations by coordinates, prior and satellite."""
@@ -179,19 +285,26 @@ def regression_features(spark, sf_dir: str) -> DataFrame:
     return rounded(out.select("grid_id", "date", pred.alias("predicted")), 4)
 
 
-@query(roles("hourly") + " SELECT grid_id, ts::DATE AS date, kind AS source, round(avg(value), 6) AS value, count(*) AS n FROM hourly WHERE kind IS NOT NULL AND kind = 'station' GROUP BY ALL", date="date")
+@query(roles("hourly") + " SELECT grid_id, ts::DATE AS date, kind AS source, round(avg(value), 6) AS value, count(*) AS n FROM hourly WHERE kind IS NOT NULL GROUP BY ALL", date="date")
 def streamed_daily_mean(spark, sf_dir: str) -> DataFrame:
-    """The readings replayed as a stream: daily means equal to the batch ones."""
-    import uuid
-
-    from ..streaming.daily import streaming_daily_mean
+    """The readings of all sources replayed as a stream: daily means equal to the batch ones."""
+    from ..streaming.daily import replayed, streaming_daily_mean
 
     r, c = R._row_col(F.col("user_id") * 10)
+    kind = F.create_map(*[F.lit(x) for k, v in R.KINDS.items() for x in (v, k)])
     schema = R.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).filter(F.col("event_type") == R.KINDS["station"])
-    stream = stream.select(R.grid_id(r, c).alias("grid_id"), "ts", F.lit("station").alias("source"), "value")
-    name = f"s{uuid.uuid4().hex}"
-    days = streaming_daily_mean(stream)
-    run = days.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return rounded(spark.table(name))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).filter(F.col("event_type").isin(list(R.KINDS.values())))
+    stream = stream.select(R.grid_id(r, c).alias("grid_id"), "ts", kind[F.col("event_type")].alias("source"), "value")
+    return rounded(replayed(streaming_daily_mean(stream), ["grid_id", "date", "source"], "daily-means"))
+
+
+def streamed_cell_filter(spark, sf_dir: str) -> DataFrame:
+    """The daily rows replayed as a stream through the filter with kept state: equal to the batch filter."""
+    from ..streaming.daily import replayed, streaming_filter
+
+    rows = written(day_rows(spark, sf_dir), "stream-days")
+    stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    return rounded(replayed(streaming_filter(stream), ["grid_id", "day"], "cell-filter", mode="append"))
+
+
+query(ORACLES["cell_filter"])(streamed_cell_filter)

@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .daily import nearest_days
+from .spatial import nearest_join
+
 from ..functions.numerics import hash_unit
 
 #: With fewer colocated points than this the calibration is the identity.
@@ -80,6 +83,30 @@ def pattern_prior(df: DataFrame, prior: str, pattern: str, day: str = "date", da
     return out.select("grid_id", (F.col("p") + shift).alias("prior_corrected"), shift.alias("shift"))
 
 
+def shifted(df: DataFrame, bias: str, columns: tuple[str, ...] = ("mean", "lower_95", "upper_95")) -> DataFrame:
+    """Predictions and their bounds moved by the bias column (none: 0); widths stay."""
+    return df.withColumns({c: F.col(c) + F.coalesce(F.col(bias), F.lit(0.0)) for c in columns})
+
+
+def scaled_prior(df: DataFrame, y: str, prior: str, name: str = "prior_scaled") -> DataFrame:
+    """The prior times the slope plus the intercept of y on it; without a fit the prior itself."""
+    fit = df.filter(F.col(y).isNotNull() & F.col(prior).isNotNull()).agg(F.regr_slope(y, prior).alias("_a"), F.regr_intercept(y, prior).alias("_b"))
+    return df.crossJoin(F.broadcast(fit)).withColumn(name, F.coalesce(F.col("_a") * F.col(prior) + F.col("_b"), F.col(prior))).drop("_a", "_b")
+
+
+def correction_at(places: DataFrame, days: DataFrame, coefficients: np.ndarray, scale: dict[str, tuple[float, float]], key: str, size: tuple[float, float], day: str = "date") -> DataFrame:
+    """Adds near_id, nearest_day, correction to places(key, latitude, longitude, day): the ridge's value on the covariates of
+    the nearest cell on the nearest day of days(grid_id, latitude, longitude, day, covariates); without covariates there, 0."""
+    cells = days.select("grid_id", "latitude", "longitude").distinct()
+    where = places.select(key, "latitude", "longitude").distinct()
+    near = nearest_join(where, cells, key, size, []).select(key, "near_id")
+    when = nearest_days(places, days, day)
+    asked = places.join(near, key, "left").join(when, day, "left")
+    known = days.select(F.col("grid_id").alias("near_id"), F.col(day).alias("nearest_day"), apply_ridge(coefficients, scale).alias("correction"))
+    out = asked.join(known, ["near_id", "nearest_day"], "left")
+    return out.select(*places.columns, "near_id", "nearest_day", F.coalesce("correction", F.lit(0.0)).alias("correction"))
+
+
 def residual_bias(df: DataFrame, y: str = "y", mean: str = "mean", by: list[str] | None = None) -> DataFrame:
     """Mean residual, global or by anchor."""
     return df.filter(F.col(y).isNotNull()).groupBy(*(by or [])).agg(F.avg(F.col(y) - F.col(mean)).alias("bias"), F.count(F.lit(1)).alias("n"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numerics import hash_unit
+from ..functions.scalars import interval
 from ..functions.threads import use_one_thread
 from ..sources.tables import Source
 
@@ -93,13 +94,17 @@ def _add_blocks(pdf: pd.DataFrame) -> tuple:
     return total("a"), total("b"), int(pdf["n"].sum()), *(float(pdf[c].sum()) for c in ("square", "log_noise", "precision"))
 
 
-def information_sums(rows: DataFrame, fields: Field | dict[str, Field], key: str | None = None, parts: int = 16) -> dict[str, Sums]:
+def information_sums(rows: DataFrame, fields: Field | dict[str, Field], key: str | None = None, parts: int = 16, most_keys: int = 256) -> dict[str, Sums]:
     """Sums by key of rows(x, y, t, value, prior, slope, intercept, noise[, key]). With several named fields, a key is 'name'
-    or 'name|key'. Rows with a null are skipped."""
+    or 'name|key'. Rows with a null are skipped. A task holds the blocks of at most `most_keys` keys."""
     named = fields if isinstance(fields, dict) else {"": fields}
     cols = [*COORDS, "value", "prior", "slope", "intercept", "noise"]
     df = rows.select(*[F.col(c).cast("double").alias(c) for c in cols], (F.col(key).cast("string") if key else F.lit("")).alias("key")).dropna()
 
+    def blocks_of(acc: dict[str, Sums]) -> pd.DataFrame:
+        rows = [(k, s.a.tobytes(), s.b.tobytes(), s.n, s.square, s.log_noise, s.precision) for k, s in acc.items()]
+        return pd.DataFrame(rows, columns=["key", "a", "b", "n", "square", "log_noise", "precision"])
+
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[str, Sums] = {}
         for pdf in batches:
@@ -112,8 +117,11 @@ def information_sums(rows: DataFrame, fields: Field | dict[str, Field], key: str
                     own = Sums(kx.T @ (kx * (a * a / s2)[:, None]), kx.T @ (a * r / s2), len(g), float((r * r / s2).sum()), float(np.log(s2).sum()), float((a * a / s2).sum() * f.variance))
                     tag = f"{name}|{k}" if name and key else name or k
                     acc[tag] = acc[tag] + own if tag in acc else own
+                    if len(acc) >= most_keys:
+                        yield blocks_of(acc)
+                        acc = {}
         if acc:
-            yield pd.DataFrame([(k, s.a.tobytes(), s.b.tobytes(), s.n, s.square, s.log_noise, s.precision) for k, s in acc.items()], columns=["key", "a", "b", "n", "square", "log_noise", "precision"])
+            yield blocks_of(acc)
 
     def add(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(keys[0], *_add_blocks(pdf))], columns=["key", "a", "b", "n", "square", "log_noise", "precision"])
@@ -193,18 +201,35 @@ def predict(rows: DataFrame, posterior: Posterior | dict[str, Posterior], key: s
     return rows.mapInPandas(run, schema)
 
 
+def exported(df: DataFrame, shift: float = 0.0, scale: float = 1.0, levels: tuple[float, ...] = (0.95,), mean: str = "mean", std: str = "std") -> DataFrame:
+    """Predictions in the target's own units (mean * scale + shift, std * scale) with their central intervals."""
+    out = df.withColumns({mean: F.col(mean) * scale + shift, std: F.col(std) * scale})
+    return out.select("*", *interval(F.col(mean), F.col(std), levels))
+
+
 def leave_key_out(rows: DataFrame, total: Sums, f: Field, key: str, noise: float | None = None) -> DataFrame:
     """Adds mean and std at rows(key, x, y, t, value, prior, slope, intercept, noise) from a field fitted without the rows
-    of the same key: a task subtracts the key's own sums from the total. Keys (stations) have few rows each."""
+    of the same key. A task takes the key's r rows out of the total by a downdate of rank r of the inverses computed
+    once; only keys with more rows than inducing points subtract their sums and solve anew."""
     schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema) + ", mean double, std double"
+    k = f.gram() + f.jitter * np.eye(len(f.points))
+    k_inv, m_inv = (solve_spd(m, np.eye(len(k))) for m in (k, k + total.a))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[list(COORDS)].to_numpy(dtype=float)
         a, s2 = pdf["slope"].to_numpy(), pdf["noise"].to_numpy() ** 2
         r = pdf["value"].to_numpy() - pdf["intercept"].to_numpy() - a * pdf["prior"].to_numpy()
         kx = f.cov(x, f.points)
-        own = Sums(kx.T @ (kx * (a * a / s2)[:, None]), kx.T @ (a * r / s2))
-        mean, var = fit(total - own, f).at(x)
+        w = a * a / s2
+        if len(pdf) > len(f.points):
+            own = Sums(kx.T @ (kx * w[:, None]), kx.T @ (a * r / s2))
+            mean, var = fit(total - own, f).at(x)
+        else:
+            g = kx @ m_inv
+            s = g @ kx.T
+            left = g + s @ np.linalg.solve(np.eye(len(pdf)) - w[:, None] * s, w[:, None] * g)  # kx (M - own)^-1
+            mean = left @ (total.b - kx.T @ (a * r / s2))
+            var = np.maximum(f.variance - np.einsum("ij,jk,ik->i", kx, k_inv, kx, optimize=True) + np.einsum("ij,ij->i", left, kx), 1e-12)
         return pdf.assign(mean=mean + pdf["prior"].to_numpy(dtype=float), std=np.sqrt(var + (noise or 0.0) ** 2))
 
     return rows.groupBy(key).applyInPandas(run, schema)
@@ -313,37 +338,47 @@ def smooth_states(s: DayStates) -> DayStates:
     return replace(s, mean=mean, cov=cov)
 
 
-def predict_states(rows: DataFrame, s: DayStates, day: str = "day", var_floor: float = 0.5, clip: float | None = None) -> DataFrame:
-    """Adds mean, std, n_obs at rows(x, y, prior, day): the nearest known day's state; var_floor * k(x, x) is added to the variance."""
+def predict_states(rows: DataFrame, s: DayStates, day: str = "day", var_floor: float = 0.5, smoothed: DayStates | None = None) -> DataFrame:
+    """Adds mean, std, n_obs at rows(x, y, prior, day): the nearest known day's state; var_floor * k(x, x) is added to the
+    variance. With smoothed states of the same days also smooth_mean, smooth_std, in the same pass."""
     k = s.field.gram()
     k_inv = solve_spd(k + s.field.jitter * np.eye(len(k)), np.eye(len(k)))
     days = np.array(s.days)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", mean double, std double, n_obs int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", mean double, std double, n_obs int" + ", smooth_mean double, smooth_std double" * (smoothed is not None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = np.abs(pdf[day].to_numpy(dtype=float)[:, None] - days[None, :]).argmin(axis=1)
             x = np.column_stack([pdf["x"].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float), np.zeros(len(pdf))])
             h = s.field.cov(x, s.field.points) @ k_inv
-            mean, var = np.empty(len(pdf)), np.empty(len(pdf))
-            for i in np.unique(at):
-                own = at == i
-                mean[own] = h[own] @ s.mean[i]
-                var[own] = np.einsum("ij,jk,ik->i", h[own], s.cov[i], h[own], optimize=True)
             explained = np.einsum("ij,ij->i", h, s.field.cov(x, s.field.points))
-            var = np.maximum(var + np.maximum(s.field.variance - explained, 0) + var_floor * s.field.variance, 1e-12)
-            yield pdf.assign(mean=mean + pdf["prior"].to_numpy(dtype=float), std=np.sqrt(var), n_obs=np.array(s.counts, dtype=np.int32)[at])
+            prior, new = pdf["prior"].to_numpy(dtype=float), {}
+            for name, states in (("", s), *([("smooth_", smoothed)] if smoothed is not None else [])):
+                mean, var = np.empty(len(pdf)), np.empty(len(pdf))
+                for i in np.unique(at):
+                    own = at == i
+                    mean[own] = h[own] @ states.mean[i]
+                    var[own] = np.einsum("ij,jk,ik->i", h[own], states.cov[i], h[own], optimize=True)
+                var = np.maximum(var + np.maximum(s.field.variance - explained, 0) + var_floor * s.field.variance, 1e-12)
+                new |= {f"{name}mean": mean + prior, f"{name}std": np.sqrt(var)} | ({} if name else {"n_obs": np.array(s.counts, dtype=np.int32)[at]})
+            yield pdf.assign(**new)
 
     return rows.mapInPandas(run, schema)
 
 
 def regression_kriging(day_rows: DataFrame, grid: DataFrame, f: Field, noise: float = 1.0, limit: int = 5_000) -> DataFrame:
-    """One day: observations on baseline by least squares, residuals interpolated by a dense GP of the stations (few,
-    checked), value at grid(x, y, baseline). Fewer than 5 stations give the regression only."""
+    """One day: observations on baseline by least squares, residuals interpolated by a GP of the stations (dense up to
+    `limit`, by sums over inducing points beyond), value at grid(x, y, baseline). Fewer than 5 stations give the
+    regression only."""
     fitted = day_rows.agg(F.regr_slope("value", "baseline").alias("a"), F.regr_intercept("value", "baseline").alias("b"), F.count(F.lit(1)).alias("n")).first()
     a, b = (fitted["a"], fitted["b"]) if fitted["a"] is not None else (1.0, 0.0)
-    if fitted["n"] > limit:
-        raise ValueError("too many stations for a dense solve; use information_sums")
+    if fitted["n"] > limit:  # inducing points in hash order, and sums from all rows
+        residuals = day_rows.select("x", "y", F.lit(0.0).alias("t"), F.col("value").alias("value"), "baseline").withColumns(
+            {"prior": F.col("baseline"), "slope": F.lit(1.0), "intercept": F.lit(b) + (a - 1) * F.col("baseline"), "noise": F.lit(noise)}
+        )
+        sparse = replace(f, points=hashed_points(residuals, min(limit, 500)))
+        asked = grid.withColumns({"t": F.lit(0.0), "prior": a * F.col("baseline") + b})
+        return predict(asked, fit(information_sums(residuals, sparse)[""], sparse)).select(*grid.columns, "mean")
     rows = day_rows.select("x", "y", (F.col("value") - a * F.col("baseline") - b).alias("r")).orderBy("x", "y", "r").collect()
     schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in grid.schema) + ", mean double"
     pts = np.array([(r["x"], r["y"], 0.0) for r in rows]).reshape(-1, 3)

@@ -125,16 +125,21 @@ def with_centroid(cells: DataFrame, ring: str = "ring") -> DataFrame:
 # --- sinks -----------------------------------------------------------------------------------------------------------
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir; an own one only where that is unset) and
-    read back: for tables used several times, and to cut lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables between steps are written: below spark.checkpoint.dir; an own folder only where that is unset on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/geoblend-shared"
-    path = f"{base.rstrip('/')}/geoblend/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/geoblend"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that all executors share (spark.checkpoint.dir; an own one only where that is unset) and
+    read back: for tables used several times, and to cut lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

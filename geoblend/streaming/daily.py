@@ -1,7 +1,11 @@
-"""The daily means and the per-cell filter over a stream of readings; replayed whole, they equal the batch operators."""
+"""The daily means and the per-cell filter over a stream of readings; replayed whole, they equal the batch operators.
+
+The means suit update and append mode, where the watermark drops late rows (complete mode keeps all state and drops none).
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.tables import path_exists, shared_folder
+
 
 def streaming_daily_mean(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """grid_id, date, source, value, n: tumbling one-day windows; rows later than the watermark are dropped."""
@@ -17,6 +23,26 @@ def streaming_daily_mean(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return days.select("grid_id", F.to_date("window.start").alias("date"), "source", "value", "n")
 
 
+def replayed(result: DataFrame, keys: list[str], name: str, mode: str = "update", folder: str | None = None) -> DataFrame:
+    """Run a stream over what there is now, its batches written to a table in the shared folder, and read the last row of
+    each key (update mode writes a key again when it changes). Nothing passes through the driver."""
+    spark = result.sparkSession
+    base = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        # By number and overwritten: a batch that is run again after a failure replaces its first try.
+        batch.write.mode("overwrite").parquet(f"{base}/rows/n_batch={number}")
+
+    run = result.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    if not path_exists(spark, f"{base}/rows"):
+        return spark.createDataFrame([], result.schema)
+    rows = spark.read.parquet(f"{base}/rows")
+    rest = [c for c in result.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "n_batch").alias("_r"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in result.columns])
+
+
 def streaming_filter(stream: DataFrame, q: float = 0.5, r: float = 2.0) -> DataFrame:
     """grid_id, day, mean, var of rows(grid_id, day, value, prior): the random-walk filter with (mean, var, last day) as state.
 
