@@ -211,9 +211,9 @@ def _unit(tag: str) -> str:
     return f"(('0x' || substr(md5(id || '|{tag}' || i || '|1'), 1, 8))::UBIGINT / 4294967296e0 + 1.1641532182693481e-10)"
 
 
-@query(roles("predictions") + f""", d AS (SELECT id, source, y, i, mean + std * sqrt(-2 * ln({_unit('a')})) * cos(2 * pi() * {_unit('b')}) AS x FROM predictions, range(1, 17) t(i)),
-    a AS (SELECT id, source, avg(abs(x - y)) AS near FROM d GROUP BY id, source), h AS (SELECT p.id, avg(abs(p.x - q.x)) AS apart FROM d p JOIN d q ON p.id = q.id AND q.i = p.i + 8 WHERE p.i <= 8 GROUP BY p.id)
-    SELECT source, round(avg(near - 0.5e0 * apart), 4) AS energy FROM a JOIN h USING (id) GROUP BY source""")
+@query(roles("predictions") + f""", k AS (SELECT *, row_number() OVER () AS k FROM predictions), d AS (SELECT k, source, y, i, mean + std * sqrt(-2 * ln({_unit('a')})) * cos(2 * pi() * {_unit('b')}) AS x FROM k, range(1, 17) t(i)),
+    a AS (SELECT k, source, avg(abs(x - y)) AS near FROM d GROUP BY k, source), h AS (SELECT p.k, avg(abs(p.x - q.x)) AS apart FROM d p JOIN d q ON p.k = q.k AND q.i = p.i + 8 WHERE p.i <= 8 GROUP BY p.k)
+    SELECT source, round(avg(near - 0.5e0 * apart), 4) AS energy FROM a JOIN h USING (k) GROUP BY source""")
 def sampled_energy(spark, sf_dir: str) -> DataFrame:
     """Energy score of marginal draws of every prediction, by source."""
     df = field.samples(R.predictions(spark, sf_dir), ["id"], 16)

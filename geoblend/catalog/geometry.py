@@ -191,6 +191,15 @@ def value_grid(spark, sf_dir: str) -> DataFrame:
     return rounded(spatial.grid_from_values(R.cells(spark, sf_dir)), 9)
 
 
+@query(roles("cells") + """, b AS (SELECT min(latitude) AS s, max(latitude) AS n, min(longitude) AS w, max(longitude) AS e FROM cells),
+    p AS (SELECT *, 300 / 111320e0 AS dl, 300 / (111320e0 * cos(radians((s + n) / 2))) AS dn FROM b), q AS (SELECT *, ceil((n - s) / dl)::BIGINT AS ni, ceil((e - w) / dn)::BIGINT AS nj FROM p)
+    SELECT k, (k // nj)::INT AS grid_i, (k % nj)::INT AS grid_j, round(s + (k // nj) * dl, 9) AS latitude, round(w + (k % nj) * dn, 9) AS longitude FROM q, LATERAL (SELECT unnest(range(ni * nj)) AS k)""")
+def analysis_grid(spark, sf_dir: str) -> DataFrame:
+    """A regular grid of 300 m over the cells' bounds."""
+    b = R.cells(spark, sf_dir).agg(F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude")).first()
+    return rounded(spatial.grid_from_bounds(spark, *b, 300.0), 9)
+
+
 @query(roles("cells") + ", t AS (SELECT DISTINCT ts::DATE AS date FROM events) SELECT date, count(*) AS n, round(sum(latitude), 4) AS total FROM cells, t GROUP BY date", date="date")
 def space_time_frame(spark, sf_dir: str) -> DataFrame:
     times = R.table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).distinct()

@@ -99,3 +99,64 @@ def test_leave_key_out_equals_refit(spark):
         rest = field.fit(field.information_sums(df.filter(F.col("day") != d), f)[""], f)
         for r in field.predict(df.filter(F.col("day") == d), rest).collect():
             assert got[(r["x"], r["y"])] == pytest.approx((r["mean"], r["std"]), abs=1e-6)
+
+
+def test_left_out_keys_equal_a_new_fit(spark):
+    """Low-rank downdates, and keys with more rows than inducing points, against sums without the key."""
+    df = rows_of(spark, 60)
+    rows = df.collect()
+    at = lambda rs: np.array([(r["x"], r["y"], r["t"]) for r in rs])
+    for f in (field.Field(field.regular_points(3, 2)), field.Field(field.regular_points(2, 1))):
+        total, by_day = field.information_sums(df, f)[""], field.information_sums(df, f, key="day")
+        got = field.leave_key_out(df, total, f, "day", noise=0.1).collect()
+        for day in range(4):
+            mean, var = field.fit(total - by_day[str(day)], f).at(at([r for r in got if r["day"] == day]))
+            assert [r["mean"] - r["prior"] for r in got if r["day"] == day] == pytest.approx(mean, abs=1e-6)
+            assert [r["std"] ** 2 - 0.01 for r in got if r["day"] == day] == pytest.approx(var, abs=1e-6)
+    assert len(got) == len(rows)
+
+
+def test_task_memory_does_not_change_sums(spark):
+    df = rows_of(spark)
+    f = field.Field(field.regular_points(2, 1))
+    a, b = field.information_sums(df, f, key="day"), field.information_sums(df, f, key="day", most_keys=1)
+    assert a.keys() == b.keys() and all(a[k].a == pytest.approx(b[k].a) and a[k].n == b[k].n for k in a)
+
+
+def test_export_inverts_the_scaling(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (1.5, 0.5)], "mean double, std double")
+    got = field.exported(df, 20.0, 10.0, (0.95, 0.5)).collect()
+    assert [(r["mean"], r["std"]) for r in got] == [(20.0, 10.0), (35.0, 5.0)]
+    assert all(r["upper_95"] - r["mean"] == pytest.approx(1.959963984540054 * r["std"]) and r["lower_95"] < r["lower_50"] < r["mean"] < r["upper_50"] for r in got)
+
+
+def test_day_states_properties(spark):
+    """Variances shrink with data, days without data only propagate, both states come from one pass."""
+    df = rows_of(spark, 48)
+    f = field.Field(field.regular_points(3, 1), jitter=1e-8)
+    states = field.sequential_filter(df, f, [0, 1, 2, 3, 20])
+    smooth = field.smooth_states(states)
+    grid = spark.createDataFrame([(0.2, 0.3, 1.0, d) for d in (0, 1, 2, 3, 20)], "x double, y double, prior double, day int")
+    got = {r["day"]: r for r in field.predict_states(grid, states, smoothed=smooth).collect()}
+    apart = {r["day"]: r for r in field.predict_states(grid, smooth).collect()}
+    assert all(got[d]["smooth_mean"] == pytest.approx(apart[d]["mean"]) and got[d]["smooth_std"] == pytest.approx(apart[d]["std"]) for d in got)
+    assert got[20]["n_obs"] == 0 and abs(got[20]["mean"] - 1.0) < abs(got[3]["mean"] - 1.0) and got[20]["std"] > got[3]["std"]
+    assert all(got[d]["smooth_std"] <= got[d]["std"] + 1e-9 for d in got) and got[20]["smooth_mean"] == pytest.approx(got[20]["mean"])
+    assert (np.diagonal(states.cov[:4], axis1=1, axis2=2) < np.diagonal(states.predicted_cov[:4], axis1=1, axis2=2)).all()
+
+
+def test_point_pickers(spark):
+    df = rows_of(spark, 30)
+    have = {(r["x"], r["y"], r["t"]) for r in df.collect()}
+    picked = field.hashed_points(df, 7)
+    assert len(picked) == 7 and {tuple(p) for p in picked} <= have and (picked == field.hashed_points(df.repartition(5), 7)).all()
+    centres = field.kmeans_points(df, 4)
+    assert centres.shape == (4, 3) and (centres >= 0).all() and (centres <= 1).all()
+
+
+def test_kriging_beyond_the_dense_limit(spark):
+    df = rows_of(spark, 40).withColumn("baseline", F.col("x") * 2.0)
+    grid = df.select("x", "y", "baseline").limit(10)
+    f = field.Field(field.regular_points(2, 1), space=0.4)
+    dense_, sparse = ({(r["x"], r["y"]): r["mean"] for r in field.regression_kriging(df, grid, f, noise=0.3, limit=n).collect()} for n in (5000, 39))
+    assert dense_.keys() == sparse.keys() and all(sparse[k] == pytest.approx(dense_[k], abs=0.05) for k in dense_)

@@ -205,3 +205,42 @@ def test_daily_frame(spark):
     src = spark.createDataFrame([("a", "2024-01-01", 2.0)], "grid_id string, date string, traffic double")
     out = daily.merge_daily(daily.cell_frame(cells, daily.date_union([src])), {"traffic": src})
     assert sorted((r["grid_id"], r["traffic"]) for r in out.collect()) == [("a", 2.0), ("b", 0.0)]
+
+
+def test_grids(spark):
+    centre = spatial.grid_from_centre(spark, 53.0, -6.0, 4.2, 2.2, 500.0).collect()
+    assert len(centre) == 5 * 9 and all(abs(r["latitude"] - 53.0) * 111.32 <= 1.1 + 1e-9 and abs(r["longitude"] + 6.0) * 111.32 * math.cos(math.radians(53.0)) <= 2.1 + 1e-9 for r in centre)
+    grid = spark.createDataFrame([(i, j, float(10 * i + j), 0.0, 0.0) for i in range(3) for j in range(4)], "grid_i int, grid_j int, value double, latitude double, longitude double")
+    q = spark.createDataFrame([(1, 0.9, 2.2), (2, -5.0, 9.0), (3, 1.4, 0.4)], "q int, latitude double, longitude double")
+    got = {r["q"]: r["value"] for r in spatial.nearest_on_grid(q, grid, (0.0, 0.0), (1.0, 1.0), (3, 4)).collect()}
+    assert got == {1: 12.0, 2: 3.0, 3: 10.0}
+
+
+def test_cluster_folds(spark):
+    """Whole cells stay together, each in the fold of the nearest centre; space-time folds are cluster and time block."""
+    rows = [(f"{k}-{i}", d, 10.0 * k + 0.1 * i, 5.0 * k) for k in range(3) for i in range(4) for d in range(6)]
+    df = spark.createDataFrame(rows, "grid_id string, ts int, latitude double, longitude double")
+    fold = {(r["grid_id"], r["ts"]): r["fold"] for r in splits.spatial_folds(df, 3).collect()}
+    by_group = {k: {f for (g, _), f in fold.items() if g.startswith(f"{k}-")} for k in range(3)}
+    assert all(len(f) == 1 for f in by_group.values()) and set.union(*by_group.values()) == {0, 1, 2}
+    both = {(r["grid_id"], r["ts"]): r["fold"] for r in splits.space_time_folds(df, 3, 3).collect()}
+    assert both.keys() == fold.keys() and all(both[k] == fold[k] * 3 + k[1] // 2 for k in both)
+
+
+def test_one_station_out_in_long_form(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0), ("c", None)], "grid_id string, station double")
+    for limit in (10, 0):
+        long = splits.leave_one_station_out(df, "station", limit=limit)
+        assert sorted((r["fold"], r["grid_id"], r["role"]) for r in long.collect()) == sorted((f, g, "test" if f == g else "train") for f in "ab" for g in "aabc")
+    means = {r["fold"]: (r["n"], r["n_test"], r["train_mean"]) for r in splits.left_out_means(df, "station").collect()}
+    assert means == {"a": (3, 2, 5.0), "b": (3, 1, 1.5)}
+
+
+def test_export_by_source_and_csv(spark, tmp_path):
+    df = spark.createDataFrame([("a", "2024-01-01", 1.0, None, 3.0), ("b", "2024-01-01", None, 2.0, 4.0)], "grid_id string, date string, station double, satellite double, lur double")
+    long = daily.long_export(df, ["station", "satellite"], ["grid_id", "date"], "lur")
+    tables.write_table(long, str(tmp_path / "by"), by=["source"])
+    back = spark.read.parquet(str(tmp_path / "by"))
+    assert sorted((r["source"], r["grid_id"], r["value"]) for r in back.collect()) == [("lur", "a", 3.0), ("lur", "b", 4.0), ("satellite", "b", 2.0), ("station", "a", 1.0)]
+    tables.write_table(df, str(tmp_path / "csv"), "csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2

@@ -1,10 +1,11 @@
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
 from geoblend.operators.daily import daily_mean
 from geoblend.operators.state import random_walk_filter
-from geoblend.streaming.daily import streaming_daily_mean, streaming_filter
+from geoblend.streaming.daily import replayed, streaming_daily_mean, streaming_filter
 
 
 def replay(spark, df, tmp_path, make, mode):
@@ -28,3 +29,17 @@ def test_stream_equals_batch_filter(spark, tmp_path):
     got = {(r["grid_id"], r["day"]): (r["mean"], r["var"]) for r in replay(spark, df, tmp_path, streaming_filter, "append").collect()}
     want = {(r["grid_id"], r["day"]): (r["mean"], r["var"]) for r in random_walk_filter(df).collect()}
     assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-9 and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """Four files, one a batch: the second's watermark is in force from the third on, so the fourth's late row goes."""
+    rows = [[("a", "2024-01-01 10:00:00", 1.0), ("a", "2024-01-01 12:00:00", 3.0)], [("a", "2024-01-05 10:00:00", 5.0)], [("a", "2024-01-05 10:30:00", 6.0)], [("a", "2024-01-01 11:00:00", 100.0), ("a", "2024-01-05 11:00:00", 7.0)]]
+    for i, part in enumerate(rows):
+        df = spark.createDataFrame([(g, t, "s", v) for g, t, v in part], "grid_id string, t string, source string, value double").withColumn("ts", F.to_timestamp("t")).drop("t")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in order of their times
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for mode in ("update", "append"):
+        got = {str(r["date"]): (r["value"], r["n"]) for r in replayed(streaming_daily_mean(stream), ["grid_id", "date", "source"], "late", mode, str(tmp_path)).collect()}
+        assert got["2024-01-01"] == (2.0, 2)
+        assert got.get("2024-01-05") == ((6.0, 3) if mode == "update" else None)  # append: the last day is still open
