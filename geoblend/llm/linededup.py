@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import GAP, WORD, broadcast_if_small, materialize
 
-#: Documents with deletions up to which their ranges are broadcast; beyond, texts are shuffled to them.
-EDIT_LIMIT = 200_000
+#: Deleted ranges up to which they are broadcast (some 60 bytes each with their document); beyond, texts are shuffled to them.
+EDIT_LIMIT = 500_000
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -164,7 +164,8 @@ def drop_common_blocks(docs: DataFrame, rare: int = 64, min_block_words: int = 2
     """One row per row of docs: doc_id, text (what is left), n_lines, n_deleted, partners (earlier documents it overlaps)."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     edits = materialize(deleted_ranges(base, rare, min_block_words), "line-edits")
-    edits = broadcast_if_small(edits.withColumnRenamed("doc_id", "edit_id"), edits.count(), EDIT_LIMIT)
+    ranges = edits.agg(F.sum(F.size("cuts"))).first()[0] or 0
+    edits = broadcast_if_small(edits.withColumnRenamed("doc_id", "edit_id"), ranges, EDIT_LIMIT)
     rows = base.join(edits, F.col("doc_id") == F.col("edit_id"), "left").withColumn("lines", F.split("t", "\n"))
     numbered = F.transform("lines", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     left = F.filter(numbered, lambda z: ~F.exists(F.col("cuts"), lambda c: z["i"].between(c["first"], c["last"])))

@@ -107,7 +107,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, c
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
     """Best value within each room 0..capacity with at most `counts` of each length; the items (length index, how many
-    at once: counts are split in powers of two); and per item and room the last item taken up to there (-1: none)."""
+    at once: counts are split in powers of two); and per item and room whether it was taken there."""
     items = []
     for i, (w, n) in enumerate(zip(lengths.tolist(), counts.tolist())):
         n, part = min(n, capacity // w), 1
@@ -115,28 +115,31 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, price: np.ndarray, capacit
             part = min(part, n)
             items.append((i, part))
             n, part = n - part, 2 * part
-    best, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), dtype=bool)
+    best, worth, took = np.zeros(capacity + 1), np.empty(capacity + 1), np.zeros((len(items), capacity + 1), dtype=bool)
     for k, (i, n) in enumerate(items):
         w = int(lengths[i]) * n
-        worth = best[: capacity + 1 - w] + price[i] * n
-        took[k, w:] = worth > best[w:] + 1e-12
-        best[w:] = np.maximum(best[w:], worth)
-    last = np.where(took, np.arange(len(items), dtype=np.int32)[:, None], np.int32(-1))
-    return best, items, np.maximum.accumulate(last, axis=0)
+        here, new = best[w:], worth[w:]
+        np.add(best[: capacity + 1 - w], price[i] * n, out=new)
+        np.greater(new, here, out=took[k, w:])
+        np.maximum(here, new, out=here)
+    return best, items, took
 
 
-def _filled(room: int, items: list[tuple[int, int]], last: np.ndarray, lengths: np.ndarray) -> Counter:
+def _filled(room: int, items: list[tuple[int, int]], took: np.ndarray, lengths: np.ndarray) -> Counter:
     got: Counter = Counter()
-    k = len(items) - 1
-    while k >= 0 and room > 0 and last[k, room] >= 0:
-        k = int(last[k, room])
+    k = len(items)
+    while room > 0:
+        at = np.flatnonzero(took[:k, room])
+        if not len(at):
+            break
+        k = int(at[-1])
         i, n = items[k]
         got[i] += n
-        room, k = room - int(lengths[i]) * n, k - 1
+        room -= int(lengths[i]) * n
     return got
 
 
-def solve_configurations(histogram: dict[int, int], capacity: int, step: float = 0.2, sharpness: float = 12.0, tilt: float = 1.0, slack: float = 0.005) -> list[tuple[Counter, float]]:
+def solve_configurations(histogram: dict[int, int], capacity: int, step: float = 0.1, sharpness: float = 12.0, tilt: float = 1.0, slack: float = 0.005) -> list[tuple[Counter, float]]:
     """Fractional configuration program by multiplicative weights: [(configuration by length, multiplicity)].
 
     A length's weight is its size, raised by the share `tilt` of a factor exp(-sharpness * share of its count that
@@ -152,11 +155,11 @@ def solve_configurations(histogram: dict[int, int], capacity: int, step: float =
         left = np.flatnonzero(covered < 1 - 1e-9)
         sizes = lengths[left]
         weight = sizes * (1 + tilt * np.exp(-sharpness * (covered[left] - covered[left].min())))
-        best, items, last = knapsack(sizes, demand[left], weight, capacity)
+        best, items, took = knapsack(sizes, demand[left], weight, capacity)
         through = weight + best[capacity - sizes]
         order = np.argsort(-through, kind="stable")
         for k in order[: max(1, int((through >= (1 - slack) * through[order[0]]).sum()))]:
-            got = _filled(capacity - int(sizes[k]), items, last, sizes)
+            got = _filled(capacity - int(sizes[k]), items, took, sizes)
             got[int(k)] = min(got[int(k)] + 1, int(demand[left[k]]))
             at, much = left[list(got)], np.array(list(got.values()), dtype=float)
             more = min((demand[at] / much).min() * step, ((1 - covered[at]).clip(0) * demand[at] / much).min())
@@ -168,9 +171,9 @@ def solve_configurations(histogram: dict[int, int], capacity: int, step: float =
 
 def round_configurations(found: list[tuple[Counter, float]], left: dict[int, int], capacity: int, fill: float) -> list[tuple[Counter, int]]:
     """Whole multiplicities within what is left, of configurations filled to the share `fill`: multiplicities rounded
-    down, then one more of those that still fit; configurations with long pieces, which are hard to place, first."""
+    down, then one more of those that still fit; configurations of few, so long, pieces first: they are hard to place."""
     size = lambda c: sum(k * n for k, n in c.items())
-    full = sorted((x for x in found if size(x[0]) >= fill * capacity), key=lambda x: (-max(x[0]), -size(x[0]), -x[1], sorted(x[0].items())))
+    full = sorted((x for x in found if size(x[0]) >= fill * capacity), key=lambda x: (x[0].total(), -size(x[0]), -x[1], sorted(x[0].items())))
     rest, out = Counter(left), []
     for extra in (0, 1):
         for config, much in full:
@@ -206,24 +209,32 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
     return [(c, m) for b in bins.values() for c, m in b]
 
 
-def packing_parts(histogram: dict[int, int], capacity: int, rounds: int = 3, fill: float = 0.998) -> tuple[list[tuple[Counter, int]], list[tuple[Counter, int]]]:
+def packing_parts(histogram: dict[int, int], capacity: int, rounds: int = 2, fills: tuple[float, ...] = (1.0, 0.995)) -> tuple[list[tuple[Counter, int]], list[tuple[Counter, int]]]:
     """Whole configurations that hold the histogram exactly: those of the program, and those of best fit.
 
-    The program is solved and rounded, and again over what rounding left, up to `rounds` times; best fit places the
-    rest. Rounded configurations are kept up to where the whole takes fewest sequences, and as far as possible among
-    equals: in the worst case that is best fit alone, so the plan never takes more sequences than that.
+    The program is solved and rounded, and again over what rounding left, up to `rounds` times, for configurations
+    filled to each of the shares `fills`; best fit places the rest. Rounded configurations are kept up to where the
+    whole takes fewest sequences, and as far as possible among equals: in the worst case that is best fit alone, so
+    the plan never takes more sequences than that.
     """
     whole = [(Counter({capacity: 1}), histogram[capacity])] if histogram.get(capacity) else []
     short = {k: n for k, n in histogram.items() if 0 < k < capacity and n > 0}
-    taken, ends, left = [], [0], dict(short)
-    for _ in range(rounds):
-        got = round_configurations(solve_configurations(left, capacity), left, capacity, fill) if left else []
-        taken += got
-        ends += [len(taken)] if got else []
-        left = _less(short, taken)
-    ends = sorted({*ends, *(ends[1] * k // 8 for k in range(1, 8))} if len(ends) > 1 else {0})
-    plans = [(taken[:n], best_fit(_less(short, taken[:n]), capacity)) for n in ends]
-    program, rest = min(plans[::-1], key=lambda p: sum(m for part in p for _, m in part))
+    if not short:
+        return whole, []
+    first, plans = solve_configurations(short, capacity), [([], best_fit(short, capacity))]
+    for fill in fills:
+        taken, ends, left, found = [], set(), short, first
+        for i in range(rounds):
+            if i:
+                found = solve_configurations(left, capacity)
+            taken = taken + round_configurations(found, left, capacity, fill)
+            left = _less(short, taken)
+            ends |= {len(taken)} if i else {len(taken) * k // 8 for k in range(1, 9)}
+            if not left:
+                break
+        plans += [(taken[:n], best_fit(_less(short, taken[:n]), capacity)) for n in sorted(ends) if n]
+    placed = lambda p: sum(c.total() * m for c, m in p[0])
+    program, rest = min(plans, key=lambda p: (sum(m for part in p for _, m in part), -placed(p)))
     return whole + program, rest
 
 

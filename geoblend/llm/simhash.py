@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_rows, materialize, text_digest
+from .common import broadcast_if_small, discard, drop_rows, materialize, text_digest
 
 BITS = 64
 #: Fingerprints of one table entry that one block of a cell holds.
@@ -189,7 +189,7 @@ def near_links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root (least node of its component) of every node in links(a, b), by large-star and small-star steps."""
 
     def summary(df: DataFrame):
@@ -198,21 +198,18 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b"), "stars")
     seen = summary(edges)
-    for _ in range(most):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "stars-least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
         large = materialize(large.distinct(), "stars-large")
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "stars-least")
         small = large.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        done, edges = edges, materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
         was, seen = seen, summary(edges)
+        discard(done, large)
         if was == seen:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
