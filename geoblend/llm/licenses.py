@@ -7,9 +7,10 @@ with every unit, whole texts with headers and documents. Document frequencies ar
 documents, as partial aggregates.
 
 By Cauchy's inequality a unit's cosine to a template is at most the norm of the template's unit vector over the terms
-that the unit has. Units for which that bound is below `threshold` are dropped before their terms are exploded, which
-loses none. The bound is looked up by hash in an array literal of BOUND_BUCKETS entries (colliding terms share the
-larger bound), so no unit meets the templates' terms one by one.
+that the unit has. Units for which that bound is below `threshold` are dropped before all their terms are exploded,
+which loses none. In the scan the largest weight that any template has at a term stands for all templates (looked up by
+hash in an array literal of BOUND_BUCKETS entries, where colliding terms share the larger one); the units left then
+meet the templates one by one, by their terms in the templates' vocabulary alone.
 
 A document has the licence of its best unit. A document is a licence file if as a whole it reaches `threshold` and it
 does not begin with a comment, as source files with a header do; its directory's documents, and those of directories
@@ -131,17 +132,24 @@ def licence_units(docs: DataFrame, threshold: float = 0.7, texts: dict[str, str]
         for r in own:
             peaks[whole][r["b"]] = r["m"] * (1 + 1e-9)
     literal = {k: F.from_json(F.lit("[" + ",".join(f"{x:.9g}" for x in v) + "]"), "array<double>") for k, v in peaks.items()}
-    bound = lambda t, whole: F.aggregate(F.array_distinct(t), F.lit(0.0), lambda s, x: s + F.get(literal[whole], bucket(x)))
+    known_terms = [r[0] for r in vocabulary.collect()]  # of the fixed templates
+    bound = lambda t, whole: F.aggregate(t, F.lit(0.0), lambda s, x: s + F.get(literal[whole], bucket(x)))
     least = threshold * threshold * (1 - 1e-6)
-    reaches = lambda u: (bound(u["terms"], False) >= least) | (u["kind"].isin("header", "document") & (bound(u["terms"], True) >= least))
+    reaches = lambda u: (bound(u["hits"], False) >= least) | (u["kind"].isin("header", "document") & (bound(u["hits"], True) >= least))
+    with_hits = lambda u: F.struct(u["kind"].alias("kind"), u["at"].alias("at"), u["terms"].alias("terms"), F.array_distinct(F.filter(u["terms"], lambda x: x.isin(known_terms))).alias("hits"))
     lines = docs.select("row_id", F.transform(F.split("t", "\n"), lambda x: F.struct(terms(x).alias("terms"), F.rlike(x, F.lit(COMMENT)).alias("comment"))).alias("lines"))
-    found = lines.select("row_id", F.explode(F.filter(_units("lines"), reaches)).alias("u")).select("row_id", "u.kind", "u.at", "u.terms")
+    found = lines.select("row_id", F.explode(F.filter(F.transform(_units("lines"), with_hits), reaches)).alias("u")).select("row_id", "u.kind", "u.at", "u.terms", "u.hits")
     found = materialize(found, "licence-candidates")
     key = ["row_id", "kind", "at"]
+    fits = ~F.col("whole") | F.col("kind").isin("header", "document")
+    covered = found.select(*key, F.explode("hits").alias("term")).join(F.broadcast(weights), "term").filter(fits)
+    covered = covered.groupBy(*key, "licence", "template").agg(F.sum(F.col("w") * F.col("w")).alias("c")).filter(F.col("c") >= least)
+    covered = materialize(covered.select(*key).distinct(), "licence-covered")
+    found = found.join(broadcast_if_small(covered, covered.count(), 200_000), key, "left_semi")
     own = found.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     asked = materialize(own.join(df, "term").select(*key, "term", (F.col("tf") * idf(F.col("df"))).alias("v")), "licence-terms")
     norm = asked.groupBy(*key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dots = asked.join(F.broadcast(weights), "term").filter(~F.col("whole") | F.col("kind").isin("header", "document")).groupBy(*key, "licence", "template").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    dots = asked.join(F.broadcast(weights), "term").filter(fits).groupBy(*key, "licence", "template").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     scored = dots.join(norm, key).withColumn("score", F.col("dot") / F.col("norm")).filter(F.col("score") >= threshold)
     return scored.groupBy(*key).agg(F.min_by("licence", F.struct(-F.round("score", 9), F.col("licence"))).alias("licence"), F.max("score").alias("score"))
 
