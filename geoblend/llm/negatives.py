@@ -11,7 +11,7 @@ for (a score over its worst kept positive; a window of a positive, over its wors
 once if they are the most of them. Bounds lose nothing: on rows without any cluster they only save little.
 
 Every row meets every block of anchors (a stated query set against all rows, in blocks); kept lists, not pairs, leave a
-task, at most GROUPS of them for a block of anchors.
+task, one for a cell, and are merged MERGED at a time.
 
 Cases: rows with a null label, a null vector, or a null or non-finite component take no part; a null vec_id is no anchor
 and loses ties; rows are told apart by where they stand, so an anchor's twin is another row; shorter vectors count as
@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_width
 
-#: Rows of a packed block; anchors of a block on average; most groups of row blocks that one block of anchors has.
+#: Rows of a packed block; anchors of a block on average; row blocks of a cell at most, on average; lists merged at once.
 ROWS = 4096
 ANCHORS = 1024
-GROUPS = 256
-NONE = np.iinfo(np.int64).min
+CELL = 64
+MERGED = 64
+#: The score of an empty place: below any score, and its negative is a long.
+NONE = np.iinfo(np.int64).min + 1
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -230,9 +232,13 @@ def anchor_blocks(blocks: DataFrame, every: int) -> DataFrame:
     return materialize(dealt.groupBy("a_block").applyInPandas(_anchor_block, "a_block int, payload binary"), "negatives-trees")
 
 
+def cell_groups(blocks: DataFrame) -> int:
+    return max(min(MERGED, shuffle_width(blocks.sparkSession)), math.ceil(blocks.count() / CELL))
+
+
 def _cells(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """a_block, c_group, kind (0 the anchors, 1 a block of rows), block, payload, sorted so that anchors come first."""
-    groups = min(GROUPS, shuffle_width(anchors.sparkSession))
+    groups = cell_groups(blocks)
     names = [r[0] for r in anchors.select("a_block").collect()]  # one number per ANCHORS anchors
     left = anchors.select("a_block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("c_group"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), "payload")
     group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
@@ -249,7 +255,7 @@ def _kept_lists(k: int, same_label: bool, ranges_of: Callable):
 
         def send():
             part = pack(**kept.arrays())
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([part], pa.binary()), pa.array([computed], pa.int64())], names=["a_block", "lists", "computed"])
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([part], pa.binary()), pa.array([computed], pa.int64())], names=["a_block", "c_group", "lists", "computed"])
 
         for batch in batches:
             for a_block, c_group, kind, block, payload in zip(*(c.to_pylist() for c in batch.columns)):
@@ -286,7 +292,7 @@ def _kept_lists(k: int, same_label: bool, ranges_of: Callable):
 
 def _all_scores(anchors: dict) -> np.ndarray:
     n = len(anchors["ids"])
-    return np.tile(np.array([NONE + 1, -NONE - 1]), (n, 1, 1)).reshape(n, 1, 2)
+    return np.tile(np.array([NONE + 1, -NONE]), (n, 1, 1)).reshape(n, 1, 2)
 
 
 def _windows(low: int, high: int):
@@ -303,32 +309,26 @@ def _windows(low: int, high: int):
     return ranges_of
 
 
-def _with_positives(k: int):
-    def run(batches):
-        for batch in batches:
-            for a_block, payload, lists in zip(*(c.to_pylist() for c in batch.columns)):
-                kept = Kept.merged([unpack(x) for x in lists], k)
-                payload = pack(**unpack(payload), positives=kept.score, positive_ids=kept.ids, positive_none=kept.none)
-                yield pa.RecordBatch.from_arrays([pa.array([a_block], pa.int32()), pa.array([payload], pa.binary())], names=["a_block", "payload"])
-
-    return run
+def _with_positives(batches):
+    for batch in batches:
+        for a_block, payload, lists in zip(*(c.to_pylist() for c in batch.columns)):
+            kept = unpack(lists)
+            payload = pack(**unpack(payload), positives=kept["score"], positive_ids=kept["ids"], positive_none=kept["none"])
+            yield pa.RecordBatch.from_arrays([pa.array([a_block], pa.int32()), pa.array([payload], pa.binary())], names=["a_block", "payload"])
 
 
-def _result_rows(k: int):
-    def run(batches):
-        for batch in batches:
-            for _, payload, lists in zip(*(c.to_pylist() for c in batch.columns)):
-                x, kept = unpack(payload), Kept.merged([unpack(x) for x in lists], k)
-                place, rank = np.nonzero(kept.score != NONE)
-                anchor, i = place // x["positives"].shape[1], place % x["positives"].shape[1]
-                positive_ids = pa.array(x["positive_ids"][anchor, i], mask=x["positive_none"][anchor, i])
-                negative_ids = pa.array(kept.ids[place, rank], mask=kept.none[place, rank])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x["ids"][anchor]), positive_ids, pa.array((rank + 1).astype(np.int32)), negative_ids, pa.array(x["positives"][anchor, i]), pa.array(kept.score[place, rank])],
-                    names=["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
-                )
-
-    return run
+def _result_rows(batches):
+    for batch in batches:
+        for payload, lists in zip(*(c.to_pylist() for c in batch.columns)):
+            x, kept = unpack(payload), unpack(lists)
+            place, rank = np.nonzero(kept["score"] != NONE)
+            anchor, i = np.divmod(place, x["positives"].shape[1])
+            positive_ids = pa.array(x["positive_ids"][anchor, i], mask=x["positive_none"][anchor, i])
+            negative_ids = pa.array(kept["ids"][place, rank], mask=kept["none"][place, rank])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x["ids"][anchor]), positive_ids, pa.array((rank + 1).astype(np.int32)), negative_ids, pa.array(x["positives"][anchor, i]), pa.array(kept["score"][place, rank])],
+                names=["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+            )
 
 
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
@@ -340,9 +340,25 @@ def row_blocks(rows: DataFrame) -> DataFrame:
     return materialize(packed.select(F.monotonically_increasing_id().alias("block"), "payload"), "negatives-rows")
 
 
-def kept_lists(anchors: DataFrame, blocks: DataFrame, k: int, same_label: bool, ranges_of: Callable) -> DataFrame:
-    """a_block, lists, computed (scores that were computed) of every cell."""
-    return materialize(_cells(anchors, blocks).mapInArrow(_kept_lists(k, same_label, ranges_of), "a_block int, lists binary, computed long"), "negatives-lists")
+def cell_lists(anchors: DataFrame, blocks: DataFrame, k: int, same_label: bool, ranges_of: Callable) -> DataFrame:
+    """a_block, c_group, lists, computed (scores that were computed) of every cell."""
+    return materialize(_cells(anchors, blocks).mapInArrow(_kept_lists(k, same_label, ranges_of), "a_block int, c_group int, lists binary, computed long"), "negatives-lists")
+
+
+def merged_lists(cells: DataFrame, groups: int, k: int) -> DataFrame:
+    """a_block, lists: one row per block of anchors."""
+
+    def merge(batches):
+        for batch in batches:
+            for a_block, c_group, parts in zip(*(c.to_pylist() for c in batch.columns)):
+                found = pack(**Kept.merged([unpack(x) for x in parts], k).arrays())
+                yield pa.RecordBatch.from_arrays([pa.array([a_block], pa.int32()), pa.array([c_group], pa.int32()), pa.array([found], pa.binary())], names=["a_block", "c_group", "lists"])
+
+    lists = cells.select("a_block", "c_group", "lists")
+    while groups > 1:
+        parts = lists.groupBy("a_block", F.floor(F.col("c_group") / MERGED).cast("int").alias("c_group")).agg(F.collect_list("lists").alias("lists"))
+        lists, groups = parts.mapInArrow(merge, "a_block int, c_group int, lists binary"), math.ceil(groups / MERGED)
+    return lists.select("a_block", "lists")
 
 
 def hard_negatives(
@@ -352,8 +368,9 @@ def hard_negatives(
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score: for each anchor (id divisible by `every`) and
     each of its best rows of the same label, the best rows of other labels that score low to high percent of the positive."""
     blocks = row_blocks(integer_rows(vectors, scale, vec_col, id_col, label))
-    trees = anchor_blocks(blocks, every)
-    first = kept_lists(trees, blocks, positives, True, _all_scores).groupBy("a_block").agg(F.collect_list("lists").alias("lists"))
-    known = materialize(trees.join(first, "a_block").select("a_block", "payload", "lists").mapInArrow(_with_positives(positives), "a_block int, payload binary"), "negatives-positives")
-    second = kept_lists(known, blocks, negatives, False, _windows(low, high)).groupBy("a_block").agg(F.collect_list("lists").alias("lists"))
-    return known.join(second, "a_block").select("a_block", "payload", "lists").mapInArrow(_result_rows(negatives), RESULT)
+    trees, groups = anchor_blocks(blocks, every), cell_groups(blocks)
+    first = merged_lists(cell_lists(trees, blocks, positives, True, _all_scores), groups, positives)
+    known = trees.join(first, "a_block").select("a_block", "payload", "lists").mapInArrow(_with_positives, "a_block int, payload binary")
+    known = materialize(known, "negatives-positives")
+    second = merged_lists(cell_lists(known, blocks, negatives, False, _windows(low, high)), groups, negatives)
+    return known.join(second, "a_block").select("payload", "lists").mapInArrow(_result_rows, RESULT)
