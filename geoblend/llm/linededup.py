@@ -1,18 +1,18 @@
 """Line dedup by pairwise alignment: shared rare line hashes, patience diff, deletion from the later document.
 
-A shared line names one pair for each document that has it: that document and the line's first holder (least id).
-So a line in k documents gives k - 1 pairs, not k squared, whatever k is, and every line that an earlier document has
-is compared with an earlier document that has it. A pair is a candidate if its rarest shared line is in at most
-`rare` documents, or if the lines it shares reach `min_block_words` words anyway, which is the exact way for lines
-that are common. A first holder may have a block's lines scattered, or only some of them, so runs of shared lines
-that just reach `min_block_words` name pairs too: a run ending or starting at each line, again with its first holder.
-Each line of each block that two documents share is in such a run within the block, so it meets an earlier document
-that has the run in one piece. Only hashes and positions of shared lines travel; texts are read again at the end.
+Lines that one document alone has are set aside. A run of shared lines that just reaches `min_block_words` words, ending or
+starting at a line, is named by the hash of its lines and looked up under its rarest line. It names one pair for each document
+that has it: that document and the run's first holder (least id). So a run in k documents gives k - 1 pairs, not k
+squared, whatever k is. Each line of a block that two documents share is in such a run within the block, so it
+meets an earlier document that has the run in one piece, in whatever order the blocks stand. Only hashes and positions
+of the pair's runs travel; texts are read again at the end.
 
 The two sequences of a pair are aligned by patience diff: lines unique on both sides, longest increasing run of
 them, extension over adjacent equal lines, the same between the anchors. Blocks contiguous on both sides with at
-least `min_block_words` words are deleted from the later document. Lines without words are not aligned and do not
-part a block: lines with words are numbered among themselves, and a deleted block takes the blank lines inside it.
+least `min_block_words` words are deleted from the later document. Of blocks that stand in another order an alignment keeps
+some, so the runs that it left are aligned again until none is left (a run that crossing lines keep apart by itself). Lines
+without words are not aligned and do not part a block: lines with words are numbered among themselves, and a deleted block
+takes the blank lines inside it.
 
 Cases: null text counts as empty; lines without words never match; rows with a null id stay whole; rows repeated
 with the same id are read as one document, and lose the same lines; an empty table gives an empty result.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, broadcast_if_small, materialize
+from .common import GAP, WORD, broadcast_if_small, discard, materialize
 
 #: Deleted ranges up to which they are broadcast (some 60 bytes each with their document); beyond, texts are shuffled to them.
 EDIT_LIMIT = 500_000
@@ -78,34 +78,56 @@ def _once(x: list[int], start: int, stop: int) -> dict[int, int]:
     return {k: i for k, i in seen.items() if i is not None}
 
 
-def common_blocks(lines: list[dict], min_words: int) -> list[tuple[int, int]]:
-    """(first, last) line numbers of the later document's deleted blocks; lines: {h, words, earlier, later ({n, pos}: number among lines with words, and among all)}."""
-    words = {x["h"]: x["words"] for x in lines}
-    a = sorted({(i["n"], x["h"]) for x in lines for i in x["earlier"]})
-    b = sorted({(i["n"], x["h"]) for x in lines for i in x["later"]})
-    raw = {(i["n"], x["h"]): i["pos"] for x in lines for i in x["later"]}
-    blocks, run = [], None
-    for i, j in patience([h for _, h in a], [h for _, h in b]):
-        p, q, at, n = a[i][0], b[j][0], raw[b[j]], words[b[j][1]]
-        if run and (p, q) == (run[0] + 1, run[1] + 1):
-            run = (p, q, run[2], at, run[4] + n)
-        else:
-            blocks.append(run)
-            run = (p, q, at, at, n)
-    return [(first, last) for _, _, first, last, n in filter(None, [*blocks, run]) if n >= min_words]
-
-
-def run_hashes(lines: list[dict], min_words: int) -> set[int]:
-    """Hashes of a document's runs of adjacent shared lines that just reach min_words; lines: {h, words, at (list of {n, pos})}."""
-    found: set[int] = set()
-    rows = sorted({(i["n"], x["h"], x["words"]) for x in lines for i in x["at"]})
-    starts = [k for k, x in enumerate(rows) if not k or x[0] != rows[k - 1][0] + 1]
+def common_blocks(runs: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """(first, last) line numbers of the later document's deleted blocks. runs: {lines, words: of the run's lines; earlier,
+    later: where it starts, numbered among lines with words; pos: line numbers in the later document, start by start}."""
+    a, b, todo = {}, {}, []
+    for r in runs:
+        size = len(r["lines"])
+        for n in r["earlier"]:
+            a |= {n + k: h for k, h in enumerate(r["lines"])}
+        for i, n in enumerate(r["later"]):
+            b |= {n + k: (h, w, p) for k, (h, w, p) in enumerate(zip(r["lines"], r["words"], r["pos"][i * size : (i + 1) * size]))}
+            todo.append((n, n + size))
+    todo.sort()
+    earlier, gone, out = sorted(a), set(), []
+    while todo:
+        later = sorted({n for x, y in todo for n in range(x, y)})
+        blocks: list[list[int]] = []
+        last = None
+        for i, j in patience([a[n] for n in earlier], [b[n][0] for n in later]):
+            here = (earlier[i], later[j])
+            if last != (here[0] - 1, here[1] - 1):
+                blocks.append([])
+            blocks[-1].append(here[1])
+            last = here
+        blocks = [x for x in blocks if sum(b[n][1] for n in x) >= min_words and not gone.issuperset(x)] or [list(range(*todo[0]))]
+        for x in blocks:
+            gone.update(x)
+            out.append((b[x[0]][2], b[x[-1]][2]))
+        todo = [(x, y) for x, y in todo if not gone.issuperset(range(x, y))]
+    return out
+
+
+def shared_runs(lines: list[dict], min_words: int) -> dict[int, tuple[int, np.ndarray, np.ndarray, list[int], list[np.ndarray]]]:
+    """A document's runs of adjacent shared lines that just reach min_words, by hash: rarest line, lines, words, where they
+    start, line numbers; lines: {h, words, df, at (list of {n, pos})}."""
+    found: dict[int, tuple] = {}
+    rows = sorted({(i["n"], x["h"], x["words"], x["df"], i["pos"]) for x in lines for i in x["at"]})
+    n, h, words, df, pos = (np.array(c, dtype=np.int64) for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
+    starts = np.flatnonzero(np.diff(n, prepend=-2) != 1).tolist()
     for a, b in zip(starts, [*starts[1:], len(rows)]):
-        h = np.array([x[1] for x in rows[a:b]], dtype="<i8")
-        upto = list(accumulate((x[2] for x in rows[a:b]), initial=0))
+        upto = [0, *accumulate(words[a:b].tolist())]
         spans = {(i, bisect_left(upto, upto[i] + min_words)) for i in range(b - a)}
         spans |= {(bisect_right(upto, upto[j] - min_words) - 1, j) for j in range(1, b - a + 1)}
-        found |= {int.from_bytes(blake2b(h[i:j].tobytes(), digest_size=8).digest(), "little", signed=True) for i, j in spans if i >= 0 and j <= b - a}
+        for i, j in spans:
+            if i >= 0 and j <= b - a:
+                i, j = a + i, a + j
+                name = int.from_bytes(blake2b(h[i:j].astype("<i8").tobytes(), digest_size=8).digest(), "little", signed=True)
+                if name not in found:
+                    found[name] = (int(h[i + np.lexsort((h[i:j], df[i:j]))[0]]), h[i:j], words[i:j], [], [])
+                found[name][3].append(int(n[i]))
+                found[name][4].append(pos[i:j])
     return found
 
 
@@ -117,53 +139,58 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.struct("n", "z.pos").alias("at"), F.xxhash64("z.line").alias("h"), F.size(F.split(F.trim("z.line"), GAP)).alias("words"))
 
 
-def run_pairs(common: DataFrame, min_block_words: int) -> DataFrame:
-    """doc_id, first: each document with the first holder of each of its runs; common(h, doc_id, at, words)."""
+RUN = "line long, run long, lines array<long>, words array<long>, starts array<long>, pos array<long>"
+
+
+def run_rows(common: DataFrame, min_block_words: int) -> DataFrame:
+    """doc_id and RUN: a row for each document and run of it; common(doc_id, h, words, df, at)."""
+
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        upto = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
 
     def run(batches):
         for batch in batches:
-            found = [run_hashes(x.as_py(), min_block_words) for x in batch.column(1)]
-            row = [k for k, x in enumerate(found) for _ in x]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array([h for x in found for h in x], pa.int64())], names=["doc_id", "run"])
+            rows = [(k, name, *x) for k, own in enumerate(batch.column(1)) for name, x in shared_runs(own.as_py(), min_block_words).items()]
+            at, names, line, h, words, starts, pos = zip(*rows) if rows else [()] * 7
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(line, pa.int64()), pa.array(names, pa.int64()), lists(h), lists(words), lists([np.array(x, np.int64) for x in starts]), lists([np.concatenate(x) for x in pos])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(c.split()[0] for c in RUN.split(", "))])
 
-    kind = common.schema["doc_id"].dataType.simpleString()
-    own = common.groupBy("doc_id").agg(F.collect_list(F.struct("h", "words", "at")).alias("lines"))
-    runs = materialize(own.mapInArrow(run, f"doc_id {kind}, run long"), "line-runs")
-    shared = materialize(runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1").select("run", "first"), "line-run-holders")
-    return runs.join(broadcast_if_small(shared, shared.count(), 500_000), "run").filter("doc_id > first").select("doc_id", "first")
+    own = common.groupBy("doc_id").agg(F.collect_list(F.struct("h", "words", "df", "at")).alias("lines"))
+    return own.mapInArrow(run, f"doc_id {common.schema['doc_id'].dataType.simpleString()}, {RUN}")
 
 
-def deleted_ranges(docs: DataFrame, rare: int = 64, min_block_words: int = 20) -> DataFrame:
+def deleted_ranges(docs: DataFrame, min_block_words: int = 20) -> DataFrame:
     """doc_id, cuts array<struct<first,last>>, partners: one row per document that loses lines; docs(doc_id, t)."""
-    lines = materialize(line_rows(docs), "lines")
-    # By (line, document) first: it is what later steps need, and a line repeated in a document counts once.
-    spots = materialize(lines.groupBy("h", "doc_id").agg(F.sort_array(F.collect_set("at")).alias("at"), F.max("words").alias("words")), "line-spots")
-    shared = spots.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = materialize(shared, "line-shared")
-    common = materialize(spots.join(broadcast_if_small(shared, shared.count(), 500_000), "h"), "line-common")
-    pairs = common.filter("doc_id > first").groupBy("doc_id", "first").agg(F.min("df").alias("rarest"), F.sum(F.col("words") * F.size("at")).alias("words"))
-    pairs = pairs.filter((F.col("rarest") <= rare) | (F.col("words") >= min_block_words)).select("doc_id", "first")
-    pairs = materialize(pairs.union(run_pairs(common, min_block_words)).distinct(), "line-pairs")
-    # All lines that the two have in common, also those that a third document held first.
-    later = pairs.join(common.select("doc_id", "h", "words", F.col("at").alias("later")), "doc_id")
-    both = later.join(common.select(F.col("doc_id").alias("first"), "h", F.col("at").alias("earlier")), ["first", "h"])
-    pairs = both.groupBy("doc_id", "first").agg(F.collect_list(F.struct("h", "words", "earlier", "later")).alias("lines"))
+    # By (line, document): a line repeated in a document counts once.
+    spots = materialize(line_rows(docs).groupBy("h", "doc_id").agg(F.sort_array(F.collect_set("at")).alias("at"), F.max("words").alias("words")), "line-spots")
+    shared = materialize(spots.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "line-shared")
+    common = spots.join(broadcast_if_small(shared, shared.count(), 500_000), "h")
+    runs = materialize(run_rows(common, min_block_words), "line-runs")
+    first = F.min(F.struct("doc_id", "starts")).alias("f")
+    holders = runs.groupBy("line", "run").agg(first, F.count(F.lit(1)).alias("df")).filter("df > 1").select("line", "run", F.col("f.doc_id").alias("first"), F.col("f.starts").alias("earlier"))
+    holders = materialize(holders, "line-holders")
+    met = runs.join(broadcast_if_small(holders, holders.count(), 500_000), ["line", "run"]).filter("doc_id > first")
+    pairs = met.groupBy("doc_id", "first").agg(F.collect_list(F.struct("lines", "words", "earlier", F.col("starts").alias("later"), "pos")).alias("runs"))
 
     def run(batches):
         for batch in batches:
-            cuts = [[{"first": a, "last": b} for a, b in common_blocks(x, min_block_words)] for x in batch.column(1).to_pylist()]
+            cuts = [[{"first": a, "last": b} for a, b in common_blocks(x.as_py(), min_block_words)] for x in batch.column(1)]
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, kind)], names=["doc_id", "cuts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = pairs.select("doc_id", "lines").mapInArrow(run, f"doc_id {kind}, cuts array<struct<first:int,last:int>>").filter(F.size("cuts") > 0)
-    return found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("cuts"), F.count(F.lit(1)).cast("int").alias("partners"))
+    found = pairs.select("doc_id", "runs").mapInArrow(run, f"doc_id {kind}, cuts array<struct<first:int,last:int>>")
+    found = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("cuts"), F.count(F.lit(1)).cast("int").alias("partners"))
+    found = materialize(found, "line-edits")
+    discard(spots, shared, runs, holders)
+    return found
 
 
-def drop_common_blocks(docs: DataFrame, rare: int = 64, min_block_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_common_blocks(docs: DataFrame, min_block_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, text (what is left), n_lines, n_deleted, partners (earlier documents it overlaps)."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    edits = materialize(deleted_ranges(base, rare, min_block_words), "line-edits")
+    edits = deleted_ranges(base, min_block_words)
     ranges = edits.agg(F.sum(F.size("cuts"))).first()[0] or 0
     edits = broadcast_if_small(edits.withColumnRenamed("doc_id", "edit_id"), ranges, EDIT_LIMIT)
     rows = base.join(edits, F.col("doc_id") == F.col("edit_id"), "left").withColumn("lines", F.split("t", "\n"))
