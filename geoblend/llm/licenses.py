@@ -12,13 +12,14 @@ which loses none. In the scan the largest weight that any template has at a term
 hash in an array literal of BOUND_BUCKETS entries, where colliding terms share the larger one); the units left then
 meet the templates one by one, by their terms in the templates' vocabulary alone.
 
-A document has the licence of its best unit. A document is a licence file if as a whole it reaches `threshold` and it
-does not begin with a comment, as source files with a header do; its directory's documents, and those of directories
-below without a nearer licence file, inherit.
+A document has the licence of its best unit. A statement licenses its document alone. A document is a licence file if as a
+whole it reaches `threshold` against a whole licence text and does not begin with a comment, as source files with a header
+do, or if its name says so (FILE_NAME) and it has a licence; its directory's documents, and those of directories below
+without a nearer licence file, inherit.
 
 Cases: null text counts as empty; null path is the root directory; ties go to the first licence by name, licence
-files of a directory tie by score, then by path and licence; repeated rows are reported each; an empty table gives
-an empty result.
+files of a directory tie by score, then by path and licence; rows are told apart by id, path and text (nulls equal), and
+repeated rows are reported each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, text_digest
 
 # Public licence names and statements.
 STATEMENTS = {
@@ -71,6 +72,8 @@ TERM = r"(?<![.+-])[\p{L}\p{N}.+-]*[\p{L}\p{N}]"
 #: How a line of a comment begins.
 COMMENT = r"^\s*(?://|/\*|\*|#|--|;|%|<!--|\"\"\"|''')"
 BOUND_BUCKETS = 65_536
+#: Names of licence files, with or without an ending.
+FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[cs]es?|copying|notice)(?:[.-][^/]*)?$"
 
 
 def licence_texts(folder: Path | None = None) -> dict[str, str]:
@@ -112,7 +115,7 @@ def _units(lines: str) -> Column:
 
 
 def licence_units(docs: DataFrame, threshold: float = 0.7, texts: dict[str, str] | None = None) -> DataFrame:
-    """row_id, kind, at (first line), licence, score of the units that state a licence; docs(row_id, t)."""
+    """row_id, kind, at (first line), licence, score, whole_score (against whole texts) of the units that state a licence; docs(row_id, t)."""
     spark = docs.sparkSession
     n = docs.count()
     df = docs.select(F.explode(F.array_distinct(terms(F.col("t")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -149,28 +152,33 @@ def licence_units(docs: DataFrame, threshold: float = 0.7, texts: dict[str, str]
     own = found.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     asked = materialize(own.join(df, "term").select(*key, "term", (F.col("tf") * idf(F.col("df"))).alias("v")), "licence-terms")
     norm = asked.groupBy(*key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dots = asked.join(F.broadcast(weights), "term").filter(fits).groupBy(*key, "licence", "template").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    dots = asked.join(F.broadcast(weights), "term").filter(fits).groupBy(*key, "licence", "template", "whole").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     scored = dots.join(norm, key).withColumn("score", F.col("dot") / F.col("norm")).filter(F.col("score") >= threshold)
-    return scored.groupBy(*key).agg(F.min_by("licence", F.struct(-F.round("score", 9), F.col("licence"))).alias("licence"), F.max("score").alias("score"))
+    return scored.groupBy(*key).agg(
+        F.min_by("licence", F.struct(-F.round("score", 9), F.col("licence"))).alias("licence"), F.max("score").alias("score"), F.max(F.when(F.col("whole"), F.col("score"))).alias("whole_score"),
+    )
 
 
 def licence_scan(docs: DataFrame, path: Column, threshold: float = 0.7, texts: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, path, own_licence, own_score, licence_file, licence, inherited_from.
 
-    Rows are told apart by (id, path); the licence is the document's own, else the nearest ancestor directory's.
+    The licence is the document's own, else the nearest ancestor directory's.
     """
     where = F.coalesce(path, F.lit(""))
-    base = docs.select(F.struct(F.col(id_col).alias("doc_id"), where.alias("path")).alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    row = F.struct(F.col(id_col).alias("doc_id"), where.alias("path"), text_digest(F.col(text_col)).alias("digest"))
+    base = docs.select(row.alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))  # repeated rows scale their terms, which leaves cosines
     found = materialize(licence_units(base, threshold, texts), "licence-units")
     own = found.groupBy("row_id").agg(
         F.max("score").alias("own_score"), F.min_by("licence", F.struct(-F.round("score", 9), F.col("licence"))).alias("own_licence"),
-        F.max(F.when(F.col("kind") == "document", F.col("score"))).alias("file_score"),
+        F.max(F.when(F.col("kind") == "document", F.col("whole_score"))).alias("file_score"),
     )
     directory = F.regexp_extract("row_id.path", r"^(.*)/[^/]*$", 1)
     plain = ~F.rlike(F.regexp_replace("t", r"^\s+", ""), F.lit(COMMENT))
     rows = base.select("row_id", directory.alias("dir"), plain.alias("plain")).join(broadcast_if_small(own, found.count(), 200_000), "row_id", "left")
-    file_ = F.coalesce(F.col("plain") & F.col("file_score").isNotNull(), F.lit(False))
-    rows = materialize(rows.select("row_id", "dir", "own_licence", "own_score", "file_score", file_.alias("licence_file")), "licence-rows")
+    named = F.rlike("row_id.path", F.lit(FILE_NAME)) & F.col("own_licence").isNotNull()
+    file_ = F.coalesce(named | (F.col("plain") & F.col("file_score").isNotNull()), F.lit(False))
+    file_score = F.coalesce("file_score", "own_score")
+    rows = materialize(rows.select("row_id", "dir", "own_licence", "own_score", file_score.alias("file_score"), file_.alias("licence_file")), "licence-rows")
     given = rows.filter("licence_file").groupBy("dir").agg(F.min_by("own_licence", F.struct(-F.round("file_score", 9), F.col("row_id.path"), F.col("own_licence"))).alias("given"))
     given = materialize(given.withColumnRenamed("dir", "up"), "licence-given")
     # Directories, not documents, are joined with their ancestors.
