@@ -72,6 +72,20 @@ def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str, n
     return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (text_digest(docs[text_col]) == gone["gone_digest"]), "left_anti")
 
 
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """docs with one row of those that share id and text (null equals null; null text is empty); all columns of docs."""
+    keys = docs.select(F.col(id_col).alias("twin_id"), text_digest(docs[text_col]).alias("twin_digest")).groupBy("twin_id", "twin_digest").agg(F.count(F.lit(1)).alias("twins"))
+    keys = materialize(keys.filter("twins > 1").select("twin_id", "twin_digest"), name)
+    n = keys.count()
+    if not n:
+        return docs
+    keys = broadcast_if_small(keys, n, DROP_LIMIT)
+    same = docs[id_col].eqNullSafe(keys["twin_id"]) & (text_digest(docs[text_col]) == keys["twin_digest"])
+    digest = f"digest_{uuid.uuid4().hex}"  # beside any column of docs
+    twins = docs.join(keys, same, "left_semi").withColumn(digest, text_digest(docs[text_col])).dropDuplicates([id_col, digest]).drop(digest)
+    return docs.join(keys, same, "left_anti").union(twins)
+
+
 def id_bucket(key: str | Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo: the folds of the labelled operators. Null counts as empty text."""
     key = F.col(key) if isinstance(key, str) else key

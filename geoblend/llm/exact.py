@@ -13,8 +13,8 @@ lists then grow with the rows, not with the square of the blocks. Verdicts of gr
 rows by a broadcast (there are at most rows / HOT_GROUP of them), the others by a shuffle.
 
 Cases: null text counts as empty; rows with a null doc_id take part like others and are never the kept row unless
-all of the group's ids are null; repeated rows count once each in group_size and share one verdict; an empty table
-gives an empty result.
+all of the group's ids are null; repeated rows count once each in group_size, and where the kept id has several rows of the
+text one of them is kept, so each text has exactly one kept row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_rows, materialize, shuffle_width
+from .common import broadcast_if_small, drop_rows, materialize, one_of_each, shuffle_width
 
 #: Fingerprints that one block or owner holds at most, on average.
 BLOCK_ROWS = 1_000_000
@@ -146,7 +146,7 @@ def suspect_fingerprints(fps: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id (largest id of the equal texts), group_size, kept, text_sha256."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = materialize(base.select("doc_id", F.xxhash64("t").alias("fp"), F.sha2("t", 256).alias("text_sha256"), F.xxhash64("doc_id", "t").alias("salt")), "exact-rows")
+    rows = materialize(base.select("doc_id", F.xxhash64("t").alias("fp"), F.sha2("t", 256).alias("text_sha256"), F.xxhash64("doc_id", "t").alias("salt"), F.monotonically_increasing_id().alias("row")), "exact-rows")
     suspects = materialize(suspect_fingerprints(rows.select("fp", "salt")), "exact-suspects")
     suspects = broadcast_if_small(suspects, suspects.count(), SUSPECT_LIMIT)
     verified = (
@@ -157,7 +157,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .filter("group_size > 1")
         .select(F.sha2("t", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    verified = materialize(verified, "exact-groups")
+    # One row of the greatest id; numbers are of the written rows, so they stay.
+    keepers = rows.join(suspects, "fp", "left_semi").groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("keeper"))
+    verified = materialize(verified.join(keepers.select("text_sha256", F.col("keeper.row").alias("keep_row")), "text_sha256"), "exact-groups")
     n = verified.count()
     hot = verified if n <= GROUP_LIMIT else materialize(verified.filter(F.col("group_size") > HOT_GROUP), "exact-hot")
     met = rows.join(F.broadcast(hot), "text_sha256", "left")
@@ -168,13 +170,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("row") == F.col("keep_row")).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns of docs. Rows go by id and text: an id, or the null
-    id, may also stand at another text, which stays. Rows repeated with the same id and text stay together."""
-    dropped = exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id", F.substring("text_sha256", 1, 32).alias("digest"))
-    return drop_rows(docs, dropped, id_col, text_col, "exact-dropped")
+    """docs with one row of each text, of the greatest id (null last); all columns of docs. Rows go by id and text: an id, or
+    the null id, may also stand at another text, which stays; of rows that share id and text one stays."""
+    groups = exact_groups(docs, id_col, text_col)
+    dropped = groups.filter("not kept and not doc_id <=> keep_id").select("doc_id", F.substring("text_sha256", 1, 32).alias("digest"))
+    return one_of_each(drop_rows(docs, dropped, id_col, text_col, "exact-dropped"), id_col, text_col, "exact-twins")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, drop_rows, materialize, text_digest
+from .common import broadcast_if_small, discard, drop_rows, materialize, one_of_each, text_digest
 
 BITS = 64
 #: Fingerprints of one table entry that one block of a cell holds.
@@ -235,8 +235,8 @@ def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4, segments
 
 def drop_near_copies(docs: DataFrame, radius: int = 4, shingle: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document (id and text) of each component, the first by id (null last), then digest; all columns of
-    docs. Rows go by id and text, so a row is never dropped for a namesake with another text; rows repeated with the
-    same id and text share a verdict."""
+    docs. Rows go by id and text, so a row is never dropped for a namesake with another text; of rows that share id and
+    text one stays."""
     rows = _member_rows(docs, radius, shingle, segments, id_col, text_col)
     other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("digest") != F.col("first.digest"))
-    return drop_rows(docs, rows.filter(other), id_col, text_col, "simhash-dropped")
+    return one_of_each(drop_rows(docs, rows.filter(other), id_col, text_col, "simhash-dropped"), id_col, text_col, "simhash-twins")
