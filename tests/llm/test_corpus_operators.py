@@ -87,7 +87,19 @@ def test_exact_edge_cases(spark, empty):
     assert exact.exact_groups(empty).collect() == []
     same = spark.createDataFrame([(None, "q"), (None, "q"), (7, "q"), (7, "q"), (3, "z")], "doc_id long, text string")
     got = sorted(((r["doc_id"] or -1), r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_groups(same).collect())
-    assert got == [(-1, 7, 4, False), (-1, 7, 4, False), (3, 3, 1, True), (7, 7, 4, True), (7, 7, 4, True)]
+    assert got == [(-1, 7, 4, False), (-1, 7, 4, False), (3, 3, 1, True), (7, 7, 4, False), (7, 7, 4, True)]
+
+
+def test_exact_keeps_one_row_of_each_text(spark):
+    rows = [(None, "a b c", "s")] * 4 + [(9, "q", "s")] * 2 + [(9, "other", "s"), (1, "a b c d", "t"), (None, "alone", "t"), (4, None, "s"), (4, "", "t")]
+    df = spark.createDataFrame([(*r, 1, "clash") for r in rows], "doc_id long, text string, source string, row long, digest string").repartition(3)
+    groups = exact.exact_groups(df).collect()
+    kept = Counter(r["text_sha256"] for r in groups if r["kept"])
+    assert len(groups) == len(rows) and set(kept.values()) == {1} and len(kept) == len({t or "" for _, t, _ in rows})
+    left = exact.drop_exact_copies(df)
+    assert left.columns == df.columns and sorted(r["text"] or "" for r in left.collect()) == sorted({t or "" for _, t, _ in rows})
+    near = simhash.drop_near_copies(df)
+    assert near.columns == df.columns and max(Counter((r["doc_id"], r["text"]) for r in near.collect()).values()) == 1
 
 
 # --- SimHash ---------------------------------------------------------------------------------------------------------
@@ -582,32 +594,49 @@ def test_line_dedup_over_blank_lines(spark):
 
 
 def plain_deletions(texts, min_words=20):
-    """Line numbers that each document loses when every pair is aligned."""
+    """Line numbers that each document loses: those in runs of adjacent lines that an earlier document has in one piece."""
     gone = {i: set() for i in texts}
     for i, later in texts.items():
         for j, earlier in texts.items():
-            if j < i:
-                spots = lambda t, x: [{"n": k, "pos": k} for k, y in enumerate(t) if y == x]
-                lines = [{"h": x, "words": len(x.split()), "earlier": spots(earlier, x), "later": spots(later, x)} for x in {*later} & {*earlier}]
-                gone[i] |= {k for a, b in linededup.common_blocks(lines, min_words) for k in range(a, b + 1)}
+            for a in range(len(later) if j < i else 0):
+                for b in range(len(earlier)):
+                    n = 0
+                    while a + n < len(later) and b + n < len(earlier) and later[a + n] == earlier[b + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in later[a : a + n]) >= min_words:
+                        gone[i] |= set(range(a, a + n))
     return gone
 
 
 def test_line_dedup_against_all_pairs(spark):
     rng = random.Random(9)
     lines = [prose(rng, rng.randint(4, 14)) + f" {k}" for k in range(12)]
+    sections = [[prose(rng, rng.randint(3, 15)) + f" {k}" for _ in range(rng.randint(1, 5))] for k in range(14)]
     a, b, *piece = (prose(rng, 12) for _ in range(7))
     own = lambda: prose(rng, 9)
     texts = {1: [a], 2: [b], 3: [a, b], 4: [a, b], 5: [a, own(), b, own()]}  # compiled from two first holders
     texts |= {6: [piece[3], own(), piece[1], own(), piece[0], own(), piece[2]], 7: piece[:4], 8: piece[:4], 9: [own(), *piece]}  # scattered in the first
-    for i in range(10, 60):  # shared lines in one order, so that each pair has one alignment
-        texts[i] = [y for k in sorted(rng.sample(range(12), rng.randint(1, 8))) for y in ([lines[k]] if rng.random() < 0.8 else [own(), lines[k]])]
+    for i in range(10, 60):  # shared lines in any order, some twice
+        texts[i] = [y for k in rng.choices(range(12), k=rng.randint(1, 8)) for y in ([lines[k]] if rng.random() < 0.8 else [own(), lines[k]])]
+    for i in range(60, 140):  # sections in random order
+        texts[i] = [y for k in rng.sample(range(14), rng.randint(1, 7)) for y in sections[k] + [own()] * (rng.random() < 0.3)]
+    moved = [prose(rng, 8) for _ in range(10)]
+    texts |= {200: moved[:4] + moved[4:], 201: moved[:4], 202: moved[4:] + moved[:4], 203: moved[:4] * 2 + moved[4:]}
     df = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
-    for rare in (64, 1):
-        got = {r["doc_id"]: r for r in linededup.drop_common_blocks(df, rare=rare).collect()}
-        for i, gone in plain_deletions(texts).items():
-            assert got[i]["text"] == "\n".join(x for k, x in enumerate(texts[i]) if k not in gone), i
-        assert got[4]["n_deleted"] == 2 and got[4]["partners"] == 1 and got[8]["n_deleted"] == 4 and got[7]["n_deleted"] == got[5]["n_deleted"] == 0
+    got = {r["doc_id"]: r for r in linededup.drop_common_blocks(df).collect()}
+    want = plain_deletions(texts)
+    for i, gone in want.items():
+        assert got[i]["text"] == "\n".join(x for k, x in enumerate(texts[i]) if k not in gone), i
+    assert got[4]["n_deleted"] == 2 and got[4]["partners"] == 1 and got[8]["n_deleted"] == 4 and got[7]["n_deleted"] == got[5]["n_deleted"] == 0
+    assert got[202]["n_deleted"] == 10 and sum(map(len, want.values())) > 1000
+
+
+def test_crossing_runs_are_all_deleted():
+    run = lambda lines, earlier, later: {"lines": lines, "words": [10] * len(lines), "earlier": earlier, "later": later, "pos": [2 * n + k for n in later for k in range(len(lines))]}
+    # a = 1 2 3 4 5 6, b = 3 4 5 6 1 2 and the overlapping run 2 3 nowhere in b.
+    blocks = linededup.common_blocks([run([1, 2], [0], [4]), run([3, 4], [2], [0]), run([4, 5], [3], [1]), run([5, 6], [4], [2])], 20)
+    assert sorted(blocks) == [(0, 5), (8, 9)]
+    assert linededup.common_blocks([], 20) == []
 
 
 # --- licences --------------------------------------------------------------------------------------------------------
@@ -630,16 +659,59 @@ def test_licences_and_inheritance(spark, empty):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software"),
         (2, "a/x.txt", BODY), (3, "a/b/c/y.txt", BODY), (4, "a/b/c/z.txt", f"Licensed under the Apache License, Version 2.0.\n{BODY}"), (5, "d/q.txt", BODY),
-        (6, "a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), (7, None, None), (8, "e/f.txt", f"{BODY}\nAll rights reserved.\n{BODY}"), (8, "e/f.txt", f"{BODY}\nAll rights reserved.\n{BODY}"),
+        (6, "a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), (9, "d/LICENSE.txt", BODY), (10, "d/short.txt", "Released under the MIT License."), (7, None, None), (8, "e/f.txt", f"{BODY}\nAll rights reserved.\n{BODY}"), (8, "e/f.txt", f"{BODY}\nAll rights reserved.\n{BODY}"),
     ]
     df = spark.createDataFrame([(*r, 1, "clash", 0.5) for r in rows], "doc_id long, p string, text string, line int, term string, score double")
     got = {r["doc_id"]: r for r in licenses.licence_scan(df, F.col("p")).collect()}
-    assert licenses.licence_scan(df, F.col("p")).count() == 9
-    assert {i: r["licence"] for i, r in got.items()} == {1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: "Apache-2.0", 5: None, 6: "GPL-3.0", 7: None, 8: "Proprietary"}
+    assert licenses.licence_scan(df, F.col("p")).count() == 11
+    # A statement alone licenses its own document, not the directory; a file named as licence but without one gives none.
+    assert {i: r["licence"] for i, r in got.items()} == {1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: "Apache-2.0", 5: None, 6: "GPL-3.0", 7: None, 8: "Proprietary", 9: None, 10: "MIT"}
+    assert not got[9]["licence_file"] and not got[10]["licence_file"] and got[6]["licence_file"]
     assert got[3]["inherited_from"] == "a/b" and got[2]["inherited_from"] == "a" and not got[4]["licence_file"] and got[1]["licence_file"]
     assert licenses.licence_scan(empty, F.col("source")).collect() == []
 
 
+def test_licence_rows_of_one_id_and_path(spark):
+    mit = licenses.licence_texts()["MIT"]
+    rows = [(None, None, BODY * 30), (None, None, mit), (5, "x/y", BODY), (5, "x/y", "Released under the MIT License."), (5, "x/y", None), (None, None, mit)]
+    got = licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, p string, text string"), F.col("p")).collect()
+    assert Counter((r["doc_id"], r["own_licence"], r["licence_file"]) for r in got) == {(None, None, False): 1, (None, "MIT", True): 2, (5, None, False): 2, (5, "MIT", False): 1}
+
+
+def plain_inheritance(rows):
+    """Licence of each (path, own licence, file score) by walking up from the directory."""
+    given = {}
+    for path, own, score in rows:
+        if score is not None:
+            up = path.rsplit("/", 1)[0] if "/" in path else ""
+            given[up] = min(given.get(up, (9, "", "")), (-score, path, own))
+    out = []
+    for path, own, _ in rows:
+        at = path.rsplit("/", 1)[0] if "/" in path else ""
+        while own is None:
+            own = given[at][2] if at in given else None
+            if not at:
+                break
+            at = at.rsplit("/", 1)[0] if "/" in at else ""
+        out.append(own)
+    return out
+
+
+def test_inheritance_against_walking_up(spark):
+    rng = random.Random(13)
+    whole = licenses.licence_texts()
+    folder = lambda: "/".join(rng.choice("abc") for _ in range(rng.randint(0, 4)))
+    rows = []
+    for i in range(150):
+        kind, name = rng.random(), rng.choice(sorted(whole))
+        text = whole[name] if kind < 0.15 else "Released under the MIT License." if kind < 0.25 else BODY
+        rows.append((i, f"{folder()}/f{i}".strip("/"), text))
+    got = {r["doc_id"]: r for r in licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, p string, text string"), F.col("p")).collect()}
+    assert [got[i]["licence_file"] for i, _, _ in rows] == [t in whole.values() for _, _, t in rows]
+    found = [(p, got[i]["own_licence"], round(got[i]["own_score"], 9) if got[i]["licence_file"] else None) for i, p, _ in rows]
+    assert [got[i]["licence"] for i, _, _ in rows] == plain_inheritance(found) and any(r["inherited_from"] for r in got.values())
+
+
 def test_licence_files_and_wrapped_headers(spark):
     """Whole licence texts with names and years filled in, set in other widths; headers wrapped in comments."""
     import textwrap
