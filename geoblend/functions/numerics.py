@@ -59,26 +59,22 @@ def hash_unit(seed: int | str, *keys: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def global_rank(df: DataFrame, order: list[str], name: str = "rank", buckets: int | None = None, written_rows: bool = False) -> DataFrame:
+def global_rank(df: DataFrame, order: list[str], name: str = "rank", buckets: int | None = None) -> DataFrame:
     """Adds a 1-based rank over the whole table without sorting it in one partition.
 
-    Rows go to ranges of the first order column by its own quantiles; range counts give offsets, and a window ranks
-    within a range. The ranges follow from the values, not from partition ids, so a lost executor changes nothing. The
-    rows are written first, as three passes read them, unless they are a written table.
+    Rows are range-partitioned by all order columns and then by their place in the written table, so a value that many
+    rows share is split as well, and sorted within. The sorted ranges are written with the rows' running ids; what each
+    range holds gives the offsets. Ranks are read off the written rows, so a lost executor changes nothing.
     """
     from ..sources.tables import written
 
-    df = df if written_rows else written(df, "rank")
     n = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    first = order[0]
-    cuts = df.agg(F.percentile_approx(F.col(first).cast("double"), [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.lit(0)
-    if cuts:
-        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(first).cast("double")))
-    dealt = df.withColumn("_bucket", bucket)
-    sizes = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # one row per range
-    ranked = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    return ranked.join(F.broadcast(sizes), "_bucket").withColumn(name, F.col("_own") + F.col("_before")).drop("_bucket", "_own", "_before")
+    placed = written(df, "rank-rows").withColumn("_place", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(n, *order, "_place").sortWithinPartitions(*order, "_place")
+    sorted_rows = written(dealt.drop("_place").withColumn("_id", F.monotonically_increasing_id()), "rank-ranges")
+    part, own = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted_rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = sorted_rows.withColumns({"_part": part, "_own": own}).join(F.broadcast(sizes), "_part")
+    return ranked.withColumn(name, F.col("_before") + F.col("_own") + 1).select(*df.columns, name)

@@ -6,11 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numerics import global_rank, hash_unit
 from .daily import nearest_days
 from .spatial import nearest_join
 
-from ..functions.numerics import hash_unit
-
 #: With fewer colocated points than this the calibration is the identity.
 LEAST_POINTS = 10
 
@@ -135,17 +134,16 @@ def thinning_report(before: DataFrame, after: DataFrame, value: str, day: str =
 
 def location_anomaly(df: DataFrame, value: str, name: str = "anomaly") -> DataFrame:
     """Per cell, log1p of the value standardised within the cell (sample std; no spread or one row gives 0)."""
-    w = Window.partitionBy("grid_id")
     v = F.log1p(F.col(value))
-    std = F.coalesce(F.nullif(F.stddev_samp(v).over(w), F.lit(0.0)), F.lit(1.0))
-    return df.withColumn(name, (v - F.avg(v).over(w)) / std)
+    cells = df.groupBy("grid_id").agg(F.avg(v).alias("_m"), F.coalesce(F.nullif(F.stddev_samp(v), F.lit(0.0)), F.lit(1.0)).alias("_s"))
+    return df.join(cells, "grid_id", "left").withColumn(name, (v - F.col("_m")) / F.col("_s")).select(*[c for c in df.columns if c != name], name)
 
 
 def exact_sample(df: DataFrame, keys: list[str], seed: int, fraction: float | None = None, most: int | None = None) -> DataFrame:
     """max(1, int(n * fraction)) or at most `most` rows, those first in hash order: same size everywhere, same rows on any cluster."""
     n = df.count()
     size = max(1, int(n * fraction)) if fraction is not None else min(n, most or n)
-    return df.withColumn("_h", hash_unit(seed, *keys)).orderBy("_h", *keys).limit(size).drop("_h")
+    return global_rank(df.withColumn("_h", hash_unit(seed, *keys)), ["_h", *keys], "_rank").filter(F.col("_rank") <= size).drop("_h", "_rank")
 
 
 def rate_sample(df: DataFrame, keys: list[str], seed: int, fraction: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 #: Fewer valid points than this give no outlier flags.
 LEAST_POINTS = 20
 
@@ -41,14 +43,15 @@ def within(c: Column, low: float, high: float) -> Column:
 def outlier_bounds(df: DataFrame, value: str, method: str = "iqr", k: float = 3.0, threshold: float = 4.0) -> DataFrame:
     """One row low, high; nulls (flag nothing) for too few points or no spread."""
     if method == "iqr":
-        s = df.agg(F.count(value).alias("n"), F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+        s = exact_quantiles(df, value, [0.25, 0.75]).select("n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
         spread = F.col("q3") - F.col("q1")
         usable = (F.col("n") >= LEAST_POINTS) & (spread > 0)
         return s.select(F.when(usable, F.col("q1") - k * spread).alias("low"), F.when(usable, F.col("q3") + k * spread).alias("high"))
     if method != "robust":
         raise ValueError(method)
-    centre = df.agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("med"))
-    mad = df.select(value).crossJoin(F.broadcast(centre)).agg(F.first("n").alias("n"), F.first("med").alias("med"), F.percentile(F.abs(F.col(value) - F.col("med")), 0.5).alias("mad"))
+    centre = exact_quantiles(df, value, [0.5]).first()
+    n, med = centre["n"], F.lit(centre["q"][0]).cast("double")
+    mad = exact_quantiles(df.select(value), F.abs(F.col(value) - med), [0.5]).select(F.lit(n).alias("n"), med.alias("med"), F.col("q")[0].alias("mad"))
     usable = (F.col("n") >= LEAST_POINTS) & (F.col("mad") > 0)
     reach = threshold * F.col("mad") / 0.6745
     return mad.select(F.when(usable, F.col("med") - reach).alias("low"), F.when(usable, F.col("med") + reach).alias("high"))
@@ -101,7 +104,7 @@ def plausibility(df: DataFrame, mean: str = "mean", std: str = "std", limits: tu
     """One row of percentiles of means (2, 50, 98) and stds (50, 98), and whether they keep the limits
     (least of p2, range of the median, most of p98 of the means, most of p98 of the stds)."""
     low, mid_low, high, mid_high, most = limits
-    q = df.agg(F.percentile(mean, [0.02, 0.5, 0.98]).alias("m"), F.percentile(std, [0.5, 0.98]).alias("s"))
+    q = exact_quantiles(df, mean, [0.02, 0.5, 0.98], name="m").select("m").crossJoin(exact_quantiles(df, std, [0.5, 0.98], name="s").select("s"))  # one row each
     good = (F.col("m")[0] >= low) & F.col("m")[1].between(mid_low, mid_high) & (F.col("m")[2] <= high) & (F.col("s")[1] <= most)
     return q.select(F.col("m")[0].alias("mean_p2"), F.col("m")[1].alias("mean_p50"), F.col("m")[2].alias("mean_p98"), F.col("s")[0].alias("std_p50"), F.col("s")[1].alias("std_p98"), good.alias("plausible"))
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numerics import hash_unit
+from ..functions.numerics import global_rank, hash_unit
 from ..functions.scalars import interval
 from ..functions.threads import use_one_thread
 from ..sources.tables import Source
@@ -247,14 +247,12 @@ def samples(df: DataFrame, keys: list[str], n: int = 64, seed: int = 1, name: st
 
 def even_points(rows: DataFrame, n_space: int, n_time: int) -> np.ndarray:
     """Evenly spaced picks of the distinct locations (by x, y) crossed with those of the distinct times."""
-    from pyspark.sql import Window
 
     def picks(df: DataFrame, cols: list[str], n: int) -> list:
-        table = df.select(*cols).distinct()
-        many = table.count()
+        ranked = global_rank(df.select(*cols).distinct(), cols, "_k")
+        many = ranked.agg(F.max("_k")).first()[0] or 0
         wanted = sorted({int(i) for i in np.linspace(0, many - 1, min(n, many))})
-        ranked = table.withColumn("_k", F.row_number().over(Window.orderBy(*cols)) - 1)  # distinct locations or times only
-        return [tuple(r[c] for c in cols) for r in ranked.filter(F.col("_k").isin(wanted)).orderBy("_k").collect()]
+        return [tuple(r[c] for c in cols) for r in ranked.filter((F.col("_k") - 1).isin(wanted)).orderBy("_k").collect()]
 
     return np.array([(*s, *t) for s in picks(rows, ["x", "y"], n_space) for t in picks(rows, ["t"], n_time)], dtype=float)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numerics import global_rank, norm_cdf_sql, norm_pdf_sql, z_of
-from ..sources.tables import written
+from ..functions.quantiles import exact_quantiles, place_among
 
 LEVELS = (0.5, 0.8, 0.9, 0.95)
 LOG_2PI = math.log(2 * math.pi)
@@ -66,9 +66,8 @@ def evaluate(df: DataFrame, y: str = "y", mean: str = "mean", std: str = "std",
 
 def ks_uniform(df: DataFrame, pit: str = "pit") -> DataFrame:
     """One row ks: largest gap between the empirical distribution of the PIT values and the uniform one."""
-    rows = written(df.filter(F.col(pit).isNotNull()).select(pit), "pit")
-    n = rows.count()
-    ranked = global_rank(rows, [pit], written_rows=True)
+    ranked = global_rank(df.filter(F.col(pit).isNotNull()).select(pit), [pit])
+    n = ranked.agg(F.max("rank")).first()[0] or 1
     gap = F.greatest(F.col("rank") / n - F.col(pit), F.col(pit) - (F.col("rank") - 1) / n)
     return ranked.agg(F.max(gap).alias("ks"))
 
@@ -137,8 +136,8 @@ def reliability(df: DataFrame, levels: tuple[float, ...] = tuple(round(0.1 * i,
 
 def error_by_uncertainty(df: DataFrame, bins: int = 5, y: str = "y", mean: str = "mean", std: str = "std") -> DataFrame:
     """bin (by quantiles of std), n, mean std, mean absolute error and its standard error."""
-    edges = df.agg(F.percentile(std, [i / bins for i in range(1, bins)]).alias("_q"))
-    place = F.size(F.filter("_q", lambda q: q < F.col(std)))
+    edges = exact_quantiles(df, std, [i / bins for i in range(1, bins)], name="_q").select("_q")
+    place = place_among(F.col("_q"), F.col(std), bins)
     e = F.abs(F.col(y) - F.col(mean))
     out = df.crossJoin(F.broadcast(edges)).withColumn("bin", place).groupBy("bin")
     return out.agg(F.count(F.lit(1)).alias("n"), F.avg(std).alias("mean_std"), F.avg(e).alias("mean_abs_error"), (F.stddev_samp(e) / F.sqrt(F.count(F.lit(1)))).alias("se"))

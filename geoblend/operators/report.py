@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 
 def loso_summary(df: DataFrame, metrics: list[str] = ["rmse", "mae"]) -> DataFrame:  # noqa: B006
     """Per model: stations, mean and median of each metric, mean absolute bias."""
@@ -54,7 +56,8 @@ def station_fits(df: DataFrame, models: list[str], station: str = "station", y:
 
 
 def clip_limits(df: DataFrame, value: str, by: list[str] = [], low: float = 0.02, high: float = 0.98) -> DataFrame:  # noqa: B006
-    return df.groupBy(*by).agg(F.percentile(value, low).alias("low"), F.percentile(value, high).alias("high"))
+    """Quantiles of all values, or of each group's."""
+    return exact_quantiles(df, value, [low, high], by).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def grid_profile(df: DataFrame, ts: str = "date", threshold: float = 0.5) -> DataFrame:

@@ -27,10 +27,11 @@ def exact_split(df: DataFrame, keys: list[str], ratios: tuple[float, float, floa
 
 
 def ranked_keys(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Distinct keys (cells, stations, days: few) with their 0-based place in hash order and their number."""
+    """Distinct keys (cells, stations, days) with their 0-based place in hash order and their number."""
     keys = df.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("_h", hash_unit(seed, key))
-    w = Window.orderBy("_h", key)
-    return keys.select(key, (F.row_number().over(w) - 1).alias("place"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n_keys"))
+    ranked = global_rank(keys, ["_h", key], "_rank")
+    n = ranked.agg(F.count(F.lit(1)).alias("n_keys"))
+    return ranked.select(key, (F.col("_rank") - 1).alias("place")).crossJoin(F.broadcast(n))
 
 
 def spatial_split(df: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42, cell: str = "grid_id") -> DataFrame:
