@@ -281,28 +281,35 @@ def _wind_sql() -> str:
     return f"wind AS (SELECT grid_id, date, {parts} FROM daily)"
 
 
-def _upwind_sql() -> str:
-    """Every pair of cells: the plain form of the binned radius join."""
+def _upwind_sql(km: str = "3e0") -> str:
+    """Every pair of cells: the plain form of the stencils and of the binned radius join."""
     off = lambda k: f"abs(((ang - {k * 45}e0 + 180e0 + 720e0) % 360e0) - 180e0) <= 22.5e0"
     sums = ", ".join(f"coalesce(sum(CASE WHEN {off(k)} THEN t / (km * km) END), 0) AS upwind_{k}" for k in range(8))
     return f"""t AS (SELECT grid_id, avg(traffic) AS traffic FROM daily GROUP BY grid_id),
     src AS (SELECT c.grid_id, latitude, longitude, CASE WHEN coalesce(traffic, 0) = 0 THEN 1e0 ELSE traffic END AS t FROM cells c LEFT JOIN t USING (grid_id)),
     pr AS (SELECT a.grid_id, (b.longitude - a.longitude) * 111e0 * cos(radians(lm)) AS e, (b.latitude - a.latitude) * 111e0 AS nn, b.t FROM cells a, src b, (SELECT avg(latitude) AS lm FROM (SELECT DISTINCT latitude, longitude FROM cells))),
     pk AS (SELECT *, sqrt(e * e + nn * nn) AS km, (degrees(atan2(e, nn)) + 360e0) % 360e0 AS ang FROM pr),
-    up AS (SELECT grid_id, {sums} FROM pk WHERE km > 0 AND km <= 3e0 GROUP BY grid_id)"""
+    up AS (SELECT grid_id, {sums} FROM pk WHERE km > 0 AND km <= {km} GROUP BY grid_id)"""
 
 
 @query(roles("cells", "daily") + f", {_upwind_sql()} SELECT grid_id, " + ", ".join(f"round(upwind_{k}, 4) AS upwind_{k}" for k in range(8)) + " FROM up")
 def upwind_sums(spark, sf_dir: str) -> DataFrame:
     traffic = daily_sparse(spark, sf_dir).groupBy("grid_id").agg(F.avg("traffic").alias("traffic"))
-    return rounded(covariates.upwind_sums(R.cells(spark, sf_dir), traffic), 4)
+    return rounded(covariates.upwind_on_grid(R.cells(spark, sf_dir), traffic, R.STEP), 4)
+
+
+@query(roles("cells", "daily") + f", {_upwind_sql('0.5e0')} SELECT grid_id, " + ", ".join(f"round(upwind_{k}, 4) AS upwind_{k}" for k in range(8)) + " FROM up")
+def upwind_scattered(spark, sf_dir: str) -> DataFrame:
+    """Upwind sums within 0.5 km by pairs, as for places off any grid."""
+    traffic = daily_sparse(spark, sf_dir).groupBy("grid_id").agg(F.avg("traffic").alias("traffic"))
+    return rounded(covariates.upwind_sums(R.cells(spark, sf_dir), traffic, 0.5), 4)
 
 
 @query(roles("cells", "daily") + f", {_upwind_sql()}, {_wind_sql()} SELECT grid_id, date, " + ", ".join(f"round(coalesce(upwind_{k}, 0) * freq_{k}, 4) AS traffic_wind_{k}, round(speed_{k} * freq_{k}, 4) AS speed_freq_{k}" for k in range(8)) + " FROM wind LEFT JOIN up USING (grid_id)", date="date")
 def wind_weighted(spark, sf_dir: str) -> DataFrame:
     df = daily_sparse(spark, sf_dir)
     traffic = df.groupBy("grid_id").agg(F.avg("traffic").alias("traffic"))
-    up = covariates.upwind_sums(R.cells(spark, sf_dir), traffic)
+    up = covariates.upwind_on_grid(R.cells(spark, sf_dir), traffic, R.STEP)
     return rounded(covariates.wind_weighted(R.wind(df), up), 4)
 
 

@@ -25,7 +25,7 @@ NEAREST = "nn AS (SELECT station, s.value, arg_min(c.grid_id, (d, c.grid_id)) AS
 
 @query(roles("cells", "hourly") + f", {STATIONS}, p AS (SELECT station, c.grid_id, sqrt((c.latitude - s.latitude) ** 2 + (c.longitude - s.longitude) ** 2) AS d FROM stations s, cells c) SELECT station, arg_min(grid_id, d) AS near_id, round(min(d), 9) AS distance FROM p GROUP BY station")
 def nearest_cell(spark, sf_dir: str) -> DataFrame:
-    out = spatial.nearest_join(station_points(spark, sf_dir), R.cells(spark, sf_dir), "station", (0.001, 0.0015), [])
+    out = spatial.nearest_join(station_points(spark, sf_dir), R.cells(spark, sf_dir), (0.001, 0.0015), [])
     return rounded(out.select("station", "near_id", "distance"), 9)
 
 
@@ -33,7 +33,7 @@ def nearest_cell(spark, sf_dir: str) -> DataFrame:
 def snapped_stations(spark, sf_dir: str) -> DataFrame:
     """Stations moved off their cells and snapped to all cells, those too far from any dropped."""
     moved = station_points(spark, sf_dir).withColumn("latitude", F.col("latitude") + 0.0002 * (F.split("station", "_")[1].cast("int") % 9))
-    return spatial.snap_stations(moved, R.cells(spark, sf_dir), "station", (0.001, 0.0015), 0.0006).select("station", "near_id")
+    return spatial.snap_stations(moved, R.cells(spark, sf_dir), (0.001, 0.0015), 0.0006).select("station", "near_id")
 
 
 @query(roles("cells") + """, p AS (SELECT a.grid_id, b.grid_id AS o, sqrt(((b.longitude - a.longitude) * 111320e0 * cos(radians(a.latitude)) / 1000e0) ** 2 + ((b.latitude - a.latitude) * 111320e0 / 1000e0) ** 2) AS km FROM cells a, cells b)
@@ -80,7 +80,7 @@ def filled_prior(spark, sf_dir: str) -> DataFrame:
     mean = spatial.fill_missing(df, "atmo", "mean").select("grid_id", F.col("atmo").alias("by_mean"))
     const = spatial.fill_missing(df, "atmo", "constant", -1.0).select("grid_id", F.col("atmo").alias("by_constant"))
     filled = spatial.fill_missing(df, "atmo", "nearest", size=(0.002, 0.002)).select("grid_id", F.col("atmo").alias("by_nearest"))
-    near = spatial.nearest_join(df.filter("atmo is null").drop("atmo"), df.filter("atmo is not null"), "grid_id", (0.002, 0.002), [], id_col="grid_id").select("grid_id", F.round("distance", 9).alias("gap"))
+    near = spatial.nearest_join(df.filter("atmo is null").drop("atmo"), df.filter("atmo is not null"), (0.002, 0.002), [], id_col="grid_id").select("grid_id", F.round("distance", 9).alias("gap"))
     return rounded(mean.join(const, "grid_id").join(filled, "grid_id").join(near, "grid_id", "left"), gap=9)
 
 
@@ -157,7 +157,7 @@ def nearest_or_default(spark, sf_dir: str) -> DataFrame:
     """A value of the nearest cell, or a default for places far from every cell."""
     moved = station_points(spark, sf_dir).select("station", (F.col("latitude") + 0.05 * (F.split("station", "_")[1].cast("int") % 3)).alias("latitude"), "longitude")
     cells = R.cells(spark, sf_dir).withColumn("value", F.col("r").cast("double"))
-    return rounded(spatial.nearest_join(moved, cells, "station", (0.001, 0.0015), ["value"], most=0.02, default=-1.0).select("station", "value"))
+    return rounded(spatial.nearest_join(moved, cells, (0.001, 0.0015), ["value"], most=0.02, default=-1.0).select("station", "value"))
 
 
 @query(roles("cells") + """, q AS (SELECT DISTINCT r // 4 AS a, c // 15 AS b FROM cells), poly AS (SELECT a || '-' || b AS polygon_id, -6.45e0 + 0.0015e0 * (b * 15 - 0.5e0) AS x0, 53.25e0 + 0.001e0 * (a * 4 - 0.5e0) AS y0 FROM q)

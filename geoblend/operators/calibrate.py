@@ -98,7 +98,7 @@ def correction_at(places: DataFrame, days: DataFrame, coefficients: np.ndarray,
     the nearest cell on the nearest day of days(grid_id, latitude, longitude, day, covariates); without covariates there, 0."""
     cells = days.select("grid_id", "latitude", "longitude").distinct()
     where = places.select(key, "latitude", "longitude").distinct()
-    near = nearest_join(where, cells, key, size, []).select(key, "near_id")
+    near = nearest_join(where, cells, size, []).select(key, "near_id")
     when = nearest_days(places, days, day)
     asked = places.join(near, key, "left").join(when, day, "left")
     known = days.select(F.col("grid_id").alias("near_id"), F.col(day).alias("nearest_day"), apply_ridge(coefficients, scale).alias("correction"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bearing
 from .spatial import radius_join
+from .tiles import SIDE, stencil, tiled
 
 SECTORS = 8
 
@@ -31,6 +35,39 @@ def upwind_sums(cells: DataFrame, traffic: DataFrame, km: float = 3.0) -> DataFr
     return pairs.groupBy("grid_id").agg(*sums).na.fill(0.0, [f"upwind_{k}" for k in range(SECTORS)])
 
 
+def upwind_on_grid(cells: DataFrame, traffic: DataFrame, step: tuple[float, float], km: float = 3.0, row: str = "r", col: str = "c") -> DataFrame:
+    """upwind_sums() of cells that are pixels of a grid of `step` degrees (latitude by row, longitude by column): the same
+    sums as stencils over tiles, a fixed weight for each offset and sector, instead of a row for each pair."""
+    mean_lat = cells.select("latitude", "longitude").distinct().agg(F.avg("latitude")).first()[0] or 0.0
+    north, east = step[0] * KM_PER_DEGREE, step[1] * KM_PER_DEGREE * math.cos(math.radians(mean_lat))
+    reach = max(int(km / north), int(km / east)) + 1
+    taps = []
+    for i in range(-reach, reach + 1):
+        for j in range(-reach, reach + 1):
+            d = math.hypot(i * north, j * east)
+            if 0 < d <= km:
+                angle = math.degrees(math.atan2(j * east, i * north)) % 360.0
+                sectors = [k for k in range(SECTORS) if abs((angle - k * 360.0 / SECTORS + 180.0) % 360.0 - 180.0) <= 180.0 / SECTORS]
+                taps.append((i + reach, j + reach, 1.0 / d**2, sectors))
+
+    def run(block: np.ndarray, i0: int, j0: int) -> list[np.ndarray]:
+        side, known = len(block) - 2 * reach, ~np.isnan(block)
+        t, out = np.where(known, block, 0.0), np.zeros((SECTORS + 1, side, side))
+        for i, j, w, sectors in taps:
+            own = t[i : i + side, j : j + side] * w
+            for k in sectors:
+                out[k] += own
+            out[SECTORS] += known[i : i + side, j : j + side]
+        return list(out)
+
+    weight = F.when(F.coalesce(F.col("traffic"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("traffic"))
+    pixels = cells.join(traffic.select("grid_id", "traffic"), "grid_id", "left").groupBy(F.col(row).alias("row"), F.col(col).alias("col")).agg(F.sum(weight).alias("value"))
+    side = max(SIDE, reach)
+    names = [f"upwind_{k}" for k in range(SECTORS)]
+    sums = stencil(tiled(pixels, [], side=side), [], reach, [*names, "_near"], run, side).filter(F.col("_near") > 0)
+    return cells.select("grid_id", F.col(row).alias("row"), F.col(col).alias("col")).join(sums, ["row", "col"]).select("grid_id", *names)
+
+
 def wind_weighted(days: DataFrame, upwind: DataFrame) -> DataFrame:
     """Adds traffic_wind_k = upwind_k * freq_k and speed_freq_k = speed_k * freq_k to (grid_id, date, freq, speed) rows; missing is 0."""
     out = days.join(upwind, "grid_id", "left")

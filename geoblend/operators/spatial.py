@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import METRES_PER_DEGREE, planar_km
 from ..sources.tables import written
+from .tiles import stencil, tiled
 
 # --- grids -----------------------------------------------------------------------------------------------------------
 
@@ -62,7 +64,8 @@ def radius_join(points: DataFrame, others: DataFrame, km: float, scale_lat: floa
 
     Others are dealt to latitude bands of the radius, and within a band to longitude bins as wide as the radius at its
     end nearer to the pole. A point looks into its band and the two beside it, there into the bins its radius
-    reaches, so no pair is lost at any latitude and the join is on the bin.
+    reaches, so no pair is lost at any latitude and the join is on the bin. A point whose radius passes the 180th
+    meridian looks from a turn away as well; the shorter way round counts.
     """
     band = km / per_degree * (1 + 1e-9)
     name = {c: f"other_{c}" for c in others.columns}
@@ -70,19 +73,22 @@ def radius_join(points: DataFrame, others: DataFrame, km: float, scale_lat: floa
     width = lambda b: band / F.cos(F.radians(outer(b)))
     bin_of = lambda lon, b: F.floor(lon / width(b)).cast("int")
     reach = band / F.greatest(F.cos(F.radians(F.col("latitude") if scale_lat is None else F.lit(scale_lat))), F.lit(band / 360.0)) * (1 + 1e-9)
-    left = points.withColumn("_bi", F.floor(F.col("latitude") / band).cast("int")).withColumn("_bi", _ring("_bi", 1))
-    bins = F.sequence(bin_of(F.col("longitude") - reach, F.col("_bi")), bin_of(F.col("longitude") + reach, F.col("_bi")))
+    turns = F.filter(F.array(*[F.col("longitude") + x for x in (0.0, 360.0, -360.0)]), lambda x: (x >= -180.0 - reach) & (x <= 180.0 + reach))
+    left = points.withColumn("_lon", F.explode(turns)).withColumn("_bi", F.floor(F.col("latitude") / band).cast("int")).withColumn("_bi", _ring("_bi", 1))
+    bins = F.sequence(bin_of(F.col("_lon") - reach, F.col("_bi")), bin_of(F.col("_lon") + reach, F.col("_bi")))
     left = left.withColumn("_bj", F.explode(bins))
     right = others.withColumnsRenamed(name).withColumn("_bi", F.floor(F.col("other_latitude") / band).cast("int"))
     right = right.withColumn("_bj", bin_of(F.col("other_longitude"), F.col("_bi")))
     scale = None if scale_lat is None else F.lit(scale_lat)
-    east, north = planar_km(F.col("latitude"), F.col("longitude"), F.col("other_latitude"), F.col("other_longitude"), scale, per_degree)
-    joined = left.join(right, ["_bi", "_bj"]).withColumns({"east": east, "north": north}).withColumn("km", F.hypot("east", "north"))
-    return joined.filter((F.col("km") > 0) & (F.col("km") <= km)).drop("_bi", "_bj")
+    east, north = planar_km(F.col("latitude"), F.col("_lon"), F.col("other_latitude"), F.col("other_longitude"), scale, per_degree)
+    gap = F.col("other_longitude") - F.col("_lon")
+    joined = left.join(right, ["_bi", "_bj"]).filter((gap > -180.0) & (gap <= 180.0)).withColumns({"east": east, "north": north}).withColumn("km", F.hypot("east", "north"))
+    return joined.filter((F.col("km") > 0) & (F.col("km") <= km)).drop("_bi", "_bj", "_lon")
 
 
-def nearest_join(queries: DataFrame, points: DataFrame, key: str, size: tuple[float, float], values: list[str], id_col: str = "grid_id", most: float | None = None, default: float | None = None) -> DataFrame:
-    """Each query's nearest point in degrees (ties by id): adds near_id, distance and the values; exact, one row per query.
+def nearest_join(queries: DataFrame, points: DataFrame, size: tuple[float, float], values: list[str], id_col: str = "grid_id", most: float | None = None, default: float | None = None) -> DataFrame:
+    """Each query's nearest point in degrees (ties by id): adds near_id, distance and the values; exact, one row per query,
+    whatever its columns hold: queries are numbered.
 
     First a query looks into its bin and the eight around; a match no farther than a bin counts. Queries left over
     descend a tree of bins, each sixteen of the level below with the box of its points: of the children reached,
@@ -95,16 +101,16 @@ def nearest_join(queries: DataFrame, points: DataFrame, key: str, size: tuple[fl
     pts = points.select(F.col(id_col).alias("near_id"), F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon"), *values).filter("_plat is not null and _plon is not null")
     pa_, pb_ = _bins(F.col("_plat"), F.col("_plon"), s_lat, s_lon)
     pts = written(pts.withColumns({"_bi": pa_, "_bj": pb_}), "nearest-points")
-    asked = written(queries.withColumns({"_bi": a, "_bj": b}), "nearest-queries")
+    asked = written(queries.withColumns({"_bi": a, "_bj": b, "_q": F.monotonically_increasing_id()}), "nearest-queries")
     d = F.hypot(F.col("_plat") - F.col("latitude"), F.col("_plon") - F.col("longitude"))
     pick = F.min_by(F.struct("near_id", "distance", *values), F.struct("distance", "near_id")).alias("_b")
 
     def met(look: DataFrame) -> DataFrame:
-        return look.join(pts, ["_bi", "_bj"]).withColumn("distance", d).groupBy(key).agg(pick)
+        return look.join(pts, ["_bi", "_bj"]).withColumn("distance", d).groupBy("_q").agg(pick)
 
-    place = asked.select(key, "latitude", "longitude", "_bi", "_bj")
+    place = asked.select("_q", "latitude", "longitude", "_bi", "_bj")
     sure = written(met(place.withColumn("_bi", _ring("_bi", 1)).withColumn("_bj", _ring("_bj", 1))).filter(F.col("_b.distance") <= min(s_lat, s_lon)), "nearest-sure")
-    todo = written(place.filter("latitude is not null and longitude is not null").join(sure.select(key), key, "left_anti").drop("_bi", "_bj"), "nearest-left")
+    todo = written(place.filter("latitude is not null and longitude is not null").join(sure.select("_q"), "_q", "left_anti").drop("_bi", "_bj"), "nearest-left")
     found = sure
     if todo.take(1):
         boxes = [written(pts.groupBy("_bi", "_bj").agg(F.min("_plat").alias("_s"), F.max("_plat").alias("_n"), F.min("_plon").alias("_w"), F.max("_plon").alias("_e")), "nearest-boxes")]
@@ -112,18 +118,18 @@ def nearest_join(queries: DataFrame, points: DataFrame, key: str, size: tuple[fl
             up = boxes[-1].groupBy(F.floor(F.col("_bi") / 4).cast("int").alias("_bi"), F.floor(F.col("_bj") / 4).cast("int").alias("_bj"))
             boxes.append(written(up.agg(F.min("_s").alias("_s"), F.max("_n").alias("_n"), F.min("_w").alias("_w"), F.max("_e").alias("_e")), "nearest-boxes"))
         tops = boxes[-1].select(F.collect_list(F.struct("_bi", "_bj", "_s", "_n", "_w", "_e")).alias("_t"))  # one row of at most 16
-        look = todo.crossJoin(F.broadcast(tops)).withColumn("_t", F.explode("_t")).select(key, "latitude", "longitude", "_t.*")
+        look = todo.crossJoin(F.broadcast(tops)).withColumn("_t", F.explode("_t")).select("_q", "latitude", "longitude", "_t.*")
         for below in [*boxes[-2::-1], None]:
             gap = lambda lo, hi, x: F.greatest(F.col(lo) - F.col(x), F.col(x) - F.col(hi), F.lit(0.0))
             far = lambda lo, hi, x: F.greatest(F.abs(F.col(lo) - F.col(x)), F.abs(F.col(x) - F.col(hi)))
             look = look.withColumn("_low", F.hypot(gap("_s", "_n", "latitude"), gap("_w", "_e", "longitude")))
-            look = look.withColumn("_up", F.min(F.hypot(far("_s", "_n", "latitude"), far("_w", "_e", "longitude"))).over(Window.partitionBy(key)))
-            look = look.filter(F.col("_low") <= F.col("_up") * (1 + 1e-9)).select(key, "latitude", "longitude", "_bi", "_bj")
+            look = look.withColumn("_up", F.min(F.hypot(far("_s", "_n", "latitude"), far("_w", "_e", "longitude"))).over(Window.partitionBy("_q")))
+            look = look.filter(F.col("_low") <= F.col("_up") * (1 + 1e-9)).select("_q", "latitude", "longitude", "_bi", "_bj")
             if below is not None:
                 parent = below.withColumns({"_pi": F.floor(F.col("_bi") / 4).cast("int"), "_pj": F.floor(F.col("_bj") / 4).cast("int")})
                 look = look.withColumnsRenamed({"_bi": "_pi", "_bj": "_pj"}).join(parent, ["_pi", "_pj"]).drop("_pi", "_pj")
         found = sure.unionByName(met(look))
-    out = asked.drop("_bi", "_bj").join(found, key, "left").select(*queries.columns, "_b.*")
+    out = asked.drop("_bi", "_bj").join(found, "_q", "left").select(*queries.columns, "_b.*")
     if default is None:
         return out
     known = F.lit(True) if most is None else F.col("distance") <= most
@@ -137,9 +143,9 @@ def nearest_on_grid(queries: DataFrame, grid: DataFrame, origin: tuple[float, fl
     return queries.withColumns({"grid_i": i, "grid_j": j}).join(grid.drop("latitude", "longitude"), ["grid_i", "grid_j"], "left")
 
 
-def snap_stations(stations: DataFrame, points: DataFrame, key: str, size: tuple[float, float], most: float) -> DataFrame:
+def snap_stations(stations: DataFrame, points: DataFrame, size: tuple[float, float], most: float) -> DataFrame:
     """The nearest cell of each station, without stations farther than `most` degrees from any."""
-    return nearest_join(stations, points, key, size, []).filter(F.col("distance") <= most)
+    return nearest_join(stations, points, size, []).filter(F.col("distance") <= most)
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
@@ -238,7 +244,7 @@ def fill_missing(df: DataFrame, value: str, method: str = "mean", constant: floa
     if method != "nearest":
         raise ValueError(method)
     known, gaps = df.filter(F.col(value).isNotNull()), df.filter(F.col(value).isNull())
-    near = nearest_join(gaps.drop(value), known, key, size, [value], id_col=key).select(*df.columns)
+    near = nearest_join(gaps.drop(value), known, size, [value], id_col=key).select(*df.columns)
     return known.unionByName(near)  # with nothing known, gaps stay
 
 
@@ -284,23 +290,32 @@ def gaussian_smooth(raster: DataFrame, by: list[str] = [], sigma: float = 0.6, r
     by: further keys (such as the day); the raster's extent is taken over the whole table. support: a boolean column;
     pixels outside count as gaps and stay null.
     """
-    outside = None
-    if support:
-        outside = raster.filter(~F.coalesce(F.col(support), F.lit(False))).select(*by, "row", "col")
-        raster = raster.withColumn("value", F.when(F.col(support), F.col("value"))).drop(support)
-    extent = raster.agg(F.max("row").alias("_mr"), F.max("col").alias("_mc"))
-    medians = raster.groupBy(*by).agg(F.percentile("value", 0.5).alias("_med"))
-    filled = (raster.join(F.broadcast(medians), by) if by else raster.crossJoin(F.broadcast(medians))).withColumn("value", F.coalesce("value", "_med")).drop("_med")
+    inside = F.coalesce(F.col(support), F.lit(False)) if support else F.lit(True)
+    pixels = raster.select(*by, "row", "col", F.when(inside, F.col("value")).alias("value"), inside.alias("_in"))
+    top, right = pixels.agg(F.max("row"), F.max("col")).first()
+    medians = exact_quantiles(pixels, "value", [0.5], by, "_med").select(*by, F.col("_med")[0].alias("_med"))
+    met = pixels.join(F.broadcast(medians), by, "left") if by else pixels.crossJoin(F.broadcast(medians))
+    filled = met.select(*by, "row", "col", F.coalesce("value", "_med").alias("value"))
     total = sum(math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1))
-    weight = {d: math.exp(-0.5 * (d / sigma) ** 2) / total for d in range(-radius, radius + 1)}
-    offsets = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(weight[a] * weight[b]).alias("w")) for a in weight for b in weight])
-    reflect = lambda v, top: F.when(v < 0, -v - 1).when(v > top, 2 * top + 1 - v).otherwise(v)
-    asked = filled.drop("value").crossJoin(F.broadcast(extent)).withColumn("o", F.explode(offsets))
-    asked = asked.select(*by, F.col("row").alias("_row"), F.col("col").alias("_col"), reflect(F.col("row") + F.col("o.dr"), F.col("_mr")).alias("row"), reflect(F.col("col") + F.col("o.dc"), F.col("_mc")).alias("col"), F.col("o.w").alias("w"))
-    hits = asked.join(filled.select(*by, "row", "col", "value"), [*by, "row", "col"])
-    out = hits.groupBy(*by, "_row", "_col").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
-    out = out.withColumnsRenamed({"_row": "row", "_col": "col"})
-    if outside is None:
-        return out
-    out = out.join(outside.withColumn("_out", F.lit(True)), [*by, "row", "col"], "left")
-    return out.withColumn("value", F.when(F.col("_out").isNull(), F.col("value"))).drop("_out")
+    weight = np.array([math.exp(-0.5 * (d / sigma) ** 2) / total for d in range(-radius, radius + 1)])
+
+    def smooth(block: np.ndarray, row: int, col: int) -> list[np.ndarray]:
+        def reflected(first: int, last: int) -> np.ndarray:
+            at = np.arange(first - radius, first - radius + len(block))
+            at = np.where(at < 0, -at - 1, np.where(at > last, 2 * last + 1 - at, at))
+            return np.clip(at - (first - radius), 0, len(block) - 1)  # beyond a rim past the edge nothing is read
+
+        x = block[np.ix_(reflected(row, top), reflected(col, right))]
+        known = ~np.isnan(x)
+        x, side = np.where(known, x, 0.0), len(block) - 2 * radius
+        above, below = np.zeros((side, side)), np.zeros((side, side))
+        for i, a in enumerate(weight):
+            for j, b in enumerate(weight):
+                own = (slice(i, i + side), slice(j, j + side))
+                above, below = above + a * b * x[own], below + a * b * known[own]
+        return [np.divide(above, below, out=np.full((side, side), np.nan), where=below > 0)]
+
+    out = stencil(tiled(filled, by), by, radius, ["value"], smooth)
+    # Pixels without any value to smooth have no row there; those outside the support stay null.
+    keep = pixels.select(*by, "row", "col", "_in")
+    return keep.join(out, [*by, "row", "col"], "left").select(*by, "row", "col", F.when(F.col("_in"), F.col("value")).alias("value"))

@@ -11,6 +11,8 @@ from ..functions.scalars import grid_id
 #: Event types of the hourly sources.
 KINDS = {"station": "purchase", "satellite": "view", "traffic": "click"}
 WIDTH = 120
+#: Degrees of latitude a row and of longitude a column of the cells.
+STEP = (0.001, 0.0015)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
