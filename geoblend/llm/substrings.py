@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, discard, materialize, text_digest
 
 #: Packed rows of one minimiser that one bucket holds; beyond, its windows are counted singly.
-HOT = 2_000
+HOT = 500
 #: Bytes of distinct strings that a packing task holds before it sends them on.
-HELD = 64 << 20
+HELD = 32 << 20
+#: Rows that a packing task sends at once.
+SENT = 20_000
 #: Windows whose minimisers are found at once; positions in a stretch fit POSITION's bits.
 STRETCH = 1 << 19
 POSITION = np.uint64((1 << 20) - 1)
@@ -146,6 +148,9 @@ def _pack(window: int, mer: int):
                 if size > HELD:
                     yield strings(held)
                     held, size = {}, 0
+                if len(rows) > SENT:
+                    yield _batch(rows)
+                    rows = []
             yield _batch(rows)
         yield strings(held)
 
@@ -234,7 +239,7 @@ def repeated_ranges(docs: DataFrame, window: int = 35, mer: int = 8) -> DataFram
     stood = rows.filter("packed is null").select("string_id", "digest", "start")
     cuts = stood.join(broadcast_if_small(answers, answers.count(), EDIT_LIMIT), "string_id").select("digest", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     cuts = cuts.union(texts.filter("copies > 1").select("digest", F.lit(0), "n_words"))
-    found = materialize(cuts.groupBy("digest").agg(F.array_distinct(F.collect_list(F.struct("a", "b"))).alias("cuts")), "substring-cuts")
+    found = materialize(cuts.groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "substring-cuts")
     discard(texts, repeated, rows, answers)
     return found
 
