@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibrate, daily, field, metrics, spatial, state
+from ..operators import calibrate, covariates, daily, field, metrics, spatial, state
 from ..sources import roles as R
 from ..sources.tables import Source, written
 from .etl import daily_sparse
@@ -74,6 +74,76 @@ def scaled_long(spark, sf_dir: str) -> DataFrame:
     return written(field.with_source(long, SOURCES), "field-rows")
 
 
+COVARIATES = ("traffic_wind", "wind_speed")
+
+
+def covariate_days(spark, sf_dir: str) -> DataFrame:
+    """grid_id, day and the covariates, written: log traffic weighted by wind and distance, and wind speed."""
+    df = daily_sparse(spark, sf_dir)
+    up = covariates.upwind_on_grid(R.cells(spark, sf_dir), df.groupBy("grid_id").agg(F.avg("traffic").alias("traffic")), R.STEP)
+    w = covariates.wind_weighted(R.wind(df), up)
+    total = lambda name: sum((F.col(f"{name}_{k}") for k in range(covariates.SECTORS)), F.lit(0.0))
+    day = F.datediff("date", F.lit("2024-01-01").cast("date"))
+    return written(w.select("grid_id", day.alias("day"), F.log1p(total("traffic_wind")).alias("traffic_wind"), total("speed_freq").alias("wind_speed")), "field-covariates")
+
+
+def with_covariates(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """rows with the covariates of their cell and day, standardised; those without are filled with the mean of all days."""
+    s = days.agg(*[F.avg(c).alias(f"m_{c}") for c in COVARIATES], *[F.stddev_pop(c).alias(f"s_{c}") for c in COVARIATES]).first()
+    standard = days.select("grid_id", "day", *[((F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] or 1.0)).alias(c) for c in COVARIATES])
+    return daily.fill_covariates(rows, standard, ["grid_id", "day"], list(COVARIATES))
+
+
+def covariate_field(rows: DataFrame) -> field.Field:
+    """Inducing points are cluster centres of the training rows' places, times and covariates."""
+    lengths = (0.3, 0.3, 0.3, 2.0, 2.0)
+    return field.Field(field.kmeans_points(rows, 120, columns=(*field.COORDS, *COVARIATES), lengths=lengths), covariates=COVARIATES, lengths=lengths[3:])
+
+
+@query()
+def field_covariates(spark, sf_dir: str) -> DataFrame:
+    """Leave-one-station-out scores of the field of place and time, and of that with wind and traffic in its kernel."""
+    rows = written(with_covariates(scaled_long(spark, sf_dir), covariate_days(spark, sf_dir)), "field-rows")
+    stations, out = rows.filter("source = 'station'"), None
+    with_both = covariate_field(rows)
+    plain = field.Field(field.kmeans_points(rows, 120, columns=field.COORDS, lengths=(0.3, 0.3, 0.3)))
+    sums = field.information_sums(rows, {"plain": plain, "covariates": with_both})
+    for case, f in (("plain", plain), ("covariates", with_both)):
+        scores = metrics.evaluate(field.leave_key_out(stations, sums[case], f, "grid_id", noise=0.3), "value").withColumn("case", F.lit(case))
+        out = scores if out is None else out.unionByName(scores)
+    return rounded(out.select("case", "n", "rmse", "mae", "bias", "crps", "coverage_90"), 4)
+
+
+@query()
+def field_relevance(spark, sf_dir: str) -> DataFrame:
+    """Length scales of coordinates and covariates by round of the search on evidence: a long one means little relevance."""
+    rows = written(with_covariates(scaled_long(spark, sf_dir), covariate_days(spark, sf_dir)), "field-rows")
+    _, history = field.tuned_field(rows, covariate_field(rows), rounds=4)
+    table = [(i, n, float(v), float(h["evidence"])) for i, h in enumerate(history, 1) for n, v in h.items() if n != "evidence"]
+    return rounded(spark.createDataFrame(table, "round int, parameter string, value double, evidence double"), 4)
+
+
+@query()
+def covariate_maps(spark, sf_dir: str) -> DataFrame:
+    """Maps of ten chosen days from the field with covariates: every cell, covariates filled where a cell has none that day,
+    moved by the stations' residual biases, with bounds and the day's numbers of observations by source."""
+    days = covariate_days(spark, sf_dir)
+    long = scaled_long(spark, sf_dir)
+    rows = written(with_covariates(long, days), "field-rows")
+    f = covariate_field(rows)
+    post = field.fit(field.information_sums(rows, f)[""], f)
+    stations = rows.filter("source = 'station'")
+    anchors = calibrate.residual_bias(field.predict(stations, post), "value", by=["grid_id", "x", "y"])
+    anchors = anchors.select(F.col("grid_id").alias("ord"), F.col("x").alias("latitude"), F.col("y").alias("longitude"), F.col("bias").alias("value"))
+    cells = long.select("grid_id", "x", "y", "prior").distinct()
+    shift = spatial.idw(cells.select("grid_id", F.col("x").alias("latitude"), F.col("y").alias("longitude")), anchors, "grid_id", default=0.0).select("grid_id", F.col("value").alias("bias"))
+    counts = rows.groupBy("day", "t").agg(*[F.count_if(F.col("source") == k).alias(f"n_{k}") for k in ("station", "satellite")]).orderBy("day").limit(10)
+    grid = with_covariates(spatial.space_time_frame(cells, written(counts, "field-days")), days)
+    maps = calibrate.shifted(field.exported(field.predict(grid, post)).join(shift, "grid_id"), "bias")
+    own = {c: 50.0 + 100.0 * F.col(c) for c in ("mean", "lower_95", "upper_95")} | {"std": 100.0 * F.col("std")}
+    return rounded(maps.withColumns(own).select("grid_id", "day", "mean", "std", "lower_95", "upper_95", F.col("n_station").alias("n_obs"), "n_station", "n_satellite"), 4)
+
+
 def inducing(rows: DataFrame) -> field.Field:
     return field.Field(field.even_points(rows, 24, 5))
 

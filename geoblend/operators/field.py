@@ -8,6 +8,7 @@ sources, days, stations or parameter candidates, so one pass serves them all.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.numerics import global_rank, hash_unit
 from ..functions.scalars import interval
 from ..functions.threads import use_one_thread
-from ..sources.tables import Source
+from ..sources.tables import Source, written
 
 use_one_thread()
 
@@ -34,20 +35,38 @@ COORDS = ("x", "y", "t")
 
 @dataclass(frozen=True)
 class Field:
-    """Kernel parameters and inducing points (M, 3) in scaled coordinates."""
+    """Kernel parameters and inducing points (M, 3 + covariates) in scaled coordinates. The kernel is a product over place,
+    time and covariates; space is one length scale or one for each axis, each covariate has a length scale of its own."""
 
     points: np.ndarray
-    space: float = 0.3
+    space: float | tuple[float, float] = 0.3
     time: float = 0.3
     variance: float = 1.0
     kernel: str = "matern32"
     time_kernel: str = "matern12"
     jitter: float = 1e-6
+    covariates: tuple[str, ...] = ()
+    lengths: tuple[float, ...] = ()
+
+    @property
+    def columns(self) -> list[str]:
+        return [*COORDS, *self.covariates]
 
     def cov(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = np.sqrt(((a[:, None, :2] - b[None, :, :2]) ** 2).sum(axis=2)) / self.space
-        t = np.abs(a[:, None, 2] - b[None, :, 2]) / self.time
-        return self.variance * CORRELATION[self.kernel](d) * CORRELATION[self.time_kernel](t)
+        scaled = lambda i, length: (a[:, None, i] - b[None, :, i]) / length
+        along, across = np.broadcast_to(self.space, 2)
+        k = self.variance * CORRELATION[self.kernel](np.hypot(scaled(0, along), scaled(1, across))) * CORRELATION[self.time_kernel](np.abs(scaled(2, self.time)))
+        if self.covariates:
+            k = k * CORRELATION["rbf"](np.sqrt(sum(scaled(3 + i, length) ** 2 for i, length in enumerate(self.lengths))))
+        return k
+
+    def scales(self) -> dict[str, float]:
+        """Length scales by coordinate and covariate, and the variance."""
+        along, across = np.broadcast_to(self.space, 2)
+        return {"x": float(along), "y": float(across), "t": self.time, **dict(zip(self.covariates, self.lengths)), "variance": self.variance}
+
+    def with_scales(self, p: dict[str, float]) -> Field:
+        return replace(self, space=(p["x"], p["y"]), time=p["t"], lengths=tuple(p[c] for c in self.covariates), variance=p["variance"])
 
     def gram(self) -> np.ndarray:
         return self.cov(self.points, self.points)
@@ -95,10 +114,10 @@ def _add_blocks(pdf: pd.DataFrame) -> tuple:
 
 
 def information_sums(rows: DataFrame, fields: Field | dict[str, Field], key: str | None = None, parts: int = 16, most_keys: int = 256) -> dict[str, Sums]:
-    """Sums by key of rows(x, y, t, value, prior, slope, intercept, noise[, key]). With several named fields, a key is 'name'
-    or 'name|key'. Rows with a null are skipped. A task holds the blocks of at most `most_keys` keys."""
+    """Sums by key of rows(x, y, t, the fields' covariates, value, prior, slope, intercept, noise[, key]). With several named
+    fields, a key is 'name' or 'name|key'. Rows with a null are skipped. A task holds the blocks of at most `most_keys` keys."""
     named = fields if isinstance(fields, dict) else {"": fields}
-    cols = [*COORDS, "value", "prior", "slope", "intercept", "noise"]
+    cols = [*dict.fromkeys(c for f in named.values() for c in f.columns), "value", "prior", "slope", "intercept", "noise"]
     df = rows.select(*[F.col(c).cast("double").alias(c) for c in cols], (F.col(key).cast("string") if key else F.lit("")).alias("key")).dropna()
 
     def blocks_of(acc: dict[str, Sums]) -> pd.DataFrame:
@@ -109,11 +128,10 @@ def information_sums(rows: DataFrame, fields: Field | dict[str, Field], key: str
         acc: dict[str, Sums] = {}
         for pdf in batches:
             for k, g in pdf.groupby("key"):
-                x = g[list(COORDS)].to_numpy()
                 a, s2 = g["slope"].to_numpy(), g["noise"].to_numpy() ** 2
                 r = g["value"].to_numpy() - g["intercept"].to_numpy() - a * g["prior"].to_numpy()
                 for name, f in named.items():
-                    kx = f.cov(x, f.points)
+                    kx = f.cov(g[f.columns].to_numpy(), f.points)
                     own = Sums(kx.T @ (kx * (a * a / s2)[:, None]), kx.T @ (a * r / s2), len(g), float((r * r / s2).sum()), float(np.log(s2).sum()), float((a * a / s2).sum() * f.variance))
                     tag = f"{name}|{k}" if name and key else name or k
                     acc[tag] = acc[tag] + own if tag in acc else own
@@ -174,6 +192,25 @@ def select_field(rows: DataFrame, candidates: dict[str, Field]) -> tuple[str, di
     return max(scores, key=scores.get), scores
 
 
+def tuned_field(rows: DataFrame, f: Field, rounds: int = 6, factor: float = 3.0) -> tuple[Field, list[dict[str, float]]]:
+    """The field with each coordinate's and covariate's length scale and the variance moved to more evidence, and what
+    each round held. A round tries every parameter up and down by the factor, and all the last round's good moves at
+    once, in one pass over the rows; without a better candidate the factor shrinks. Evidence never falls."""
+    now, joint, history = f.scales(), None, []
+    for _ in range(rounds):
+        tries = {"now": now} | {f"{n} {way}": {**now, n: now[n] * factor**way} for n in now for way in (1, -1)} | ({"all": joint} if joint else {})
+        best, scores = select_field(rows, {k: f.with_scales(p) for k, p in tries.items()})
+        good = [k for k in scores if " " in k and scores[k] > scores["now"]]
+        joint = dict(now)
+        for k in sorted(good, key=scores.get):  # of a parameter's two ways the better one is last
+            name = k.rsplit(" ", 1)[0]
+            joint[name] = tries[k][name]
+        now, joint = tries[best], joint if len(good) > 1 else None
+        factor = factor if best != "now" else math.sqrt(factor)
+        history.append({**now, "evidence": scores[best]})
+    return f.with_scales(now), history
+
+
 def with_source(rows: DataFrame, sources: list[Source]) -> DataFrame:
     """Adds slope, intercept, noise of long rows' source; rows of unregistered sources go."""
     table = rows.sparkSession.createDataFrame([(s.name, s.slope, s.intercept, s.noise) for s in sources], "source string, slope double, intercept double, noise double")
@@ -181,7 +218,7 @@ def with_source(rows: DataFrame, sources: list[Source]) -> DataFrame:
 
 
 def predict(rows: DataFrame, posterior: Posterior | dict[str, Posterior], key: str | None = None, noise: float | None = None) -> DataFrame:
-    """Adds mean (prior + field) and std at rows(x, y, t, prior); noise adds a source's variance. With several posteriors
+    """Adds mean (prior + field) and std at rows(x, y, t, covariates, prior); noise adds a source's variance. With several posteriors
     a row uses that of its key."""
     posts = posterior if isinstance(posterior, dict) else {"": posterior}
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", mean double, std double"
@@ -189,12 +226,11 @@ def predict(rows: DataFrame, posterior: Posterior | dict[str, Posterior], key: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             mean, var = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
-            x = pdf[list(COORDS)].to_numpy(dtype=float)
             which = pdf[key].astype(str).to_numpy() if key else np.full(len(pdf), "")
             for k, p in posts.items():
                 own = which == k
                 if own.any():
-                    mean[own], var[own] = p.at(x[own])
+                    mean[own], var[own] = p.at(pdf.loc[own, p.field.columns].to_numpy(dtype=float))
             std = np.sqrt(var + (noise or 0.0) ** 2)
             yield pdf.assign(mean=mean + pdf["prior"].to_numpy(dtype=float), std=std)
 
@@ -216,7 +252,7 @@ def leave_key_out(rows: DataFrame, total: Sums, f: Field, key: str, noise: float
     k_inv, m_inv = (solve_spd(m, np.eye(len(k))) for m in (k, k + total.a))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[list(COORDS)].to_numpy(dtype=float)
+        x = pdf[f.columns].to_numpy(dtype=float)
         a, s2 = pdf["slope"].to_numpy(), pdf["noise"].to_numpy() ** 2
         r = pdf["value"].to_numpy() - pdf["intercept"].to_numpy() - a * pdf["prior"].to_numpy()
         kx = f.cov(x, f.points)
@@ -257,17 +293,21 @@ def even_points(rows: DataFrame, n_space: int, n_time: int) -> np.ndarray:
     return np.array([(*s, *t) for s in picks(rows, ["x", "y"], n_space) for t in picks(rows, ["t"], n_time)], dtype=float)
 
 
-def kmeans_points(rows: DataFrame, m: int, seed: int = 1) -> np.ndarray:
+def kmeans_points(rows: DataFrame, m: int, seed: int = 1, columns: tuple[str, ...] = COORDS, lengths: tuple[float, ...] | None = None) -> np.ndarray:
+    """Cluster centres of the distinct rows, in units of the columns' length scales."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    points = VectorAssembler(inputCols=list(COORDS), outputCol="features").transform(rows.select(*COORDS).distinct().orderBy(*COORDS))
-    return np.array(KMeans(k=m, seed=seed).fit(points).clusterCenters())
+    lengths = lengths or (1.0,) * len(columns)
+    table = rows.select(*[(F.col(c) / x).alias(c) for c, x in zip(columns, lengths)]).dropna().distinct().orderBy(*columns)
+    points = VectorAssembler(inputCols=list(columns), outputCol="features").transform(table)
+    return np.array(KMeans(k=m, seed=seed).fit(points).clusterCenters()) * np.array(lengths)
 
 
-def hashed_points(rows: DataFrame, m: int, seed: int = 1) -> np.ndarray:
-    table = rows.select(*COORDS).distinct().withColumn("_h", hash_unit(seed, *COORDS)).orderBy("_h", *COORDS).limit(m)
-    return np.array([tuple(r[c] for c in COORDS) for r in table.collect()], dtype=float)
+def hashed_points(rows: DataFrame, m: int, seed: int = 1, columns: tuple[str, ...] = COORDS) -> np.ndarray:
+    """The first m distinct rows by hash."""
+    table = rows.select(*columns).dropna().distinct().withColumn("_h", hash_unit(seed, *columns)).orderBy("_h", *columns).limit(m)
+    return np.array([tuple(r[c] for c in columns) for r in table.collect()], dtype=float).reshape(-1, len(columns))
 
 
 def regular_points(n_space: int, n_time: int) -> np.ndarray:
@@ -299,7 +339,7 @@ def sequential_filter(rows: DataFrame, f: Field, days: list[int], length: float
     The field's time kernel is not used within a day. Days without data only propagate; the state decays to the prior
     (0 in residual terms) with exp(-dt / length), the process noise keeps the field's variance.
     """
-    spatial = replace(f, points=np.column_stack([f.points[:, :2], np.zeros(len(f.points))]))
+    spatial = replace(f, points=np.column_stack([f.points[:, :2], np.zeros(len(f.points)), f.points[:, 3:]]))
     sums = information_sums(rows.withColumn("t", F.lit(0.0)), spatial, key=day)
     k = spatial.gram()
     k = k + f.jitter * np.eye(len(k))
@@ -337,7 +377,7 @@ def smooth_states(s: DayStates) -> DayStates:
 
 
 def predict_states(rows: DataFrame, s: DayStates, day: str = "day", var_floor: float = 0.5, smoothed: DayStates | None = None) -> DataFrame:
-    """Adds mean, std, n_obs at rows(x, y, prior, day): the nearest known day's state; var_floor * k(x, x) is added to the
+    """Adds mean, std, n_obs at rows(x, y, covariates, prior, day): the nearest known day's state; var_floor * k(x, x) is added to the
     variance. With smoothed states of the same days also smooth_mean, smooth_std, in the same pass."""
     k = s.field.gram()
     k_inv = solve_spd(k + s.field.jitter * np.eye(len(k)), np.eye(len(k)))
@@ -347,7 +387,7 @@ def predict_states(rows: DataFrame, s: DayStates, day: str = "day", var_floor: f
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = np.abs(pdf[day].to_numpy(dtype=float)[:, None] - days[None, :]).argmin(axis=1)
-            x = np.column_stack([pdf["x"].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float), np.zeros(len(pdf))])
+            x = pdf.assign(t=0.0)[s.field.columns].to_numpy(dtype=float)
             h = s.field.cov(x, s.field.points) @ k_inv
             explained = np.einsum("ij,ij->i", h, s.field.cov(x, s.field.points))
             prior, new = pdf["prior"].to_numpy(dtype=float), {}
@@ -364,29 +404,139 @@ def predict_states(rows: DataFrame, s: DayStates, day: str = "day", var_floor: f
     return rows.mapInPandas(run, schema)
 
 
-def regression_kriging(day_rows: DataFrame, grid: DataFrame, f: Field, noise: float = 1.0, limit: int = 5_000) -> DataFrame:
-    """One day: observations on baseline by least squares, residuals interpolated by a GP of the stations (dense up to
-    `limit`, by sums over inducing points beyond), value at grid(x, y, baseline). Fewer than 5 stations give the
-    regression only."""
-    fitted = day_rows.agg(F.regr_slope("value", "baseline").alias("a"), F.regr_intercept("value", "baseline").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    a, b = (fitted["a"], fitted["b"]) if fitted["a"] is not None else (1.0, 0.0)
-    if fitted["n"] > limit:  # inducing points in hash order, and sums from all rows
-        residuals = day_rows.select("x", "y", F.lit(0.0).alias("t"), F.col("value").alias("value"), "baseline").withColumns(
-            {"prior": F.col("baseline"), "slope": F.lit(1.0), "intercept": F.lit(b) + (a - 1) * F.col("baseline"), "noise": F.lit(noise)}
-        )
-        sparse = replace(f, points=hashed_points(residuals, min(limit, 500)))
-        asked = grid.withColumns({"t": F.lit(0.0), "prior": a * F.col("baseline") + b})
-        return predict(asked, fit(information_sums(residuals, sparse)[""], sparse)).select(*grid.columns, "mean")
-    rows = day_rows.select("x", "y", (F.col("value") - a * F.col("baseline") - b).alias("r")).orderBy("x", "y", "r").collect()
-    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in grid.schema) + ", mean double"
-    pts = np.array([(r["x"], r["y"], 0.0) for r in rows]).reshape(-1, 3)
-    w = solve_spd(f.cov(pts, pts) + noise**2 * np.eye(len(pts)), np.array([r["r"] for r in rows])) if len(rows) >= 5 else None
+# --- kriging of any number of stations -------------------------------------------------------------------------------
+
+#: Points of a block, and inducing points of the preconditioner at most.
+BLOCK_POINTS = 2_000
+PRECONDITIONER = 500
+
+
+def point_blocks(rows: DataFrame, columns: list[str], block: int = BLOCK_POINTS) -> DataFrame:
+    """block, data (len(columns) x points doubles): rows dealt by hash to blocks of about `block` points."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = pdf.sort_values(columns)[columns].to_numpy(dtype=float).T
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "data": [np.ascontiguousarray(data).tobytes()]})
+
+    n = rows.count()
+    table = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).withColumn("block", F.pmod(F.xxhash64(*columns), F.lit(-(-n // block) or 1)).cast("int"))
+    return written(table.groupBy("block").applyInPandas(pack, "block int, data binary"), "kriging-points")
+
+
+def _sum_blocks(partial: DataFrame, name: str) -> DataFrame:
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], name: [np.sum([np.frombuffer(x) for x in pdf[name]], axis=0).tobytes()]})
+
+    return partial.groupBy("block").applyInPandas(add, f"block int, {name} binary")
+
+
+def kernel_product(targets: DataFrame, sources: DataFrame, n_sources: int, f: Field, name: str = "q") -> DataFrame:
+    """block, name: kernel of the targets' points with all sources' points, times the sources' values: targets(block, at),
+    sources(block, at, v). Every target block meets every source block (rows of the join are blocks, not points)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            mean = a * pdf["baseline"].to_numpy(dtype=float) + b
-            if w is not None:
-                mean = mean + f.cov(np.column_stack([pdf["x"], pdf["y"], np.zeros(len(pdf))]), pts) @ w
-            yield pdf.assign(mean=mean)
+            q = []
+            for a, b, v in zip(pdf["at"], pdf["_at"], pdf["_v"]):
+                own, other = np.frombuffer(a).reshape(3, -1).T, np.frombuffer(b).reshape(3, -1).T
+                v = np.frombuffer(v)
+                parts = [f.cov(own[i : i + 500], other) @ v for i in range(0, len(own), 500)]
+                q.append(np.concatenate(parts).tobytes() if parts else b"")
+            yield pd.DataFrame({"block": pdf["block"], name: q})
+
+    asked = targets.select("block", "at", F.explode(F.sequence(F.lit(0), F.lit(n_sources - 1))).alias("_block"))
+    met = asked.join(sources.select(F.col("block").alias("_block"), F.col("at").alias("_at"), F.col("v").alias("_v")), "_block")
+    return _sum_blocks(met.select("block", "at", "_at", "_v").mapInPandas(run, f"block int, {name} binary"), name)
+
+
+def _blockwise(df: DataFrame, run, schema: str) -> DataFrame:
+    """run(row of arrays) -> values of the schema, for each block."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [run({c: np.frombuffer(v) if isinstance(v, bytes) else v for c, v in r.items()}) for r in pdf.to_dict("records")]
+            yield pd.DataFrame([[v.tobytes() if isinstance(v, np.ndarray) else v for v in r] for r in rows], columns=[x.split()[0] for x in schema.split(", ")])
+
+    return df.mapInPandas(each, schema)
+
+
+def solve_process(points: DataFrame, f: Field, noise: float, tolerance: float = 1e-9, most: int = 500) -> tuple[DataFrame, int]:
+    """block, at, v: the weights w of (K + noise^2 I) w = value at points(x, y, t, value), and the rounds it took. Conjugate
+    gradients: a round is one product of the kernel by blocks and one update of the written vectors; what the driver holds are
+    scalars and the preconditioner's sums over PRECONDITIONER points at most (the low-rank process of points in hash order,
+    which is exact when it holds them all)."""
+    columns = ["x", "y", "t", "value"]
+    blocks = point_blocks(points, columns)
+    n_blocks = blocks.agg(F.max("block")).first()[0]
+    n_blocks = 0 if n_blocks is None else n_blocks + 1
+    names = ("at", "v", "r", "p", "q")
+    state = _blockwise(blocks, lambda r: (r["block"], r["data"][: len(r["data"]) // 4 * 3].copy(), 0 * r["data"][-(len(r["data"]) // 4) :], r["data"][-(len(r["data"]) // 4) :].copy()), "block int, at binary, v binary, r binary")
+    state = written(state, "kriging-state")
+    low = replace(f, points=hashed_points(points, PRECONDITIONER))
+    s2, m = noise**2, len(low.points)
+    where = lambda at: at.reshape(3, -1).T
+
+    def sums(r) -> tuple:
+        k = low.cov(where(r["at"]), low.points)
+        return r["block"], k.T @ k, k.T @ r["r"], float(r["r"] @ r["r"])
+
+    first = _blockwise(state, sums, "block int, a binary, u binary, rr double").withColumn("block", F.lit(0))
+    total = first.groupBy("block").applyInPandas(lambda pdf: pd.DataFrame({"block": [0], "a": [np.sum([np.frombuffer(x) for x in pdf["a"]], axis=0).tobytes()], "u": [np.sum([np.frombuffer(x) for x in pdf["u"]], axis=0).tobytes()], "rr": [pdf["rr"].sum()]}), "block int, a binary, u binary, rr double").first()
+    if total is None:
+        return state.select("block", "at", "v"), 0
+    gram = low.gram() + f.jitter * np.eye(m)
+    inner = s2 * gram + np.frombuffer(total["a"]).reshape(m, m)
+    u, rr = np.frombuffer(total["u"]), total["rr"]
+    start = rr
+    beta, rz, rounds = 0.0, None, 0
+    state = written(state.withColumn("p", F.col("v")), "kriging-state")
+    while rounds < most and rr > tolerance**2 * start:
+        c = solve_spd(inner, u)
+        new = (rr - u @ c) / s2  # r P^-1 r without a pass
+        beta, rz = (new / rz if rz is not None else 0.0), new
+
+        def direction(r, c=c, beta=beta) -> tuple:
+            z = (r["r"] - low.cov(where(r["at"]), low.points) @ c) / s2
+            return r["block"], r["at"], r["v"], r["r"], z + beta * r["p"]
+
+        moved = written(_blockwise(state, direction, "block int, at binary, v binary, r binary, p binary"), "kriging-direction")
+        product = kernel_product(moved.select("block", "at"), moved.select("block", "at", F.col("p").alias("v")), n_blocks, f)
+        met = written(moved.join(product, "block").select("block", *names), "kriging-product")
+        pq = _blockwise(met, lambda r: (float(r["p"] @ (r["q"] + s2 * r["p"])),), "pq double").agg(F.sum("pq")).first()[0]
+        alpha = rz / pq
+
+        def update(r, alpha=alpha) -> tuple:
+            return r["block"], r["at"], r["v"] + alpha * r["p"], r["r"] - alpha * (r["q"] + s2 * r["p"]), r["p"]
+
+        state = written(_blockwise(met, update, "block int, at binary, v binary, r binary, p binary"), "kriging-state")
+        parts = _blockwise(state, lambda r: (low.cov(where(r["at"]), low.points).T @ r["r"], float(r["r"] @ r["r"])), "u binary, rr double")
+        one = parts.withColumn("block", F.lit(0)).groupBy("block").applyInPandas(lambda pdf: pd.DataFrame({"u": [np.sum([np.frombuffer(x) for x in pdf["u"]], axis=0).tobytes()], "rr": [pdf["rr"].sum()]}), "u binary, rr double").first()
+        u, rr, rounds = np.frombuffer(one["u"]), one["rr"], rounds + 1
+    return state.select("block", "at", "v"), rounds
+
+
+def regression_kriging(day_rows: DataFrame, grid: DataFrame, f: Field, noise: float = 1.0) -> DataFrame:
+    """One day: observations on baseline by least squares, residuals interpolated by the process of all stations, value at
+    grid(x, y, baseline). The process is solved by conjugate gradients over blocks at any number of stations, and met by the
+    grid block by block. Fewer than 5 stations give the regression only."""
+    fitted = day_rows.agg(F.regr_slope("value", "baseline").alias("a"), F.regr_intercept("value", "baseline").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    a, b = (fitted["a"], fitted["b"]) if fitted["a"] is not None else (1.0, 0.0)
+    line = a * F.col("baseline") + b
+    if fitted["n"] < 5:
+        return grid.withColumn("mean", line)
+    residuals = written(day_rows.select("x", "y", F.lit(0.0).alias("t"), (F.col("value") - line).alias("value")), "kriging-residuals")
+    weights, _ = solve_process(residuals, f, noise)
+    weights = written(weights, "kriging-weights")
+    places = written(grid.withColumn("_id", F.monotonically_increasing_id()), "kriging-grid")
+    blocks = point_blocks(places.select("x", "y", F.lit(0.0).alias("t"), F.col("_id").alias("id")), ["x", "y", "t", "id"])
+    asked = _blockwise(blocks, lambda r: (r["block"], r["data"][: len(r["data"]) // 4 * 3].copy(), r["data"][-(len(r["data"]) // 4) :].copy()), "block int, at binary, id binary")
+    asked = written(asked, "kriging-places")
+    met = asked.join(kernel_product(asked.select("block", "at"), weights, weights.agg(F.max("block")).first()[0] + 1, f), "block")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, q in zip(pdf["id"], pdf["q"]):
+                yield pd.DataFrame({"_id": np.frombuffer(i).astype(np.int64), "_q": np.frombuffer(q)})
 
-    return grid.mapInPandas(run, schema)
+    found = met.select("id", "q").mapInPandas(rows, "_id long, _q double")
+    return places.join(found, "_id").withColumn("mean", line + F.col("_q")).select(*grid.columns, "mean")

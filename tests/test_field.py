@@ -154,9 +154,100 @@ def test_point_pickers(spark):
     assert centres.shape == (4, 3) and (centres >= 0).all() and (centres <= 1).all()
 
 
-def test_kriging_beyond_the_dense_limit(spark):
-    df = rows_of(spark, 40).withColumn("baseline", F.col("x") * 2.0)
-    grid = df.select("x", "y", "baseline").limit(10)
-    f = field.Field(field.regular_points(2, 1), space=0.4)
-    dense_, sparse = ({(r["x"], r["y"]): r["mean"] for r in field.regression_kriging(df, grid, f, noise=0.3, limit=n).collect()} for n in (5000, 39))
-    assert dense_.keys() == sparse.keys() and all(sparse[k] == pytest.approx(dense_[k], abs=0.05) for k in dense_)
+def dense_kriging(rows, grid, f, noise):
+    """Regression and the dense process of its residuals."""
+    x, y, base, v = np.array(rows).T
+    slope, shift = np.polyfit(base, v, 1)
+    at = lambda a, b: np.column_stack([a, b, np.zeros(len(a))])
+    k = f.cov(at(x, y), at(x, y)) + noise**2 * np.eye(len(x))
+    w = np.linalg.solve(k, v - slope * base - shift)
+    gx, gy, gb = np.array(grid).T
+    return slope * gb + shift + f.cov(at(gx, gy), at(x, y)) @ w
+
+
+@pytest.mark.parametrize("n,block,low", [(5, 2000, 500), (500, 150, 200), (6000, 2000, 500)])
+def test_kriging_equals_the_dense_process(spark, monkeypatch, n, block, low):
+    monkeypatch.setattr(field, "BLOCK_POINTS", block)
+    monkeypatch.setattr(field, "PRECONDITIONER", low)
+    rng = np.random.default_rng(7)
+    place = rng.random((n, 2))
+    rows = [(float(a), float(b), float(np.sin(5 * a) + b), float(2 + 3 * np.sin(5 * a) + np.cos(9 * b * a) + 0.1 * rng.normal())) for a, b in place]
+    grid = [(i / 19, j / 19, np.sin(5 * i / 19)) for i in range(20) for j in range(20)] + [(0.5, 0.5, 0.1)] * 2
+    f = field.Field(field.regular_points(2, 1), space=0.2)
+    df = spark.createDataFrame(rows, "x double, y double, baseline double, value double")
+    out = field.regression_kriging(df, spark.createDataFrame([(i, *map(float, g)) for i, g in enumerate(grid)], "k int, x double, y double, baseline double"), f, noise=0.3)
+    got = {r["k"]: r["mean"] for r in out.collect()}
+    assert [got[i] for i in range(len(grid))] == pytest.approx(list(dense_kriging(rows, grid, f, 0.3)), abs=1e-6)
+
+
+def test_kriging_of_few_stations_is_the_regression(spark):
+    df = spark.createDataFrame([(0.1 * i, 0.2, float(i), 2.0 * i + 1) for i in range(4)], "x double, y double, baseline double, value double")
+    grid = spark.createDataFrame([(0.0, 0.0, 10.0)], "x double, y double, baseline double")
+    f = field.Field(field.regular_points(2, 1))
+    assert [r["mean"] for r in field.regression_kriging(df, grid, f).collect()] == pytest.approx([21.0])
+    assert [r["mean"] for r in field.regression_kriging(df.limit(0), grid, f).collect()] == [10.0]
+    assert field.solve_process(df.select("x", "y", "baseline", "value").withColumnRenamed("baseline", "t").limit(0), f, 1.0)[0].collect() == []
+
+
+def planted(n=900, seed=11):
+    """Rows whose values depend on place and on the covariate u, not on v; stations are few places."""
+    rng = np.random.default_rng(seed)
+    spots = rng.random((30, 2))
+    rows = []
+    for i in range(n):
+        a, b = spots[i % 30]
+        u, v, t = rng.normal(), rng.normal(), (i // 30) / 30
+        rows.append((f"s{i % 30}", float(a), float(b), float(t), float(u), float(v), float(np.sin(4 * a) + np.sin(1.5 * u) + 0.1 * rng.normal())))
+    return rows
+
+
+def covariate_frame(spark, rows):
+    df = spark.createDataFrame(rows, "grid_id string, x double, y double, t double, u double, v double, value double")
+    return df.withColumns({"prior": F.lit(0.0), "slope": F.lit(1.0), "intercept": F.lit(0.0), "noise": F.lit(0.2)})
+
+
+def test_covariate_field_equals_the_dense_process(spark):
+    rows = planted(120)
+    x = np.array([r[1:6] for r in rows])
+    y = np.array([r[6] for r in rows])
+    f = field.Field(x, space=(0.4, 0.9), time=2.0, covariates=("u", "v"), lengths=(0.8, 5.0), jitter=1e-9)
+    df = covariate_frame(spark, rows)
+    post = field.fit(field.information_sums(df, f)[""], f)
+    new = planted(20, 5)
+    got = {r["u"]: (r["mean"], r["std"]) for r in field.predict(covariate_frame(spark, new), post).collect()}
+
+    def kernel(a, b):  # written out pair by pair
+        out = np.empty((len(a), len(b)))
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                d = np.sqrt(3) * np.sqrt(((p[0] - q[0]) / 0.4) ** 2 + ((p[1] - q[1]) / 0.9) ** 2)
+                out[i, j] = (1 + d) * np.exp(-d) * np.exp(-abs(p[2] - q[2]) / 2.0) * np.exp(-0.5 * ((p[3] - q[3]) / 0.8) ** 2 - 0.5 * ((p[4] - q[4]) / 5.0) ** 2)
+        return out
+
+    k = kernel(x, x) + 0.04 * np.eye(len(x))
+    kx = kernel(np.array([r[1:6] for r in new]), x)
+    mean, var = kx @ np.linalg.solve(k, y), 1 - np.einsum("ij,ji->i", kx, np.linalg.solve(k, kx.T))
+    for r, m, s2 in zip(new, mean, var):
+        assert got[r[4]] == (pytest.approx(m, abs=1e-4), pytest.approx(np.sqrt(s2), abs=1e-4))
+
+
+def test_covariate_lowers_the_held_out_error(spark):
+    df = covariate_frame(spark, planted())
+    u = field.Field(field.kmeans_points(df, 80, columns=("x", "y", "t", "u"), lengths=(0.3, 0.3, 1.0, 0.5)), time=1.0, covariates=("u",), lengths=(1.0,))
+    none = field.Field(field.kmeans_points(df, 80, lengths=(0.3, 0.3, 1.0)), time=1.0)
+    error = {}
+    for name, f in (("u", u), ("none", none)):
+        out = field.leave_key_out(df, field.information_sums(df, f)[""], f, "grid_id")
+        error[name] = out.agg(F.sqrt(F.avg((F.col("mean") - F.col("value")) ** 2))).first()[0]
+    assert error["u"] < 0.6 * error["none"], error
+
+
+def test_relevance_search_finds_the_covariate_that_matters(spark):
+    df = covariate_frame(spark, planted(600))
+    start = field.Field(field.kmeans_points(df, 60, columns=("x", "y", "t", "u", "v"), lengths=(0.3, 0.3, 1.0, 1.0, 1.0)), time=1.0, covariates=("u", "v"), lengths=(1.0, 1.0))
+    tuned, history = field.tuned_field(df, start, rounds=4)
+    evidence = [h["evidence"] for h in history]
+    assert evidence == sorted(evidence) and evidence[0] >= field.evidence(field.information_sums(df, start)[""], start)
+    lengths = dict(zip(tuned.covariates, tuned.lengths))
+    assert lengths["v"] > 2 * lengths["u"] and tuned.columns == ["x", "y", "t", "u", "v"]
+    assert tuned.scales() == {k: v for k, v in history[-1].items() if k != "evidence"}
