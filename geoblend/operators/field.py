@@ -290,7 +290,8 @@ def even_points(rows: DataFrame, n_space: int, n_time: int) -> np.ndarray:
         wanted = sorted({int(i) for i in np.linspace(0, many - 1, min(n, many))})
         return [tuple(r[c] for c in cols) for r in ranked.filter((F.col("_k") - 1).isin(wanted)).orderBy("_k").collect()]
 
-    return np.array([(*s, *t) for s in picks(rows, ["x", "y"], n_space) for t in picks(rows, ["t"], n_time)], dtype=float)
+    places, times = picks(rows, ["x", "y"], n_space), picks(rows, ["t"], n_time)
+    return np.array([(*s, *t) for s in places for t in times], dtype=float)
 
 
 def kmeans_points(rows: DataFrame, m: int, seed: int = 1, columns: tuple[str, ...] = COORDS, lengths: tuple[float, ...] | None = None) -> np.ndarray:
