@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import daily, report, spatial  # noqa: F401
+from ..operators import covering, daily, spatial
 from ..sources import roles as R
 from ..sources import tables
 from .etl import daily_sparse
@@ -169,7 +169,31 @@ def polygon_of_cell(spark, sf_dir: str) -> DataFrame:
     x0, y0 = -6.45 + 0.0015 * (F.col("b") * 15 - 0.5), 53.25 + 0.001 * (F.col("a") * 4 - 0.5)
     ring = F.array(F.array(x0, y0), F.array(x0 + 0.0225, y0), F.array(x0 + 0.0225, y0 + 0.004), F.array(x0, y0 + 0.004))
     polygons = q.select(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("polygon_id"), ring.alias("ring"))
-    return spatial.points_in_polygons(cells.withColumn("point_id", F.col("grid_id")), polygons, 0.01).select("grid_id", "polygon_id")
+    return covering.points_in_polygons(cells, polygons).select("grid_id", "polygon_id")
+
+
+# Corners of a concave star around a hole, in units of the radius, and a triangle apart from it.
+_STAR = ((1.0, 0.0), (0.35, 0.3), (0.0, 1.0), (-0.35, 0.3), (-1.0, 0.0), (-0.35, -0.3), (0.0, -1.0), (0.35, -0.3))
+_HOLE = ((0.25, 0.0), (0.0, 0.2), (-0.25, 0.0), (0.0, -0.2))
+_APART = ((1.1, 1.0), (1.9, 1.0), (1.1, 1.7))
+
+
+def _edge_values() -> str:
+    edges = [(*p, *q) for ring in (_STAR, _HOLE, _APART) for p, q in zip(ring, ring[1:] + ring[:1])]
+    return ", ".join("(" + ", ".join(f"{v!r}e0" for v in e) + ")" for e in edges)
+
+
+@query(roles("cells") + f""", p AS (SELECT s_suppkey AS polygon_id, -6.45e0 + 0.0015e0 * (s_suppkey * 37 % 120) AS x, 53.25e0 + 0.0001e0 * (s_suppkey * 53 % 250) AS y, 0.0004e0 * pow(2e0, s_suppkey % 9) AS r FROM supplier),
+    u(a, b, c, d) AS (VALUES {_edge_values()}), e AS (SELECT polygon_id, x + r * a AS x1, y + r * b AS y1, x + r * c AS x2, y + r * d AS y2 FROM p, u),
+    h AS (SELECT grid_id, polygon_id, count(*) AS n FROM cells JOIN e ON ((y1 > latitude) <> (y2 > latitude)) AND longitude < x1 + (latitude - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL)
+    SELECT grid_id, min(polygon_id) AS polygon_id FROM cells LEFT JOIN (SELECT * FROM h WHERE n % 2 = 1) USING (grid_id) GROUP BY grid_id""")
+def polygon_parts(spark, sf_dir: str) -> DataFrame:
+    """Cells in districts around the suppliers' places: stars with a hole and a part of its own, radii from 40 m to 10 km."""
+    k = F.col("s_suppkey")
+    x, y, r = -6.45 + 0.0015 * (k * 37 % 120), 53.25 + 0.0001 * (k * 53 % 250), 0.0004 * F.pow(F.lit(2.0), k % 9)
+    rings = F.array(*[F.array(*[F.array(x + r * a, y + r * b) for a, b in ring]) for ring in (_STAR, _HOLE, _APART)])
+    districts = R.table(spark, sf_dir, "supplier").select(k.alias("polygon_id"), rings.alias("rings"))
+    return covering.points_in_polygons(R.cells(spark, sf_dir), districts).select("grid_id", "polygon_id")
 
 
 @query(roles("cells") + """, k AS (SELECT *, 0.0004e0 * (1 + r % 3) AS a, 0.0003e0 * (1 + c % 2) AS b FROM cells)

@@ -148,27 +148,6 @@ def snap_stations(stations: DataFrame, points: DataFrame, size: tuple[float, flo
     return nearest_join(stations, points, size, []).filter(F.col("distance") <= most)
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Left join of points(latitude, longitude) with polygons(polygon_id, ring of [lon, lat]) that contain them:
-    boxes' bins are joined, then rays are cast. Of several polygons the least id."""
-    xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
-    span = lambda v: F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size))
-    boxes = polygons.select("polygon_id", "ring", F.explode(span(xs)).alias("_bx"), ys.alias("_ys")).select("polygon_id", "ring", "_bx", F.explode(span(F.col("_ys"))).alias("_by"))
-    # A running id must be written before it is read twice: a recomputed task might number its rows otherwise.
-    pts = written(points.withColumn("_pid", F.monotonically_increasing_id()), "polygon-points") if "point_id" not in points.columns else points.withColumn("_pid", F.col("point_id"))
-    binned = pts.withColumns({"_bx": F.floor(F.col("longitude") / size), "_by": F.floor(F.col("latitude") / size)})
-    nxt = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-    x, y = F.col("longitude"), F.col("latitude")
-
-    def crosses(p: Column, q: Column) -> Column:
-        at = p[0] + (y - p[1]) * (q[0] - p[0]) / (q[1] - p[1])
-        return F.when(((p[1] > y) != (q[1] > y)) & (x < at), 1).otherwise(0)
-
-    inside = F.aggregate(F.zip_with("ring", nxt, crosses), F.lit(0), lambda s, e: s + e) % 2 == 1
-    hits = binned.join(boxes, ["_bx", "_by"]).filter(inside).groupBy("_pid").agg(F.min("polygon_id").alias("polygon_id"))
-    return pts.join(hits, "_pid", "left").drop("_pid")
-
-
 # --- interpolation ---------------------------------------------------------------------------------------------------
 
 

@@ -97,11 +97,13 @@ GEOJSON = "features array<struct<properties:struct<grid_id:string>,geometry:stru
 
 
 def read_geojson_cells(spark: SparkSession, path: str) -> DataFrame:
-    """grid_id, ring (array of [lon, lat]) of Polygon and MultiPolygon features: their first outer ring."""
+    """grid_id, ring (the first outer ring, an array of [lon, lat]), rings (those of all parts, holes included) of Polygon and
+    MultiPolygon features; other features have nulls."""
     features = spark.read.schema(GEOJSON).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    shape = F.when(F.col("f.geometry.type") == "MultiPolygon", F.element_at(F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>"), 1))
-    shape = shape.otherwise(F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))
-    return features.select(F.trim("f.properties.grid_id").alias("grid_id"), F.element_at(shape, 1).alias("ring"))
+    kind = F.col("f.geometry.type")
+    parts = F.when(kind == "MultiPolygon", F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>"))
+    rings = F.when(kind == "MultiPolygon", F.flatten(parts)).when(kind == "Polygon", F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))
+    return features.select(F.trim("f.properties.grid_id").alias("grid_id"), F.try_element_at(rings, F.lit(1)).alias("ring"), rings.alias("rings"))
 
 
 def with_centroid(cells: DataFrame, ring: str = "ring") -> DataFrame:
