@@ -369,11 +369,13 @@ def streamed_daily_mean(spark, sf_dir: str) -> DataFrame:
 
 
 def streamed_cell_filter(spark, sf_dir: str) -> DataFrame:
-    """The daily rows replayed as a stream through the filter with kept state: equal to the batch filter."""
-    from ..streaming.daily import replayed, streaming_filter
+    """The daily rows replayed as a stream, in no order, through the filter with kept state: equal to the batch filter."""
+    from ..streaming.daily import close_stream, replayed, streaming_filter
 
-    rows = written(day_rows(spark, sf_dir), "stream-days")
-    stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    rows = written(day_rows(spark, sf_dir).repartition("day"), "stream-days")
+    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
+    close_stream(rows, folder)
+    stream = spark.readStream.schema(rows.schema).parquet(folder)
     return rounded(replayed(streaming_filter(stream), ["grid_id", "day"], "cell-filter", mode="append"))
 
 
