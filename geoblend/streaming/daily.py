@@ -16,8 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources.tables import path_exists, shared_folder
 
 
-#: Added to day numbers as event times: a watermark starts at the epoch, so days up to 0 would count as late.
-FIRST_DAY = 1_000_000
+#: Added to day numbers as event times: a watermark starts at the epoch, so days up to 0 would count as late (and event times end in 2262).
+FIRST_DAY = 30_000
 
 
 def streaming_daily_mean(stream: DataFrame, delay: str = "1 day") -> DataFrame:
