@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibrate, covariates, daily, field, metrics, spatial, state
+from ..operators import calibrate, covariates, daily, field, metrics, scan, spatial, state
 from ..sources import roles as R
 from ..sources.tables import Source, written
 from .etl import daily_sparse
@@ -53,6 +53,24 @@ def cell_smoother(spark, sf_dir: str) -> DataFrame:
     return rounded(state.decay_smoother(df))
 
 
+def long_cell_filter(spark, sf_dir: str) -> DataFrame:
+    """The filter of every station cell by blocks of 16 days, folded apart and joined by their ends."""
+    return rounded(scan.long_random_walk_filter(day_rows(spark, sf_dir), block=16))
+
+
+query(ORACLES["cell_filter"])(long_cell_filter)
+
+
+def long_cell_smoother(spark, sf_dir: str) -> DataFrame:
+    """Filter and smoother of every station cell by blocks of 16 days."""
+    day = F.datediff("date", F.lit("2024-01-01").cast("date"))
+    df = daily_sparse(spark, sf_dir).filter("station is not null").select("grid_id", day.alias("day"), (F.col("station") / 100.0).alias("mean"), F.lit(0.5).alias("var"))
+    return rounded(scan.long_decay_smoother(df, block=16))
+
+
+query(ORACLES["cell_smoother"])(long_cell_smoother)
+
+
 @query(roles("daily") + """, d AS (SELECT DISTINCT date_diff('day', DATE '2024-01-01', date) AS day FROM daily), t AS (SELECT day, day - lag(day) OVER (ORDER BY day) AS dt FROM d)
     SELECT day::INT AS day, dt::DOUBLE AS dt, round(coalesce(exp(-dt / 5e0), 0), 6) AS a, round(1 - coalesce(exp(-dt / 5e0), 0) ** 2, 6) AS q FROM t""")
 def day_transitions(spark, sf_dir: str) -> DataFrame:
