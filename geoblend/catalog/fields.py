@@ -187,6 +187,16 @@ def field_evidence(spark, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, float(round(v, 3)), n == best) for n, v in scores.items()], "candidate string, evidence double, best boolean")
 
 
+@query()
+def field_sources(spark, sf_dir: str) -> DataFrame:
+    """Slope, intercept and noise of the sources learned with the field, by round, from sums of one pass."""
+    rows = scaled_long(spark, sf_dir).drop("slope", "intercept", "noise")
+    start = [Source("station", "station", 0.3), Source("satellite", "satellite", 0.8)]
+    _, history = field.learned_sources(rows, inducing(rows), start, "station", rounds=20)
+    names = ["round", "source", "slope", "intercept", "noise", "evidence"]
+    return rounded(spark.createDataFrame([tuple(h[n] for n in names) for h in history], "round int, source string, slope double, intercept double, noise double, evidence double"), 4)
+
+
 @query()
 def field_by_source(spark, sf_dir: str) -> DataFrame:
     """A field for each source, scored on its own rows."""

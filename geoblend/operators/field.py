@@ -217,6 +217,74 @@ def with_source(rows: DataFrame, sources: list[Source]) -> DataFrame:
     return rows.join(F.broadcast(table), "source")
 
 
+SOURCE_BLOCK = "key string, a binary, b binary, m binary"
+
+
+def source_sums(rows: DataFrame, f: Field, parts: int = 16) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By source, from one pass over rows(x, y, t, covariates, value, prior, source): sums of k k', of k times (value, prior,
+    1), and of the products of (value, prior, 1) with each other. Any slope, intercept and noise follow from them."""
+    df = rows.select(*[F.col(c).cast("double").alias(c) for c in (*f.columns, "value", "prior")], F.col("source").cast("string").alias("key")).dropna()
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[str, list[np.ndarray]] = {}
+        for pdf in batches:
+            for key, g in pdf.groupby("key"):
+                kx, z = f.cov(g[f.columns].to_numpy(), f.points), np.column_stack([g["value"], g["prior"], np.ones(len(g))])
+                own = [kx.T @ kx, kx.T @ z, z.T @ z]
+                acc[key] = [x + y for x, y in zip(acc[key], own)] if key in acc else own
+        yield pd.DataFrame([(k, *(x.tobytes() for x in v)) for k, v in acc.items()], columns=["key", "a", "b", "m"])
+
+    def add(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(keys[0], *(np.sum([np.frombuffer(x) for x in pdf[c]], axis=0).tobytes() for c in ("a", "b", "m")))], columns=["key", "a", "b", "m"])
+
+    blocks = df.mapInPandas(local, SOURCE_BLOCK).withColumn("part", (F.spark_partition_id() % parts).cast("int"))
+    summed = blocks.groupBy("key", "part").applyInPandas(add, SOURCE_BLOCK).groupBy("key").applyInPandas(add, SOURCE_BLOCK)
+    n = len(f.points)  # one block of a source reaches the driver
+    return {r["key"]: (np.frombuffer(r["a"]).reshape(n, n), np.frombuffer(r["b"]).reshape(n, 3), np.frombuffer(r["m"]).reshape(3, 3)) for r in summed.collect()}
+
+
+def sums_of(parts: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], sources: list[Source], f: Field) -> Sums:
+    """The information sums of all rows under the sources' slopes, intercepts and noises."""
+    total = Sums(np.zeros((len(f.points),) * 2), np.zeros(len(f.points)))
+    for s in sources:
+        if s.name in parts:
+            a, b, m = parts[s.name]
+            w, c, n = 1 / s.noise**2, np.array([1.0, -s.slope, -s.intercept]), m[2, 2]
+            total = total + Sums(a * s.slope**2 * w, b @ c * s.slope * w, int(n), float(c @ m @ c * w), float(-n * np.log(w)), float(n * s.slope**2 * w * f.variance))
+    return total
+
+
+def learned_sources(rows: DataFrame, f: Field, sources: list[Source], reference: str, rounds: int = 30, least_noise: float = 1e-3) -> tuple[list[Source], list[dict]]:
+    """Slope, intercept and noise of each source by expectation maximisation, and what each round held. The reference keeps
+    its slope and intercept. One pass over the rows gives the sums; each round takes the field's posterior under the
+    present values and then the values of most expected likelihood, so the evidence never falls."""
+    parts, history = source_sums(rows, f), []
+    for i in range(rounds + 1):
+        sums = sums_of(parts, sources, f)
+        history += [{"round": i, "source": s.name, "slope": s.slope, "intercept": s.intercept, "noise": s.noise, "evidence": evidence(sums, f)} for s in sources]
+        if i == rounds:
+            break
+        post, new = fit(sums, f), []
+        for s in sources:
+            if s.name not in parts:
+                new.append(s)
+                continue
+            a, b, m = parts[s.name]
+            n = m[2, 2]
+            # Moments of z = prior + field under the posterior, with the value y.
+            z, yz = m[1, 2] + post.alpha @ b[:, 2], m[0, 1] + post.alpha @ b[:, 0]
+            zz = m[1, 1] + 2 * post.alpha @ b[:, 1] + post.alpha @ a @ post.alpha + n * f.variance - np.sum(post.correction * a)
+            slope, intercept = s.slope, s.intercept
+            if s.name != reference:
+                spread = zz - z * z / n
+                slope = max((yz - m[0, 2] * z / n) / spread, 1e-6) if spread > 0 else slope  # links rise
+                intercept = (m[0, 2] - slope * z) / n
+            square = m[0, 0] + slope**2 * zz + n * intercept**2 - 2 * slope * yz - 2 * intercept * m[0, 2] + 2 * slope * intercept * z
+            new.append(replace(s, slope=float(slope), intercept=float(intercept), noise=float(max(np.sqrt(max(square / n, 0.0)), least_noise))))
+        sources = new
+    return sources, history
+
+
 def predict(rows: DataFrame, posterior: Posterior | dict[str, Posterior], key: str | None = None, noise: float | None = None) -> DataFrame:
     """Adds mean (prior + field) and std at rows(x, y, t, covariates, prior); noise adds a source's variance. With several posteriors
     a row uses that of its key."""

@@ -251,3 +251,29 @@ def test_relevance_search_finds_the_covariate_that_matters(spark):
     lengths = dict(zip(tuned.covariates, tuned.lengths))
     assert lengths["v"] > 2 * lengths["u"] and tuned.columns == ["x", "y", "t", "u", "v"]
     assert tuned.scales() == {k: v for k, v in history[-1].items() if k != "evidence"}
+
+
+def test_source_parameters_are_learned(spark):
+    """Planted slope, intercept and noises come back, evidence never falls, and sums under any values equal those of the rows."""
+    rng = np.random.default_rng(12)
+    spots = rng.random((1200, 3)) * [1, 1, 0.2]
+    truth = np.sin(5 * spots[:, 0]) + np.cos(4 * spots[:, 1])
+    rows = []
+    for i, ((x, y, t), z) in enumerate(zip(spots, truth)):
+        source = "station" if i % 3 == 0 else "satellite"
+        value = z + 0.15 * rng.normal() if source == "station" else 0.6 * z + 0.4 + 0.3 * rng.normal()
+        rows.append((float(x), float(y), float(t), float(value), float(0.2 * z), source))
+    df = spark.createDataFrame(rows, "x double, y double, t double, value double, prior double, source string")
+    f = field.Field(field.kmeans_points(df, 60), space=0.5, time=2.0, kernel="rbf", time_kernel="rbf")  # smooth: the points hold nearly all of it
+    start = [Source("station", "station", 1.0), Source("satellite", "satellite", 1.0), Source("absent", "absent", 0.5)]
+    plain = field.information_sums(field.with_source(df, start), f)[""]
+    own = field.sums_of(field.source_sums(df, f), start, f)
+    assert own.a == pytest.approx(plain.a) and own.b == pytest.approx(plain.b)
+    assert (own.n, own.square, own.log_noise, own.precision) == (plain.n, pytest.approx(plain.square), pytest.approx(plain.log_noise), pytest.approx(plain.precision))
+    found, history = field.learned_sources(df, f, start, "station", rounds=60)
+    by = {s.name: s for s in found}
+    assert (by["station"].slope, by["station"].intercept) == (1.0, 0.0) and by["station"].noise == pytest.approx(0.15, abs=0.03)
+    assert by["satellite"].slope == pytest.approx(0.6, abs=0.05) and by["satellite"].intercept == pytest.approx(0.4, abs=0.05) and by["satellite"].noise == pytest.approx(0.3, abs=0.03)
+    assert by["absent"] == start[2]
+    scores = [h["evidence"] for h in history if h["source"] == "station"]
+    assert len(scores) == 61 and all(b >= a - 1e-6 * abs(a) for a, b in zip(scores, scores[1:]))
