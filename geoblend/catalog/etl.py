@@ -411,3 +411,11 @@ def dropped_rows(spark, sf_dir: str) -> DataFrame:
         F.when(hour == 5, F.lit("no date")).otherwise(F.col("ts").cast("string")).alias("ts"),
     )
     return tables.dropped_counts(spoilt)
+
+
+@query(roles("hourly", "daily") + """, b AS (SELECT grid_id, arg_min(value, (ts, value)) AS baseline FROM hourly WHERE kind = 'satellite' AND value IS NOT NULL GROUP BY grid_id)
+    SELECT grid_id, date, round(station, 6) AS station, round(baseline, 6) AS baseline FROM daily LEFT JOIN b USING (grid_id) WHERE station IS NOT NULL""", date="date")
+def looked_up_baseline(spark, sf_dir: str) -> DataFrame:
+    """Station days with the first satellite reading of their cell, of a table that has many a cell."""
+    rows = daily_sparse(spark, sf_dir).filter("station is not null").select("grid_id", "date", "station")
+    return rounded(daily.baseline_lookup(rows, R.hourly(spark, sf_dir, "satellite"), "value", ["ts", "value"]))

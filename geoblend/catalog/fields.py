@@ -261,6 +261,19 @@ def day_maps(spark, sf_dir: str) -> DataFrame:
     return rounded(out.select("grid_id", "day", "mean", "std", "n_obs", "smooth_mean", "smooth_std"), 4)
 
 
+@query()
+def day_likelihood(spark, sf_dir: str) -> DataFrame:
+    """Log-likelihood of the stations' days under the day states, for several decay lengths."""
+    rows = scaled_long(spark, sf_dir).filter("source = 'station'")
+    f = field.Field(field.even_points(rows, 24, 1))
+    days = sorted(r[0] for r in rows.select("day").distinct().collect())
+    table = []
+    for length in (1.0, 5.0, 20.0):
+        states = field.sequential_filter(rows, f, days, length)
+        table.append((length, len(days), int(sum(states.counts)), float(states.log_likelihood)))
+    return rounded(spark.createDataFrame(table, "length double, days int, n int, log_likelihood double"), 3)
+
+
 @query()
 def shifted_day_maps(spark, sf_dir: str) -> DataFrame:
     """Maps of the first ten days, moved by the stations' residual biases spread over the cells, bounds included."""

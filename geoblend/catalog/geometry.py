@@ -92,6 +92,20 @@ def bilinear(spark, sf_dir: str) -> DataFrame:
     return rounded(spatial.bilinear_sample(points, r, "k", F.col("x"), F.col("y")))
 
 
+#: A turned raster over the cells: longitude and latitude of pixel corners by column and row.
+AFFINE = (0.0035, 0.0002, -6.4505, -0.0001, -0.0008, 53.2655)
+
+
+@query(roles("cells", "raster") + """, p AS (SELECT grid_id, longitude + 6.4505e0 AS u, latitude - 53.2655e0 AS v, 0.0035e0 * -0.0008e0 - 0.0002e0 * -0.0001e0 AS s FROM cells),
+    q AS (SELECT grid_id, (-0.0008e0 * u - 0.0002e0 * v) / s - 0.5e0 AS x, (0.0035e0 * v + 0.0001e0 * u) / s - 0.5e0 AS y FROM p),
+    a AS (SELECT grid_id, floor(x)::INT + dx AS col, floor(y)::INT + dy AS row, (1 - abs(x - floor(x) - dx)) * (1 - abs(y - floor(y) - dy)) AS w FROM q, (VALUES (0), (1)) h(dx), (VALUES (0), (1)) k(dy))
+    SELECT grid_id, round(CASE WHEN count(value) = 4 THEN sum(w * value) END, 4) AS value FROM a LEFT JOIN raster USING (row, col) GROUP BY grid_id""")
+def affine_sampled(spark, sf_dir: str) -> DataFrame:
+    """The raster at the cells' coordinates, placed by a turned affine."""
+    x, y = spatial.raster_position(F.col("longitude"), F.col("latitude"), AFFINE)
+    return rounded(spatial.bilinear_sample(R.cells(spark, sf_dir), R.raster(spark, sf_dir), "grid_id", x, y), 4)
+
+
 @query(roles("raster") + """, c AS (SELECT row // 5 AS row, col // 5 AS col, value, row % 5 = 2 AND col % 5 = 2 AS mid FROM raster), f AS (SELECT row, col, value, count(*) AS n FROM c GROUP BY ALL)
     SELECT c.row, c.col, round(avg(value), 6) AS average, round(max(CASE WHEN mid THEN value END), 6) AS nearest, round(any_value(m), 6) AS mode FROM c JOIN (SELECT row, col, arg_max(value, (n, -value)) AS m FROM f GROUP BY row, col) g ON c.row = g.row AND c.col = g.col GROUP BY c.row, c.col""")
 def resampled(spark, sf_dir: str) -> DataFrame:

@@ -134,9 +134,9 @@ def loso_summary(spark, sf_dir: str) -> DataFrame:
     return rounded(report.loso_summary(loso_table(spark, sf_dir)))
 
 
-@query(roles("predictions") + f", {_LOSO} SELECT station, round(max(CASE WHEN model = 'fused' THEN rmse END), 6) AS fused, round(max(CASE WHEN model = 'baseline' THEN rmse END), 6) AS baseline, arg_min(model, rmse) AS winner FROM t GROUP BY station")
+@query(roles("predictions") + f", {_LOSO} SELECT station, round(max(CASE WHEN model = 'fused' THEN rmse END), 6) AS fused, round(max(CASE WHEN model = 'baseline' THEN rmse END), 6) AS baseline, round(max(CASE WHEN model = 'fused' THEN rmse END) - max(CASE WHEN model = 'baseline' THEN rmse END), 6) AS fused_minus_baseline, arg_min(model, rmse) AS winner FROM t GROUP BY station")
 def loso_winner(spark, sf_dir: str) -> DataFrame:
-    return rounded(report.loso_winner(loso_table(spark, sf_dir), ["fused", "baseline"]))
+    return rounded(report.loso_winner(loso_table(spark, sf_dir), ["fused", "baseline"], differences=[("fused", "baseline")]))
 
 
 @query(roles("predictions") + f", {_LOSO} SELECT model, sum(n)::BIGINT AS n, round(sqrt(sum(mse * n) / sum(n)), 6) AS rmse, round(sum(mae * n) / sum(n), 6) AS mae, round(sum(bias * n) / sum(n), 6) AS bias FROM t GROUP BY model ORDER BY rmse")

@@ -72,6 +72,12 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def baseline_lookup(rows: DataFrame, baseline: DataFrame, value: str, order: list, key: str = "grid_id", name: str = "baseline") -> DataFrame:
+    """rows with the baseline's first known value of their key by the order given, or null; each row once."""
+    known = first_per_key(baseline.filter(F.col(value).isNotNull()).select(key, F.col(value).alias(name), F.struct(*order).alias("_o")), [key], ["_o"]).drop("_o")
+    return rows.join(known, key, "left")
+
+
 def fill_covariates(frame: DataFrame, covariates: DataFrame, on: list[str], names: list[str]) -> DataFrame:
     """Covariates left-joined; gaps are filled with the covariate's overall mean."""
     means = covariates.agg(*[F.avg(n).alias(f"_{n}") for n in names])

@@ -16,9 +16,10 @@ def loso_summary(df: DataFrame, metrics: list[str] = ["rmse", "mae"]) -> DataFra
     return df.groupBy("model").agg(*aggs, F.avg(F.abs("bias")).alias("mean_abs_bias"))
 
 
-def loso_winner(df: DataFrame, models: list[str], metric: str = "rmse") -> DataFrame:
-    """station, the metric of each model, and the model with the least (ties by name)."""
+def loso_winner(df: DataFrame, models: list[str], metric: str = "rmse", differences: list[tuple[str, str]] = []) -> DataFrame:  # noqa: B006
+    """station, the metric of each model, a_minus_b for the differences asked for, and the model with the least (ties by name)."""
     wide = df.groupBy("station").pivot("model", models).agg(F.first(metric))
+    wide = wide.withColumns({f"{a}_minus_{b}": F.col(a) - F.col(b) for a, b in differences})
     best = df.groupBy("station").agg(F.min_by("model", F.struct(F.col(metric), F.col("model"))).alias("winner"))
     return wide.join(best, "station")
 

@@ -230,6 +230,16 @@ def fill_missing(df: DataFrame, value: str, method: str = "mean", constant: floa
 # --- rasters ---------------------------------------------------------------------------------------------------------
 
 
+def raster_position(x: Column, y: Column, transform: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
+    """(column, row) of places by a raster's affine (a, b, c, d, e, f): x = a col + b row + c, y = d col + e row + f, of pixel
+    corners; whole numbers are pixel centres, as the samplers take them."""
+    a, b, c, d, e, f = transform
+    scale = a * e - b * d
+    if scale == 0:
+        raise ValueError("the affine cannot be inverted")
+    return (e * (x - c) - b * (y - f)) / scale - 0.5, (a * (y - f) - d * (x - c)) / scale - 0.5
+
+
 def bilinear_sample(points: DataFrame, raster: DataFrame, key: str, x: Column, y: Column, default: float | None = None) -> DataFrame:
     """key, value: bilinear of the four raster(row, col, value) corners around (x = column, y = row) positions; null, or
     the default, outside the raster or at a corner without value."""
