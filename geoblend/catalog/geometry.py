@@ -61,6 +61,15 @@ def idw(spark, sf_dir: str) -> DataFrame:
     return rounded(spatial.idw(R.cells(spark, sf_dir), points, "grid_id").select("grid_id", "value"))
 
 
+@query(roles("cells", "priors", "hourly") + f""", {STATIONS}, p AS (SELECT latitude, longitude, lur FROM cells JOIN priors USING (grid_id)),
+    w AS (SELECT station, lur, 1e0 / ((s.latitude - p.latitude) ** 2 + (s.longitude - p.longitude) ** 2) AS w FROM stations s, p) SELECT station, round(sum(w * lur) / sum(w), 5) AS value FROM w GROUP BY station""")
+def idw_tree(spark, sf_dir: str) -> DataFrame:
+    """The priors of all cells spread to the stations' places, far cells through the tree of boxes."""
+    points = R.cells(spark, sf_dir).join(R.priors(spark, sf_dir), "grid_id").select(F.col("grid_id").alias("ord"), "latitude", "longitude", F.col("lur").alias("value"))
+    places = station_points(spark, sf_dir).select("station", "latitude", "longitude")
+    return rounded(spatial.idw(places, points, "station", limit=0).select("station", "value"), 5)
+
+
 @query(roles("cells", "hourly") + f""", {STATIONS}, b AS (SELECT station, latitude, longitude, value - (SELECT avg(value) FROM stations) AS shift FROM stations),
     w AS (SELECT c.grid_id, b.shift, ((b.longitude - c.longitude) * 111e0 * cos(radians(lm))) ** 2 + ((b.latitude - c.latitude) * 111e0) ** 2 AS d2 FROM cells c, b, (SELECT avg(latitude) AS lm FROM b)) SELECT grid_id, round(sum(shift / d2) / sum(1 / d2), 6) AS shift FROM w GROUP BY grid_id""")
 def idw_bias(spark, sf_dir: str) -> DataFrame:

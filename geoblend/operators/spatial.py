@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import METRES_PER_DEGREE, planar_km
 from ..sources.tables import written
+from .farfield import idw_sums
 from .tiles import stencil, tiled
 
 # --- grids -----------------------------------------------------------------------------------------------------------
@@ -167,14 +168,18 @@ def _idw_sums(lat: np.ndarray, lon: np.ndarray, pts: np.ndarray, power: float, e
 def idw(grid: DataFrame, points: DataFrame, key: str, power: float = 2.0, exact: float = 1e-10, limit: int = 5_000, km: float | None = None, default: float | None = None) -> DataFrame:
     """Adds value: inverse-distance weights of all points(ord, latitude, longitude, value); a point at the cell gives its
     value (the least ord). Distances are in degrees, or in km with `km` a degree, longitudes scaled at the points' mean
-    latitude. Up to `limit` points go with the tasks; more are dealt to blocks, as are the cells, and every pair of
-    blocks gives one partial sum per cell, so cells x points rows never exist. key tells the cells apart."""
+    latitude. Up to `limit` points go with the tasks; more are met through a tree of boxes (farfield), those near a cell one
+    by one and those farther out by sums whose error is below 1e-8 of the weights. key tells the cells apart."""
     points = points.select("ord", "latitude", "longitude", "value").filter("latitude is not null and longitude is not null and value is not null")
     n, mean_lat = points.agg(F.count(F.lit(1)), F.avg("latitude")).first()
     scale = (km, km * math.cos(math.radians(mean_lat or 0.0))) if km else (1.0, 1.0)
     empty = np.nan if default is None else default
     if n > limit:
-        return _idw_blocks(grid, points, key, power, exact, scale, default, n, limit)
+        placed = written(grid.withColumn("_id", F.monotonically_increasing_id()), "idw-cells")
+        sums = idw_sums(placed.select("_id", "latitude", "longitude"), points, n, power, exact, scale)
+        value = F.when(F.col("_hit"), F.col("_at")).otherwise(F.try_divide(F.col("_wv"), F.col("_w")))
+        out = placed.join(sums.select("_id", value.alias("value")), "_id", "left")
+        return out.select(*grid.columns, F.col("value") if default is None else F.coalesce("value", F.lit(default)).alias("value"))
     rows = points.orderBy("ord", "latitude", "longitude", "value").collect()
     pts = np.array([(r["latitude"], r["longitude"], r["value"]) for r in rows], dtype=float).reshape(-1, 3)
 
@@ -191,29 +196,6 @@ def idw(grid: DataFrame, points: DataFrame, key: str, power: float = 2.0, exact:
     return grid.mapInPandas(run, schema)
 
 
-def _idw_blocks(grid: DataFrame, points: DataFrame, key: str, power: float, exact: float, scale: tuple[float, float], default: float | None, n: int, limit: int) -> DataFrame:
-    """idw() over blocks of points and cells that meet by a join on (cell block, point block)."""
-    cell_blocks, point_blocks = -(-grid.count() // limit), -(-n // limit)
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    deal = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
-    kind, ord_kind = grid.schema[key].dataType.simpleString(), points.schema["ord"].dataType.simpleString()
-    cells = grid.select(key, "latitude", "longitude").withColumn("_c", deal(cell_blocks, key)).withColumn("_p", every(point_blocks))
-    pts = points.withColumn("_p", deal(point_blocks, "ord", "latitude", "longitude")).withColumn("_c", every(cell_blocks))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values(["ord", "latitude", "longitude", "value"])
-        p = right[["latitude", "longitude", "value"]].to_numpy(dtype=float)
-        w, wv, hit = _idw_sums(left["latitude"].to_numpy(dtype=float), left["longitude"].to_numpy(dtype=float), p, power, exact, scale)
-        at = right.iloc[np.maximum(hit, 0)] if len(right) else right.reindex([0] * len(left))
-        return pd.DataFrame({key: left[key].to_numpy(), "_w": w, "_wv": wv, "_hit": hit >= 0, "_ord": at["ord"].to_numpy(), "_at": at["value"].to_numpy()})
-
-    parts = cells.groupBy("_c", "_p").cogroup(pts.groupBy("_c", "_p")).applyInPandas(run, f"`{key}` {kind}, _w double, _wv double, _hit boolean, _ord {ord_kind}, _at double")
-    hits = F.min_by(F.when(F.col("_hit"), F.col("_at")), F.when(F.col("_hit"), F.col("_ord")))
-    sums = parts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.coalesce(hits, F.try_divide(F.sum("_wv"), F.sum("_w"))).alias("value"))
-    out = grid.join(sums, key, "left")
-    return out.select(*grid.columns, F.col("value") if default is None else F.coalesce("value", F.lit(default)).alias("value"))
-
-
 def fill_missing(df: DataFrame, value: str, method: str = "mean", constant: float = 0.0, size: tuple[float, float] = (0.01, 0.01), key: str = "grid_id") -> DataFrame:
     """Missing values filled by the overall mean, a constant, or the nearest known cell's value."""
     if method == "constant":
