@@ -187,6 +187,16 @@ def field_evidence(spark, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, float(round(v, 3)), n == best) for n, v in scores.items()], "candidate string, evidence double, best boolean")
 
 
+@query()
+def domain_draws(spark, sf_dir: str) -> DataFrame:
+    """Mean of the field over all cells by day with its spread, from joint draws, in which neighbouring cells err together."""
+    rows = scaled_long(spark, sf_dir)
+    f = inducing(rows)
+    post = field.fit(field.information_sums(rows, f)[""], f)
+    grid = spatial.space_time_frame(rows.select("grid_id", "x", "y", "prior").distinct(), rows.select("day", "t").distinct())
+    return rounded(field.mean_of_draws(field.joint_samples(grid, post, 32), ["day"]), 4)
+
+
 @query()
 def field_sources(spark, sf_dir: str) -> DataFrame:
     """Slope, intercept and noise of the sources learned with the field, by round, from sums of one pass."""

@@ -346,6 +346,35 @@ def samples(df: DataFrame, keys: list[str], n: int = 64, seed: int = 1, name: st
     return df.withColumn(name, draw)
 
 
+def joint_draws(p: Posterior, n: int, seed: int = 1) -> np.ndarray:
+    """Draws (M, n) of the posterior's weights: the field of draw s is k(x) w_s everywhere, so places of a draw fit together."""
+    k = p.field.gram()
+    spread = solve_spd(k + p.field.jitter * np.eye(len(k)), np.eye(len(k))) - p.correction  # (K + A)^-1
+    spread = (spread + spread.T) / 2
+    return p.alpha[:, None] + cholesky(spread, 1e-12) @ np.random.default_rng(seed).normal(size=(len(k), n))
+
+
+def joint_samples(rows: DataFrame, p: Posterior, n: int = 64, seed: int = 1, name: str = "samples") -> DataFrame:
+    """Adds an array of n joint draws at rows(x, y, t, covariates, prior), prior included. The draws of the inducing state are
+    made once and go with the tasks (M x n numbers), so element s of all rows is one field; what the inducing points do not
+    determine is left out (samples() draws rows apart from each other with their full variance)."""
+    weights = joint_draws(p, n, seed)
+    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema) + f", `{name}` array<double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            drawn = p.field.cov(pdf[p.field.columns].to_numpy(dtype=float), p.field.points) @ weights + pdf["prior"].to_numpy(dtype=float)[:, None]
+            yield pdf.assign(**{name: list(drawn)})
+
+    return rows.mapInPandas(run, schema)
+
+
+def mean_of_draws(df: DataFrame, by: list[str], samples: str = "samples") -> DataFrame:
+    """by, n, mean and std of the group's mean over the draws."""
+    each = df.select(*by, F.posexplode(samples).alias("_s", "_v")).groupBy(*by, "_s").agg(F.avg("_v").alias("_m"), F.count(F.lit(1)).alias("n"))
+    return each.groupBy(*by).agg(F.max("n").alias("n"), F.avg("_m").alias("mean"), F.stddev_samp("_m").alias("std"))
+
+
 # --- inducing points -------------------------------------------------------------------------------------------------
 
 

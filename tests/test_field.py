@@ -277,3 +277,26 @@ def test_source_parameters_are_learned(spark):
     assert by["absent"] == start[2]
     scores = [h["evidence"] for h in history if h["source"] == "station"]
     assert len(scores) == 61 and all(b >= a - 1e-6 * abs(a) for a, b in zip(scores, scores[1:]))
+
+
+def test_joint_draws_spread_as_the_dense_covariance(spark):
+    """Mean over a day's places and its spread, from draws, against the dense process."""
+    df = rows_of(spark, 40)
+    rows = df.collect()
+    f = field.Field(np.array([(r["x"], r["y"], r["t"]) for r in rows]), space=0.6, time=1.0, jitter=1e-9)
+    post = field.fit(field.information_sums(df, f)[""], f)
+    out = field.joint_samples(df, post, 3000)
+    got = {r["day"]: r for r in field.mean_of_draws(out, ["day"]).collect()}
+    x = np.array([(r["x"], r["y"], r["t"]) for r in rows])
+    a, s2 = np.array([r["slope"] for r in rows]), np.array([r["noise"] ** 2 for r in rows])
+    k = f.cov(x, x)
+    kx = k * a
+    cov = k - kx @ np.linalg.solve(k * np.outer(a, a) + np.diag(s2), kx.T)
+    mean = dense(rows, f, x)[0] + np.array([r["prior"] for r in rows])
+    for day in range(4):
+        own = np.array([r["day"] == day for r in rows])
+        spread = np.sqrt(cov[np.ix_(own, own)].mean())
+        assert got[day]["n"] == own.sum() and got[day]["mean"] == pytest.approx(mean[own].mean(), abs=0.05)
+        assert got[day]["std"] == pytest.approx(spread, rel=0.08)
+    again = field.joint_samples(df.repartition(7), post, 5).collect()
+    assert {r["x"]: r["samples"] for r in again} == {r["x"]: pytest.approx(r["samples"][:5]) for r in field.joint_samples(df, post, 5).collect()}
