@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calibrate, covariates, daily, field, metrics, scan, spatial, state
 from ..sources import roles as R
-from ..sources.tables import Source, written
+from ..sources.tables import Source, shared_folder, written
 from .etl import daily_sparse
 from .geometry import STATIONS, station_points
 from .registry import ORACLES, query, roles, rounded
@@ -271,6 +273,18 @@ def day_maps(spark, sf_dir: str) -> DataFrame:
     return rounded(out.select("grid_id", "day", "mean", "std", "n_obs", "smooth_mean", "smooth_std"), 4)
 
 
+@query()
+def kept_day_maps(spark, sf_dir: str) -> DataFrame:
+    """The day maps from states kept in a table, to which the days come in three parts, each between the others' days."""
+    long = scaled_long(spark, sf_dir)
+    rows = long.filter("source = 'station'")
+    f, path = field.Field(field.even_points(rows, 24, 1)), f"{shared_folder(spark)}/kept-days-{uuid.uuid4().hex}"
+    for part in (2, 0, 1):
+        states = field.add_days(rows.filter(F.pmod("day", F.lit(3)) == part), path, f)
+    out = field.predict_states(_day_grid(long, rows.select("day").distinct()), states)
+    return rounded(out.select("grid_id", "day", "mean", "std", "n_obs"), 4)
+
+
 @query()
 def day_likelihood(spark, sf_dir: str) -> DataFrame:
     """Log-likelihood of the stations' days under the day states, for several decay lengths."""

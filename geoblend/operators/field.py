@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.numerics import global_rank, hash_unit
 from ..functions.scalars import interval
 from ..functions.threads import use_one_thread
-from ..sources.tables import Source, written
+from ..sources.tables import Source, path_exists, written
 
 use_one_thread()
 
@@ -437,31 +437,98 @@ def sequential_filter(rows: DataFrame, f: Field, days: list[int], length: float
     The field's time kernel is not used within a day. Days without data only propagate; the state decays to the prior
     (0 in residual terms) with exp(-dt / length), the process noise keeps the field's variance.
     """
-    spatial = replace(f, points=np.column_stack([f.points[:, :2], np.zeros(len(f.points)), f.points[:, 3:]]))
+    spatial = spatial_part(f)
     sums = information_sums(rows.withColumn("t", F.lit(0.0)), spatial, key=day)
-    k = spatial.gram()
-    k = k + f.jitter * np.eye(len(k))
-    k_inv = solve_spd(k, np.eye(len(k)))
-    mean, cov, last = np.zeros(len(k)), k.copy(), None
-    out: dict[str, list] = {x: [] for x in ("m", "p", "pm", "pp", "a", "n")}
-    total = 0.0
+    return day_states(spatial, filter_steps({int(d): s for d, s in sums.items()}, spatial, days, length))
+
+
+def spatial_part(f: Field) -> Field:
+    return replace(f, points=np.column_stack([f.points[:, :2], np.zeros(len(f.points)), f.points[:, 3:]]))
+
+
+@dataclass(frozen=True)
+class DayStep:
+    """One day: its sums, its state after and before its data, the decay into it, and its log-likelihood."""
+
+    day: int
+    sums: Sums
+    mean: np.ndarray
+    cov: np.ndarray
+    predicted_mean: np.ndarray
+    predicted_cov: np.ndarray
+    factor: float
+    log_likelihood: float
+
+
+def filter_steps(sums: dict[int, Sums], spatial: Field, days: list[int], length: float, start: DayStep | None = None) -> list[DayStep]:
+    """The filter over days in order, from the day before the first of them or from the prior."""
+    m = len(spatial.points)
+    k = spatial.gram() + spatial.jitter * np.eye(m)
+    k_inv = solve_spd(k, np.eye(m))
+    log_det = lambda c: 2 * np.log(np.diag(cholesky(c, 1e-10))).sum()
+    mean, cov, last, out = (start.mean, start.cov, start.day, []) if start else (np.zeros(m), k.copy(), None, [])
     for d in days:
-        a = np.exp(-(d - last) / length) if last is not None else 0.0
-        mean, cov, last = a * mean, a * a * cov + (1 - a * a) * k, d
-        pm, pp = mean, cov
-        s = sums.get(str(d))
-        if s is not None and s.n:
+        a = float(np.exp(-(d - last) / length)) if last is not None else 0.0
+        mean, cov, last, score = a * mean, a * a * cov + (1 - a * a) * k, d, 0.0
+        pm, pp, s = mean, cov, sums.get(d, Sums(np.zeros((m, m)), np.zeros(m)))
+        if s.n:
             # Rows see the state through H = k_x K^-1, so H'H sums are K^-1 A K^-1.
             info, rhs = k_inv @ s.a @ k_inv, k_inv @ s.b
-            prior_inv = solve_spd(cov, np.eye(len(k)))
-            new = solve_spd(prior_inv + info, np.eye(len(k)))
+            prior_inv = solve_spd(cov, np.eye(m))
+            new = solve_spd(prior_inv + info, np.eye(m))
             new_mean = new @ (prior_inv @ mean + rhs)
-            log_det = lambda c: 2 * np.log(np.diag(cholesky(c, 1e-10))).sum()
-            total += -0.5 * (s.n * np.log(2 * np.pi) + s.log_noise + log_det(cov) - log_det(new) + s.square + mean @ prior_inv @ mean - new_mean @ (prior_inv + info) @ new_mean)
+            score = float(-0.5 * (s.n * np.log(2 * np.pi) + s.log_noise + log_det(cov) - log_det(new) + s.square + mean @ prior_inv @ mean - new_mean @ (prior_inv + info) @ new_mean))
             mean, cov = new_mean, (new + new.T) / 2
-        for x, v in zip(out, (mean, cov, pm, pp, a, s.n if s else 0)):
-            out[x].append(v)
-    return DayStates(spatial, list(days), np.array(out["m"]), np.array(out["p"]), np.array(out["pm"]), np.array(out["pp"]), np.array(out["a"]), out["n"], float(total))
+        out.append(DayStep(d, s, mean, cov, pm, pp, a, score))
+    return out
+
+
+def day_states(spatial: Field, steps: list[DayStep]) -> DayStates:
+    m = len(spatial.points)
+    stack = lambda c, *shape: np.array([getattr(s, c) for s in steps]).reshape(len(steps), *shape)
+    return DayStates(
+        spatial, [s.day for s in steps], stack("mean", m), stack("cov", m, m), stack("predicted_mean", m), stack("predicted_cov", m, m), stack("factor"),
+        [s.sums.n for s in steps], float(sum(s.log_likelihood for s in steps)),
+    )
+
+
+ARRAYS = ("mean", "cov", "predicted_mean", "predicted_cov")
+KEPT = "day int, n long, a binary, b binary, square double, log_noise double, precision double, " + ", ".join(f"{c} binary" for c in ARRAYS) + ", factor double, log_likelihood double"
+
+
+def kept_steps(spark, path: str, m: int) -> tuple[dict[int, DayStep], int]:
+    """The latest version of each day in a kept table, and the table's latest version."""
+    if not path_exists(spark, path):
+        return {}, 0
+    table = spark.read.parquet(path)
+    rest = [c for c in table.columns if c not in ("day", "version")]
+    rows = table.groupBy("day").agg(F.max("version").alias("version"), F.max_by(F.struct(*rest), "version").alias("x")).collect()  # one row a day
+    array = lambda b: np.frombuffer(b).reshape(-1, m).squeeze()
+    out = {}
+    for r in rows:
+        x = r["x"]
+        sums = Sums(np.frombuffer(x["a"]).reshape(m, m), np.frombuffer(x["b"]), x["n"], x["square"], x["log_noise"], x["precision"])
+        out[r["day"]] = DayStep(r["day"], sums, *(array(x[c]).reshape((m, m) if "cov" in c else (m,)) for c in ARRAYS), x["factor"], x["log_likelihood"])
+    return out, max((r["version"] for r in rows), default=0)
+
+
+def add_days(rows: DataFrame, path: str, f: Field, length: float = 5.0, day: str = "day") -> DayStates:
+    """sequential_filter() with the states kept in a table at `path`: rows are those of new days, or further rows of known days.
+    Only they are read; days from the first one touched on are filtered anew from the state before it, and written as a
+    new version. So days added one by one, in any order, give the states of all rows at once."""
+    spark, spatial = rows.sparkSession, spatial_part(f)
+    kept, version = kept_steps(spark, path, len(f.points))
+    new = {int(d): s for d, s in information_sums(rows.withColumn("t", F.lit(0.0)), spatial, key=day).items()}
+    if new:
+        first = min(new)
+        before = max((d for d in kept if d < first), default=None)
+        days = sorted(d for d in {*kept, *new} if d >= first)
+        sums = {d: kept[d].sums + new[d] if d in kept and d in new else new[d] if d in new else kept[d].sums for d in days}
+        steps = filter_steps(sums, spatial, days, length, kept.get(before))
+        table = [(s.day, s.sums.n, s.sums.a.tobytes(), s.sums.b.tobytes(), s.sums.square, s.sums.log_noise, s.sums.precision, *(getattr(s, c).tobytes() for c in ARRAYS), s.factor, s.log_likelihood) for s in steps]
+        spark.createDataFrame(table, KEPT).coalesce(1).write.parquet(f"{path}/version={version + 1}")
+        kept |= {s.day: s for s in steps}
+    return day_states(spatial, [kept[d] for d in sorted(kept)])
 
 
 def smooth_states(s: DayStates) -> DayStates:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoblend.operators import field
@@ -300,3 +301,24 @@ def test_joint_draws_spread_as_the_dense_covariance(spark):
         assert got[day]["std"] == pytest.approx(spread, rel=0.08)
     again = field.joint_samples(df.repartition(7), post, 5).collect()
     assert {r["x"]: r["samples"] for r in again} == {r["x"]: pytest.approx(r["samples"][:5]) for r in field.joint_samples(df, post, 5).collect()}
+
+
+def test_days_added_one_by_one_equal_all_at_once(spark, tmp_path):
+    df = rows_of(spark, 60).withColumn("day", (F.col("x") * 12).cast("int"))
+    f = field.Field(field.regular_points(3, 1), space=0.5)
+    days = sorted(r[0] for r in df.select("day").distinct().collect())
+    whole = field.sequential_filter(df, f, days)
+    path = str(tmp_path / "kept")
+    order = days[::2] + days[1::2]  # each later day lies between known ones
+    for d in order[:-1]:
+        field.add_days(df.filter(F.col("day") == d), path, f)
+    half = df.withColumn("_k", F.row_number().over(Window.partitionBy("day").orderBy("x")))
+    last = half.filter(F.col("day") == order[-1]).drop("_k")
+    field.add_days(last.limit(0), path, f)  # nothing new
+    field.add_days(half.filter((F.col("day") == order[-1]) & (F.col("_k") == 1)).drop("_k"), path, f)
+    got = field.add_days(half.filter((F.col("day") == order[-1]) & (F.col("_k") > 1)).drop("_k"), path, f)  # further rows of a known day
+    assert got.days == whole.days and got.counts == whole.counts and got.log_likelihood == pytest.approx(whole.log_likelihood)
+    for c in ("mean", "cov", "predicted_mean", "predicted_cov", "factors"):
+        assert getattr(got, c) == pytest.approx(getattr(whole, c), abs=1e-9), c
+    versions = spark.read.parquet(path).groupBy("version").count().collect()
+    assert len(versions) == len(days) + 1 - (half.filter((F.col("day") == order[-1])).count() == 1)
