@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 run() writes every stage's result to the shared folder and reads it again as the next stage's docs.
+
+Cases that hold for every stage: null text counts as empty; rows with a null id or an id of several rows are rows like
+others and never stand in for a namesake; an empty table gives an empty table; extra columns are kept as they are by all
+stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,22 +18,22 @@ from geoblend.llm.queries import table, vocabulary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled ones among docs, rejects go."""
+    """Documents that the quality classifier, fitted on the labelled ones among docs, rejects go; without any label all stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays."""
+    """Of equal texts one row stays, of the largest id (null last); of several rows of that id any one."""
     return exact.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the least id stays."""
+    """Of each component of near copies one row stays, of the least id (null last), texts of one id ordered by digest."""
     return simhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a document taken twice is two rows."""
+    """Documents as often as the mix takes them: a document taken twice is two rows, one without words none; ranks tie by id."""
     return mixing.mixed_rows(docs)
 
 
