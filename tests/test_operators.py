@@ -130,13 +130,13 @@ def test_nearest_against_all_pairs(spark):
     df = spark.createDataFrame(pts, "grid_id string, latitude double, longitude double, v double")
     asked = [(f"q{i}", 53 + rng.random() * 0.08, -6 + rng.random() * 0.08) for i in range(40)] + [(f"f{i}", -80 + rng.random() * 160, -170 + rng.random() * 340) for i in range(60)] + [("tie", 10.0, 10.0), ("none", None, 3.0)]
     q = spark.createDataFrame(asked, "q string, latitude double, longitude double")
-    got = {r["q"]: (r["near_id"], r["v"]) for r in spatial.nearest_join(q, df, "q", (0.004, 0.004), ["v"]).collect()}
+    got = {r["q"]: (r["near_id"], r["v"]) for r in spatial.nearest_join(q, df, (0.004, 0.004), ["v"]).collect()}
     known = [p for p in pts if p[1] is not None]
     best = {n: min(known, key=lambda p: (math.hypot(p[1] - la, p[2] - lo), p[0])) for n, la, lo in asked if la is not None}
     assert got == {n: (p[0], p[3]) for n, p in best.items()} | {"none": (None, None)} and got["tie"][0] == "t1"
-    empty = spatial.nearest_join(q, df.limit(0), "q", (0.004, 0.004), ["v"]).collect()
+    empty = spatial.nearest_join(q, df.limit(0), (0.004, 0.004), ["v"]).collect()
     assert len(empty) == len(asked) and all(r["near_id"] is None for r in empty)
-    near = {r["q"]: r["v"] for r in spatial.nearest_join(q, df, "q", (0.004, 0.004), ["v"], most=0.05, default=-1.0).collect()}
+    near = {r["q"]: r["v"] for r in spatial.nearest_join(q, df, (0.004, 0.004), ["v"], most=0.05, default=-1.0).collect()}
     gap = lambda n, la, lo: math.hypot(best[n][1] - la, best[n][2] - lo)
     assert all(near[n] == (best[n][3] if la is not None and gap(n, la, lo) <= 0.05 else -1.0) for n, la, lo in asked)
 
