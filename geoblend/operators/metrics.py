@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numerics import global_rank, norm_cdf_sql, norm_pdf_sql, z_of
 from ..functions.quantiles import exact_quantiles, place_among
+from ..sources.tables import written
 
 LEVELS = (0.5, 0.8, 0.9, 0.95)
 LOG_2PI = math.log(2 * math.pi)
@@ -66,7 +67,8 @@ def evaluate(df: DataFrame, y: str = "y", mean: str = "mean", std: str = "std",
 
 def ks_uniform(df: DataFrame, pit: str = "pit") -> DataFrame:
     """One row ks: largest gap between the empirical distribution of the PIT values and the uniform one."""
-    ranked = global_rank(df.filter(F.col(pit).isNotNull()).select(pit), [pit])
+    # Written first: pushed below the scores, the filter would evaluate their expressions again.
+    ranked = global_rank(written(df.select(pit), "pit").filter(F.col(pit).isNotNull()), [pit])
     n = ranked.agg(F.max("rank")).first()[0] or 1
     gap = F.greatest(F.col("rank") / n - F.col(pit), F.col(pit) - (F.col("rank") - 1) / n)
     return ranked.agg(F.max(gap).alias("ks"))

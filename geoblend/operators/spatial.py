@@ -263,10 +263,12 @@ def gaussian_smooth(raster: DataFrame, by: list[str] = [], sigma: float = 0.6, r
     """
     inside = F.coalesce(F.col(support), F.lit(False)) if support else F.lit(True)
     pixels = raster.select(*by, "row", "col", F.when(inside, F.col("value")).alias("value"), inside.alias("_in"))
-    top, right = pixels.agg(F.max("row"), F.max("col")).first()
-    medians = exact_quantiles(pixels, "value", [0.5], by, "_med").select(*by, F.col("_med")[0].alias("_med"))
-    met = pixels.join(F.broadcast(medians), by, "left") if by else pixels.crossJoin(F.broadcast(medians))
-    filled = met.select(*by, "row", "col", F.coalesce("value", "_med").alias("value"))
+    top, right, gaps = pixels.agg(F.max("row"), F.max("col"), F.count_if(F.col("value").isNull())).first()
+    filled = pixels.select(*by, "row", "col", "value")
+    if gaps:
+        medians = exact_quantiles(pixels, "value", [0.5], by, "_med").select(*by, F.col("_med")[0].alias("_med"))
+        met = pixels.join(F.broadcast(medians), by, "left") if by else pixels.crossJoin(F.broadcast(medians))
+        filled = met.select(*by, "row", "col", F.coalesce("value", "_med").alias("value"))
     total = sum(math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1))
     weight = np.array([math.exp(-0.5 * (d / sigma) ** 2) / total for d in range(-radius, radius + 1)])
 
@@ -287,6 +289,8 @@ def gaussian_smooth(raster: DataFrame, by: list[str] = [], sigma: float = 0.6, r
         return [np.divide(above, below, out=np.full((side, side), np.nan), where=below > 0)]
 
     out = stencil(tiled(filled, by), by, radius, ["value"], smooth)
+    if not support and not gaps:
+        return out
     # Pixels without any value to smooth have no row there; those outside the support stay null.
     keep = pixels.select(*by, "row", "col", "_in")
     return keep.join(out, [*by, "row", "col"], "left").select(*by, "row", "col", F.when(F.col("_in"), F.col("value")).alias("value"))
