@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibrate, covariates, daily, field, metrics, scan, spatial, state
+from ..functions.numerics import hash_unit
+from ..operators import calibrate, covariates, daily, field, metrics, mixing_field, scan, spatial, state
 from ..sources import roles as R
 from ..sources.tables import Source, shared_folder, written
 from .etl import daily_sparse
@@ -209,6 +210,45 @@ def field_sources(spark, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame([tuple(h[n] for n in names) for h in history], "round int, source string, slope double, intercept double, noise double, evidence double"), 4)
 
 
+_PAIRS = (("station", "station"), ("station", "satellite"), ("station", "traffic"), ("satellite", "satellite"), ("satellite", "traffic"), ("traffic", "traffic"))
+
+
+@query(roles("daily", "priors") + """, r AS (SELECT station - lur AS station, satellite - lur AS satellite, traffic - lur AS traffic FROM daily JOIN priors USING (grid_id))
+    """ + " UNION ALL ".join(f"""SELECT '{a}' AS source_a, '{b}' AS source_b, count({a} + {b}) AS n, round(covar_pop({a}, {b}), 4) AS covariance,
+        round(corr({a}, {b}), 6) AS correlation FROM r""" for a, b in _PAIRS))
+def source_pairs(spark, sf_dir: str) -> DataFrame:
+    """Covariance and correlation of the residuals of each pair of sources over the cells and days that have both."""
+    df = daily_sparse(spark, sf_dir).join(R.priors(spark, sf_dir).select("grid_id", F.col("lur").alias("prior")), "grid_id")
+    names = ["station", "satellite", "traffic"]
+    long = df.unpivot(["grid_id", "date", "prior"], names, "source", "value")
+    return rounded(mixing_field.residual_moments(long, ["grid_id", "date"], names), 6, covariance=4)
+
+
+@query()
+def field_mixed(spark, sf_dir: str) -> DataFrame:
+    """Scores of the stations left out by fifths: from the other stations alone, and with the satellite's field as a second,
+    correlated output whose mixing matrix is learned. One pass gives the sums of all folds."""
+    rows = scaled_long(spark, sf_dir).drop("slope", "intercept", "noise").withColumn("fold", F.floor(5 * hash_unit("mixed", "grid_id")).cast("int"))
+    f, sources = inducing(rows), [Source(s.name, s.column, s.noise) for s in SOURCES]
+    names = [s.name for s in sources]
+    by_fold = field.source_sums(rows.withColumn("source", F.concat_ws("|", "source", "fold")), f)
+    total = {n: tuple(map(sum, zip(*(p for k, p in by_fold.items() if k.startswith(f"{n}|"))))) for n in names}
+    total = {n: p for n, p in total.items() if p}
+    moments = [(r["source_a"], r["source_b"], r["covariance"]) for r in mixing_field.residual_moments(rows, ["grid_id", "day"], names).collect()]  # one row a pair
+    outputs = {}
+    for k in range(5):
+        held = by_fold.get(f"station|{k}")
+        rest = mixing_field.without(total, {"station": held} if held else {})
+        for case, used in (("station", names[:1]), ("mixed", names)):
+            own = {n: p for n, p in rest.items() if n in used}
+            start = mixing_field.start_mixture(f, [s for s in sources if s.name in used], moments)
+            found, _ = mixing_field.learned_mixture(own, start, rounds=30)
+            outputs[f"{case}|{k}"] = (mixing_field.latent_posterior(own, found), "station")
+    asked = rows.filter("source = 'station'").withColumn("case", F.explode(F.array(F.lit("station"), F.lit("mixed")))).withColumn("key", F.concat_ws("|", "case", "fold"))
+    scored = metrics.evaluate(mixing_field.predict_outputs(asked, outputs, "key"), "value", by=["case"])
+    return rounded(scored.select("case", "n", "rmse", "mae", "bias", "crps", "coverage_90"), 4)
+
+
 @query()
 def field_by_source(spark, sf_dir: str) -> DataFrame:
     """A field for each source, scored on its own rows."""
