@@ -223,21 +223,23 @@ def _chains_of(text: str, most: int = FIT_CHAINS) -> list[str]:
 
 
 def fit_sample(docs: DataFrame, held_out: tuple[int, int], rows: int = FIT_ROWS) -> list[tuple[str, list[list[str]]]]:
-    """The bounded fit sample: documents outside the held-out fold with a language, by hash order."""
+    """The bounded fit sample: documents outside the held-out fold with a language, at most `rows` of them by hash order of id, then
+    id and text, also where many rows share an id."""
     modulus, fold = held_out
     fit = docs.filter((id_bucket("doc_id", modulus) != fold) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # The ids come first, without texts; then the texts of those ids only.
-    order = F.xxhash64("doc_id")
-    ids = [r[0] for r in fit.select("doc_id", order.alias("o")).orderBy("o", "doc_id").limit(rows).collect()]
+    order, digest = F.xxhash64("doc_id").alias("o"), F.xxhash64("text").alias("h")
+    # The bound on the hash comes first, without texts; then the texts below it.
+    last = fit.select(order).orderBy("o").limit(rows).agg(F.max("o")).first()[0]
 
     def run(batches):
         for batch in batches:
-            rows = [_chains_of(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "lang", "chains"])
+            rows = [_chains_of(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "lang", "o", "h", "chains"])
 
-    picked = fit.filter(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang")
-    found = picked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, chains array<string>").collect()
-    found = sorted(found, key=lambda r: (r["doc_id"], r["lang"]))
+    picked = fit.filter(order <= F.lit(last)).select("text", "doc_id", "lang", order, digest)
+    chains = picked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, o long, h long, chains array<string>")
+    found = chains.orderBy("o", "doc_id", "h", "lang").limit(rows).collect()
+    found = sorted(found, key=lambda r: (r["doc_id"], r["lang"], r["h"]))
     return [(r["lang"], [c.split() for c in r["chains"]]) for r in found]
 
 
