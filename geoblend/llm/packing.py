@@ -265,15 +265,16 @@ def slot_table(plan: list[tuple[Counter, int]]) -> pd.DataFrame:
 
 
 def place_pieces(pieces: DataFrame, capacity: int = 1024, group_rows: int = 20_000) -> DataFrame:
-    """pieces(doc_id, piece, length, ...) with sequence_id and offset. pieces must be a written table: it is read twice."""
+    """pieces(doc_id, piece, length, ...) with sequence_id and offset. pieces must be a written table: it is read twice. Pieces of
+    one length are ranked in groups dealt by all columns, so rows that share an id do not meet in one group."""
     salts = max(64, -(-pieces.count() // group_rows))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*pieces.columns), F.lit(salts)).cast("int"))
     counts = materialize(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = slot_table(plan_packing(histogram, capacity))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", *(c for c in pieces.columns if c not in ("doc_id", "piece")))
     ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(counts, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("salt", "before")
     keys = slots["length"].to_numpy(dtype=np.int64) * (1 << 44) + slots["start"].to_numpy(dtype=np.int64)

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from geoblend.llm import chat, exact, langid, licenses, linededup, mixing, packing, quality, rules, simhash
+from geoblend.llm.common import materialize
 from geoblend.llm.queries import CONTROL_TEXT, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, fp long, t string, size int, words string"
@@ -278,6 +279,19 @@ def test_packing_edge_cases(spark, empty):
     assert sorted(((r["doc_id"] or -1), r["length"]) for r in rows) == [(-1, 1), (1, 2), (1, 2)] and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3
 
 
+def test_packing_of_many_rows_of_one_id(spark):
+    """Rows with a null or one id lie in many ranking groups, and still gapless."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, null) as doc_id", "0 as piece", "0L as start", "10 + id % 40 as length", "id as ids_crc32")
+    pieces = materialize(rows, "test-pieces")
+    got, spans = packing.place_pieces(pieces, 1024, group_rows=500).collect(), {}
+    assert sorted((r["doc_id"] or 0, r["ids_crc32"]) for r in got) == sorted((r["doc_id"] or 0, r["ids_crc32"]) for r in pieces.collect())
+    for r in got:
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in map(sorted, spans.values()):
+        ends = [a + n for a, n in parts]
+        assert [a for a, _ in parts] == [0, *ends[:-1]] and ends[-1] <= 1024
+
+
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 200), min_size=1, max_size=20))
 @settings(max_examples=30, deadline=None)
 def test_plan_holds_histogram(histogram):
@@ -542,6 +556,17 @@ def test_languages_edge_cases(spark, empty):
     assert [r["lang_pred"] for r in langid.identify_languages(df).collect()] == ["und", "und"]
 
 
+def test_languages_sample_is_bounded_by_rows(spark):
+    """One id on most rows, and equal rows: at most the asked number of documents, the same ones for any partitions."""
+    rows = [(1, f"word{i} text", "en" if i % 2 else "fr") for i in range(60)] + [(1, "same text", "en")] * 5 + [(i, f"own{i}", "en") for i in range(2, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [langid.fit_sample(df.repartition(n), (4, 2), rows=20) for n in (1, 5)]
+    assert len(got[0]) == 20 and got[0] == got[1]
+    everything = langid.fit_sample(df, (4, 2), rows=1000)
+    assert len(everything) == sum(zlib.crc32(str(r[0]).encode()) % 4 != 2 for r in rows)
+    assert langid.fit_sample(df.filter("false"), (4, 2)) == []
+
+
 # --- line dedup ------------------------------------------------------------------------------------------------------
 
 
