@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from geoblend.operators import covering
 from geoblend.sources import tables
 
@@ -74,3 +76,39 @@ def test_parts_and_holes_of_geojson(spark, tmp_path):
     assert {(r["longitude"], r["latitude"]): r["polygon_id"] for r in got.collect()} == points
     none = covering.points_in_polygons(df, shapes.withColumnRenamed("grid_id", "polygon_id").limit(0))
     assert [r["polygon_id"] for r in none.collect()] == [None] * 6
+
+
+def test_many_polygons_go_down_the_tree_like_each_alone(districts):
+    shapes = [None, [], [[(0.0, 0.0)]], *districts.values(), None]
+    found = covering.coverings(shapes)
+    ends = found["n"].cumsum()
+    together = {}
+    for s, k, i, j, inside, end, n in zip(*(found[c].tolist() for c in ("shape", "level", "i", "j", "inside")), ends.tolist(), found["n"].tolist()):
+        together.setdefault(s, []).append((k, i, j, inside, sorted(map(tuple, found["edges"][end - n : end].tolist()))))
+    for s, rings in enumerate(shapes):
+        alone = [(*cell, sorted(map(tuple, own.tolist()))) for *cell, own in (covering.covering_cells(rings) if rings else [])]
+        assert sorted(together.get(s, [])) == sorted(alone), s
+
+
+def test_what_points_meet_does_not_grow_with_overlapping_polygons(spark, monkeypatch):
+    rng = random.Random(5)
+    stars = {k: [blob(rng, rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1), 1.0, 12)] for k in range(120)}
+    twice = {**stars, **{k + 500: rings for k, rings in stars.items()}}  # the same rings under larger ids
+    shapes = spark.createDataFrame([(k, [[list(p) for p in r] for r in rings]) for k, rings in twice.items()], "polygon_id int, rings array<array<array<double>>>").coalesce(1)
+    tables_seen, plain = {}, covering.written
+
+    def seen(df, name):
+        out = plain(df, name)
+        tables_seen[name] = (df.rdd.getNumPartitions() if name == "polygon-cells" and name not in tables_seen else tables_seen.get(name, (0,))[0], out.count())
+        return out
+
+    monkeypatch.setattr(covering, "TASK", 20)
+    monkeypatch.setattr(covering, "written", seen)
+    points = [(rng.uniform(-1.2, 1.2), rng.uniform(-1.2, 1.2)) for _ in range(400)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "k int, longitude double, latitude double")
+    got = {r["k"]: r["polygon_id"] for r in covering.points_in_polygons(df, shapes).collect()}
+    for i, (x, y) in enumerate(points):
+        assert got[i] == min((k for k, rings in stars.items() if plain_inside(x, y, rings)), default=None)
+    whole = covering.covering(shapes).filter(F.col("polygon_id") < 500).count()
+    assert tables_seen["polygon-shapes"][1] == 120 and tables_seen["polygon-cells"][0] == 6  # distinct rings, in tasks of 20
+    assert tables_seen["polygon-cells"][1] < whole / 2
