@@ -257,7 +257,7 @@ def space_time_frame(spark, sf_dir: str) -> DataFrame:
     SELECT round(la, 6) AS la, round(lo, 6) AS lo, date, round(station, 6) AS station FROM d WHERE station IS NOT NULL""", date="date")
 def rounded_coordinates(spark, sf_dir: str) -> DataFrame:
     """Join and mean on rounded coordinates."""
-    keys = R.cells(spark, sf_dir).select("grid_id", F.bround("latitude", 2).alias("la"), F.bround("longitude", 2).alias("lo"))
+    keys = R.cells(spark, sf_dir).select("grid_id", scalars.round_even(F.col("latitude"), 2).alias("la"), scalars.round_even(F.col("longitude"), 2).alias("lo"))
     df = daily_sparse(spark, sf_dir).join(keys, "grid_id").groupBy("la", "lo", "date").agg(F.avg("station").alias("station"))
     return rounded(df.filter("station is not null"))
 

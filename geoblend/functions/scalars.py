@@ -25,6 +25,12 @@ def planar_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, scale_lat:
     return (lon2 - lon1) * scale, (lat2 - lat1) * per_degree
 
 
+def round_even(x: Column, digits: int) -> Column:
+    """Rounded by the double's own scaled value, ties to even, as engines of doubles do; bround() goes by the printed digits
+    and so rounds 57.605 (scaled 5760.499...) up."""
+    return F.rint(x * 10.0**digits) / 10.0**digits
+
+
 def bearing(east: Column, north: Column) -> Column:
     """Degrees from north, clockwise, in [0, 360)."""
     return F.pmod(F.degrees(F.atan2(east, north)) + 360.0, F.lit(360.0))

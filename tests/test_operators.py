@@ -244,3 +244,20 @@ def test_export_by_source_and_csv(spark, tmp_path):
     assert sorted((r["source"], r["grid_id"], r["value"]) for r in back.collect()) == [("lur", "a", 3.0), ("lur", "b", 4.0), ("satellite", "b", 2.0), ("station", "a", 1.0)]
     tables.write_table(df, str(tmp_path / "csv"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_rounded_coordinates_equal_the_sql_far_north(spark, tmp_path):
+    """Latitudes whose printed third digit is a 5 although the double lies below the tie."""
+    import duckdb
+
+    from geoblend.catalog.registry import ORACLES, QUERIES
+
+    keys = [120 * r + c for r in range(4250, 4900, 5) for c in (0, 10, 50)]
+    spark.createDataFrame([(k, 10.0) for k in keys], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    events = spark.createDataFrame([(k // 10, "purchase", float(k % 7)) for k in keys], "user_id long, event_type string, value double")
+    events.withColumn("ts", F.lit("2024-01-02 03:00:00").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    for t in ("customer", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["rounded_coordinates"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(ORACLES["rounded_coordinates"]).fetchall()) and len(got) > 100
