@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,7 @@ def snapped_stations(spark, sf_dir: str) -> DataFrame:
     SELECT grid_id, count(*) AS n, round(sum(km), 6) AS total_km FROM p WHERE km > 0 AND km <= 3e0 GROUP BY grid_id""")
 def radius_pairs(spark, sf_dir: str) -> DataFrame:
     cells = R.cells(spark, sf_dir).select("grid_id", "latitude", "longitude")
-    pairs = spatial.radius_join(cells, cells, 3.0)
-    return rounded(pairs.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"), F.sum("km").alias("total_km")))
+    return rounded(spatial.radius_sums(cells, cells, 3.0, ["total_km"], lambda row, east, north, km, value, rows: [np.bincount(row, km, rows)]))
 
 
 @query(roles("cells") + """, p AS (SELECT grid_id, (SELECT min(c) FROM cells) AS z, r, c, 111320e0 * cos(radians(latitude)) AS m, (longitude + 6.36e0) * 111320e0 * cos(radians(53.25e0)) / 1000e0 AS e, (latitude - 53.25e0) * 111320e0 / 1000e0 AS n FROM cells)

@@ -8,8 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bearing
-from .spatial import radius_join
+from .spatial import radius_sums
 from .tiles import SIDE, stencil, tiled
 
 SECTORS = 8
@@ -27,12 +26,16 @@ def upwind_sums(cells: DataFrame, traffic: DataFrame, km: float = 3.0) -> DataFr
     mean_lat = cells.select("latitude", "longitude").distinct().agg(F.avg("latitude")).first()[0] or 0.0
     weight = F.when(F.coalesce(F.col("traffic"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("traffic"))
     sources = cells.join(traffic.select("grid_id", "traffic"), "grid_id", "left").select("grid_id", "latitude", "longitude", weight.alias("t"))
-    pairs = radius_join(cells.select("grid_id", "latitude", "longitude"), sources, km, mean_lat, KM_PER_DEGREE)
-    angle = bearing(F.col("east"), F.col("north"))
     centre = 360.0 / SECTORS
-    off = lambda k: F.abs(F.pmod(angle - k * centre + 180.0, F.lit(360.0)) - 180.0)
-    sums = [F.sum(F.when(off(k) <= centre / 2, F.col("other_t") / (F.col("km") * F.col("km")))).alias(f"upwind_{k}") for k in range(SECTORS)]
-    return pairs.groupBy("grid_id").agg(*sums).na.fill(0.0, [f"upwind_{k}" for k in range(SECTORS)])
+
+    def by_sector(row: np.ndarray, east: np.ndarray, north: np.ndarray, d: np.ndarray, value: np.ndarray, rows: int) -> list[np.ndarray]:
+        angle, w = np.degrees(np.arctan2(east, north)) % 360.0, value / (d * d)
+        off = lambda k: np.abs((angle - k * centre + 180.0) % 360.0 - 180.0)
+        return [np.bincount(row, np.where(off(k) <= centre / 2, w, 0.0), rows) for k in range(SECTORS)]
+
+    names = [f"upwind_{k}" for k in range(SECTORS)]
+    sums = radius_sums(cells.select("grid_id", "latitude", "longitude"), sources, km, names, by_sector, "t", mean_lat, KM_PER_DEGREE)
+    return sums.select("grid_id", *names)
 
 
 def upwind_on_grid(cells: DataFrame, traffic: DataFrame, step: tuple[float, float], km: float = 3.0, row: str = "r", col: str = "c") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -87,6 +88,68 @@ def radius_join(points: DataFrame, others: DataFrame, km: float, scale_lat: floa
     return joined.filter((F.col("km") > 0) & (F.col("km") <= km)).drop("_bi", "_bj", "_lon")
 
 
+#: Side of radius_sums()' bins in radii, points of a task, and distances that a task computes at once.
+WIDE = 4
+TASK_POINTS = 20_000
+AT_ONCE = 1_000_000
+
+
+def radius_sums(points: DataFrame, others: DataFrame, km: float, names: list[str], run: Callable[..., list[np.ndarray]], value: str | None = None, scale_lat: float | None = None, per_degree: float = METRES_PER_DEGREE / 1000.0) -> DataFrame:
+    """grid_id, n and the sums `names` of each of points(grid_id, latitude, longitude) that has pairs, over the pairs of
+    radius_join() with others: run(row, east, north, km, value, rows) gets a run of pairs (row: the point's place among
+    `rows`) and returns the sums of each row.
+
+    Pairs are never rows. Others lie in bins of WIDE radii, points are sent to each bin that their radius reaches (about
+    two), and a bin adds its pairs up in array steps of at most AT_ONCE distances. The number of tasks follows the points.
+    """
+    band = km / per_degree * (1 + 1e-9)
+    wide = WIDE * band
+    near_pole = lambda b: F.least(F.greatest(F.abs(b), F.abs(b + 1)) * wide, F.lit(89.4)) if scale_lat is None else F.lit(scale_lat)
+    bin_of = lambda lon, b: F.floor(lon * F.cos(F.radians(near_pole(b))) / wide).cast("int")
+    band_of = lambda lat: F.floor(lat / wide).cast("int")
+    reach = band / F.greatest(F.abs(F.cos(F.radians(F.col("latitude") if scale_lat is None else F.lit(scale_lat)))), F.lit(band / 360.0)) * (1 + 1e-9)
+    placed = lambda df: df.filter("latitude is not null and longitude is not null")
+    turns = F.filter(F.array(*[F.col("longitude") + x for x in (0.0, 360.0, -360.0)]), lambda x: (x >= -180.0 - reach) & (x <= 180.0 + reach))
+    left = placed(points).withColumn("_lon", F.explode(turns)).withColumn("_bi", F.explode(F.sequence(band_of(F.col("latitude") - band), band_of(F.col("latitude") + band))))
+    left = left.withColumn("_bj", F.explode(F.sequence(bin_of(F.col("_lon") - reach, F.col("_bi")), bin_of(F.col("_lon") + reach, F.col("_bi")))))
+    left = left.select("_bi", "_bj", F.lit(True).alias("_asks"), "grid_id", F.col("latitude").alias("_lat"), "_lon", F.lit(None).cast("double").alias("_v"))
+    right = placed(others).withColumn("_bi", band_of(F.col("latitude"))).withColumn("_bj", bin_of(F.col("longitude"), F.col("_bi")))
+    kind = points.schema["grid_id"].dataType
+    right = right.select("_bi", "_bj", F.lit(False).alias("_asks"), F.lit(None).cast(kind).alias("grid_id"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), (F.col(value).cast("double") if value else F.lit(None).cast("double")).alias("_v"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["_asks"].to_numpy(dtype=bool)
+        own, other = pdf[asks], pdf[~asks].sort_values("_lat")
+        if not len(own) or not len(other):
+            return pd.DataFrame(columns=["grid_id", "n", *names])
+        own = own.iloc[np.lexsort((own["_lon"], np.floor(own["_lat"] / (band / 4))))]
+        lat, lon = (own[c].to_numpy(dtype=float) for c in ("_lat", "_lon"))
+        o_lat, o_lon, o_v = (other[c].to_numpy(dtype=float) for c in ("_lat", "_lon", "_v"))
+        scale = per_degree * np.cos(np.radians(lat if scale_lat is None else np.full(len(lat), scale_lat)))
+        far = band / np.maximum(np.abs(scale) / per_degree, band / 360.0) * (1 + 1e-9)
+        sums, at = np.zeros((1 + len(names), len(own))), 0
+        while at < len(own):
+            end = min(at + 256, len(own))
+            a = np.searchsorted(o_lat, lat[at:end].min() - band, side="left")
+            b = np.searchsorted(o_lat, lat[at:end].max() + band, side="right")
+            near = a + np.flatnonzero((o_lon[a:b] >= (lon[at:end] - far[at:end]).min()) & (o_lon[a:b] <= (lon[at:end] + far[at:end]).max()))
+            end = min(end, at + max(1, AT_ONCE // max(len(near), 1)))
+            gap = o_lon[near] - lon[at:end, None]
+            east, north = gap * scale[at:end, None], (o_lat[near] - lat[at:end, None]) * per_degree
+            d = np.sqrt(east * east + north * north)
+            i, j = np.nonzero((d > 0) & (d <= km) & (gap > -180.0) & (gap <= 180.0))
+            sums[:, at:end] = [np.bincount(i, minlength=end - at), *run(i, east[i, j], north[i, j], d[i, j], o_v[near[j]], end - at)]
+            at = end
+        met = sums[0] > 0
+        return pd.DataFrame({"grid_id": own["grid_id"].to_numpy()[met], "n": sums[0, met].astype(np.int64)} | {name: x[met] for name, x in zip(names, sums[1:])})
+
+    tasks = -(-points.count() // TASK_POINTS) or 1
+    dealt = left.unionByName(right).repartition(tasks, "_bi", "_bj")
+    schema = f"grid_id {kind.simpleString()}, n long" + "".join(f", `{x}` double" for x in names)
+    met = dealt.groupBy("_bi", "_bj").applyInPandas(meet, schema).repartition(tasks, "grid_id")
+    return met.groupBy("grid_id").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+
+
 def nearest_join(queries: DataFrame, points: DataFrame, size: tuple[float, float], values: list[str], id_col: str = "grid_id", most: float | None = None, default: float | None = None) -> DataFrame:
     """Each query's nearest point in degrees (ties by id): adds near_id, distance and the values; exact, one row per query,
     whatever its columns hold: queries are numbered.

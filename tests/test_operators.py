@@ -261,3 +261,31 @@ def test_rounded_coordinates_equal_the_sql_far_north(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     got = sorted(map(tuple, QUERIES["rounded_coordinates"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(ORACLES["rounded_coordinates"]).fetchall()) and len(got) > 100
+
+
+@pytest.mark.parametrize("base,scale_lat", [(0.0, None), (53.0, None), (88.7, None), (90.6, None), (53.0, 53.0)])
+def test_radius_sums_against_all_pairs(spark, monkeypatch, base, scale_lat):
+    """In many tasks and steps, over the 180th meridian, with a dense spot; no row of a pair is made."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(spatial, "TASK_POINTS", 50)
+    monkeypatch.setattr(spatial, "AT_ONCE", 700)
+    rng = random.Random(base)
+    pts = [(f"p{i}", base - 0.4 + rng.random() * 0.8, rng.choice([-6.0, 179.8]) + rng.random() * 0.4, rng.random()) for i in range(200)] + [(f"q{i}", base, -6.0 + 1e-6 * i, 2.0) for i in range(60)]
+    pts = [(k, a, b - 360 if b > 180 else b, v) for k, a, b, v in pts]
+    df = spark.createDataFrame([*pts, ("none", None, 3.0, 1.0)], "grid_id string, latitude double, longitude double, v double")
+    out = spatial.radius_sums(df, df, 11.0, ["d", "v"], lambda row, east, north, d, v, rows: [np.bincount(row, d, rows), np.bincount(row, v, rows)], "v", scale_lat)
+    assert out.rdd.getNumPartitions() == 6  # by the points, however few bytes they are
+    want = {}
+    for k, a, b, _ in pts:
+        for _, c, d, v in pts:
+            km = math.hypot(((d - b + 180) % 360 - 180) * 111.32 * math.cos(math.radians(a if scale_lat is None else scale_lat)), (c - a) * 111.32)
+            if 1e-9 < km <= 11:
+                n, total, s = want.get(k, (0, 0.0, 0.0))
+                want[k] = n + 1, total + km, s + v
+    got = {r["grid_id"]: (r["n"], r["d"], r["v"]) for r in out.collect()}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-6)
