@@ -391,7 +391,7 @@ def _unit(tag: str) -> str:
     SELECT source, round(avg(near - 0.5e0 * apart), 4) AS energy FROM a JOIN h USING (k) GROUP BY source""")
 def sampled_energy(spark, sf_dir: str) -> DataFrame:
     """Energy score of marginal draws of every prediction, by source."""
-    df = field.samples(R.predictions(spark, sf_dir), ["id"], 16)
+    df = field.samples(R.predictions(spark, sf_dir).select("id", "source", "y", "mean", "std"), ["id"], 16)
     return rounded(df.groupBy("source").agg(F.avg(metrics.energy_score("samples", F.col("y"))).alias("energy")), 4)
 
 

@@ -322,3 +322,19 @@ def test_days_added_one_by_one_equal_all_at_once(spark, tmp_path):
         assert getattr(got, c) == pytest.approx(getattr(whole, c), abs=1e-9), c
     versions = spark.read.parquet(path).groupBy("version").count().collect()
     assert len(versions) == len(days) + 1 - (half.filter((F.col("day") == order[-1])).count() == 1)
+
+
+def test_samples_equal_the_column_form_and_run_in_batches(spark):
+    from geoblend.functions.numerics import hash_unit
+
+    rows = [(f"k{i}", i % 3 or None, float(i), 0.5 + i) for i in range(300)] + [(None, 1, 2.0, 1.0), ("\u00e9|", 2, None, 1.0), ("z", 2, 1.0, None)]
+    df = spark.createDataFrame(rows, "id string, g int, mean double, std double").repartition(3)
+    u = lambda i, tag: hash_unit(7, "id", "g", F.concat(F.lit(tag), i.cast("string"))) + F.lit(2.0**-33)
+    plain = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.col("mean") + F.col("std") * F.sqrt(-2 * F.log(u(i, "a"))) * F.cos(2 * np.pi * u(i, "b")))
+    drawn = field.samples(df, ["id", "g"], 5, 7)
+    assert drawn.columns == [*df.columns, "samples"] and "MapInArrow" in drawn._jdf.queryExecution().toString()
+    got = {(r["id"], r["g"]): list(r["samples"]) for r in drawn.collect()}
+    want = {(r["id"], r["g"]): list(r["w"]) for r in df.withColumn("w", plain).collect()}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert all((x is None and y is None) or x == pytest.approx(y, abs=1e-9) for x, y in zip(got[k], v)) and len(got[k]) == 5, k
