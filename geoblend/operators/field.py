@@ -37,6 +37,8 @@ CORRELATION = {
     "rbf": lambda d: np.exp(-0.5 * d * d),
 }
 COORDS = ("x", "y", "t")
+#: Rows that meet the inducing points at once in sums and predictions.
+ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,9 @@ class Field:
     def cov(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         scaled = lambda i, length: (a[:, None, i] - b[None, :, i]) / length
         along, across = np.broadcast_to(self.space, 2)
-        k = self.variance * CORRELATION[self.kernel](np.hypot(scaled(0, along), scaled(1, across))) * CORRELATION[self.time_kernel](np.abs(scaled(2, self.time)))
+        k = self.variance * CORRELATION[self.kernel](np.hypot(scaled(0, along), scaled(1, across)))
+        if len({*a[:, 2], *b[:, 2]}) > 1:  # at one time the factor is 1
+            k = k * CORRELATION[self.time_kernel](np.abs(scaled(2, self.time)))
         if self.covariates:
             k = k * CORRELATION["rbf"](np.sqrt(sum(scaled(3 + i, length) ** 2 for i, length in enumerate(self.lengths))))
         return k
@@ -133,7 +137,7 @@ def information_sums(rows: DataFrame, fields: Field | dict[str, Field], key: str
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[str, Sums] = {}
         for pdf in batches:
-            for k, g in pdf.groupby("key"):
+            for k, g in ((k, whole.iloc[i : i + ROWS]) for k, whole in pdf.groupby("key") for i in range(0, len(whole), ROWS)):
                 a, s2 = g["slope"].to_numpy(), g["noise"].to_numpy() ** 2
                 r = g["value"].to_numpy() - g["intercept"].to_numpy() - a * g["prior"].to_numpy()
                 for name, f in named.items():
@@ -168,6 +172,9 @@ class Posterior:
     correction: np.ndarray
 
     def at(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(x) > ROWS:  # a step's arrays are ROWS x M whatever a batch holds
+            parts = [self.at(x[i : i + ROWS]) for i in range(0, len(x), ROWS)]
+            return np.concatenate([m for m, _ in parts]), np.concatenate([v for _, v in parts])
         k = self.field.cov(x, self.field.points)
         return k @ self.alpha, np.maximum(self.field.variance - np.einsum("ij,jk,ik->i", k, self.correction, k, optimize=True), 1e-12)
 
@@ -597,6 +604,9 @@ def predict_states(rows: DataFrame, s: DayStates, day: str = "day", var_floor: f
 #: Points of a block, and inducing points of the preconditioner at most.
 BLOCK_POINTS = 2_000
 PRECONDITIONER = 500
+#: Pairs of blocks of a task, up to so many tasks; beyond, tasks grow.
+TASK_PAIRS = 4
+MOST_TASKS = 2_000
 
 
 def point_blocks(rows: DataFrame, columns: list[str], block: int = BLOCK_POINTS) -> DataFrame:
@@ -632,8 +642,14 @@ def kernel_product(targets: DataFrame, sources: DataFrame, n_sources: int, f: Fi
                 q.append(np.concatenate(parts).tobytes() if parts else b"")
             yield pd.DataFrame({"block": pdf["block"], name: q})
 
-    asked = targets.select("block", "at", F.explode(F.sequence(F.lit(0), F.lit(n_sources - 1))).alias("_block"))
-    met = asked.join(sources.select(F.col("block").alias("_block"), F.col("at").alias("_at"), F.col("v").alias("_v")), "_block")
+    # Tasks follow the pairs of blocks, not their bytes: a source block is sent once for each of `salts` shares of the targets.
+    n_targets = targets.count()
+    tasks = min(-(-n_targets * n_sources // TASK_PAIRS), MOST_TASKS) or 1
+    salts = max(1, min(n_targets, -(-4 * tasks // max(n_sources, 1))))
+    key = ["_block", "_salt"]
+    asked = targets.select("block", "at", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("_salt"), F.explode(F.sequence(F.lit(0), F.lit(n_sources - 1))).alias("_block"))
+    given = sources.select(F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.col("at").alias("_at"), F.col("v").alias("_v"))
+    met = asked.repartition(tasks, *key).join(given.repartition(tasks, *key), key)
     return _sum_blocks(met.select("block", "at", "_at", "_v").mapInPandas(run, f"block int, {name} binary"), name)
 
 

@@ -338,3 +338,32 @@ def test_samples_equal_the_column_form_and_run_in_batches(spark):
     assert set(got) == set(want)
     for k, v in want.items():
         assert all((x is None and y is None) or x == pytest.approx(y, abs=1e-9) for x, y in zip(got[k], v)) and len(got[k]) == 5, k
+
+
+def test_block_pairs_are_dealt_evenly_whatever_the_source_blocks(spark, monkeypatch):
+    """One source block against many target blocks is many tasks, with the same product."""
+    monkeypatch.setattr(field, "TASK_PAIRS", 4)
+    rng = np.random.default_rng(3)
+    at, v, f = rng.random((30, 3)), rng.normal(size=30), field.Field(field.regular_points(2, 1), space=0.2)
+    places = [rng.random((5, 3)) for _ in range(40)]
+    pack = lambda x: bytearray(np.ascontiguousarray(x.T).tobytes())
+    targets = spark.createDataFrame([(i, pack(x)) for i, x in enumerate(places)], "block int, at binary")
+    sources = spark.createDataFrame([(0, pack(at), bytearray(v.tobytes()))], "block int, at binary, v binary")
+    seen, plain = {}, field._sum_blocks
+    monkeypatch.setattr(field, "_sum_blocks", lambda partial, name: seen.update(sizes=partial.rdd.glom().map(len).collect()) or plain(partial, name))
+    got = {r["block"]: np.frombuffer(r["q"]) for r in field.kernel_product(targets, sources, 1, f).collect()}
+    assert len(seen["sizes"]) == 10 and max(seen["sizes"]) <= 16
+    assert all(got[i] == pytest.approx(f.cov(x, at) @ v) for i, x in enumerate(places))
+    flat, other = np.column_stack([rng.random((9, 2)), np.zeros(9)]), np.column_stack([rng.random((7, 2)), np.zeros(7)])
+    d = np.hypot(*(flat[:, None, :2] - other[None, :, :2]).transpose(2, 0, 1)) / 0.2
+    assert f.cov(flat, other) == pytest.approx((1 + np.sqrt(3) * d) * np.exp(-np.sqrt(3) * d))
+
+
+def test_large_batches_meet_the_points_in_steps(monkeypatch):
+    f = field.Field(field.regular_points(3, 2))
+    post = field.Posterior(f, np.arange(18.0), 0.01 * np.eye(18))
+    x, sizes, plain = np.random.default_rng(1).random((2500, 3)), [], field.Field.cov
+    want = post.field.cov(x, f.points) @ post.alpha
+    monkeypatch.setattr(field.Field, "cov", lambda self, a, b: sizes.append(len(a)) or plain(self, a, b))
+    mean, var = post.at(x)
+    assert mean == pytest.approx(want) and len(var) == 2500 and max(sizes) <= 1000
