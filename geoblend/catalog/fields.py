@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numerics import hash_unit
 from ..operators import calibrate, covariates, daily, field, metrics, mixing_field, scan, spatial, state
 from ..sources import roles as R
-from ..sources.tables import Source, shared_folder, written
+from ..sources.tables import Source, dealt, shared_folder, written
 from .etl import daily_sparse
 from .geometry import STATIONS, station_points
 from .registry import ORACLES, query, roles, rounded
@@ -92,7 +92,12 @@ def scaled_long(spark, sf_dir: str) -> DataFrame:
     df = df.withColumn("day", day).select("grid_id", "day", ((F.col("latitude") - s["a"]) / size).alias("x"), ((F.col("longitude") - s["c"]) / size).alias("y"), (F.col("day") / 30.0).alias("t"),
                    ((F.col("lur") - 45.0) / 100.0).alias("prior"), ((F.col("station") - 50.0) / 100.0).alias("station"), ((F.col("satellite") - 50.0) / 100.0).alias("satellite"))
     long = written(df, "field-wide").unpivot(["grid_id", "day", "x", "y", "t", "prior"], ["station", "satellite"], "source", "value").filter("value is not null")
-    return written(field.with_source(long, SOURCES), "field-rows")
+    return field_rows(field.with_source(long, SOURCES))
+
+
+def field_rows(rows: DataFrame) -> DataFrame:
+    """rows written in even files, the days of a cell side by side (the field's steps share the kernel of equal places)."""
+    return written(dealt(rows, "grid_id").sortWithinPartitions("grid_id", "day"), "field-rows")
 
 
 COVARIATES = ("traffic_wind", "wind_speed")
@@ -124,7 +129,7 @@ def covariate_field(rows: DataFrame) -> field.Field:
 @query()
 def field_covariates(spark, sf_dir: str) -> DataFrame:
     """Leave-one-station-out scores of the field of place and time, and of that with wind and traffic in its kernel."""
-    rows = written(with_covariates(scaled_long(spark, sf_dir), covariate_days(spark, sf_dir)), "field-rows")
+    rows = field_rows(with_covariates(scaled_long(spark, sf_dir), covariate_days(spark, sf_dir)))
     stations, out = rows.filter("source = 'station'"), None
     with_both = covariate_field(rows)
     plain = field.Field(field.kmeans_points(rows, 120, columns=field.COORDS, lengths=(0.3, 0.3, 0.3)))
@@ -138,7 +143,7 @@ def field_covariates(spark, sf_dir: str) -> DataFrame:
 @query()
 def field_relevance(spark, sf_dir: str) -> DataFrame:
     """Length scales of coordinates and covariates by round of the search on evidence: a long one means little relevance."""
-    rows = written(with_covariates(scaled_long(spark, sf_dir), covariate_days(spark, sf_dir)), "field-rows")
+    rows = field_rows(with_covariates(scaled_long(spark, sf_dir), covariate_days(spark, sf_dir)))
     _, history = field.tuned_field(rows, covariate_field(rows), rounds=4)
     table = [(i, n, float(v), float(h["evidence"])) for i, h in enumerate(history, 1) for n, v in h.items() if n != "evidence"]
     return rounded(spark.createDataFrame(table, "round int, parameter string, value double, evidence double"), 4)
@@ -150,7 +155,7 @@ def covariate_maps(spark, sf_dir: str) -> DataFrame:
     moved by the stations' residual biases, with bounds and the day's numbers of observations by source."""
     days = covariate_days(spark, sf_dir)
     long = scaled_long(spark, sf_dir)
-    rows = written(with_covariates(long, days), "field-rows")
+    rows = field_rows(with_covariates(long, days))
     f = covariate_field(rows)
     post = field.fit(field.information_sums(rows, f)[""], f)
     stations = rows.filter("source = 'station'")

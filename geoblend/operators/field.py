@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.numerics import global_rank, hash_unit
 from ..functions.scalars import interval
 from ..functions.threads import use_one_thread
-from ..sources.tables import Source, path_exists, written
+from ..sources.tables import Source, dealt, path_exists, written
 
 use_one_thread()
 
@@ -326,30 +326,62 @@ def exported(df: DataFrame, shift: float = 0.0, scale: float = 1.0, levels: tupl
 
 def leave_key_out(rows: DataFrame, total: Sums, f: Field, key: str, noise: float | None = None) -> DataFrame:
     """Adds mean and std at rows(key, x, y, t, value, prior, slope, intercept, noise) from a field fitted without the rows
-    of the same key. A task takes the key's r rows out of the total by a downdate of rank r of the inverses computed
-    once; only keys with more rows than inducing points subtract their sums and solve anew."""
+    of the same key. Tasks get whole keys in order and take the r rows of each out of the total by a downdate of rank r of
+    the inverses computed once, the keys of one size together; only keys with more rows than inducing points subtract
+    their sums and solve anew."""
     schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema) + ", mean double, std double"
     k = f.gram() + f.jitter * np.eye(len(f.points))
     k_inv, m_inv = (solve_spd(m, np.eye(len(k))) for m in (k, k + total.a))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def keys_of(pdf: pd.DataFrame) -> np.ndarray:
+        """Where the runs of equal keys begin, and the end."""
+        codes = pd.factorize(pdf[key], use_na_sentinel=False)[0]
+        return np.concatenate([np.flatnonzero(np.diff(codes, prepend=-1)), [len(pdf)]])
+
+    def left_out(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[f.columns].to_numpy(dtype=float)
         a, s2 = pdf["slope"].to_numpy(), pdf["noise"].to_numpy() ** 2
         r = pdf["value"].to_numpy() - pdf["intercept"].to_numpy() - a * pdf["prior"].to_numpy()
-        kx = f.cov(x, f.points)
-        w = a * a / s2
-        if len(pdf) > len(f.points):
-            own = Sums(kx.T @ (kx * w[:, None]), kx.T @ (a * r / s2))
-            mean, var = fit(total - own, f).at(x)
-        else:
-            g = kx @ m_inv
-            s = g @ kx.T
-            left = g + s @ np.linalg.solve(np.eye(len(pdf)) - w[:, None] * s, w[:, None] * g)  # kx (M - own)^-1
-            mean = left @ (total.b - kx.T @ (a * r / s2))
-            var = np.maximum(f.variance - np.einsum("ij,jk,ik->i", kx, k_inv, kx, optimize=True) + np.einsum("ij,ij->i", left, kx), 1e-12)
+        w, v = a * a / s2, a * r / s2
+        mean, var = np.empty(len(pdf)), np.empty(len(pdf))
+        starts = keys_of(pdf)
+        sizes = np.diff(starts)
+        for i in np.flatnonzero(sizes > len(f.points)):
+            own = slice(starts[i], starts[i + 1])
+            kx = f.cov(x[own], f.points)
+            mean[own], var[own] = fit(total - Sums(kx.T @ (kx * w[own, None]), kx.T @ v[own]), f).at(x[own])
+        for n in np.unique(sizes[sizes <= len(f.points)]):
+            all_of = starts[:-1][sizes == n]
+            for at in range(0, len(all_of), max(1, ROWS // n)):
+                own = all_of[at : at + max(1, ROWS // n), None] + np.arange(n)
+                kx = f.cov(x[own.ravel()], f.points)
+                g = kx @ m_inv
+                # What the others leave of g' kx and of the mean: s (1 - w s)^-1 w is the downdate.
+                s, gb = g.reshape(*own.shape, -1) @ kx.reshape(*own.shape, -1).transpose(0, 2, 1), (g @ total.b).reshape(own.shape)
+                ws, wb = w[own][:, :, None] * s, (w[own] * gb)[:, :, None]
+                q = np.linalg.solve(np.eye(n) - ws, np.concatenate([ws, wb], axis=2))
+                t = s + s @ q[:, :, :-1]
+                mean[own] = gb + (s @ q[:, :, -1:])[:, :, 0] - (t @ v[own][:, :, None])[:, :, 0]
+                var[own] = np.maximum(f.variance - np.einsum("ij,ij->i", kx @ k_inv, kx).reshape(own.shape) + np.diagonal(t, axis1=1, axis2=2), 1e-12)
         return pdf.assign(mean=mean + pdf["prior"].to_numpy(dtype=float), std=np.sqrt(var + (noise or 0.0) ** 2))
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of the last key so far, which may go on in the next batch
+        for pdf in (b for b in batches if len(b)):
+            last = keys_of(pdf)[-2]
+            if last == 0 and held:
+                both = pd.concat([held[-1].iloc[-1:], pdf.iloc[:1]], ignore_index=True)
+                if len(keys_of(both)) == 2:
+                    held.append(pdf)
+                    continue
+            done = [*held, pdf.iloc[:last]]
+            held = [pdf.iloc[last:]]
+            if sum(map(len, done)):
+                yield left_out(pd.concat(done, ignore_index=True))
+        if held:
+            yield left_out(pd.concat(held, ignore_index=True))
+
+    return dealt(rows, key).sortWithinPartitions(key).mapInPandas(run, schema)
 
 
 def samples(df: DataFrame, keys: list[str], n: int = 64, seed: int = 1, name: str = "samples") -> DataFrame:

@@ -117,6 +117,31 @@ def test_left_out_keys_equal_a_new_fit(spark):
     assert len(got) == len(rows)
 
 
+def test_left_out_keys_meet_in_many_even_tasks(spark):
+    """Keys of all sizes, one without a name, across Arrow batches: each equals a new fit, and few bytes are many tasks."""
+    rng = np.random.default_rng(3)
+    data = [(*map(float, rng.random(3)), float(rng.normal()), 0.1, "s", None if k == 9 else f"k{k}") for k in range(40) for _ in range(k % 11 + 1)]
+    df = field.with_source(spark.createDataFrame(data, "x double, y double, t double, value double, prior double, source string, cell string"), [Source("s", "s", 0.4, 0.9)])
+    f = field.Field(field.regular_points(2, 2))
+    total = field.information_sums(df, f)[""]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = field.leave_key_out(df, total, f, "cell", noise=0.1)
+        got = out.collect()
+        assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r["x"], r["value"]) for r in got) == sorted((r[0], r[3]) for r in data)
+    for cell in {r["cell"] for r in got}:
+        own = [r for r in got if r["cell"] == cell]
+        kx = f.cov(np.array([(r["x"], r["y"], r["t"]) for r in own]), f.points)
+        b = np.array([0.9 * (r["value"] - 0.9 * r["prior"]) / 0.16 for r in own])
+        mean, var = field.fit(total - field.Sums(kx.T @ kx * (0.81 / 0.16), kx.T @ b), f).at(np.array([(r["x"], r["y"], r["t"]) for r in own]))
+        assert [r["mean"] - 0.1 for r in own] == pytest.approx(mean, abs=1e-8)
+        assert [r["std"] ** 2 - 0.01 for r in own] == pytest.approx(var, abs=1e-8)
+
+
 def test_task_memory_does_not_change_sums(spark):
     df = rows_of(spark)
     f = field.Field(field.regular_points(2, 1))
