@@ -39,6 +39,8 @@ CORRELATION = {
 COORDS = ("x", "y", "t")
 #: Rows that meet the inducing points at once in sums and predictions.
 ROWS = 1_000
+#: Rows of a step of the information sums: the factors of many fields' kernels stay in a core's cache.
+SUM_ROWS = 250
 
 
 @dataclass(frozen=True)
@@ -70,6 +72,37 @@ class Field:
             k = k * CORRELATION["rbf"](np.sqrt(sum(scaled(3 + i, length) ** 2 for i, length in enumerate(self.lengths))))
         return k
 
+    def factors(self) -> list[tuple]:
+        """What tells the kernel's factors apart, but for the variance: place, time and each covariate with its length scales."""
+        along, across = np.broadcast_to(self.space, 2)
+        own = [(0, "place", self.kernel, float(along), float(across)), (2, "time", self.time_kernel, self.time)]
+        return own + [(3 + i, c, "rbf", length) for i, (c, length) in enumerate(zip(self.covariates, self.lengths))]
+
+    def correlations(self, a: np.ndarray, known: dict[tuple, np.ndarray]) -> np.ndarray:
+        """cov(a, points) for variance 1. Factors and their products are kept in `known` for fields with the same points; places,
+        times and values that follow each other in a, or times that occur often, are computed once."""
+        done: tuple = ()
+        for factor in self.factors():
+            at, before = factor[0], done
+            done = (*done, factor)
+            if done in known:
+                continue
+            if factor not in known:
+                if ("places", at) not in known:
+                    x = a[:, :2] if at == 0 else a[:, at : at + 1]
+                    new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)] if at != 2 else None
+                    first, where = (np.flatnonzero(new), np.cumsum(new) - 1) if at != 2 else np.unique(x[:, 0], return_index=True, return_inverse=True)[1:]
+                    known["places", at] = x[first], where
+                x, where = known["places", at]
+                if at == 0:
+                    d = np.hypot((x[:, :1] - self.points[:, 0]) / factor[3], (x[:, 1:] - self.points[:, 1]) / factor[4])
+                else:
+                    d = np.abs(x - self.points[:, at]) / factor[3]
+                k = CORRELATION[factor[2]](d)
+                known[factor] = k if len(x) == len(a) and at != 2 else k[where]
+            known[done] = known[before] * known[factor] if before else known[factor]
+        return known[done]
+
     def scales(self) -> dict[str, float]:
         """Length scales by coordinate and covariate, and the variance."""
         along, across = np.broadcast_to(self.space, 2)
@@ -125,10 +158,22 @@ def _add_blocks(pdf: pd.DataFrame) -> tuple:
 
 def information_sums(rows: DataFrame, fields: Field | dict[str, Field], key: str | None = None, parts: int = 16, most_keys: int = 256) -> dict[str, Sums]:
     """Sums by key of rows(x, y, t, the fields' covariates, value, prior, slope, intercept, noise[, key]). With several named
-    fields, a key is 'name' or 'name|key'. Rows with a null are skipped. A task holds the blocks of at most `most_keys` keys."""
+    fields, a key is 'name' or 'name|key'. Rows with a null are skipped. A task holds the blocks of at most `most_keys` keys.
+    Fields that differ in the variance only share their sums; those with the same points share the kernel's equal factors."""
     named = fields if isinstance(fields, dict) else {"": fields}
     cols = [*dict.fromkeys(c for f in named.values() for c in f.columns), "value", "prior", "slope", "intercept", "noise"]
     df = rows.select(*[F.col(c).cast("double").alias(c) for c in cols], (F.col(key).cast("string") if key else F.lit("")).alias("key")).dropna()
+    # By number: the fields of variance 1, and those of them that share points and columns.
+    units: list[Field] = []
+    unit_of = {}
+    together: dict[tuple, list[int]] = {}
+    for name, f in named.items():
+        shape = f.points.tobytes(), tuple(f.columns), tuple(f.factors())
+        if shape not in unit_of.values():
+            together.setdefault(shape[:2], []).append(len(units))
+            units.append(replace(f, variance=1.0))
+        unit_of[name] = shape
+    number = {shape: i for i, shape in enumerate(dict.fromkeys(unit_of.values()))}
 
     def blocks_of(acc: dict[str, Sums]) -> pd.DataFrame:
         rows = [(k, s.a.tobytes(), s.b.tobytes(), s.n, s.square, s.log_noise, s.precision) for k, s in acc.items()]
@@ -137,17 +182,19 @@ def information_sums(rows: DataFrame, fields: Field | dict[str, Field], key: str
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[str, Sums] = {}
         for pdf in batches:
-            for k, g in ((k, whole.iloc[i : i + ROWS]) for k, whole in pdf.groupby("key") for i in range(0, len(whole), ROWS)):
-                a, s2 = g["slope"].to_numpy(), g["noise"].to_numpy() ** 2
-                r = g["value"].to_numpy() - g["intercept"].to_numpy() - a * g["prior"].to_numpy()
-                for name, f in named.items():
-                    kx = f.cov(g[f.columns].to_numpy(), f.points)
-                    own = Sums(kx.T @ (kx * (a * a / s2)[:, None]), kx.T @ (a * r / s2), len(g), float((r * r / s2).sum()), float(np.log(s2).sum()), float((a * a / s2).sum() * f.variance))
-                    tag = f"{name}|{k}" if name and key else name or k
-                    acc[tag] = acc[tag] + own if tag in acc else own
-                    if len(acc) >= most_keys:
-                        yield blocks_of(acc)
-                        acc = {}
+            for k, g in ((k, whole.iloc[i : i + SUM_ROWS]) for k, whole in (pdf.groupby("key") if key else [("", pdf)]) for i in range(0, len(whole), SUM_ROWS)):
+                w = g["slope"].to_numpy() / g["noise"].to_numpy()
+                r = (g["value"].to_numpy() - g["intercept"].to_numpy()) / g["noise"].to_numpy() - w * g["prior"].to_numpy()
+                scalars = len(g), float(r @ r), float(np.log(g["noise"].to_numpy() ** 2).sum()), float(w @ w)
+                for (_, columns), own in together.items():
+                    x, known = g[list(columns)].to_numpy(), {}
+                    for i in own:
+                        kx = units[i].correlations(x, known) * w[:, None]
+                        one, tag = Sums(kx.T @ kx, kx.T @ r, *scalars), f"{i}|{k}"
+                        acc[tag] = acc[tag] + one if tag in acc else one
+                        if len(acc) >= most_keys:
+                            yield blocks_of(acc)
+                            acc = {}
         if acc:
             yield blocks_of(acc)
 
@@ -156,10 +203,16 @@ def information_sums(rows: DataFrame, fields: Field | dict[str, Field], key: str
 
     blocks = df.mapInPandas(local, BLOCK).withColumn("part", (F.spark_partition_id() % parts).cast("int"))
     summed = blocks.groupBy("key", "part").applyInPandas(add, BLOCK).groupBy("key").applyInPandas(add, BLOCK)
-    out = {}
+    found: dict[int, dict[str, Sums]] = {}
     for r in summed.collect():  # one M x M block per key
+        i, k = r["key"].split("|", 1)
         b = np.frombuffer(r["b"])
-        out[r["key"]] = Sums(np.frombuffer(r["a"]).reshape(len(b), len(b)).copy(), b.copy(), r["n"], r["square"], r["log_noise"], r["precision"])
+        found.setdefault(int(i), {})[k] = Sums(np.frombuffer(r["a"]).reshape(len(b), len(b)), b, r["n"], r["square"], r["log_noise"], r["precision"])
+    out = {}
+    for name, f in named.items():
+        for k, s in found.get(number[unit_of[name]], {}).items():
+            v = f.variance
+            out[f"{name}|{k}" if name and key else name or k] = Sums(s.a * v**2, s.b * v, s.n, s.square, s.log_noise, s.precision * v)
     return out
 
 
@@ -208,11 +261,16 @@ def select_field(rows: DataFrame, candidates: dict[str, Field]) -> tuple[str, di
 def tuned_field(rows: DataFrame, f: Field, rounds: int = 6, factor: float = 3.0) -> tuple[Field, list[dict[str, float]]]:
     """The field with each coordinate's and covariate's length scale and the variance moved to more evidence, and what
     each round held. A round tries every parameter up and down by the factor, and all the last round's good moves at
-    once, in one pass over the rows; without a better candidate the factor shrinks. Evidence never falls."""
-    now, joint, history = f.scales(), None, []
+    once, in one pass over the rows; without a better candidate the factor shrinks. Evidence never falls. What an earlier
+    round has scored is not summed again."""
+    now, joint, history, known = f.scales(), None, [], {}
     for _ in range(rounds):
         tries = {"now": now} | {f"{n} {way}": {**now, n: now[n] * factor**way} for n in now for way in (1, -1)} | ({"all": joint} if joint else {})
-        best, scores = select_field(rows, {k: f.with_scales(p) for k, p in tries.items()})
+        new = {k: p for k, p in tries.items() if tuple(p.values()) not in known}
+        found = select_field(rows, {k: f.with_scales(p) for k, p in new.items()})[1] if new else {}
+        known |= {tuple(new[k].values()): v for k, v in found.items()}
+        scores = {k: known[tuple(p.values())] for k, p in tries.items() if tuple(p.values()) in known}
+        best = max(scores, key=scores.get)
         good = [k for k in scores if " " in k and scores[k] > scores["now"]]
         joint = dict(now)
         for k in sorted(good, key=scores.get):  # of a parameter's two ways the better one is last

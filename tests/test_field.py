@@ -117,6 +117,36 @@ def test_left_out_keys_equal_a_new_fit(spark):
     assert len(got) == len(rows)
 
 
+def test_sums_of_many_fields_share_the_kernel(spark, monkeypatch):
+    """Sums of fields of all kinds equal their definition, and fields with equal factors evaluate them once."""
+    df = rows_of(spark, 60).withColumn("u", F.sin("x")).withColumn("w", F.cos("t")).repartition(1).sortWithinPartitions("x")
+    rows = df.collect()
+    p = np.random.default_rng(2).random((7, 5))
+    f = field.Field(p, covariates=("u", "w"), lengths=(0.5, 2.0))
+    fields = {"a": f, "b": field.replace(f, variance=2.5), "c": field.replace(f, time=1.7), "d": field.replace(f, lengths=(1.5, 0.3)), "e": field.replace(f, space=(0.2, 0.9)), "f": field.Field(p[:4, :3], variance=0.7, kernel="matern52")}
+    want = {}
+    for n, g in fields.items():
+        k = g.cov(np.array([[r[c] for c in g.columns] for r in rows]), g.points)
+        a, s2 = np.array([r["slope"] for r in rows]), np.array([r["noise"] ** 2 for r in rows])
+        y = np.array([r["value"] - r["intercept"] - r["slope"] * r["prior"] for r in rows])
+        want[n] = field.Sums(k.T @ (k * (a * a / s2)[:, None]), k.T @ (a * y / s2), len(rows), float((y * y / s2).sum()), float(np.log(s2).sum()), float((a * a / s2).sum() * g.variance))
+    for key in (None, "source"):
+        got = field.information_sums(df, fields, key=key)
+        if key:
+            got = {n: got[f"{n}|s"] + got[f"{n}|u"] for n in fields}
+        for n in fields:
+            for c in ("a", "b", "n", "square", "log_noise", "precision"):
+                assert getattr(got[n], c) == pytest.approx(getattr(want[n], c), rel=1e-9, abs=1e-9)
+    x, known = np.array([[r[c] for c in f.columns] for r in rows]), {}
+    calls = []
+    monkeypatch.setitem(field.CORRELATION, "rbf", lambda d: calls.append(d.shape) or np.exp(-0.5 * d * d))
+    for g in (fields["a"], fields["b"], fields["c"], fields["e"]):
+        g.correlations(x, known)
+    assert len(calls) == 2  # one for each covariate, whatever the number of fields
+    for g in (fields["a"], fields["d"], fields["e"]):
+        assert g.correlations(x, known) == pytest.approx(g.cov(x, p), rel=1e-12)
+
+
 def test_left_out_keys_meet_in_many_even_tasks(spark):
     """Keys of all sizes, one without a name, across Arrow batches: each equals a new fit, and few bytes are many tasks."""
     rng = np.random.default_rng(3)
