@@ -161,7 +161,8 @@ def covariate_maps(spark, sf_dir: str) -> DataFrame:
     stations = rows.filter("source = 'station'")
     anchors = calibrate.residual_bias(field.predict(stations, post), "value", by=["grid_id", "x", "y"])
     anchors = anchors.select(F.col("grid_id").alias("ord"), F.col("x").alias("latitude"), F.col("y").alias("longitude"), F.col("bias").alias("value"))
-    cells = long.select("grid_id", "x", "y", "prior").distinct()
+    anchors = written(anchors, "field-anchors")  # read by several steps, which would predict the stations' rows each
+    cells = written(long.select("grid_id", "x", "y", "prior").distinct(), "field-cells")
     shift = spatial.idw(cells.select("grid_id", F.col("x").alias("latitude"), F.col("y").alias("longitude")), anchors, "grid_id", default=0.0).select("grid_id", F.col("value").alias("bias"))
     counts = rows.groupBy("day", "t").agg(*[F.count_if(F.col("source") == k).alias(f"n_{k}") for k in ("station", "satellite")]).orderBy("day").limit(10)
     grid = with_covariates(spatial.space_time_frame(cells, written(counts, "field-days")), days)
@@ -351,6 +352,7 @@ def shifted_day_maps(spark, sf_dir: str) -> DataFrame:
     states = _day_states(rows)
     anchors = calibrate.residual_bias(field.predict_states(rows, states), "value", by=["grid_id", "x", "y"])
     anchors = anchors.select(F.col("grid_id").alias("ord"), F.col("x").alias("latitude"), F.col("y").alias("longitude"), F.col("bias").alias("value"))
+    anchors = written(anchors, "field-anchors")
     cells = long.select("grid_id", F.col("x").alias("latitude"), F.col("y").alias("longitude")).distinct()
     shift = spatial.idw(cells, anchors, "grid_id", default=0.0).select("grid_id", F.col("value").alias("bias"))
     days = rows.select("day").distinct().orderBy("day").limit(10)

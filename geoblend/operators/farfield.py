@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import dealt, written
 
 NODES = 12
 #: Points of a lowest box on average; cells or points of a packed row at most.
@@ -101,6 +101,14 @@ def box_sums(points: DataFrame, depth: int, side: float, q: int = NODES) -> Data
     return out
 
 
+def tree_depth(n: int, extent: tuple[float, float], width: float, leaf: int = LEAF) -> int:
+    """The depth at which a lowest box holds `leaf` of n points that are even in the square of this width, or more, where the
+    boxes over the points' own extent would hold over twice as many: of a narrow strip's square only those along it have points."""
+    even = int(min(DEEPEST, max(0, math.ceil(math.log(max(1, n / leaf), 4)))))
+    over = lambda k: math.prod(max(1, math.ceil(e * 2**k / width)) for e in extent)
+    return next((k for k in range(even, DEEPEST) if n <= 2 * leaf * over(k)), DEEPEST) if max(extent) > 0 else even
+
+
 def idw_sums(cells: DataFrame, points: DataFrame, n_points: int, power: float, exact: float, scale: tuple[float, float], q: int = NODES, leaf: int = LEAF) -> DataFrame:
     """_id, _w, _wv, _hit, _at, _pairs of cells(_id, latitude, longitude) against points(ord, latitude, longitude, value): the
     sums of weights and of weighted values, whether a point is at the cell and the value of the first one, and the
@@ -110,7 +118,8 @@ def idw_sums(cells: DataFrame, points: DataFrame, n_points: int, power: float, e
     low = [min(v for v in (a[k], b[k]) if v is not None) for k in (0, 1)]
     high = [max(v for v in (a[k], b[k]) if v is not None) for k in (2, 3)]
     width = max((high[0] - low[0]) * scale[0], (high[1] - low[1]) * scale[1], 1e-9) * (1 + 1e-9)
-    depth = int(min(DEEPEST, max(0, math.ceil(math.log(max(1, n_points / leaf), 4)))))
+    q = q + 2 * (power > 2)  # steeper weights keep the error with more nodes
+    depth = tree_depth(n_points, tuple((a[k + 2] - a[k]) * scale[k] if a[k] is not None else 0.0 for k in (0, 1)), width, leaf)
     side = width / 2**depth
     x, y = (F.col("longitude") - low[1]) * scale[1], (F.col("latitude") - low[0]) * scale[0]
     place = {"x": x, "y": y, "i": F.floor(x / side), "j": F.floor(y / side)}
@@ -132,14 +141,15 @@ def idw_sums(cells: DataFrame, points: DataFrame, n_points: int, power: float, e
                 own, p = np.frombuffer(data).reshape(-1, 3), np.frombuffer(pts).reshape(-1, 4)
                 parts = []
                 for s in range(0, len(own), 500):
-                    d = np.hypot(own[s : s + 500, 1, None] - p[None, :, 0], own[s : s + 500, 2, None] - p[None, :, 1])
-                    close = d < exact
-                    w = np.where(close, 1.0, d + close) ** -power
+                    d2 = (own[s : s + 500, 1, None] - p[None, :, 0]) ** 2 + (own[s : s + 500, 2, None] - p[None, :, 1]) ** 2
+                    close = d2 < exact**2
+                    w = np.where(close, 1.0, d2) ** (-power / 2)
                     parts.append((w.sum(axis=1), w @ p[:, 2], close.any(axis=1).astype(float), np.where(close.any(axis=1), p[close.argmax(axis=1), 3], 0.0)))
                 out.append((c, *(np.concatenate(z).tobytes() for z in zip(*parts)), len(own) * len(p)))
             yield pd.DataFrame(out, columns=["_c", "w", "v", "hit", "at", "n"])
 
-    parts = met.select("_c", "data", "points").mapInPandas(exactly, schema)
+    # Tasks follow the pairs of packed rows, not their bytes.
+    parts = dealt(met.select("_c", "data", "points")).mapInPandas(exactly, schema)
     if depth >= 2:
         boxes = box_sums(spots, depth, side, q)
         lists = []
@@ -166,7 +176,7 @@ def idw_sums(cells: DataFrame, points: DataFrame, n_points: int, power: float, e
                     out.append((c, (g @ np.frombuffer(w)).tobytes(), (g @ np.frombuffer(v)).tobytes(), zero, zero, len(own) * q * q))
                 yield pd.DataFrame(out, columns=["_c", "w", "v", "hit", "at", "n"])
 
-        parts = parts.union(far.select("_c", "data", "level", "i", "j", "w", "v").mapInPandas(through_nodes, schema))
+        parts = parts.union(dealt(far.select("_c", "data", "level", "i", "j", "w", "v")).mapInPandas(through_nodes, schema))
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         hits, at = [np.array([np.frombuffer(b) for b in pdf[n]]) for n in ("hit", "at")]

@@ -45,6 +45,26 @@ def test_work_grows_with_levels_not_points(spark):
     assert pairs[16_000] < pairs[4_000] + 27 * 36 + 9 * 60 and pairs[16_000] < 16_000 / 2, pairs
 
 
+def test_a_strip_of_points_has_small_boxes(spark):
+    """Points along a narrow strip: a cell meets few of them, however many they are; even places keep their depth."""
+    rng = np.random.default_rng(6)
+    pts = np.column_stack([rng.random(8000), 0.01 * rng.random(8000), rng.normal(size=8000)])
+    cells = np.column_stack([rng.random(60), 0.01 * rng.random(60)])
+    p = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(pts)], "ord int, latitude double, longitude double, value double")
+    c = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(cells)], "_id long, latitude double, longitude double")
+    got = {r["_id"]: r for r in farfield.idw_sums(c, p, len(pts), 2.0, 1e-12, (1.0, 1.0), leaf=20).collect()}
+    w, v, size = plain(cells, pts, 2.0, (1.0, 1.0))
+    assert all(abs(got[i]["_w"] - w[i]) < 1e-8 * w[i] and abs(got[i]["_wv"] - v[i]) < 1e-8 * size[i] for i in range(60))
+    depth = farfield.tree_depth(8000, (1.0, 0.01), 1.0, 20)
+    # Boxes of points and at most 27 boxes of nodes a level; with the depth of an even square (5) 3 boxes would hold 750 points.
+    near = [np.sum(np.abs(np.floor(pts[:, :2] * 2**depth) - np.floor(cell * 2**depth)).max(axis=1) <= 1) for cell in cells]
+    assert max(near) < 9 * 2 * 20 and depth > farfield.tree_depth(8000, (1.0, 1.0), 1.0, 20) == 5
+    assert all(got[i]["_pairs"] < 9 * 2 * 20 + 27 * 144 * depth for i in range(60))
+    for n in (100, 4_000, 16_000, 1_000_000):
+        assert farfield.tree_depth(n, (1.0, 1.0), 1.0, 60) == max(0, int(np.ceil(np.log(n / 60) / np.log(4))))
+    assert farfield.tree_depth(5_000, (0.0, 0.0), 1.0, 60) == 4
+
+
 def test_idw_by_the_tree(spark):
     rng = np.random.default_rng(5)
     pts = [(i, float(a), float(b), float(v)) for i, (a, b, v) in enumerate(rng.random((500, 3)))] + [(990, 0.25, 0.25, 9.0), (600, 0.25, 0.25, 7.0), (601, None, 0.2, 1.0)]
