@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numerics import hash_unit
@@ -81,16 +81,26 @@ def day_transitions(spark, sf_dir: str) -> DataFrame:
     return rounded(state.transitions(df).withColumn("dt", F.col("dt").cast("double")))
 
 
-def scaled_long(spark, sf_dir: str) -> DataFrame:
-    """grid_id, day, x, y, t, source, value, prior, slope, intercept, noise: training rows of the field, about unit scale.
-    Written once, as the field's steps read them several times."""
+def scaled_cells(spark, sf_dir: str) -> DataFrame:
+    """grid_id, x, y, prior: the cells, about unit scale."""
     cells = R.cells(spark, sf_dir)
     s = cells.agg(F.min("latitude").alias("a"), F.max("latitude").alias("b"), F.min("longitude").alias("c"), F.max("longitude").alias("d")).first()
     size = max(s["b"] - s["a"], s["d"] - s["c"]) or 1.0
+    place = [((F.col("latitude") - s["a"]) / size).alias("x"), ((F.col("longitude") - s["c"]) / size).alias("y")]
+    return cells.join(R.priors(spark, sf_dir), "grid_id").select("grid_id", *place, ((F.col("lur") - 45.0) / 100.0).alias("prior"))
+
+
+def map_cells(spark, sf_dir: str) -> DataFrame:
+    """grid_id, x, y, prior of every cell that has a place, with readings or without, written: maps cover them all."""
+    return written(scaled_cells(spark, sf_dir).filter("x is not null and y is not null").distinct(), "field-cells")
+
+
+def scaled_long(spark, sf_dir: str) -> DataFrame:
+    """grid_id, day, x, y, t, source, value, prior, slope, intercept, noise: training rows of the field, about unit scale.
+    Written once, as the field's steps read them several times. Only cells with readings have rows."""
     day = F.datediff("date", F.lit("2024-01-01").cast("date"))
-    df = daily_sparse(spark, sf_dir).join(cells, "grid_id").join(R.priors(spark, sf_dir), "grid_id")
-    df = df.withColumn("day", day).select("grid_id", "day", ((F.col("latitude") - s["a"]) / size).alias("x"), ((F.col("longitude") - s["c"]) / size).alias("y"), (F.col("day") / 30.0).alias("t"),
-                   ((F.col("lur") - 45.0) / 100.0).alias("prior"), ((F.col("station") - 50.0) / 100.0).alias("station"), ((F.col("satellite") - 50.0) / 100.0).alias("satellite"))
+    df = daily_sparse(spark, sf_dir).join(scaled_cells(spark, sf_dir), "grid_id").withColumn("day", day)
+    df = df.select("grid_id", "day", "x", "y", (F.col("day") / 30.0).alias("t"), "prior", ((F.col("station") - 50.0) / 100.0).alias("station"), ((F.col("satellite") - 50.0) / 100.0).alias("satellite"))
     long = written(df, "field-wide").unpivot(["grid_id", "day", "x", "y", "t", "prior"], ["station", "satellite"], "source", "value").filter("value is not null")
     return field_rows(field.with_source(long, SOURCES))
 
@@ -103,21 +113,43 @@ def field_rows(rows: DataFrame) -> DataFrame:
 COVARIATES = ("traffic_wind", "wind_speed")
 
 
-def covariate_days(spark, sf_dir: str) -> DataFrame:
-    """grid_id, day and the covariates, written: log traffic weighted by wind and distance, and wind speed."""
-    df = daily_sparse(spark, sf_dir)
-    up = covariates.upwind_on_grid(R.cells(spark, sf_dir), df.groupBy("grid_id").agg(F.avg("traffic").alias("traffic")), R.STEP)
-    w = covariates.wind_weighted(R.wind(df), up)
+def upwind_cells(spark, sf_dir: str) -> DataFrame:
+    """grid_id, upwind_0..7 of every cell that has a place, from the mean traffic of the cells around."""
+    traffic = daily_sparse(spark, sf_dir).groupBy("grid_id").agg(F.avg("traffic").alias("traffic"))
+    return covariates.upwind_on_grid(R.cells(spark, sf_dir).filter("r is not null"), traffic, R.STEP)
+
+
+def covariate_columns() -> list[Column]:
+    """The covariates from the sectors' sums: log traffic weighted by wind and distance, and wind speed."""
     total = lambda name: sum((F.col(f"{name}_{k}") for k in range(covariates.SECTORS)), F.lit(0.0))
+    return [F.log1p(total("traffic_wind")).alias("traffic_wind"), total("speed_freq").alias("wind_speed")]
+
+
+def covariate_days(spark, sf_dir: str, upwind: DataFrame | None = None) -> DataFrame:
+    """grid_id, day and the covariates of the days with readings, written."""
+    w = covariates.wind_weighted(R.wind(daily_sparse(spark, sf_dir)), upwind_cells(spark, sf_dir) if upwind is None else upwind)
     day = F.datediff("date", F.lit("2024-01-01").cast("date"))
-    return written(w.select("grid_id", day.alias("day"), F.log1p(total("traffic_wind")).alias("traffic_wind"), total("speed_freq").alias("wind_speed")), "field-covariates")
+    return written(w.select("grid_id", day.alias("day"), *covariate_columns()), "field-covariates")
+
+
+def standardised(df: DataFrame, days: DataFrame) -> DataFrame:
+    """df with its covariates in units of their mean and spread over the days with readings."""
+    s = days.agg(*[F.avg(c).alias(f"m_{c}") for c in COVARIATES], *[F.stddev_pop(c).alias(f"s_{c}") for c in COVARIATES]).first()
+    return df.withColumns({c: (F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] or 1.0) for c in COVARIATES})
 
 
 def with_covariates(rows: DataFrame, days: DataFrame) -> DataFrame:
     """rows with the covariates of their cell and day, standardised; those without are filled with the mean of all days."""
-    s = days.agg(*[F.avg(c).alias(f"m_{c}") for c in COVARIATES], *[F.stddev_pop(c).alias(f"s_{c}") for c in COVARIATES]).first()
-    standard = days.select("grid_id", "day", *[((F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] or 1.0)).alias(c) for c in COVARIATES])
-    return daily.fill_covariates(rows, standard, ["grid_id", "day"], list(COVARIATES))
+    return daily.fill_covariates(rows, standardised(days, days), ["grid_id", "day"], list(COVARIATES))
+
+
+def map_frame(cells: DataFrame, times: DataFrame, upwind: DataFrame, days: DataFrame) -> DataFrame:
+    """Every cell at every time(day, t, ...) with its covariates, standardised. What a cell has of its own comes before its
+    times, so no row of the frame is shuffled."""
+    known = dealt(cells.join(upwind.dropDuplicates(["grid_id"]), "grid_id", "left"), "grid_id")
+    frame = spatial.space_time_frame(known, times).withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")))
+    sums = frame.select("*", *R.wind_columns()).withColumns(covariates.wind_weights())
+    return standardised(sums.select(*cells.columns, *times.columns, *covariate_columns()), days)
 
 
 def covariate_field(rows: DataFrame) -> field.Field:
@@ -151,22 +183,22 @@ def field_relevance(spark, sf_dir: str) -> DataFrame:
 
 @query()
 def covariate_maps(spark, sf_dir: str) -> DataFrame:
-    """Maps of ten chosen days from the field with covariates: every cell, covariates filled where a cell has none that day,
-    moved by the stations' residual biases, with bounds and the day's numbers of observations by source."""
-    days = covariate_days(spark, sf_dir)
-    long = scaled_long(spark, sf_dir)
-    rows = field_rows(with_covariates(long, days))
+    """Maps of every day with data from the field with covariates: every cell, with readings or without, by its own wind and
+    traffic, moved by the stations' residual biases, with bounds and the day's numbers of observations by source."""
+    upwind = written(upwind_cells(spark, sf_dir), "field-upwind")
+    days = covariate_days(spark, sf_dir, upwind)
+    rows = field_rows(with_covariates(scaled_long(spark, sf_dir), days))
     f = covariate_field(rows)
     post = field.fit(field.information_sums(rows, f)[""], f)
     stations = rows.filter("source = 'station'")
     anchors = calibrate.residual_bias(field.predict(stations, post), "value", by=["grid_id", "x", "y"])
     anchors = anchors.select(F.col("grid_id").alias("ord"), F.col("x").alias("latitude"), F.col("y").alias("longitude"), F.col("bias").alias("value"))
     anchors = written(anchors, "field-anchors")  # read by several steps, which would predict the stations' rows each
-    cells = written(long.select("grid_id", "x", "y", "prior").distinct(), "field-cells")
-    shift = spatial.idw(cells.select("grid_id", F.col("x").alias("latitude"), F.col("y").alias("longitude")), anchors, "grid_id", default=0.0).select("grid_id", F.col("value").alias("bias"))
-    counts = rows.groupBy("day", "t").agg(*[F.count_if(F.col("source") == k).alias(f"n_{k}") for k in ("station", "satellite")]).orderBy("day").limit(10)
-    grid = with_covariates(spatial.space_time_frame(cells, written(counts, "field-days")), days)
-    maps = calibrate.shifted(field.exported(field.predict(grid, post)).join(shift, "grid_id"), "bias")
+    places = map_cells(spark, sf_dir).withColumnsRenamed({"x": "latitude", "y": "longitude"})
+    cells = spatial.idw(places, anchors, "grid_id", default=0.0).withColumnsRenamed({"latitude": "x", "longitude": "y", "value": "bias"})
+    counts = rows.filter("day is not null").groupBy("day", "t").agg(*[F.count_if(F.col("source") == k).alias(f"n_{k}") for k in ("station", "satellite")])
+    grid = map_frame(cells, written(counts, "field-days"), upwind, days)
+    maps = calibrate.shifted(field.exported(field.predict(grid, post)), "bias")
     own = {c: 50.0 + 100.0 * F.col(c) for c in ("mean", "lower_95", "upper_95")} | {"std": 100.0 * F.col("std")}
     return rounded(maps.withColumns(own).select("grid_id", "day", "mean", "std", "lower_95", "upper_95", F.col("n_station").alias("n_obs"), "n_station", "n_satellite"), 4)
 

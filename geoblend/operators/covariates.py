@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spatial import radius_sums
@@ -71,12 +71,17 @@ def upwind_on_grid(cells: DataFrame, traffic: DataFrame, step: tuple[float, floa
     return cells.select("grid_id", F.col(row).alias("row"), F.col(col).alias("col")).join(sums, ["row", "col"]).select("grid_id", *names)
 
 
-def wind_weighted(days: DataFrame, upwind: DataFrame) -> DataFrame:
-    """Adds traffic_wind_k = upwind_k * freq_k and speed_freq_k = speed_k * freq_k to (grid_id, date, freq, speed) rows; missing is 0."""
-    out = days.join(upwind, "grid_id", "left")
+def wind_weights() -> dict[str, Column]:
+    """traffic_wind_k = upwind_k * freq_k and speed_freq_k = speed_k * freq_k of (upwind, freq, speed) rows; missing is 0."""
     new = {}
     for k in range(SECTORS):
         freq = F.coalesce(f"freq_{k}", F.lit(0.0))
         new[f"traffic_wind_{k}"] = F.coalesce(f"upwind_{k}", F.lit(0.0)) * freq
         new[f"speed_freq_{k}"] = F.coalesce(f"speed_{k}", F.lit(0.0)) * freq
-    return out.withColumns(new).select("grid_id", "date", *new)
+    return new
+
+
+def wind_weighted(days: DataFrame, upwind: DataFrame) -> DataFrame:
+    """wind_weights() of (grid_id, date, freq, speed) rows."""
+    new = wind_weights()
+    return days.join(upwind, "grid_id", "left").withColumns(new).select("grid_id", "date", *new)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numerics import hash_unit
@@ -44,11 +44,15 @@ def hourly(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return rows.select(grid_id(r, c).alias("grid_id"), "ts", "value")
 
 
+def wind_columns() -> list[Column]:
+    """freq_k, speed_k of a row's grid_id and date, for eight sectors."""
+    freq = [hash_unit(f"f{k}", "grid_id", "date").alias(f"freq_{k}") for k in range(8)]
+    return freq + [(10.0 * hash_unit(f"s{k}", "grid_id", "date")).alias(f"speed_{k}") for k in range(8)]
+
+
 def wind(days: DataFrame) -> DataFrame:
     """grid_id, date, freq_k, speed_k for eight sectors of each (grid_id, date) row."""
-    freq = [hash_unit(f"f{k}", "grid_id", "date").alias(f"freq_{k}") for k in range(8)]
-    speed = [(10.0 * hash_unit(f"s{k}", "grid_id", "date")).alias(f"speed_{k}") for k in range(8)]
-    return days.select("grid_id", "date", *freq, *speed)
+    return days.select("grid_id", "date", *wind_columns())
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
