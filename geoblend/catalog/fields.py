@@ -325,8 +325,8 @@ def field_export(spark, sf_dir: str) -> DataFrame:
     rows = scaled_long(spark, sf_dir)
     f = inducing(rows)
     post = field.fit(field.information_sums(rows, f)[""], f)
-    days = rows.select("day", "t").distinct()
-    grid = spatial.space_time_frame(rows.select("grid_id", "x", "y", "prior").distinct(), days)
+    days = rows.select("day", "t").filter("day is not null").distinct()
+    grid = spatial.space_time_frame(dealt(map_cells(spark, sf_dir), "grid_id"), days)
     out = field.exported(field.predict(grid, post), 50.0, 100.0).select("grid_id", "day", "mean", "std", "lower_95", "upper_95")
     seen = rows.groupBy("grid_id", "day").agg(*[F.first(F.when(F.col("source") == k, 50.0 + 100.0 * F.col("value")), True).alias(k) for k in ("station", "satellite")])
     return rounded(daily.attach_observations(out, seen, ["station", "satellite"], ("grid_id", "day")), 4)

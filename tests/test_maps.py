@@ -56,3 +56,17 @@ def test_covariate_maps_cover_every_cell_and_day(spark, tables, monkeypatch):
     grid = {(r["grid_id"], r["day"]): (r["traffic_wind"], r["wind_speed"]) for r in seen[-1].select("grid_id", "day", "traffic_wind", "wind_speed").collect()}
     for c, d in ((5, 0), (37, 7), (59, 11), (10, 3)):
         assert grid[f"0_{c}", d] == pytest.approx(tuple((np.array(covariates(c, d)) - mean) / spread), abs=1e-9)
+
+
+def test_field_export_covers_every_cell_and_day(spark, tables):
+    """Cells without readings have the field and no observations; the others have theirs."""
+    path, readings = tables
+    got = {(r["grid_id"], r["day"]): r for r in QUERIES["field_export"](spark, path).collect()}
+    assert set(got) == {(f"0_{c}", d) for c in range(KEYS) for d in range(DAYS)}
+    for (cell, day), r in got.items():
+        for name, kind in (("station", "purchase"), ("satellite", "view")):
+            own = [v for k, x, d, v in readings if (f"0_{k}", x, d) == (cell, kind, day)]
+            assert r[name] == (pytest.approx(np.mean(own), abs=1e-3) if own else None)
+        assert r["lower_95"] < r["mean"] < r["upper_95"]
+    # Of cells so far from the readings the field knows little more than the prior.
+    assert got["0_55", 3]["std"] > got["0_50", 3]["std"]
