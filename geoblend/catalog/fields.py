@@ -412,10 +412,10 @@ def scaled_prior(spark, sf_dir: str) -> DataFrame:
 
 @query()
 def kriged_day(spark, sf_dir: str) -> DataFrame:
-    """Regression-kriging of the day with most stations over all cells."""
+    """Regression-kriging of the day with most stations over all cells, with readings or without."""
     rows = scaled_long(spark, sf_dir).filter("source = 'station'").withColumn("baseline", F.col("prior"))
     day = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("day", F.struct(F.col("n"), -F.col("day")))).first()[0]
-    grid = scaled_long(spark, sf_dir).select("grid_id", "x", "y", F.col("prior").alias("baseline")).distinct()
+    grid = map_cells(spark, sf_dir).withColumnRenamed("prior", "baseline")
     f = field.Field(field.regular_points(2, 1), space=0.2)
     return rounded(field.regression_kriging(rows.filter(F.col("day") == day), grid, f, noise=0.3), 4)
 

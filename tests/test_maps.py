@@ -70,3 +70,22 @@ def test_field_export_covers_every_cell_and_day(spark, tables):
         assert r["lower_95"] < r["mean"] < r["upper_95"]
     # Of cells so far from the readings the field knows little more than the prior.
     assert got["0_55", 3]["std"] > got["0_50", 3]["std"]
+
+
+def test_kriged_day_covers_every_cell(spark, tables):
+    """The day with most stations, against the dense process at cells without readings too."""
+    path, readings = tables
+    got = {r["grid_id"]: r["mean"] for r in QUERIES["kriged_day"](spark, path).collect()}
+    assert set(got) == {f"0_{c}" for c in range(KEYS)}
+    days = [{k: [v for key, kind, d, v in readings if (key, kind, d) == (k, "purchase", day)] for k in range(0, KEYS, 10)} for day in range(DAYS)]
+    best = max(days, key=lambda day: (sum(map(bool, day.values())), -days.index(day)))
+    own = [(k, (np.mean(v) - 50) / 100) for k, v in best.items() if v]
+    x = lambda keys: np.column_stack([np.zeros(len(keys)), np.array(keys) / (KEYS - 1), np.zeros(len(keys))])
+    prior = lambda keys: (30 + np.array(keys) % 30 - 45.0) / 100
+    f, at, value = field.Field(field.regular_points(2, 1), space=0.2), [k for k, _ in own], np.array([v for _, v in own])
+    slope, shift = np.polyfit(prior(at), value, 1) if len(at) >= 5 else (None, None)
+    assert slope is not None
+    w = np.linalg.solve(f.cov(x(at), x(at)) + 0.09 * np.eye(len(at)), value - slope * prior(at) - shift)
+    cells = list(range(KEYS))
+    want = slope * prior(cells) + shift + f.cov(x(cells), x(at)) @ w
+    assert [got[f"0_{c}"] for c in cells] == pytest.approx(list(want), abs=1e-4)
