@@ -422,3 +422,13 @@ def test_large_batches_meet_the_points_in_steps(monkeypatch):
     monkeypatch.setattr(field.Field, "cov", lambda self, a, b: sizes.append(len(a)) or plain(self, a, b))
     mean, var = post.at(x)
     assert mean == pytest.approx(want) and len(var) == 2500 and max(sizes) <= 1000
+
+
+@pytest.mark.parametrize("kernel,last", [("matern32", 0.0), ("matern52", 1.0), ("rbf", 0.0)])
+def test_product_in_steps_equals_the_whole_kernel(monkeypatch, kernel, last):
+    monkeypatch.setattr(field, "PRODUCT_PAIRS", 100)
+    rng = np.random.default_rng(2)
+    f = field.Field(field.regular_points(2, 1), space=(0.2, 0.5), time=0.4, variance=1.7, kernel=kernel)
+    a, b, v = rng.random((33, 3)) * [1, 1, last], rng.random((21, 3)) * [1, 1, last], rng.normal(size=21)
+    assert f.product(a, b, v) == pytest.approx(f.cov(a, b) @ v, abs=1e-12)
+    assert list(f.product(a[:2], b[:0], v[:0])) == [0.0, 0.0] and len(f.product(a[:0], b, v)) == 0
